@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -18,13 +19,13 @@ K1, B = 1.2, 0.75
 #: Words of a passage; the next one begins half a passage later.
 PASSAGE = 128
 #: Share of an item's highest possible score from which a passage is looked at closely.
-THRESHOLD = 0.5
+THRESHOLD = 0.6
 #: Share of the shingles of question and of answer that must be met.
 OVERLAP, SHINGLE = 0.8, 5
 #: Items under one block maximum, and in one index. An index of so many items is what a task holds and a broadcast sends.
-POSTING_BLOCK, INDEX_ITEMS, INDEX_BYTES = 8, 4096, 8 << 20
-#: Tokens whose bounds a task holds at once.
-_CHUNK = 65_536
+POSTING_BLOCK, INDEX_ITEMS, INDEX_BYTES = 4, 4096, 8 << 20
+#: Half passages whose terms' bounds are gathered at once.
+_HALVES = 256
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
@@ -77,7 +78,10 @@ def build_index(rows: list[tuple], frequency: dict[str, int], count: int, mean_l
                 postings.append(([], []))
             postings[at][0].append(number)
             postings[at][1].append(x / need)
-        parts.append(tuple(shingle_hashes(words(x), SHINGLE) for x in question_and_answer(text or "")))
+        question, answer = (len(words(x)) for x in question_and_answer(text))
+        # A part shorter than a shingle is met with the words beside it.
+        first, last = tokens[: max(question, SHINGLE)], tokens[-max(answer, SHINGLE) :] if answer else []
+        parts.append((shingle_hashes(first, SHINGLE), shingle_hashes(last, SHINGLE)))
     bounds = np.zeros((len(terms) + 1, max(1, -(-len(rows) // POSTING_BLOCK))), np.float32)
     for at, (who, impact) in enumerate(postings):
         np.maximum.at(bounds[at], np.array(who) // POSTING_BLOCK, np.array(impact, np.float32) * np.float32(1.0001))
@@ -88,26 +92,34 @@ def wand(index: Index, query: np.ndarray) -> list[tuple[int, float]]:
     """All items whose impacts over the distinct terms of ``query`` reach 1, by block-max WAND.
 
     The lists are walked side by side in the order of their current items. The pivot is the first
-    item at which the upper bounds of the lists before it could reach 1; the maxima of the blocks
-    that hold it are then summed, and if they can't reach 1 the lists leap behind those blocks.
+    item at which the upper bounds of the lists before it could reach 1. Items lie in blocks, and
+    a block whose maxima over the query don't sum to 1 is leapt over by all lists at once.
     """
+    open_blocks = np.flatnonzero(index.bounds[query].sum(axis=0) >= 1 - 1e-3)
+    if not len(open_blocks):
+        return []
     lists = [index.items[t] for t in query]
     impacts = [index.impacts[t] for t in query]
     highest = [float(x.max()) for x in impacts]
-    at = [0] * len(lists)
-    current = [int(x[0]) for x in lists]
-    order, end, found = list(range(len(lists))), len(index.item_ids), []
+    end, found = len(index.item_ids), []
+    at, current = [0] * len(lists), [0] * len(lists)
 
     def move(k: int, to: int) -> None:
         at[k] += int(np.searchsorted(lists[k][at[k] :], to))
         current[k] = int(lists[k][at[k]]) if at[k] < len(lists[k]) else end
 
+    def next_open(item: int) -> int:
+        """``item`` if its block is open, else the first item of the next open one."""
+        n = int(np.searchsorted(open_blocks, item // POSTING_BLOCK))
+        return end if n == len(open_blocks) else max(item, int(open_blocks[n]) * POSTING_BLOCK)
+
+    for k in range(len(lists)):
+        move(k, next_open(0))
+    order = list(range(len(lists)))
     while True:
-        order.sort(key=current.__getitem__)
+        order = sorted((k for k in order if current[k] < end), key=current.__getitem__)
         total, pivot = 0.0, -1
         for n, k in enumerate(order):
-            if current[k] == end:
-                break
             total += highest[k]
             if total >= 1 - 1e-6:
                 pivot = n
@@ -115,26 +127,25 @@ def wand(index: Index, query: np.ndarray) -> list[tuple[int, float]]:
         if pivot < 0:
             return found
         item = current[order[pivot]]
+        leap = next_open(item)
+        if leap > item:
+            for k in order:
+                if current[k] < leap:
+                    move(k, leap)
+            continue
         while pivot + 1 < len(order) and current[order[pivot + 1]] == item:
             pivot += 1
-        block = item // POSTING_BLOCK
-        if sum(float(index.bounds[query[k], block]) for k in order[: pivot + 1]) < 1 - 1e-6:
-            leap = (block + 1) * POSTING_BLOCK
-            if pivot + 1 < len(order):
-                leap = min(leap, current[order[pivot + 1]])
-            leap = max(leap, item + 1)
-            for k in order[: pivot + 1]:
-                move(k, leap)
-        elif current[order[0]] == item:
+        scored = current[order[0]] == item
+        if scored:
             score = sum(float(impacts[k][at[k]]) for k in order[: pivot + 1])
             if score >= 1 - 1e-6:
                 found.append((item, score))
-            for k in order[: pivot + 1]:
-                move(k, item + 1)
-        else:
-            for k in order[:pivot]:
-                if current[k] < item:
-                    move(k, item)
+        for k in order[: pivot + 1]:
+            if current[k] < item:
+                move(k, item)
+            elif scored:
+                at[k] += 1
+                current[k] = int(lists[k][at[k]]) if at[k] < len(lists[k]) else end
 
 
 def matches(index: Index, text: str | None, overlap: float = OVERLAP) -> list[tuple[int, float, float, float]]:
@@ -143,34 +154,40 @@ def matches(index: Index, text: str | None, overlap: float = OVERLAP) -> list[tu
     if not tokens:
         return []
     other, step = len(index.terms), PASSAGE // 2
-    ids = np.fromiter((index.terms.get(w, other) for w in tokens), np.int64, len(tokens))
+    ids = np.fromiter(map(index.terms.get, tokens, itertools.repeat(other)), np.int64, len(tokens))
     best: dict[int, float] = {}
-    for low in range(0, max(1, len(ids) - step), _CHUNK):
-        # Every passage that begins in this chunk; the bounds of repeated words count again, so they stay bounds.
-        part = ids[low : low + _CHUNK + PASSAGE]
-        sums = np.zeros((len(part) + 1, index.bounds.shape[1]), np.float32)
-        np.cumsum(index.bounds[part], axis=0, out=sums[1:], dtype=np.float32)
-        begins = np.arange(0, min(_CHUNK, max(1, len(part) - step)), step)
-        reach = (sums[np.minimum(begins + PASSAGE, len(part))] - sums[begins]).max(axis=1)
-        for begin in begins[reach >= 1 - 0.01]:
-            query = np.unique(part[begin : begin + PASSAGE])
-            for item, score in wand(index, query[query < other]):
-                best[item] = max(best.get(item, 0.0), score)
+    # The bounds of half passages, each term once: two neighbours bound the passage they make up.
+    half = np.arange(len(ids)) // step
+    kept = np.unique(half * (other + 1) + ids)
+    kept = kept[kept % (other + 1) != other]
+    if not len(kept):
+        return []
+    halves, starts = np.unique(kept // (other + 1), return_index=True)
+    sums = np.zeros((half[-1] + 2, index.bounds.shape[1]), np.float32)
+    for low in range(0, len(halves), _HALVES):
+        own = starts[low : low + _HALVES]
+        stop = starts[low + _HALVES] if low + _HALVES < len(halves) else len(kept)
+        sums[halves[low : low + _HALVES]] = np.add.reduceat(index.bounds[kept[own[0] : stop] % (other + 1)], own - own[0], axis=0)
+    reach = (sums[:-1] + sums[1:]).max(axis=1)
+    for k in np.flatnonzero(reach >= 1 - 0.001):
+        query = np.unique(ids[k * step : k * step + PASSAGE])
+        for item, score in wand(index, query[query < other]):
+            best[item] = max(best.get(item, 0.0), score)
     if not best:
         return []
     own = np.unique(ordered_shingles(tokens, SHINGLE))
     found = []
     for item, score in sorted(best.items()):
         question, answer = index.parts[item]
-        met = [_met(part, own, tokens, len(part)) for part in (question, answer)]
+        met = [_met(part, own) for part in (question, answer)]
         if min(met) >= overlap:
             found.append((item, score, *met))
     return found
 
 
-def _met(part: np.ndarray, own: np.ndarray, tokens: list[str], count: int) -> float:
+def _met(part: np.ndarray, own: np.ndarray) -> float:
     """Share of the shingles of ``part`` that the document has. An empty part is met."""
-    return 1.0 if not count else float(np.isin(part, own, assume_unique=True).mean())
+    return float(np.isin(part, own, assume_unique=True).mean()) if len(part) else 1.0
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple]]:

@@ -14,8 +14,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.samples import held_out
 
-#: Texts of each language that its dictionary is cut from at most (about so many, by a hash), its bytes, and the level.
-SAMPLE_TEXTS, DICTIONARY_BYTES, LEVEL = 96, 1 << 16, 3
+#: Texts of each language that its dictionary is cut from (about so many, by a hash), and its bytes.
+SAMPLE_TEXTS, DICTIONARY_BYTES = 192, 1 << 17
+#: Words are short, so matches of three bytes must count.
+PARAMETERS = {"compression_level": 5, "strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 3}
+#: Bytes that are compressed at a time; a text's size is the sum over all of it.
+PIECE = 2048
 #: Unknown language: no letter at all.
 UNKNOWN = "und"
 #: A prediction counts as rejected if the second best language needs fewer bytes more than this.
@@ -42,9 +46,12 @@ class Compressors:
         if not self._made:
             for raw in self.dictionaries.values():
                 own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                own.precompute_compress(level=LEVEL)
-                self._made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False))
-        return [len(c.compress(data)) for c in self._made]
+                how = zstandard.ZstdCompressionParameters(write_checksum=False, write_content_size=False, write_dict_id=False, **PARAMETERS)
+                own.precompute_compress(compression_params=how)
+                self._made.append(zstandard.ZstdCompressor(dict_data=own, compression_params=how))
+        # A long text is its own dictionary soon; in pieces, each piece is compared with the languages.
+        pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self._made]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected). Ties go to the more frequent language."""
@@ -60,11 +67,10 @@ class Compressors:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_TEXTS) -> Compressors:
-    """Cut each language's dictionary from about ``sample`` whole texts that are not held out.
+    """Cut each language's dictionary from about ``sample`` texts that are not held out.
 
-    The languages are counted over all rows; a text is taken if a hash of its id falls under its
-    language's share, so the sample's size does not grow with the table. A dictionary ends with
-    the last ``DICTIONARY_BYTES`` of the joined texts.
+    Each text gives an equal share of the dictionary's bytes, from its beginning. The languages are counted over all rows; a text is taken if a hash of its id falls under its
+    language's share, so the sample's size does not grow with the table.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     # One row a language; there are some thousands of languages at most.
