@@ -205,6 +205,9 @@ def verify(rows: DataFrame, wanted: DataFrame, shingle: int, similarity: float)
     A component in one block goes to one task with other small ones, a larger one to a task for
     each pair of its blocks.
     """
+    bins = _bins(wanted)
+    # Merged at every size: a broadcast of the wanted ids would only fit small inputs.
+    wanted = wanted.hint("merge")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["sum"] == wanted["sum"])).select("rep", "component", "blocks", "weight", "set_key", "text")
     texts = texts.dropDuplicates(["rep"])  # rows that repeat id and text
     # Texts of one component that meet in one group: at most two blocks of it.
@@ -229,7 +232,7 @@ def verify(rows: DataFrame, wanted: DataFrame, shingle: int, similarity: float)
         schema = pa.schema([(name, pa.int64()) for name in out])
         return pa.table({name: np.concatenate(v) if v else np.empty(0, np.int64) for name, v in out.items()}, schema=schema)
 
-    group = F.when(F.col("q") > 0, F.struct("component", "p", "q")).otherwise(F.struct(F.pmod(F.xxhash64("component"), F.lit(_bins(wanted))).alias("component"), F.lit(-1).alias("p"), F.lit(-1).alias("q")))
+    group = F.when(F.col("q") > 0, F.struct("component", "p", "q")).otherwise(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("component"), F.lit(-1).alias("p"), F.lit(-1).alias("q")))
     return pairs.withColumn("task", group).groupBy("task").applyInArrow(check, "rep bigint, classes bigint, documents bigint, root bigint")
 
 
