@@ -19,7 +19,7 @@ WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Words kept in a worker's cache before it starts anew: it bounds memory and changes no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
