@@ -28,7 +28,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     hashed = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("pos"), window(7, i).alias("h1"), window(11, i).alias("h2")))
     windows = materialise(rows.where(n >= 1).select("id", "sum", F.inline(hashed)), "windows")
     counted = windows.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialise(windows.join(counted.drop("n"), ["h1", "h2"]), "repeats")
+    met = materialise(windows.join(counted.drop("n").hint("merge"), ["h1", "h2"]), "repeats")
     first = met.where("id = first_id").groupBy("h1", "h2").agg(F.min(F.struct("sum", "pos")).alias("first"))
     again = met.join(first, ["h1", "h2"])
     return again.where("NOT (id = first_id AND sum = first.sum AND pos = first.pos)").select("id", "sum", "pos")
@@ -55,6 +55,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     again = repeated_windows(keyed.select("id", "sum", lines.alias("lines")))
     covered = again.select("id", "sum", F.explode(F.sequence(F.col("pos"), F.col("pos") + (WINDOW - 1))).alias("at"))
     gone = materialise(covered.groupBy("id", "sum").agg(F.array_sort(F.collect_set("at")).alias("removed")), "covered")
-    met = keyed.join(gone, ["id", "sum"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    # Merged at every size: what repeats grows with the corpus, so a broadcast would only fit small inputs.
+    met = keyed.join(gone.hint("merge"), ["id", "sum"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     rest = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("removed", i)), "\n")
     return met.select("doc_id", F.when(F.size("removed") > 0, rest).otherwise(F.col("text")).alias("text"), F.size(lines_of(F.col("text"))).alias("n_lines"), "removed")
