@@ -68,3 +68,11 @@ def stars(of_impact: Column, n_words: Column) -> Column:
     """5 to 1 from the impact per 1,000 words; null under 40 words."""
     rate = of_impact * 1000 / n_words
     return F.when(n_words >= 40, F.when(rate < 5, 5).when(rate < 15, 4).when(rate < 30, 3).when(rate < 60, 2).otherwise(1))
+
+
+def findings(counts: dict[str, Column]) -> tuple[Column, Column]:
+    """``class: n`` of the classes that occur, most first, as one text; and the total."""
+    pairs = F.array(*[F.struct((-n).alias("m"), F.lit(name).alias("k")) for name, n in counts.items()])
+    found = F.array_sort(F.filter(pairs, lambda x: x["m"] < 0))
+    total = sum(counts.values(), F.lit(0))
+    return F.array_join(F.transform(found, lambda x: F.concat(x["k"], F.lit(": "), (-x["m"]).cast("string"))), "; "), total
