@@ -159,3 +159,20 @@ def estimate(prompts: DataFrame, rate: float, factor: float = 1.0, letters: int
     """Pages, tokens (a token per ``letters`` letters) and cost of sending the prompts once."""
     tokens = F.sum(F.length("prompt")) / letters * factor
     return prompts.agg(F.count(F.lit(1)).alias("pages"), tokens.alias("tokens"), (tokens * rate / 1e6).alias("cost"))
+
+
+def grounding(rows: DataFrame) -> DataFrame:
+    """``check, n, passed`` over verdicts (``keep, score, text, evidence, topic``) and the texts they judge.
+
+    parsed: there is a verdict; agrees: the score is on its side of a half; in_range: the score is 0
+    to 1; verbatim: every quote is in the text; short_topic: one to ten words. Null fails a check.
+    """
+    checks = {
+        "parsed": F.col("keep").isNotNull(),
+        "agrees": (F.col("keep") == 1) == (F.col("score") >= 0.5),
+        "in_range": F.col("score").between(0, 1),
+        "verbatim": F.forall("evidence", lambda q: F.col("text").contains(q)),
+        "short_topic": F.regexp_count("topic", F.lit("[^ ]+")).between(1, 10),
+    }
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.coalesce(c, F.lit(False)).alias("ok")) for name, c in checks.items()]))
+    return rows.select(cells.alias("c")).groupBy("c.check").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("c.ok"), 1)).alias("passed"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import readability
 from corpusloom.operators import filters, gold, metrics, payload, review, runs, workspace
 from corpusloom.plans import evaluation as ev
-from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls
+from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
 from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, organisations, table, votes
 from corpusloom.plans.roles import gold as gold_labels
@@ -17,6 +17,7 @@ from corpusloom.plans.selection import _BASE, WORDS
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import QUERIES as _SELECTION
 from corpusloom.plans.selection import _short as chosen
+from corpusloom.sources import readers
 from corpusloom.sources.scratch import checkpoint_dir
 
 _LISTS = {"orgs": ["en, even", "de", "odd\nfr, odd", ""], "types": ["guidance,policy_paper", "", "news_story", "nothing, guidance"], "words": ["thand", "", "stupid, elle"]}
@@ -166,6 +167,20 @@ def snk_augmented_export(s, d):
     return s.read.schema("url string, source string, es_score double").csv(path, header=True, escape='"')
 
 
+def src_sitemap(s, d):
+    path = f"{checkpoint_dir(s)}/sitemap-{uuid.uuid4().hex}"
+    sitemap(s, d).select(F.col("url").alias("loc"), "lastmod").write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+    return readers.read_sitemap(s, path).select("loc", "lastmod")
+
+
+def m_grounding(s, d):
+    """Verdicts with a quote of the text, or with one that is not in it."""
+    k = F.col("doc_id")
+    quote = F.when(k % 4 == 0, "Never Said 0").otherwise(F.substring("text", 3, 12))
+    text = table(s, d, "documents").select("doc_id", "text")
+    return review.grounding(ev.a_(s, d).join(text, "doc_id").select("keep", "score", "text", F.array(quote).alias("evidence"), F.when(k % 5 != 0, F.repeat(F.lit("word "), (k % 14).cast("int"))).alias("topic")))
+
+
 def m_cost_eff(s, d):
     return ev._rounded(review.cost_efficiency(metrics.confusion(gold_labels(s, d), ev.a_(s, d)), 12.5), "per_correct", "per_found")
 
@@ -223,6 +238,8 @@ QUERIES = {
     "d_votes_backfill": lambda s, d: payload.votes_of_labels(gold_labels(s, d), votes(s, d).where("labelled_at = 2"), "earlier"),
     "src_scope_list": lambda s, d: payload.scope_list(raw_urls(s, d).select((F.col("doc_id") % 7).alias("scope"), "raw"), content(s, d).where(filters.is_usable())),
     "snk_augmented_export": snk_augmented_export,
+    "src_sitemap": src_sitemap,
+    "m_grounding": m_grounding,
 }
 
 
@@ -300,4 +317,8 @@ ORACLE_SQL = {
     "d_votes_backfill": f"WITH {VOTES}, {GOLD} SELECT url, 'earlier' AS labeller, label FROM gold WHERE url NOT IN (SELECT url FROM votes WHERE labelled_at = 2)",
     "src_scope_list": f"WITH {CONTENT}, u AS (SELECT DISTINCT doc_id % 7 AS scope, url FROM ({_CORPUS['d_canonical_url']}) WHERE url IS NOT NULL) SELECT scope, count(*) AS urls, count(*) FILTER (url IN (SELECT url FROM typed WHERE usable)) AS usable FROM u GROUP BY scope",
     "snk_augmented_export": f"WITH {_HITS} SELECT url, source, es_score FROM cmp",
+    "src_sitemap": "SELECT 'https://www.example.org/o/' || o_orderkey AS loc, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS lastmod FROM orders",
+    "m_grounding": f"""WITH {ev._A}, x AS (SELECT keep, score, doc_id, text FROM va JOIN documents USING (doc_id)), c AS (SELECT unnest([{{'name': 'parsed', 'ok': keep IS NOT NULL}}, {{'name': 'agrees', 'ok': (keep = 1) = (score >= 0.5)}}, {{'name': 'in_range', 'ok': score BETWEEN 0 AND 1}},
+      {{'name': 'verbatim', 'ok': contains(text, CASE WHEN doc_id % 4 = 0 THEN 'Never Said 0' ELSE substr(text, 3, 12) END)}}, {{'name': 'short_topic', 'ok': doc_id % 5 <> 0 AND doc_id % 14 BETWEEN 1 AND 10}}]) AS c FROM x)
+      SELECT c.name AS check, count(*) AS n, count(*) FILTER (c.ok) AS passed FROM c GROUP BY 1""",
 }
