@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.operators import filters, reports
+from corpusloom.plans import corpus
 from corpusloom.plans.evaluation import repeats
 from corpusloom.plans.evaluation import ORACLE_SQL as _EVAL
 from corpusloom.plans.roles import CONTENT, ORGS, content, gold, organisations, table
@@ -64,7 +65,29 @@ def t_run_totals(s, d):
     return streams.drain(streams.run_totals(verdicts))
 
 
-QUERIES = {f.__name__: f for f in (snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, t_fetch_health, t_run_totals)}
+def src_org_registry(s, d):
+    """Registry files of 500 organisations each, written and read again, with the number of children."""
+    k, name = F.col("c_custkey"), lambda n: F.concat(F.lit("c-"), (F.col("c_custkey") + n).cast("string"))
+    org = F.struct(
+        F.when(k % 3 != 0, name(0)).alias("slug"), F.concat(F.lit("https://www.example.org/organisations/"), name(0), F.lit("/")).alias("link"), F.col("c_name").alias("title"), F.when(k % 2 == 0, F.concat(F.lit("C"), k)).alias("acronym"),
+        F.when(k % 5 == 0, F.array(name(1), name(2))).alias("child_organisations"), F.when(k % 5 < 3, F.array(name(-1))).alias("parent_organisations"),
+    )
+    files = table(s, d, "customer").groupBy(F.floor(k / 500)).agg(F.collect_list(F.struct(org.alias("value"))).alias("options"))
+    path = _path(s)
+    files.select(F.to_json(F.struct(F.struct(F.struct("options").alias("organisations")).alias("aggregates")))).write.option("maxRecordsPerFile", 1).text(path)
+    orgs, edges = readers.read_registry(s, path)
+    return orgs.join(edges.groupBy(F.col("parent").alias("slug")).agg(F.count(F.lit(1)).alias("n")), "slug", "left").select("slug", "title", "acronym", F.coalesce("n", F.lit(0)).alias("children"))
+
+
+def t_payload_ingest(s, d):
+    path = _path(s)
+    corpus.fetched(s, d).write.parquet(f"{path}/fetched")
+    corpus.stored(s, d).select("url", "content_hash", F.lit("crawl").alias("source"), F.lit("t0").alias("first_seen"), F.lit("t1").alias("last_seen"), F.lit("t0").alias("last_changed")).write.parquet(f"{path}/pages/v0")
+    streams.ingest_payloads(s.readStream.schema(corpus.fetched(s, d).schema).parquet(f"{path}/fetched"), f"{path}/pages")
+    return s.read.parquet(f"{path}/pages/v1")
+
+
+QUERIES = {f.__name__: f for f in (snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)}
 
 ORACLE_SQL = {
     "snk_export_fields": f"WITH {CONTENT} SELECT url, document_type, lang FROM typed WHERE usable",
@@ -74,4 +97,7 @@ ORACLE_SQL = {
     "src_legacy_import": "SELECT 'https://www.example.org/d/' || doc_id AS url FROM documents WHERE doc_id % 3 <> 0",
     "t_fetch_health": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "t_run_totals": _EVAL["e_run_totals"].replace("count(*) AS pages, ", ""),
+    "src_org_registry": """WITH e AS (SELECT c_custkey AS p, c_custkey + unnest([1, 2]) AS c FROM customer WHERE c_custkey % 5 = 0 UNION SELECT c_custkey - 1, c_custkey FROM customer WHERE c_custkey % 5 < 3)
+SELECT 'c-' || c_custkey AS slug, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'C' || c_custkey END AS acronym, (SELECT count(*) FROM e WHERE p = c_custkey) AS children FROM customer""",
+    "t_payload_ingest": corpus.ORACLE_SQL["d_upsert_provenance"].replace("n.seq % 2 = 0 THEN 'feed'", "n.url IS NOT NULL THEN 'stream'").replace("'t2'", "'0'"),
 }
