@@ -7,13 +7,35 @@ from pyspark.sql import functions as F
 
 WORD = "[A-Za-z]+"
 SENTENCE = "[.!?]+"
-#: The issue classes with their weights and terms.
+# The issue classes with their weights and terms, the star bands and the limits.
 ISSUES = {
-    "wordy": (1.0, ("in order to", "as well as", "with regard to", "at this time")),
-    "jargon": (2.0, ("leverage", "utilise", "facilitate", "deliver", "going forward")),
-    "formal": (1.5, ("shall", "hereby", "thereof", "pursuant")),
-}
-LONG_SENTENCE, LONG_WEIGHT = 25, 2.5
+    "words_to_avoid": (2.0, (
+        "advancing", "collaborate", "combating", "commit", "countering", "deploy", "dialogue", "disincentivise", "empower", "facilitate", "foster", "impactful",
+        "initiate", "leverage", "liaise", "overarching", "pledge", "robust", "streamline", "strengthening", "tackling", "transform", "utilise", "utilize",
+        "utilising", "utilizing", "endeavour", "commence", "purchase", "additional", "regarding", "aforementioned", "henceforth", "hereby", "notwithstanding",
+    )),
+    "phrases_to_avoid": (1.0, (
+        "in order to", "going forward", "at this moment in time", "please note", "with regard to", "in respect of", "prior to", "in the event that",
+        "a number of", "ring fenced", "ring-fenced", "best practice", "deep dive",
+    )),
+    "nominalisation": (3.0, (
+        "implementation", "implementations", "completion", "completions", "provision", "provisions", "application", "applications", "utilisation", "utilisations",
+        "consideration", "considerations", "requirement", "requirements", "assessment", "assessments", "notification", "notifications", "commencement", "commencements",
+    )),
+    "vague_language": (2.0, ("some", "many", "often", "regularly", "normally", "usually", "generally", "approximately", "soon", "quickly", "various", "several", "etc")),
+    "unnecessary_words": (1.0, ("very", "really", "actually", "basically", "currently", "in fact", "it is important to note that", "it should be noted that")),
+    "there_is_are": (1.0, ("there is", "there are")),
+    "impersonal_it_is": (2.0, (
+        "it is required", "it is necessary", "it is essential", "it is mandatory", "it is important", "it is expected",
+        "it is recommended", "it is advisable", "it is possible", "it is prohibited", "it is forbidden",
+    )),
+    "gov_focused": (2.0, ("we", "us", "our")),
+    "applicant": (3.0, ("applicant", "applicants")),
+    "negative_phrasing": (2.0, ("you must not", "you should not", "you shouldn't")),
+}
+STARS = ((10.0, 5), (20.0, 4), (35.0, 3), (55.0, 2))
+RATED_WORDS = 40
+LONG_SENTENCE, LONG_WEIGHT = 25, 3.0
 
 
 def words(text: Column) -> Column:
@@ -45,29 +67,31 @@ def reading_age(of_grade: Column) -> Column:
 
 
 def issue_counts(text: Column) -> dict[str, Column]:
-    """Occurrences of each class; whole words between non-letters, longer terms first, without case."""
+    """Occurrences of each class; whole words between other characters than letters, digits and _, longer terms first, without case."""
     low = F.lower(F.coalesce(text, F.lit("")))
     out = {}
     for name, (_, terms) in ISSUES.items():
         either = "|".join(sorted(terms, key=lambda t: (-len(t), t)))
-        out[name] = F.regexp_count(low, F.lit(f"(?<![a-z])(?:{either})(?![a-z])"))
+        out[name] = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{either})(?![\p{{L}}\p{{N}}_])"))
     out["long_sentences"] = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE, -1), lambda s: F.regexp_count(s, F.lit(WORD)) > LONG_SENTENCE))
     return out
 
 
 def impact(counts: dict[str, Column]) -> Column:
-    """Sum of weight * log2(1 + n) over the classes."""
+    """Sum of weight * log2(1 + n) over the classes, to two places."""
     weight = {name: w for name, (w, _) in ISSUES.items()} | {"long_sentences": LONG_WEIGHT}
     total = F.lit(0.0)
     for name, n in counts.items():
         total = total + weight[name] * F.log2(1 + n)
-    return total
+    return F.round(total, 2)
 
 
 def stars(of_impact: Column, n_words: Column) -> Column:
     """5 to 1 from the impact per 1,000 words; null under 40 words."""
-    rate = of_impact * 1000 / n_words
-    return F.when(n_words >= 40, F.when(rate < 5, 5).when(rate < 15, 4).when(rate < 30, 3).when(rate < 60, 2).otherwise(1))
+    rate, band = of_impact / (n_words / 1000.0), F.lit(1)
+    for edge, n in reversed(STARS):
+        band = F.when(rate <= edge, n).otherwise(band)
+    return F.when(n_words >= RATED_WORDS, band)
 
 
 def findings(counts: dict[str, Column]) -> tuple[Column, Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bands, readability
@@ -112,11 +114,15 @@ spoken AS (SELECT *, list_sum(list_transform(w, lambda x: greatest(1, len(regexp
 graded AS (SELECT *, CASE WHEN len(w) >= 10 THEN 0.39::DOUBLE * len(w) / greatest(1, len(s)) + 11.8::DOUBLE * syl / len(w) - 15.59 END AS grade FROM spoken)"""
 _TERMS = {k: "|".join(sorted(t, key=lambda x: (-len(x), x))) for k, (_, t) in readability.ISSUES.items()}
 _LOW = "lower(coalesce(search_text, ''))"
-# DuckDB's patterns have no look-behind: a guard is put before and behind every run of letters.
-_COUNTS = ",\n  ".join(f"len(regexp_extract_all(regexp_replace({_LOW}, '([a-z]+)', '<\\1>', 'g'), '<({'|'.join(t.replace(' ', '> <') for t in terms.split('|'))})>')) AS {k}" for k, terms in _TERMS.items())
-_ISSUE = f"""issues AS (SELECT doc_id, url, usable, len(regexp_extract_all(coalesce(search_text, ''), '[A-Za-z]+')) AS n_words, {_COUNTS},
-  len(list_filter(regexp_split_to_array(coalesce(search_text, ''), '[.!?]+'), lambda s: len(regexp_extract_all(s, '[A-Za-z]+')) > 25)) AS long_sentences FROM typed)"""
-_IMPACT = "1.0 * log2(1 + wordy) + 2.0 * log2(1 + jargon) + 1.5 * log2(1 + formal) + 2.5 * log2(1 + long_sentences)"
+# DuckDB's patterns have no look-behind: a guard is put before and behind every word.
+_guard = lambda term: re.sub(r"(\w+)", r"<\1>", term).replace("'", "''")
+_COUNTS = ",\n  ".join(f"len(regexp_extract_all(marked, '({'|'.join(map(_guard, terms.split('|')))})')) AS {k}" for k, terms in _TERMS.items())
+_WEIGHTS = {k: w for k, (w, _) in readability.ISSUES.items()} | {"long_sentences": readability.LONG_WEIGHT}
+_ISSUE = rf"""marks AS (SELECT *, regexp_replace(translate({_LOW}, '<>', '..'), '([\p{{L}}\p{{N}}_]+)', '<\1>', 'g') AS marked FROM typed),
+issues AS (SELECT doc_id, url, usable, len(regexp_extract_all(coalesce(search_text, ''), '[A-Za-z]+')) AS n_words, {_COUNTS},
+  len(list_filter(regexp_split_to_array(coalesce(search_text, ''), '[.!?]+'), lambda s: len(regexp_extract_all(s, '[A-Za-z]+')) > 25)) AS long_sentences FROM marks)"""
+_IMPACT = "round(" + " + ".join(f"{w}::DOUBLE * log2(1 + {k})" for k, w in _WEIGHTS.items()) + ", 2)"
+_STARS = "CASE WHEN n_words >= 40 THEN CASE " + " ".join(f"WHEN {_IMPACT} / (n_words / 1000.0::DOUBLE) <= {e} THEN {n}" for e, n in readability.STARS) + " ELSE 1 END END"
 _ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM short) WHERE n = 1)"
 
 ORACLE_SQL = {
@@ -150,7 +156,7 @@ ORACLE_SQL = {
     + " FROM b",
     "a_freshness_band": f"WITH {CONTENT} SELECT url, {_BAND} AS band FROM typed",
     "r_reading_age": f"WITH {CONTENT}, {_READ.format(src='typed')} SELECT doc_id, len(w) AS n_words, len(s) AS n_sentences, round(grade, 6) AS grade, round(greatest(5, grade + 5), 6) AS age FROM graded",
-    "r_checks": f"WITH {CONTENT}, {_ISSUE} SELECT doc_id, n_words, wordy, jargon, formal, long_sentences, round({_IMPACT}, 6) AS impact, CASE WHEN n_words >= 40 THEN CASE WHEN ({_IMPACT}) * 1000 / n_words < 5 THEN 5 WHEN ({_IMPACT}) * 1000 / n_words < 15 THEN 4 WHEN ({_IMPACT}) * 1000 / n_words < 30 THEN 3 WHEN ({_IMPACT}) * 1000 / n_words < 60 THEN 2 ELSE 1 END END AS stars FROM issues",
+    "r_checks": f"WITH {CONTENT}, {_ISSUE} SELECT doc_id, n_words, {', '.join(_WEIGHTS)}, round({_IMPACT}, 6) AS impact, {_STARS} AS stars FROM issues",
     "a_top_classes": f"WITH {CONTENT}, {_ISSUE}, first AS (SELECT * FROM issues WHERE usable ORDER BY url LIMIT 25000) "
-    + " UNION ALL ".join(f"SELECT '{k}' AS issue, CAST(sum({k}) AS BIGINT) AS n, round(sum({w} * log2(1 + {k})), 4) AS impact, (SELECT count(*) FROM issues WHERE usable) > 25000 AS sampled FROM first" for k, w in (("wordy", 1.0), ("jargon", 2.0), ("formal", 1.5), ("long_sentences", 2.5))),
+    + " UNION ALL ".join(f"SELECT '{k}' AS issue, CAST(sum({k}) AS BIGINT) AS n, round(sum({w} * log2(1 + {k})), 4) AS impact, (SELECT count(*) FROM issues WHERE usable) > 25000 AS sampled FROM first" for k, w in _WEIGHTS.items()),
 }

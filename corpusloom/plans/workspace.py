@@ -13,7 +13,7 @@ from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
 from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, organisations, table, votes
 from corpusloom.plans.roles import gold as gold_labels
-from corpusloom.plans.selection import _BASE, WORDS
+from corpusloom.plans.selection import _BASE, _WEIGHTS, WORDS
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import QUERIES as _SELECTION
 from corpusloom.plans.selection import _short as chosen
@@ -265,7 +265,7 @@ _PH2 = "ph2 AS (SELECT i.url, i.keep, e.keep AS again, e.url IS NOT NULL AS seen
 _END = "CASE WHEN keep = 1 THEN CASE WHEN seen THEN again ELSE 1 END ELSE keep END"
 _TWO = f"WITH {ev._A}, {ev._B}, {ev._SECOND}, {_PH}"
 _PAY = "pay AS (SELECT doc_id, doc_id % 13 <> 0 AS good, 'https://www.example.org/d/' || doc_id AS url FROM documents)"
-_FIND = "list_sort(list_filter([{'m': -wordy, 'k': 'wordy'}, {'m': -jargon, 'k': 'jargon'}, {'m': -formal, 'k': 'formal'}, {'m': -long_sentences, 'k': 'long_sentences'}], lambda x: x.m < 0))"
+_FIND = "list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'k': '{k}'}}" for k in _WEIGHTS) + "], lambda x: x.m < 0))"
 _REASON = "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'r' || doc_id ELSE '[' || ['fees', 'old news'][doc_id % 3] || '] r' || doc_id END"
 
 ORACLE_SQL = {
@@ -284,7 +284,7 @@ ORACLE_SQL = {
     "a_search_pages_per_run": f"WITH {_HITS}, {ev._REP} SELECT run_id, count(*) AS n FROM rep WHERE url IN (SELECT url FROM cmp WHERE source = 'search') GROUP BY run_id",
     "a_additions_review": f"WITH {_HITS}, o AS (SELECT url, string_agg(DISTINCT organisation_slug, ',' ORDER BY organisation_slug) AS organisations FROM po GROUP BY url), h2 AS (SELECT url FROM typed WHERE doc_id % 5 <> 1) SELECT url, organisations, url IN (FROM h2) AS in_corpus, url IN (FROM h2) AND coalesce(es_score >= 0.3, true) AS forwarded FROM cmp LEFT JOIN o USING (url) WHERE source = 'search'",
     "a_feedback_list": "SELECT event_id AS id, CASE WHEN event_id % 9 - 1 BETWEEN 1 AND 5 THEN event_id % 9 - 1 END AS stars FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
-    "r_findings": f"SELECT doc_id, array_to_string(list_transform({_FIND}, lambda x: x.k || ': ' || (-x.m)), '; ') AS findings, CAST(wordy + jargon + formal + long_sentences AS INTEGER) AS total FROM ({_SEL['r_checks']})",
+    "r_findings": f"SELECT doc_id, array_to_string(list_transform({_FIND}, lambda x: x.k || ': ' || (-x.m)), '; ') AS findings, CAST({' + '.join(_WEIGHTS)} AS INTEGER) AS total FROM ({_SEL['r_checks']})",
     "r_rederive": f"SELECT doc_id, impact, stars FROM ({_SEL['r_checks']})",
     "r_backfill": f"SELECT CASE WHEN doc_id % 3 = 0 THEN 3 ELSE stars END AS stars, count(*) AS n FROM ({_SEL['r_checks']}) GROUP BY 1",
     "e_score_pages": f"WITH {CONTENT}, f AS (SELECT url, contains(kwt, 'thand')::INT + contains(kwt, 'stupid')::INT + contains(kwt, 'elle')::INT AS n FROM typed) SELECT url, (n > 0)::INT AS keep, round(n / 3, 9) AS score FROM f",
