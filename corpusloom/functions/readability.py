@@ -63,7 +63,8 @@ def grade(text: Column) -> Column:
 
 
 def reading_age(of_grade: Column) -> Column:
-    return F.greatest(F.lit(5.0), of_grade + 5)
+    """Grade + 5, at least 5, to one place; null without a grade."""
+    return F.when(of_grade.isNotNull(), F.round(F.greatest(F.lit(5.0), of_grade + 5), 1))
 
 
 def issue_counts(text: Column) -> dict[str, Column]:

@@ -129,6 +129,7 @@ QUERIES = {
     "n_phase1": lambda s, d: runs.phase_compare(a_(s, d).where("doc_id % 9 <> 0"), b_(s, d).where("doc_id % 8 <> 0")),
     "n_overall": lambda s, d: _rounded(runs.overall_compare(a_(s, d), b_(s, d)), "agreement", "mean_delta"),
     "n_discriminability": lambda s, d: runs.histogram(a_(s, d)),
+    "g_weight": lambda s, d: table(s, d, "customer").select("c_custkey", F.round(gold.weight(F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") % 7 / 5)), 9).alias("weight")),
     "g_forwarded": lambda s, d: gold.forwarded(filters.membership(short(s, d)), compared(s, d), 0.3),
     "g_stratified_order": lambda s, d: gold.stratified_order(gold_labels(s, d), ["label"], "s1").select("url", "position"),
     "g_sample": lambda s, d: gold.sample(gold_labels(s, d), "label", 40, "s1").select("url", "label", "rn", F.round("fraction", 9).alias("fraction"), F.round(gold.weight(F.col("fraction")), 9).alias("weight")),
@@ -207,6 +208,7 @@ ORACLE_SQL = {
     "n_phase1": f"WITH {_A}, {_B}, p AS (SELECT a.url AS au, b.url AS bu, a.keep AS x, b.keep AS y FROM (SELECT * FROM va WHERE doc_id % 9 <> 0) a FULL JOIN (SELECT * FROM vb WHERE doc_id % 8 <> 0) b ON a.url = b.url) SELECT count(*) FILTER (au IS NOT NULL AND bu IS NOT NULL) AS shared, count(*) FILTER (bu IS NULL) AS only_base, count(*) FILTER (au IS NULL) AS only_other, count(*) FILTER (x = 1 AND y = 0) AS accepted_rejected, count(*) FILTER (x = 0 AND y = 1) AS rejected_accepted, count(*) FILTER (au IS NOT NULL AND bu IS NOT NULL AND x IS DISTINCT FROM y AND (x IS NULL OR y IS NULL)) AS with_unscored FROM p",
     "n_overall": f"WITH {_A}, {_B}, {_AB} SELECT round(count(*) FILTER (ak IS NOT DISTINCT FROM bk) * 100.0::DOUBLE / count(*), 9) AS agreement, round(avg(abs(sa - sb)), 9) AS mean_delta FROM ab",
     "n_discriminability": f"WITH {_A} SELECT {_BUCKET} AS bucket, {_CONF} AS confidence, count(*) AS n, count(*) FILTER (keep = 1) AS kept FROM va GROUP BY 1, 2",
+    "g_weight": "SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 7 BETWEEN 1 AND 5 THEN round(5::DOUBLE / (c_custkey % 7), 9) ELSE 1.0::DOUBLE END AS weight FROM customer",
     "g_forwarded": f"WITH {_HITS}, {_SHORT} SELECT coalesce(m.url, c.url) AS url, CASE WHEN source = 'search' AND coalesce(es_score < 0.3, false) THEN 'search_below_floor' ELSE coalesce(source, 'shortlister') END AS tag FROM mem m FULL JOIN cmp c ON c.url = m.url",
     "g_stratified_order": f"WITH {GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('s1:' || url)) AS rn, count(*) OVER (PARTITION BY label) AS size FROM gold) SELECT url, row_number() OVER (ORDER BY rn, size, label) AS position FROM r",
     "g_sample": f"WITH {GOLD}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha1('s1:' || url)) AS rn, count(*) OVER (PARTITION BY label) AS size FROM gold), t AS (SELECT *, CASE WHEN size <= 25 THEN size ELSE least(40, size) END AS goal FROM r) SELECT url, label, rn, round(goal / size, 9) AS fraction, round(size / goal, 9) AS weight FROM t WHERE rn <= goal",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import filters, reports
 from corpusloom.plans import corpus
-from corpusloom.plans.evaluation import repeats
+from corpusloom.plans.evaluation import _SHORT, repeats, short
 from corpusloom.plans.evaluation import ORACLE_SQL as _EVAL
-from corpusloom.plans.roles import CONTENT, ORGS, content, gold, organisations, table
+from corpusloom.plans.roles import CONTENT, GOLD, ORGS, content, gold, organisations, table
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import ORG, TYPE, WORDS
 from corpusloom.sources import readers, writers
@@ -87,7 +87,28 @@ def t_payload_ingest(s, d):
     return s.read.parquet(f"{path}/pages/v1")
 
 
-QUERIES = {f.__name__: f for f in (snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)}
+def src_label_sheet(s, d):
+    """A sheet with a byte order mark before its first name."""
+    path = _path(s)
+    writers.write_label_sheet(gold(s, d).withColumnRenamed("url", "\ufeffurl"), path, ["\ufeffurl", "label"])
+    return readers.read_label_sheet(s, path).select("url", "label")
+
+
+def src_payload_json(s, d):
+    path = _path(s)
+    corpus.payloads(s, d).write.parquet(path)
+    return readers.with_validity(s.read.parquet(path)).select("doc_id", F.get_json_object("payload", "$.content_id").alias("content_id"), "valid")
+
+
+def snk_bundle(s, d):
+    """Pages and labels that one selection refers to, written as a unit; its pages read again."""
+    path, pages, labels = _path(s), content(s, d), gold(s, d)
+    used = filters.membership(short(s, d)).select("url").union(labels.select("url")).distinct()
+    writers.write_bundle({"pages": pages.join(used, "url", "left_semi"), "labels": labels}, path)
+    return s.read.parquet(f"{path}/pages").select("url", "document_type")
+
+
+QUERIES = {f.__name__: f for f in (src_label_sheet, src_payload_json, snk_bundle, snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)}
 
 ORACLE_SQL = {
     "snk_export_fields": f"WITH {CONTENT} SELECT url, document_type, lang FROM typed WHERE usable",
@@ -100,4 +121,7 @@ ORACLE_SQL = {
     "src_org_registry": """WITH e AS (SELECT c_custkey AS p, c_custkey + unnest([1, 2]) AS c FROM customer WHERE c_custkey % 5 = 0 UNION SELECT c_custkey - 1, c_custkey FROM customer WHERE c_custkey % 5 < 3)
 SELECT 'c-' || c_custkey AS slug, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'C' || c_custkey END AS acronym, (SELECT count(*) FROM e WHERE p = c_custkey) AS children FROM customer""",
     "t_payload_ingest": corpus.ORACLE_SQL["d_upsert_provenance"].replace("n.seq % 2 = 0 THEN 'feed'", "n.url IS NOT NULL THEN 'stream'").replace("'t2'", "'0'"),
+    "src_label_sheet": f"WITH {GOLD} SELECT url, label FROM gold",
+    "src_payload_json": "SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'c' || doc_id END AS content_id, doc_id % 13 <> 0 AS valid FROM documents",
+    "snk_bundle": f"WITH {CONTENT}, {_SHORT}, {GOLD} SELECT url, document_type FROM typed WHERE url IN (SELECT url FROM mem) OR url IN (SELECT url FROM gold)",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import bands, readability
 from corpusloom.operators import filters, reports
-from corpusloom.plans.roles import ASOF, CONTENT, ORGS, content, organisations
+from corpusloom.plans.roles import table, ASOF, CONTENT, ORGS, content, organisations
 
 ORG, TYPE, WORDS = ["en", "even"], ["guidance", "policy_paper"], ["thand", "stupid", "elle"]
 ALL = ["the ", "reth"]
@@ -67,6 +67,16 @@ def r_checks(s, d):
     return rows.select("*", F.round(impact, 6).alias("impact"), readability.stars(impact, F.col("n_words")).alias("stars"))
 
 
+def a_reading_band(s, d):
+    age = readability.reading_age(readability.grade(F.col("search_text")))
+    return content(s, d).select("doc_id", bands.reading_band(age).alias("band"))
+
+
+def r_syllables(s, d):
+    words = table(s, d, "documents").select(F.explode(readability.words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", readability.syllables(F.col("word")).alias("n"))
+
+
 def a_top_classes(s, d):
     counts = readability.issue_counts(F.col("search_text"))
     scanned = _usable(s, d).select("url", F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), c)]).alias("counts"))
@@ -103,6 +113,9 @@ QUERIES = {
     "a_freshness_band": lambda s, d: content(s, d).select("url", bands.freshness_band(F.col("public_updated_at"), ASOF).alias("band")),
     "r_reading_age": r_reading_age,
     "r_checks": r_checks,
+    "r_impact_stars": lambda s, d: r_checks(s, d).select("doc_id", "impact", "stars"),
+    "r_syllables": r_syllables,
+    "a_reading_band": a_reading_band,
     "a_top_classes": a_top_classes,
 }
 
@@ -147,7 +160,7 @@ ORACLE_SQL = {
     "a_keyword_breakdown": f"{_BASE} SELECT k AS keyword, count(DISTINCT CASE WHEN contains(kwt, k) THEN key END) AS n FROM unnest(['thand', 'stupid', 'elle', 'never there']) t(k), short GROUP BY k",
     "a_keyword_overlap": f"{_BASE}, m AS (SELECT key, bool_or(contains(kwt, 'thand'))::INT + 2 * bool_or(contains(kwt, 'stupid'))::INT + 4 * bool_or(contains(kwt, 'elle'))::INT AS mask FROM short GROUP BY key) SELECT CAST(mask AS BIGINT) AS mask, count(*) AS n FROM m WHERE mask > 0 GROUP BY mask",
     "a_category_summary": f"""{_BASE}, {_ONE}, {_READ.format(src="one")}, cells AS (SELECT unnest([{{'dimension': 'type', 'value': eff}}, {{'dimension': 'band', 'value': {_BAND}}}, {{'dimension': 'lang', 'value': lang}},
-      {{'dimension': 'reading', 'value': CASE WHEN grade IS NULL THEN 'Unknown' WHEN greatest(5, grade + 5) < 9 THEN 'Under 9' WHEN greatest(5, grade + 5) < 11 THEN '9-10' WHEN greatest(5, grade + 5) < 14 THEN '11-13' WHEN greatest(5, grade + 5) < 18 THEN '14-17' ELSE '18+' END}}]) AS c FROM graded)
+      {{'dimension': 'reading', 'value': CASE WHEN grade IS NULL THEN 'Unknown' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 9 THEN 'Under 9' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 11 THEN '9-10' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 14 THEN '11-13' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 18 THEN '14-17' ELSE '18+' END}}]) AS c FROM graded)
       SELECT c.dimension AS dimension, c.value AS value, count(*) AS n FROM cells GROUP BY 1, 2""",
     "a_audit_outcomes": f"WITH {CONTENT}, {ORGS} SELECT url, CASE WHEN NOT {_TYPE} THEN 'dropped: document type' WHEN NOT {_WORDS} THEN 'dropped: keyword' ELSE 'included' END AS outcome FROM typed WHERE NOT is_redirect AND content_hash IS NOT NULL AND {_ORG}",
     "a_audit_counts": f"WITH {CONTENT}, {ORGS} SELECT CASE WHEN NOT {_TYPE} THEN 'dropped: document type' WHEN NOT {_WORDS} THEN 'dropped: keyword' ELSE 'included' END AS outcome, count(*) AS n FROM typed WHERE NOT is_redirect AND content_hash IS NOT NULL AND {_ORG} GROUP BY 1",
@@ -155,8 +168,13 @@ ORACLE_SQL = {
     + ", ".join(f"CAST(count(*) FILTER (band = '{label}') AS BIGINT) AS {name}" for label, name in {"< 1 month": "lt_1m", "1-3 months": "m1_3", "3-12 months": "m3_12", "1-2 years": "y1_2", "> 2 years": "gt_2y", "Unknown": "unknown"}.items())
     + " FROM b",
     "a_freshness_band": f"WITH {CONTENT} SELECT url, {_BAND} AS band FROM typed",
-    "r_reading_age": f"WITH {CONTENT}, {_READ.format(src='typed')} SELECT doc_id, len(w) AS n_words, len(s) AS n_sentences, round(grade, 6) AS grade, round(greatest(5, grade + 5), 6) AS age FROM graded",
+    "r_reading_age": f"WITH {CONTENT}, {_READ.format(src='typed')} SELECT doc_id, len(w) AS n_words, len(s) AS n_sentences, round(grade, 6) AS grade, round(CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END, 6) AS age FROM graded",
     "r_checks": f"WITH {CONTENT}, {_ISSUE} SELECT doc_id, n_words, {', '.join(_WEIGHTS)}, round({_IMPACT}, 6) AS impact, {_STARS} AS stars FROM issues",
     "a_top_classes": f"WITH {CONTENT}, {_ISSUE}, first AS (SELECT * FROM issues WHERE usable ORDER BY url LIMIT 25000) "
     + " UNION ALL ".join(f"SELECT '{k}' AS issue, CAST(sum({k}) AS BIGINT) AS n, round(sum({w} * log2(1 + {k})), 4) AS impact, (SELECT count(*) FROM issues WHERE usable) > 25000 AS sampled FROM first" for k, w in _WEIGHTS.items()),
 }
+ORACLE_SQL |= {
+    "r_impact_stars": f"SELECT doc_id, impact, stars FROM ({ORACLE_SQL['r_checks']})",
+    "r_syllables": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) SELECT word, CAST(greatest(1, len(regexp_extract_all(lower(word), '[aeiouy]+')) - CASE WHEN lower(word) LIKE '%e' AND len(regexp_extract_all(lower(word), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) AS INTEGER) AS n FROM w",
+    "a_reading_band": f"SELECT doc_id, CASE WHEN age IS NULL OR grade IS NULL THEN 'Unknown' WHEN age < 9 THEN 'Under 9' WHEN age < 11 THEN '9-10' WHEN age < 14 THEN '11-13' WHEN age < 18 THEN '14-17' ELSE '18+' END AS band FROM ({ORACLE_SQL['r_reading_age']})",
+}

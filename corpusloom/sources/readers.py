@@ -37,3 +37,8 @@ def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
 def new_rows(source: DataFrame, target: DataFrame, key: str = "url") -> DataFrame:
     """Insert or ignore: rows of ``source`` whose key ``target`` lacks, the first of each key."""
     return source.dropDuplicates([key]).join(target.select(key), key, "left_anti")
+
+
+def with_validity(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Raw payloads, kept as they are, with ``valid``: whether the text is JSON; null and empty ones are not."""
+    return payloads.withColumn("valid", F.try_parse_json(column).isNotNull())
