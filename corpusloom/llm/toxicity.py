@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,27 +15,40 @@ from corpusloom.llm.common import WORD, WordHashes
 from corpusloom.llm.samples import TRAIN_ROWS, labelled_sample
 
 #: The chain's categories in order with the words that mark a training text as one; the last link is the labelled one.
+#: No mark may be a common word of another language, as "die" is of German.
 SEEDS = {
     "insult": ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "dumb", "fool"),
     "degradation": ("trash", "scum", "worthless", "vermin", "filth", "pathetic", "disgusting"),
-    "threat": ("kill", "hurt", "destroy", "die", "attack", "shoot"),
+    "threat": (
+        *("kill", "hurt", "destroy", "attack", "shoot", "murder"),
+        *("töten", "umbringen", "erschießen", "ermorden", "verprügeln"),
+        *("tuer", "tuerai", "égorger", "assassiner", "massacrer"),
+        *("matar", "mataré", "matarte", "asesinar", "degollar"),
+    ),
 }
 LABEL = "toxic"
-BUCKETS = 1 << 18
 FOLDS, STEPS, SEED = 3, 80, 3
 #: L1 penalty that chooses words, and the one under which the chosen ones are then fitted.
 CHOOSE, REFIT = 4e-3, 1e-4
-#: A hashed word counts if so many training texts have it.
+#: A hashed word counts if so many training texts have it; seed words that fewer have as their only mark are put into further ones.
 LEAST_TEXTS = 8
+#: Letters of a word's start, and how many distinct longer words with one start make a feature.
+START, ALIKE = 5, (2, 4)
 CUT = 0.5
 
 _HASHES = WordHashes()
 
 
 def features(text: str | None) -> np.ndarray:
-    """Sorted distinct buckets of the words of the whole text. Null counts as empty."""
+    """Sorted distinct buckets of the words of the whole text, and of starts that several of its words share. Null counts as empty."""
     found = set(WORD.findall((text or "").lower()))
-    return np.unique(np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    starts = Counter([w[:START] for w in found if len(w) > START])
+    return _buckets([*found, *(f"{s} {k}" for s, n in starts.items() if n > 1 for k in ALIKE if n >= k)])
+
+
+def _buckets(keys: list[str]) -> np.ndarray:
+    """Hashes of 63 bits, so that no seed word shares its bucket with another word."""
+    return np.unique((np.fromiter(map(_HASHES.__getitem__, keys), np.uint64, len(keys)) >> np.uint64(1)).astype(np.int64))
 
 
 def seeds(text: str | None) -> list[int]:
@@ -84,10 +98,10 @@ class _Rows:
         return np.concatenate([np.bincount(self.column, g[self.row], self.width), self.dense.T @ g])
 
 
-def _logistic(rows: _Rows, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights by the L1 penalty in two steps: choose columns, then fit those without its shrinkage."""
+def _logistic(rows: _Rows, y: np.ndarray, always: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by the L1 penalty in two steps: choose columns besides those of ``always``, then fit them without its shrinkage."""
     w, _ = _penalised(rows, y, CHOOSE)
-    some = np.flatnonzero(w)
+    some = np.union1d(np.flatnonzero(w), always)
     words_of, dense_of = some[some < rows.width], some[some >= rows.width] - rows.width
     renumber = np.full(rows.width, -1)
     renumber[words_of] = np.arange(len(words_of))
@@ -123,16 +137,20 @@ def _penalised(rows: _Rows, y: np.ndarray, penalty: float) -> tuple[np.ndarray,
     return w, float(b)
 
 
-def train(rows: list[tuple[list[int], list[int]]], names: list[str]) -> Chain:
+def train(rows: list[tuple[list[int], list[int]]], names: list[str], marks: dict[str, np.ndarray] | None = None) -> Chain:
     """Fit the chain on (buckets, category flags in order).
 
     Later links are trained on the earlier ones' out-of-fold probabilities: each text's come from
     models that did not see it, as they will for new texts. The links that are kept are fitted on
     all rows. Without rows every probability is a half.
+
+    ``marks`` has the buckets of categories' seed words. A seed word always has a weight: one that
+    fewer than ``LEAST_TEXTS`` texts hold as the only one of its category is put into further texts
+    without the category, for its own link only, and these count as cases of it.
     """
-    n = len(rows)
-    common = np.bincount(np.concatenate([np.array(r[0], np.int64) for r in rows]) if n else np.empty(0, np.int64), minlength=1)
-    buckets = np.flatnonzero(common >= LEAST_TEXTS)
+    n, marks = len(rows), marks or {}
+    found, texts = np.unique(np.concatenate([np.array(r[0], np.int64) for r in rows]) if n else np.empty(0, np.int64), return_counts=True)
+    buckets = np.unique(np.concatenate([found[texts >= LEAST_TEXTS], *(marks.values() if n else ())]))
     cells = []
     for at, _ in rows:
         where = np.searchsorted(buckets, at)
@@ -140,19 +158,26 @@ def train(rows: list[tuple[list[int], list[int]]], names: list[str]) -> Chain:
         where, at = where[inside], np.array(at, np.int64)[inside]
         cells.append(where[buckets[where] == at])
     flags = np.array([r[1] for r in rows], float).reshape(n, len(names))
-    fold = np.random.default_rng(SEED).permutation(n) % FOLDS
+    draw = np.random.default_rng(SEED)
+    fold = draw.permutation(n) % FOLDS
     seen = np.zeros((n, 0))
     links = []
-    for k in range(len(names)):
-        y, unseen = flags[:, k], np.full(n, 0.5)
+    for k, name in enumerate(names):
+        always = np.searchsorted(buckets, marks[name]) if n and name in marks else np.empty(0, np.int64)
+        free = np.flatnonzero(flags[:, k] == 0)
+        alone = Counter(int(own[0]) for at in cells if len(own := np.intersect1d(at, always)) == 1)
+        put = [(i, c) for c in always.tolist() for i in draw.choice(free, min(len(free), max(0, LEAST_TEXTS - alone[c])), replace=False)]
+        source = np.concatenate([np.arange(n), np.array([i for i, _ in put], np.int64)])
+        held = cells + [np.union1d(cells[i], [c]) for i, c in put]
+        y, unseen = np.concatenate([flags[:, k], np.ones(len(put))]), np.full(n, 0.5)
         for f in range(FOLDS):
-            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold[source] != f)
             if not len(own):
                 continue
-            w, b = _logistic(_Rows([cells[i] for i in rest], len(buckets), seen[rest]), y[rest])
+            w, b = _logistic(_Rows([held[i] for i in rest], len(buckets), seen[source[rest]]), y[rest], always)
             margin = _Rows([cells[i] for i in own], len(buckets), seen[own]).times(w) + b
             unseen[own] = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        w, b = _logistic(_Rows(cells, len(buckets), seen), y)
+        w, b = _logistic(_Rows(held, len(buckets), seen[source]), y, always)
         some = np.flatnonzero(w[: len(buckets)])
         links.append(Link(buckets[some], w[some], w[len(buckets) :], b))
         seen = np.column_stack([seen, unseen])
@@ -173,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = sample.mapInArrow(extract, f"id {key}, at array<bigint>, flags array<bigint>").collect()
     rows = sorted((r.id, tuple(r.flags), tuple(r.at)) for r in got)
-    return train([(list(at), list(flags)) for _, flags, at in rows], [*SEEDS, LABEL])
+    return train([(list(at), list(flags)) for _, flags, at in rows], [*SEEDS, LABEL], {name: _buckets(list(words)) for name, words in SEEDS.items()})
 
 
 def score_documents(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

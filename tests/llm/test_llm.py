@@ -117,6 +117,28 @@ def test_toxicity(spark, documents):
     assert toxicity.score_documents(docs_of(spark, ["you idiot"]), toxicity.train([], ["a", "b"])).first().p_a == 0.5
 
 
+def test_toxicity_categories(spark):
+    """Recall and precision of each category on documents that the chain did not see; no given document holds a threat, so they are put in."""
+    sf = DATA.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = toxicity.fit(docs, labels.where("doc_id % 4 <> 0"))
+    rows = docs.join(labels.where("doc_id % 4 = 0"), "doc_id").where("text IS NOT NULL").orderBy("doc_id").select("text", "lang", "toxic").collect()
+    rest = [(r.text, r.lang, [*toxicity.seeds(r.text), r.toxic]) for r in rows]
+    threats = [(f"{rest[k][0]} {word}", rest[k][1], [*rest[k][2][:2], 1, rest[k][2][3]]) for k, word in enumerate(2 * toxicity.SEEDS["threat"])]
+    cases = [(lang, flags, [int(p >= toxicity.CUT) for p in chain.predict(toxicity.features(text))]) for text, lang, flags in rest + threats]
+
+    def rates(k, langs):
+        some = [(flags[k], found[k]) for lang, flags, found in cases if lang in langs]
+        met = sum(a and b for a, b in some)
+        return met / sum(a for a, _ in some), met / max(1, sum(b for _, b in some))
+
+    figures = {(name, side): rates(k, langs) for k, name in enumerate(chain.names) for side, langs in (("en", {"en"}), ("other", {"de", "fr", "es"})) if name in ("threat", "toxic") or side == "en"}
+    print(figures)
+    assert all(recall >= 0.9 and precision >= 0.95 for recall, precision in figures.values()), figures
+    assert all(chain.predict(toxicity.features(f"we {w} you"))[k] >= toxicity.CUT for k, words in enumerate(toxicity.SEEDS.values()) for w in words)
+    assert chain.predict(toxicity.features("die Katze und die Maus sind hier in der Stadt"))[2] < toxicity.CUT
+
+
 # 3
 def test_urls(spark):
     rows = [("https://WWW.Example.com/en/1", "allow"), ("http://a.example.com/en/1?x", "block"), ("http://b.net/es/2", "block"), ("http://b.net/en/2", "allow"), ("http://x.org/1", "block"), ("http://y.org/1", "allow"), ("http://z.org/", "allow"), (None, "allow"), ("no url", "allow"), ("http://x.com", "allow"), ("http://x.com", "allow")]
