@@ -57,17 +57,44 @@ def canonical_form(url: Column) -> Column:
     return F.when(host != "", F.concat(F.lit("https://"), host, path))
 
 
+def resolved(target: Column, base: Column) -> Column:
+    """The target as an absolute address, read against ``base`` by RFC 3986; null without a host."""
+    root = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    full = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(F.substring_index(root, "//", 1), target))
+        .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), F.concat(F.substring_index(base, "#", 1), target))
+        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
+    )
+    parts = r"^([^/?#]*://[^/?#]+)([^?#]*)(.*)$"
+    steps = F.split(F.regexp_replace(F.regexp_extract(full, parts, 2), r"/(\.\.?)$", "/$1/"), "/")
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+    walk = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    return F.when(full.rlike(parts), F.concat(F.regexp_extract(full, parts, 1), F.array_join(walk, "/"), F.regexp_extract(full, parts, 3)))
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Edges ``src, dst`` from pages: canonical form, ``<link rel=canonical>`` and ``<meta refresh>``.
 
-    A page without such tags, or with a null body, gives its canonical form only; a null url none.
+    Targets are read against the page's url, or its ``<base href>``, and are tied to their own
+    canonical forms; those without a host are left out. A page without such tags, or with a null
+    body, gives its canonical form only; a null url gives no edge from it.
     """
     url, html = F.col(url_col), F.col(html_col)
     near = lambda word, tag, value: F.when(F.instr(F.lower(html), word) > 0, F.regexp_extract(F.regexp_extract(html, tag, 0), value, 1))
     link = near("canonical", r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
     meta = near("refresh", r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)")
-    ends = F.array_compact(F.array(canonical_form(url), F.nullif(link, F.lit("")), F.nullif(meta, F.lit(""))))
-    return pages.select(url.alias("src"), F.explode(ends).alias("dst")).where("src <> dst")
+    base = near("<base", r"(?i)<base\b[^>]*\bhref\b[^>]*>", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    found = pages.select(url.alias("src"), F.nullif(base, F.lit("")).alias("base"), F.array_compact(F.array(F.nullif(link, F.lit("")), F.nullif(meta, F.lit("")))).alias("written"))
+    own = F.coalesce(F.when(F.col("base").isNotNull(), resolved(F.col("base"), F.col("src"))), F.col("src"))
+    ends = found.select("src", F.array_compact(F.transform("written", lambda t: resolved(t, own))).alias("ends"))
+    edge = lambda a, b: F.struct(a.alias("src"), b.alias("dst"))
+    edges = F.concat(F.array(edge(F.col("src"), canonical_form(F.col("src")))), F.transform("ends", lambda t: edge(F.col("src"), t)), F.transform("ends", lambda t: edge(t, canonical_form(t))))
+    return ends.select(F.explode(edges).alias("e")).select("e.src", "e.dst").where("src <> dst")
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -152,6 +152,24 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), edges.limit(0)).count() == 0
 
 
+def test_url_targets(spark):
+    cases = [("/b?u=http://x.org/", "http://h.net/b?u=http://x.org/"), ("c", "http://h.net/fr/c"), ("../c/./d/..", "http://h.net/c/"), ("?q", "http://h.net/fr/a?q"), ("#f", "http://h.net/fr/a?p#f"), ("//o.org", "http://o.org"), ("HTTPS://O.org/x", "HTTPS://O.org/x"), ("mailto:a@b.org", None), ("http:///x", None), ("../../..", "http://h.net/")]
+    got = spark.createDataFrame([(k, t, "http://h.net/fr/a?p#g") for k, (t, _) in enumerate(cases)], "k long, t string, base string").select("k", url_filter.resolved(F.col("t"), F.col("base")).alias("r"))
+    assert [r.r for r in got.orderBy("k").collect()] == [want for _, want in cases]
+    assert [r.r for r in spark.createDataFrame([("c", "http://h.net"), ("/c", "no url")], "t string, base string").select(url_filter.resolved(F.col("t"), F.col("base")).alias("r")).collect()] == ["http://h.net/c", None]
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    rows = [
+        ("http://a.net/fr/1", link("/"), "block"), ("http://a.org/1", link("/"), "allow"), ("http://a.org/", None, "allow"), ("http://a.net/", None, "block"),  # one relative target, two sites
+        ("http://k.net/es/2", link("https://www.b.org/x/"), "block"), ("https://b.org/x", None, "block"), ("http://m.b.org/x.html", None, "block"),  # a target's www. and http variants
+        ("http://c.net/es/3", '<meta http-equiv=refresh content="0; url=../y">', "block"), ("https://www.c.net/y?q", None, "block"),
+        ("http://d.net/es/4", '<base href="//e.org/p/">' + link("z"), "block"), ("https://e.org/p/z", None, "block"), ("https://d.net/es", None, "allow"),
+        ("http://f.net/es/5", link("mailto:x@y.org"), "block"), ("http://f.org/6", link("mailto:x@y.org"), "allow"), (None, link("/"), "allow"),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.page_edges(pages)).collect()}
+    assert [got[k] for k in range(len(rows))] == [v for _, _, v in rows]
+
+
 # 4
 def test_language(spark):
     docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
