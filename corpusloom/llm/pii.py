@@ -21,13 +21,14 @@ TRAIN_ROWS, EPOCHS, RATE, RIDGE = 256, 4, 0.3, 1e-3
 CAUTION = 2.0
 
 _EMAIL_END = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_EMAIL_MORE = re.compile(r"[._-]*[A-Za-z0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A run of digits that does not lead to a match does not from its later digits either.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\S")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _SPACE = re.compile(r"\s")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -74,7 +75,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Island:
-    """A stretch of blank-separated chunks with digits or @ signs, in tokens; the field reads these."""
+    """A stretch of blank-separated chunks with digits, @ signs, (at) or [at], in tokens; the field reads these."""
 
     text: str
     start: int
@@ -83,7 +84,7 @@ class Island:
 
 
 def islands(text: str) -> Iterator[Island]:
-    """Maximal runs of chunks that hold a digit or @, each parted by one blank; all else can't be an entity."""
+    """Maximal runs of chunks that hold a digit, @, (at) or [at], each parted by one blank; all else can't be an entity."""
     pos = 0
     while m := _TRIGGER.search(text, pos):
         start = m.start()
@@ -123,6 +124,8 @@ def allowed(span: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: Marks around a rewritten email in training.
+AROUND = (("", ""), ("", ","), ("", "."), ("(", ")"))
 _SHAPE = (re.compile(r"[A-Za-z]+"), re.compile(r"[0-9]+"))
 
 
@@ -136,7 +139,9 @@ def segment_features(island: Island, start: int, end: int) -> list[str]:
     right = text[end] if end < len(text) else " "
     kind = lambda c: "s" if c.isspace() else "a" if c.isalpha() else "9" if c.isdigit() else c
     marks = "".join(sorted(set(_SHAPE[1].sub("", _SHAPE[0].sub("", span)))))
-    return ["1", f"c{coarse}" if len(coarse) < 40 else "c-", f"f{fine}" if len(fine) < 40 else "f-", f"l{kind(left)}", f"r{kind(right)}", f"m{marks}", f"n{len(_DIGITS.findall(span))}", f"s{span[0] if not span[0].isalnum() else 'x'}", f"w{island.before if start == island.start else '-'}"]
+    # Whether an email with a written-out @ goes on before or after the segment.
+    whole = ["e%d" % (left not in _LOCAL and not _EMAIL_MORE.match(text, end))] if "(at)" in span or "[at]" in span else []
+    return [*whole, "1", f"c{coarse}" if len(coarse) < 40 else "c-", f"f{fine}" if len(fine) < 40 else "f-", f"l{kind(left)}", f"r{kind(right)}", f"m{marks}", f"n{len(_DIGITS.findall(span))}", f"s{span[0] if not span[0].isalnum() else 'x'}", f"w{island.before if start == island.start else '-'}"]
 
 
 @dataclass
@@ -246,12 +251,14 @@ def examples_of(text: str) -> Iterator[tuple[Island, list[tuple[str, int, int]]]
         own = [s for s in spans if s[1] >= island.start and s[2] <= end]
         yield island, own
         for kind, s, e in own[:2]:
+            low, high = max(0, island.start - 24), min(len(text), end + 1)
             for other in variants(kind, text[s:e]):
-                low, high = max(0, island.start - 24), min(len(text), end + 1)
-                changed = text[low:s] + other + text[e:high]
-                for again in islands(changed):
-                    if again.start <= s - low < again.tokens[-1][1]:
-                        yield again, [(kind, s - low, s - low + len(other))]
+                for left, right in AROUND if kind == "email" else AROUND[:1]:
+                    changed = text[low:s] + left + other + right + text[e:high]
+                    at = s - low + len(left)
+                    for again in islands(changed):
+                        if again.start <= at < again.tokens[-1][1]:
+                            yield again, [(kind, at, at + len(other))]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Field:

@@ -104,6 +104,15 @@ def test_pii_field(spark, documents, texts):
     assert all(set(b) <= set(e) for b, e in zip(base, every, strict=True))
 
 
+def test_pii_obfuscated_email(spark, documents):
+    field = pii.fit(documents)
+    texts = ["write john.doe(at)example.com now", "jane[at]mail.example.org", "look (at) this. And [at] that.", "john.doe(at)example.com, 10 and a@b.org", "to jd(at)example.com.", "(jd[at]example.com) ok"]
+    assert [len(list(pii.islands(t))) for t in texts[:2]] == [1, 1]
+    assert sum("(at)" in i.text for i, gold in pii.examples_of("to john.doe@example.com now") if gold) == 4
+    got = [r.spans for r in pii.find_pii(docs_of(spark, texts), field).orderBy("doc_id").collect()]
+    assert got == ["email:6:29", "email:0:24", "", "email:0:23,email:32:39", "email:3:20", "email:1:18"]
+
+
 # 2
 def test_toxicity(spark, documents):
     labels = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/labels.parquet")
