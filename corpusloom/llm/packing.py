@@ -29,6 +29,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def special_ids(path: str) -> dict[str, int]:
+    """The special strings of a vocabulary file and their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", []) if t.get("special")}
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     """The byte strings of a byte-level BPE vocabulary file and their ids.
 
@@ -47,29 +53,30 @@ def ranks_of(path: str) -> dict[bytes, int]:
 class Tokens:
     """The ids of a byte-level BPE vocabulary file, as little-endian unsigned 32-bit bytes.
 
-    The ids are those that the tokenizers library gives for the file with its special strings read
-    as ordinary text (a test holds them against each other); they are made by the tiktoken library
-    from the same vocabulary, in a third of the time.
+    The ids are those that the tokenizers library gives for the file (tests hold them against each
+    other): by its default with ``special``, which gives special strings their own ids, else with
+    these read as ordinary text. They are made by the tiktoken library from the same vocabulary, in
+    a third of the time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import public_tokenizers
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+        self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens=special_ids(path) if special else {})
 
     def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
-_TOKENS: dict[str, Tokens] = {}
+_TOKENS: dict[tuple[str, bool], Tokens] = {}
 
 
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, special: bool = False) -> Tokens:
     """The tokenizer of a file, made once in each Python worker."""
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
+    if (path, special) not in _TOKENS:
+        _TOKENS[path, special] = Tokens(path, special)
+    return _TOKENS[path, special]
 
 
 def cost(n: int) -> float:
@@ -136,7 +143,7 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids``).
 
-    A document is the ids of its text and the id ``END``. Sequences of ``length`` tokens are
+    A document is the ids of its text, special strings read as such, and the id ``END``. Sequences of ``length`` tokens are
     filled; each id lies in exactly one piece. Tasks pack what they read, in windows of
     ``WINDOW_TOKENS``, without a shuffle; a window's short last sequence is carried into the next
     window, so a task leaves one at most. ``sequence_id`` is unique over the tasks, not dense.
@@ -150,7 +157,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens_of(path)
+        encode = tokens_of(path, special=True)
         end = np.array([END], "<u4").tobytes()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         key = None

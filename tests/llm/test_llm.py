@@ -267,6 +267,21 @@ def test_tokens():
         assert ids == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(3)
+    texts = ["<|endoftext|> a", "a <|endoftext|>", "x<|endoftext|><|endoftext|>\n\n<|endoftext|", "<|ENDOFTEXT|> <|endoftext|>s  "] + ["".join(rng.choices(["<|endoftext|>", "<|", "a", " ", "\n", "'s", "é", "1"], k=20)) for _ in range(200)]
+    want = [slow.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+    assert want[0] == [50256, 257, 1]
+    got: dict[int, list] = {}
+    for r in packing.pack_documents(docs_of(spark, texts), with_ids=True).collect():
+        assert r.doc_tokens == len(want[r.doc_id])
+        got.setdefault(r.doc_id, []).append((r.start, memoryview(bytes(r.ids)).cast("I").tolist()))
+    assert [[x for _, part in sorted(got[k]) for x in part] for k in range(len(texts))] == want
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [2048], [5000, 3, 2047, 1, 900, 900, 900], [random.Random(4).randint(1, 4000) for _ in range(500)]])
 def test_pack(lengths):
     pieces = packing.pack(lengths)
