@@ -56,13 +56,14 @@ class Index:
     impacts: list[np.ndarray]
     bounds: np.ndarray  # term x block: the block maxima; a row of zeros last, for all other words
     parts: list[tuple[np.ndarray, np.ndarray]]  # shingles of question and answer
+    sizes: list[int]  # words of their shingles: ``SHINGLE``, or all words of a shorter item
 
 
 def build_index(rows: list[tuple], frequency: dict[str, int], count: int, mean_length: float, threshold: float = THRESHOLD) -> Index:
     """Index ``rows`` of (id, text) with the document frequencies, number and mean length of all items."""
     terms: dict[str, int] = {}
     postings: list[tuple[list[int], list[float]]] = []
-    parts = []
+    parts, sizes = [], []
     for number, (_, text) in enumerate(rows):
         tokens = words(text)
         counts: dict[str, int] = {}
@@ -81,11 +82,12 @@ def build_index(rows: list[tuple], frequency: dict[str, int], count: int, mean_l
         question, answer = (len(words(x)) for x in question_and_answer(text))
         # A part shorter than a shingle is met with the words beside it.
         first, last = tokens[: max(question, SHINGLE)], tokens[-max(answer, SHINGLE) :] if answer else []
+        sizes.append(min(SHINGLE, len(tokens)))
         parts.append((shingle_hashes(first, SHINGLE), shingle_hashes(last, SHINGLE)))
     bounds = np.zeros((len(terms) + 1, max(1, -(-len(rows) // POSTING_BLOCK))), np.float32)
     for at, (who, impact) in enumerate(postings):
         np.maximum.at(bounds[at], np.array(who) // POSTING_BLOCK, np.array(impact, np.float32) * np.float32(1.0001))
-    return Index([r[0] for r in rows], terms, [np.array(p[0], np.int64) for p in postings], [np.array(p[1]) for p in postings], bounds, parts)
+    return Index([r[0] for r in rows], terms, [np.array(p[0], np.int64) for p in postings], [np.array(p[1]) for p in postings], bounds, parts, sizes)
 
 
 def wand(index: Index, query: np.ndarray) -> list[tuple[int, float]]:
@@ -175,11 +177,11 @@ def matches(index: Index, text: str | None, overlap: float = OVERLAP) -> list[tu
             best[item] = max(best.get(item, 0.0), score)
     if not best:
         return []
-    own = np.unique(ordered_shingles(tokens, SHINGLE))
+    own = {size: np.unique(ordered_shingles(tokens, size)) for size in {index.sizes[item] for item in best}}
     found = []
     for item, score in sorted(best.items()):
         question, answer = index.parts[item]
-        met = [_met(part, own) for part in (question, answer)]
+        met = [_met(part, own[index.sizes[item]]) for part in (question, answer)]
         if min(met) >= overlap:
             found.append((item, score, *met))
     return found
@@ -227,7 +229,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Every passage of ``PASSAGE`` words of every text queries the index; items whose score reaches
     ``THRESHOLD`` of what the item itself would score are retrieved, all of them, and stay if the
     document has at least ``OVERLAP`` of the five-word shingles of the item's question and of its
-    answer. ``score`` is a multiple of the item's threshold.
+    answer. An item of fewer than five words is held where all its words stand in its order side by
+    side. ``score`` is a multiple of the item's threshold.
 
     A null or empty text holds nothing. Items that are null or without words are left out; a part
     of an item without words counts as met. Repeated items and rows are answered alike. Without

@@ -377,6 +377,14 @@ def test_decontamination(spark, documents, texts):
     assert decontamination.contaminated(docs_of(spark, EDGE), odd.limit(0)).count() == 0
 
 
+def test_decontamination_short_items(spark):
+    rest = " ".join(f"w{k}" for k in range(300))
+    docs = docs_of(spark, [f"{rest} alpha, beta gamma {rest}", f"{rest} beta alpha gamma delta", "alpha beta gamma", f"{rest} epsilon", "why? alpha beta", f"{rest} so why alpha beta gamma delta", "alpha", None])
+    items = spark.createDataFrame([(1, "Alpha beta gamma"), (2, "epsilon"), (3, "alpha beta gamma delta"), (4, "Why? alpha"), (5, "alpha beta gamma delta zeta")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert got == {(0, 1), (2, 1), (5, 1), (3, 2), (5, 3), (4, 4), (5, 4)}
+
+
 def test_wand_is_exact():
     rng = random.Random(6)
     items = [(k, " ".join(rng.choices([f"w{j}" for j in range(60)], k=rng.randint(3, 30)))) for k in range(90)]
