@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, the word shingles themselves decide."""
+"""N-gram Jaccard join: MinHash prefixes of one fixed depth find candidates, the word shingles themselves decide."""
 
 from __future__ import annotations
 
