@@ -1,8 +1,10 @@
-"""N-gram Jaccard join: MinHash prefixes of one fixed depth find candidates, the word shingles themselves decide."""
+"""N-gram Jaccard join: a forest of sorted MinHash prefix tries finds candidates, the word shingles themselves decide."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,57 +12,82 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise, shingle_hashes, words
+from corpusloom.llm.common import fresh, materialise, shingle_hashes, words
 from corpusloom.llm.components import connected_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Tries of the forest and labels of each: every trie sorts its own run of MinHash values.
-TREES, LABELS = 32, 8
-#: Share of pairs at exactly the threshold that the forest must bring together (closer pairs: more).
+#: Tries of the forest, and labels of each: every trie sorts the texts by its own run of MinHash labels.
+TREES, LABELS = 32, 10
+#: Share of pairs of the least similarity that a text can be linked by which the forest must bring together.
 RECALL = 0.999
-#: Representatives that one task compares with one another or with as many others.
-BLOCK = 512
+#: Sets up to this size are searched by the least similarity that they can have, larger ones by the threshold.
+SHORT = 512
+#: Representatives, and shingles, that one task compares with one another or with as many others.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
 
 
-def matched_depth(similarity: float = SIMILARITY, trees: int = TREES, labels: int = LABELS, recall: float = RECALL) -> int:
-    """The longest prefix at which the forest reaches the recall.
+def least_similarity(size: int, similarity: float = SIMILARITY) -> float | None:
+    """The lowest similarity from the threshold on that a set of ``size`` shingles can have with another set; None if there is none.
+
+    Sets of a and b with c in common have c / (a + b - c), so short texts can't be linked by just any value.
+    """
+    best = None
+    for other in range(max(1, math.ceil(similarity * size - 1e-9)), math.floor(size / similarity + 1e-9) + 1):
+        common = math.ceil(similarity * (size + other) / (1 + similarity) - 1e-9)
+        if common <= min(size, other) and not common == size == other:
+            found = common / (size + other - common)
+            best = found if best is None else min(best, found)
+    return best
+
+
+@lru_cache(maxsize=4096)
+def matched_depth(size: int, similarity: float = SIMILARITY, trees: int = TREES, labels: int = LABELS, recall: float = RECALL) -> int | None:
+    """Labels of a matched prefix down to which a text of ``size`` shingles is searched; None if nothing can be linked to it.
 
     Two texts agree on one label with probability J, so on a prefix of d in one trie with J^d. The
-    prefixes are shortened from the full length until 1 - (1 - J^d)^trees suffices.
+    prefix starts at its full length and is shortened, one label at a time, until the forest
+    reaches the recall for the least similarity that the text can be linked by: 1 - (1 - J^d)^trees.
     """
-    depth = labels
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    if 1 - (1 - similarity**depth) ** trees < recall:
-        raise ValueError("the recall needs more tries")
-    return depth
+    least = least_similarity(size, similarity) if size <= SHORT else similarity
+    if least is None:
+        return None
+    for depth in range(labels, 0, -1):
+        if 1 - (1 - least**depth) ** trees >= recall:
+            return depth
+    raise ValueError("the recall needs more tries")
+
+
+@lru_cache(maxsize=4096)
+def depth_mask(size: int, similarity: float = SIMILARITY, trees: int = TREES, labels: int = LABELS, recall: float = RECALL) -> int:
+    """The depths at which a text stands in the tries, as bits: its own, and those at which texts that may be linked to it search."""
+    own = matched_depth(size, similarity, trees, labels, recall)
+    if own is None:
+        return 0
+    low, high = max(1, math.ceil(similarity * size - 1e-9)), math.floor(size / similarity + 1e-9)
+    found = {matched_depth(n, similarity, trees, labels, recall) for n in range(min(low, SHORT + 1), min(high, SHORT + 1) + 1)}
+    return sum(1 << d for d in found | {own} if d is not None and d <= own)
 
 
 class MinHasher:
-    """MinHash values by multiply-shift hashing of 64-bit shingle hashes; fixed by its seed."""
+    """MinHash labels of one byte by multiply-shift hashing of 32-bit shingle hashes; fixed by its seed.
+
+    Different minima share a label once in 256: that adds a few candidates and loses none.
+    """
 
     def __init__(self, count: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.b = rng.integers(0, 2**63, count, dtype=np.uint64)
+        self.a = (rng.integers(0, 2**31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.b = rng.integers(0, 2**32, count, dtype=np.uint32)[:, None]
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        low = (shingles >> np.uint64(32)).astype(np.uint32)
         out = np.full(len(self.a), np.uint32(0xFFFFFFFF))
-        for at in range(0, len(shingles), 256):  # a long text must not make a large matrix
-            part = shingles[at : at + 256]
-            out = np.minimum(out, ((self.a[:, None] * part + self.b[:, None]) >> np.uint64(32)).astype(np.uint32).min(axis=1))
-        return out
-
-
-def _buckets(signature: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A 64-bit hash of each trie's number and prefix."""
-    labels = signature.reshape(trees, -1)[:, :depth].astype(np.uint64)
-    out = np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(depth):
-        out = (out ^ labels[:, k]) * np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+        for at in range(0, len(low), 256):  # a long text must not make a large matrix
+            out = np.minimum(out, (self.a * low[at : at + 256] + self.b).min(axis=1))
+        # The minimum itself is small, so its bits are mixed before one byte of them is kept.
+        mixed = (out ^ (out >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        return (mixed >> np.uint32(24)).astype(np.uint8)
 
 
 def set_key(shingles: np.ndarray) -> bytes:
@@ -68,24 +95,85 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def signatures(rows: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """``doc_id, sum, set_key, buckets`` of every row of ``doc_id, sum, text``; texts without words have null keys."""
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sum bigint, set_key binary, buckets array<bigint>"
+def signatures(rows: DataFrame, size: int, similarity: float, trees: int, labels: int, recall: float) -> DataFrame:
+    """``doc_id, sum, set_key, shingles, depths, labels`` of every row of ``doc_id, sum, text``; texts without words have null keys.
+
+    ``shingles`` counts them; ``depths`` is their ``depth_mask``; ``labels`` are those of all tries
+    in a row, one byte each.
+    """
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, sum bigint, set_key binary, shingles int, depths int, labels binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(trees * depth)
+        hasher, long = MinHasher(trees * labels), depth_mask(max(2 * SHORT, int(2 * SHORT / similarity)), similarity, trees, labels, recall)
         for batch in batches:
-            keys, found = [], []
+            keys, counts, found = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_hashes(words(text), size)
                 keys.append(set_key(shingles) if len(shingles) else None)
-                found.append(_buckets(hasher(shingles), trees, depth) if len(shingles) else [])
-            arrays = [batch.column("doc_id"), batch.column("sum"), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sum", "set_key", "buckets"])
+                counts.append(len(shingles))
+                found.append(hasher(shingles).tobytes() if len(shingles) else None)
+            masks = [depth_mask(n, similarity, trees, labels, recall) if n <= SHORT / similarity else long for n in counts]
+            arrays = [batch.column("doc_id"), batch.column("sum"), pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(masks, pa.int32()), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sum", "set_key", "shingles", "depths", "labels"])
 
     return rows.mapInArrow(sign, schema)
 
 
+def common_prefix(keys: np.ndarray) -> np.ndarray:
+    """Labels that each key of a sorted matrix shares with the one before it; -1 for the first key and for another trie's."""
+    same = keys[1:] == keys[:-1]
+    shared = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1)) - 1
+    return np.concatenate([[-1], shared])
+
+
+def walk_tries(entries: DataFrame, labels: int) -> DataFrame:
+    """``node, rep`` of every shortened prefix that a text shares with a neighbour, from ``key, rep, depths``.
+
+    ``key`` is the number of a trie and the labels of a text in it, one byte each. All keys are
+    sorted over the cluster, so each trie lies in order; what a text shares at most with any other,
+    it shares with the one before or behind it. A text whose longest shared prefix is too short for
+    a depth leaves the trie there; the others' prefixes are shortened to their depths. At the ends
+    of a sorted partition the neighbour is unknown, so the text stays. Keys are sorted on by text,
+    so that no task gets a key whole that very many texts have.
+    """
+    width = labels + 1
+
+    def matched(batch: pa.RecordBatch, before: np.ndarray | None, after: np.ndarray | None) -> pa.RecordBatch:
+        keys = _keys(batch, width)
+        shared = common_prefix(np.concatenate([x for x in (before, keys, after) if x is not None]))
+        back = shared[1:] if before is not None else np.append(labels, shared[1:])
+        longest = np.maximum(back[: len(keys)], back[1:] if after is not None else np.append(back[1:], labels))
+        mask = batch.column("depths").to_numpy()
+        prefixes, at = [], []
+        for depth in range(labels, 0, -1):
+            here = np.flatnonzero((mask >> depth & 1 == 1) & (longest >= depth))
+            prefixes += [k.tobytes() for k in keys[here, : depth + 1]]
+            at.append(here)
+        return pa.RecordBatch.from_arrays([pa.array(prefixes, pa.binary()), batch.column("rep").take(pa.array(np.concatenate(at)))], ["prefix", "rep"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield matched(held, before, _keys(batch, width)[:1])
+                before = _keys(held, width)[-1:]
+            held = batch
+        if held is not None:
+            yield matched(held, before, None)
+
+    ordered = entries.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+    return ordered.mapInArrow(walk, "prefix binary, rep bigint").select(F.xxhash64("prefix").alias("node"), "rep")
+
+
+def _keys(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    """The keys of a batch, all of one width, as a matrix of bytes."""
+    keys = batch.column("key")
+    first = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset]
+    return np.frombuffer(keys.buffers()[2], np.uint8)[first : first + width * len(keys)].reshape(-1, width)
+
+
 def compare_block(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
     """For each set of ``left``, the positions in ``right`` (or behind it in ``left``) at or over the similarity.
 
@@ -117,8 +205,11 @@ def compare_block(left: list[np.ndarray], right: list[np.ndarray] | None, simila
             yield i, hits
 
 
-def _linked(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, pair: tuple[int, int], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each member to classes and to documents, and for each a member of its tree of links."""
+def _linked(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, pair: tuple[int, int], similarity: float, counted: Callable[[int, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each member to classes and to documents, and for each a member of its tree of links.
+
+    ``counted`` tells which links of a member count here, as others count elsewhere.
+    """
     classes, documents = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
     root = np.arange(len(sets))
 
@@ -132,6 +223,8 @@ def _linked(sets: list[np.ndarray], block: np.ndarray, weight: np.ndarray, pair:
     found = compare_block([sets[k] for k in a], None if pair[0] == pair[1] else [sets[k] for k in b], similarity)
     for i, hits in found:
         me, others = a[i], b[hits]
+        if counted is not None:
+            others = others[counted(me, others)]
         classes[me] += len(others)
         documents[me] += weight[others].sum()
         classes[others] += 1
@@ -153,37 +246,38 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other classes. ``first`` is true for one row of each ``class_id`` (smallest id, then text
     hash, then row). ``sum`` is xxhash64 of the text, which tells rows apart that repeat an id.
 
-    Candidates are classes that share the matched prefix in any trie of the forest. They are
-    grouped into components, and within each component all pairs are counted exactly, in blocks:
-    the pairs are never rows. A component of any size is dealt out over many tasks.
+    Candidates are classes that share a shortened prefix in any trie of the forest; every one of
+    them is verified on the shingles, and no pair is ever a row. They meet in the connected
+    components of shared prefixes, or, where that moves less, prefix by prefix; a component or
+    prefix of any size is dealt out over many tasks in pairs of blocks.
 
     Words are lower-case runs of letters, digits and underscores; a text of fewer than five words
     has one shingle of all of them. A null or empty text, or one without words, is linked to
     nothing, itself included: it is its own class. Null ids come after all others. Rows that
     repeat id and text are copies of each other. No rows give no rows; further columns are not read.
     """
-    depth = matched_depth(similarity, trees, labels, recall)
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("sum"), text.alias("text"))
-    signed = materialise(signatures(rows, shingle, trees, depth).withColumn("row_id", F.monotonically_increasing_id()), "signed")
+    signed = materialise(signatures(rows, shingle, similarity, trees, labels, recall).withColumn("row_id", F.monotonically_increasing_id()), "signed")
 
     # Classes of copies: minima of numbers and counts, combined before the shuffle.
     rank = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "sum", "row_id")
     classes = materialise(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("weight")).select("set_key", F.col("best.row_id").alias("rep"), F.col("best.doc_id").alias("rep_doc"), F.col("best.sum").alias("rep_sum"), "weight"), "classes")
 
-    # Candidates: each class meets the first class of its prefix in every trie.
-    reps = materialise(signed.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select(F.col("row_id").alias("rep"), "buckets"), "reps")
-    prefixes = reps.select("rep", F.explode("buckets").alias("bucket"))
-    shared = prefixes.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("bucket", "head")
-    candidates = connected_components(prefixes.join(shared, "bucket").where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst")))
+    # The forest: one entry a class in every trie.
+    reps = materialise(signed.join(classes.select(F.col("rep").alias("row_id")), "row_id", "left_semi").where("depths > 0").select(F.col("row_id").alias("rep"), "depths", "labels"), "reps")
+    tries = F.array(*[F.concat(F.lit(bytes([k])), F.substring("labels", k * labels + 1, labels)) for k in range(trees)])
+    nodes = materialise(walk_tries(reps.select(F.explode(tries).alias("key"), "rep", "depths"), labels), "nodes")
+    sizes = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # A node that very many texts share is split by the join, as it has one row on the other side.
+    shared = materialise(nodes.join(sizes.hint("merge"), "node"), "shared")
+    candidates = connected_components(shared.where("rep <> head").select(F.col("rep").alias("src"), F.col("head").alias("dst")))
 
-    # Verification: block pairs of each component.
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    # A component's size reaches its members by a join that can be split: one row a component on one side.
-    members = materialise(candidates.join(sizes, "component").select(F.col("node").alias("rep"), "component", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "members")
+    # Verification, by components or by prefixes.
     known = classes.select("rep", "set_key", "weight", F.col("rep_doc").alias("doc_id"), F.col("rep_sum").alias("sum"))
-    wanted = materialise(members.join(known, "rep"), "wanted")
-    links = materialise(verify(rows, wanted, shingle, similarity), "links")
+    wanted = materialise(known.join(candidates.withColumnRenamed("node", "rep"), "rep").join(signed.select(F.col("row_id").alias("rep"), "shingles"), "rep"), "wanted")
+    units = materialise(meeting_places(wanted, shared, block), "units")
+    links = materialise(verify(fetch_sets(rows, wanted, shingle), units, similarity), "links")
 
     # A class's numbers are the sums over its block pairs, its group the component of its links.
     joined = connected_components(links.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")))
@@ -198,54 +292,106 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", own("class_id"), own("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"), (alone | (F.col("row_id") == F.col("first_row"))).alias("first"), "sum")
 
 
-def verify(rows: DataFrame, wanted: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``rep, classes, documents, root`` of every block pair that holds ``rep``.
+def meeting_places(wanted: DataFrame, shared: DataFrame, block: int) -> DataFrame:
+    """``rep, unit, blocks, nodes``: where each class is compared, a component or all its shared prefixes.
 
-    ``wanted`` names the representatives by id and text hash; only their texts are shuffled on.
-    A component in one block goes to one task with other small ones, a larger one to a task for
-    each pair of its blocks.
+    A component that fits into one block is compared as a whole. Of a larger one both ways are
+    costed by the classes that they move (members times blocks): all pairs of its blocks, or those
+    within each prefix. So a long chain of texts costs by the prefixes it shares, in proportion to
+    its texts, and texts that all resemble one another cost one comparison a pair. ``nodes`` is
+    null for components; for prefixes it holds all those of the class, in order: a pair counts in
+    the first that both have.
     """
-    bins = _bins(wanted)
+    blocks = lambda members, shingles: F.ceil(F.greatest(members / block, shingles / BLOCK_SHINGLES)).cast("int")
+    whole = wanted.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("shingles").alias("size"))
+    whole = materialise(whole.select("component", blocks(F.col("members"), F.col("size")).alias("blocks"), "members"), "components")
+    # Only what large components hold is looked at by prefix.
+    large = wanted.join(whole.where("blocks > 1").select("component", F.col("blocks").alias("whole_blocks"), "members"), "component").select("rep", "component", "shingles", "whole_blocks", F.col("members").alias("whole_members"))
+    parts = materialise(shared.select("node", "rep").join(large, "rep"), "parts")
+    prefixes = parts.groupBy("node").agg(F.first("component").alias("component"), F.first("whole_blocks").alias("whole_blocks"), F.first("whole_members").alias("whole_members"), F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("size"))
+    costed = materialise(prefixes.select("node", "component", "whole_blocks", "whole_members", "n", blocks(F.col("n"), F.col("size")).alias("node_blocks")), "prefixes")
+    moved = costed.groupBy("component").agg(F.sum(F.col("n") * F.col("node_blocks")).alias("by_prefix"), (F.first("whole_members") * F.first("whole_blocks")).alias("by_component"))
+    chosen = materialise(moved.where("by_prefix < by_component").select("component"), "chosen")
+    split = parts.join(chosen, "component", "left_semi")
+    own = split.groupBy("rep").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    by_prefix = split.select("rep", "node").join(costed.select("node", "node_blocks"), "node").join(own, "rep")
+    by_component = wanted.join(chosen, "component", "left_anti").select("rep", "component").join(whole.drop("members"), "component")
+    empty = F.lit(None).cast("array<bigint>")
+    return by_component.select("rep", F.col("component").alias("unit"), "blocks", empty.alias("nodes")).unionByName(by_prefix.select("rep", F.col("node").alias("unit"), F.col("node_blocks").alias("blocks"), "nodes"))
+
+
+def fetch_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``rep, weight, shingles`` (sorted 64-bit hashes) of the wanted classes: their texts are read and cut once more."""
     # Merged at every size: a broadcast of the wanted ids would only fit small inputs.
-    wanted = wanted.hint("merge")
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["sum"] == wanted["sum"])).select("rep", "component", "blocks", "weight", "set_key", "text")
-    texts = texts.dropDuplicates(["rep"])  # rows that repeat id and text
-    # Texts of one component that meet in one group: at most two blocks of it.
+    named = wanted.select("rep", "weight", "set_key", F.col("doc_id").alias("rep_doc"), F.col("sum").alias("rep_sum")).hint("merge")
+    texts = rows.join(named, rows["doc_id"].eqNullSafe(named["rep_doc"]) & (rows["sum"] == named["rep_sum"])).select("rep", "weight", "set_key", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(words(t), shingle) for t in batch.column("text").to_pylist()]
+            # A text of the same id whose hash agrees by chance is another one.
+            right = [set_key(s) == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)]
+            arrays = [batch.column("rep"), batch.column("weight"), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["rep", "weight", "shingles"]).filter(pa.array(right, pa.bool_()))
+
+    return materialise(texts.mapInArrow(cut, "rep bigint, weight bigint, shingles binary"), "sets")
+
+
+def verify(sets: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """``rep, classes, documents, root`` of every block pair that holds ``rep``.
+
+    A unit of one block goes to one task with other small ones, a larger one to a task for each
+    pair of its blocks; a class is in at most as many of them as the unit has blocks.
+    """
+    bins = max(1, units.count() // BLOCK)
+    # Rows that repeat id and text are one class.
+    once = sets.dropDuplicates(["rep"])
+    met = once.join(units.hint("merge"), "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = texts.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = dealt.select("rep", "component", "block", "weight", "set_key", "text", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    dealt = met.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("rep", "unit", "nodes", "block", "weight", "shingles", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
     def check(batch: pa.Table) -> pa.Table:
         out = {"rep": [], "classes": [], "documents": [], "root": []}
-        table = batch.select(["component", "p", "q", "rep", "block", "weight", "set_key", "text"]).to_pydict()
-        groups: dict[tuple, dict] = {}
-        for component, p, q, rep, part, weight, key, text in zip(*table.values(), strict=True):
-            own = shingle_hashes(words(text), shingle)
-            if set_key(own) == key:  # else another text of this id whose hash agrees
-                groups.setdefault((component, p, q), {})[rep] = (own, part, weight)
-        for (_, p, q), found in groups.items():
-            reps = np.fromiter(found, np.int64, len(found))
-            sets, block, weight = zip(*found.values(), strict=True)
-            classes, documents, root = _linked(list(sets), np.array(block), np.array(weight, np.int64), (p, q), similarity)
-            for name, values in (("rep", reps), ("classes", classes), ("documents", documents), ("root", reps[root])):
+        table = batch.select(["unit", "p", "q", "rep", "block", "weight", "shingles", "nodes"]).to_pydict()
+        groups: dict[tuple, list] = {}
+        for unit, p, q, *row in zip(*table.values(), strict=True):
+            groups.setdefault((unit, p, q), []).append(row)
+        for (unit, p, q), found in groups.items():
+            reps, block, weight, shingles, nodes = zip(*found, strict=True)
+            own = [np.frombuffer(s, np.uint64) for s in shingles]
+            first = None if nodes[0] is None else _first_shared([np.array(n, np.int64) for n in nodes], unit)
+            classes, documents, root = _linked(own, np.array(block), np.array(weight, np.int64), (p, q), similarity, first)
+            for name, values in (("rep", np.array(reps, np.int64)), ("classes", classes), ("documents", documents), ("root", np.array(reps, np.int64)[root])):
                 out[name].append(values)
         schema = pa.schema([(name, pa.int64()) for name in out])
         return pa.table({name: np.concatenate(v) if v else np.empty(0, np.int64) for name, v in out.items()}, schema=schema)
 
-    group = F.when(F.col("q") > 0, F.struct("component", "p", "q")).otherwise(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("component"), F.lit(-1).alias("p"), F.lit(-1).alias("q")))
+    group = F.when(F.col("q") > 0, F.struct("unit", "p", "q")).otherwise(F.struct(F.pmod(F.xxhash64("unit"), F.lit(bins)).alias("unit"), F.lit(-1).alias("p"), F.lit(-1).alias("q")))
     return pairs.withColumn("task", group).groupBy("task").applyInArrow(check, "rep bigint, classes bigint, documents bigint, root bigint")
 
 
-def _bins(wanted: DataFrame) -> int:
-    """Groups for small components, of about a block of texts each."""
-    return max(1, wanted.count() // BLOCK)
+def _first_shared(nodes: list[np.ndarray], unit: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether ``unit`` is the first node that a class shares with each of others, all by position."""
+
+    def first(one: int, others: np.ndarray) -> np.ndarray:
+        mine = nodes[one][nodes[one] < unit]
+        return np.array([not np.isin(mine, nodes[k], assume_unique=True).any() for k in others], bool)
+
+    return first
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each ``class_id`` one row stays, with all its columns."""
-    kept = jaccard_join(docs, id_col, text_col, **options).where("first").select(F.col("doc_id").alias("__id"), F.col("sum").alias("__sum"))
-    summed = docs.withColumn("__own", F.xxhash64(F.col(text_col)))
-    met = summed.join(kept, summed[id_col].eqNullSafe(kept["__id"]) & (summed["__own"] == kept["__sum"]), "left_semi")
+    """The rows of ``docs`` without near copies: of each ``class_id`` one row stays, with all its columns.
+
+    The row that stays is the ``first`` of ``jaccard_join``; of rows that repeat its id and text,
+    any one. Rows whose text is null, empty or without words all stay. No rows give no rows; no
+    column of ``docs`` is changed, whatever its name.
+    """
+    at, own, alone = fresh(docs, "id"), fresh(docs, "sum"), fresh(docs, "alone")
+    kept = jaccard_join(docs, id_col, text_col, **options).where("first").select(F.col("doc_id").alias(at), F.col("sum").alias(f"{own}_kept"))
+    summed = docs.withColumn(own, F.xxhash64(F.col(text_col)))
+    met = summed.join(kept, summed[id_col].eqNullSafe(kept[at]) & (summed[own] == kept[f"{own}_kept"]), "left_semi")
     worded = F.col(text_col).rlike(r"(?U)\w")
     # Rows that repeat id and text are copies: one stays. Those without words are no copies of each other.
-    return met.withColumn("__alone", F.when(F.coalesce(worded, F.lit(False)), F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates([id_col, "__own", "__alone"]).drop("__own", "__alone")
+    return met.withColumn(alone, F.when(F.coalesce(worded, F.lit(False)), F.lit(0)).otherwise(F.monotonically_increasing_id())).dropDuplicates([id_col, own, alone]).drop(own, alone)

@@ -227,11 +227,6 @@ def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
 
 
-def test_depth():
-    depth = jaccard_join.matched_depth()
-    assert 1 - (1 - 0.8**depth) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (depth + 1)) ** 32
-
-
 # 6
 def test_exact(spark):
     texts = ["a b", "ab", " a  b", None, "", "\t\n", "c", "c", "c"]
