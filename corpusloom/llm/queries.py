@@ -37,7 +37,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("n_chars", "row_id")
 
 
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,9 +244,65 @@ def test_exact_index_persists(spark):
     index = exact_dedup.DigestIndex(spark)
     first = exact_dedup.exact_dedup(docs_of(spark, ["a", "b"]), index).collect()
     assert all(r.kept for r in first)
+    spark.sql(f"DROP TABLE {index.name}")  # what a new session knows
+    index = exact_dedup.DigestIndex(spark, index.path)
     again = {r.doc_id: r for r in exact_dedup.exact_dedup(docs_of(spark, ["b", "c", "c "], [10, 11, 12]), index).collect()}
     assert (again[10].kept, again[10].keep_id) == (False, 1) and again[12].kept and not again[11].kept
-    assert index.table().count() == 3
+    assert index.best().count() == 3
+    index = index.compact(index.path + "-compact")
+    assert index.batches() == [3] and index.best().count() == index.table().count() == 3
+    later = {r.doc_id: r for r in exact_dedup.exact_dedup(docs_of(spark, ["a  ", "d"], [20, 21]), index).collect()}
+    assert (later[20].kept, later[20].keep_id, later[21].kept) == (False, 0, True)
+
+
+def test_exact_run_again(spark):
+    """A batch that is run again with its number gives the same answer, whatever it wrote before and what came after it."""
+    index = exact_dedup.DigestIndex(spark)
+    rng = random.Random(8)
+    docs = docs_of(spark, [rng.choice("abcdefgh") + " " * rng.randint(0, 3) for _ in range(60)])
+    other = docs_of(spark, ["a ", "x", "y"], [100, 101, 102])
+    exact_dedup.exact_dedup(other, index, batch=0).collect()
+    runs = []
+    for _ in range(2):
+        runs.append({r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, index, batch=2).collect()})
+        exact_dedup.exact_dedup(docs_of(spark, ["q", "b"], [200, 201]), index, batch=4).collect()
+    assert runs[0] == runs[1] and sum(kept for _, _, kept in runs[0].values()) == 7
+    assert index.best().count() == 11
+
+
+def test_exact_in_parts(spark, documents):
+    """Parts that meet in the index give the winners of the whole."""
+    rows = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), len(r.text or "")) for r in documents.collect()]
+    best = {}
+    for k, key, n in rows:
+        best[key] = min(best.get(key, (1, 0)), (-n, k))
+    want = {k: best[key][1] for k, key, _ in rows}
+    for parts in (1, 2, 5):
+        got = exact_dedup.exact_dedup(documents, parts=parts).collect()
+        assert {r.doc_id: r.keep_id for r in got} == want and all(r.kept == (r.keep_id == r.doc_id) for r in got)
+
+
+def test_exact_plan(spark, documents):
+    """The anti-join merges the index as it lies: bucketed and sorted, without exchange or sort on its side."""
+    index = exact_dedup.DigestIndex(spark)
+    groups = exact_dedup.winners(exact_dedup.digests(documents))
+    index.append(groups, 0)
+    spark.conf.set(exact_dedup.ORDERED, "true")
+    plan = index.unseen(groups, 1)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset(exact_dedup.ORDERED)
+    join, _, index_side = plan.partition("SortMergeJoin")
+    scan = next(line for line in plan.splitlines() if "Bucketed: true" in line)
+    depth = scan.index("FileScan")
+    above = [line for line in plan.splitlines()[plan.splitlines().index(scan) - 3 : plan.splitlines().index(scan)] if "Exchange" in line or "Sort [" in line]
+    assert index_side and depth and not above and plan.count("Exchange") == 2, plan
+    assert index.unseen(groups, 1).count() == 0
+
+
+def test_keep_first_keeps_the_longest(spark):
+    docs = spark.createDataFrame([(1, "a b", "p"), (1, "a  b", "q"), (None, "c", "r"), (None, "c", "r"), (2, "c ", "s"), (3, None, "t"), (4, "x " * 50_000, "u")], "doc_id long, text string, __digest string")
+    kept = exact_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r["__digest"] for r in kept.collect()) == ["q", "s", "t", "u"]
+    assert exact_dedup.keep_first(docs.limit(0)).count() == 0
 
 
 # 7
