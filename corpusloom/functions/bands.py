@@ -13,14 +13,15 @@ def freshness_band(updated: Column, asof: str) -> Column:
         F.when(F.coalesce(updated, F.lit("")) == "", "Unknown")
         .when(updated >= edge(30), "< 1 month")
         .when(updated >= edge(91), "1-3 months")
-        .when(updated >= edge(365), "3-12 months")
+        .when(updated >= edge(365), "3 months-1 year")
         .when(updated >= edge(730), "1-2 years")
         .otherwise("> 2 years")
     )
 
 
 def reading_band(age: Column) -> Column:
-    return F.when(age.isNull(), "Unknown").when(age < 9, "Under 9").when(age < 11, "9-10").when(age < 14, "11-13").when(age < 18, "14-17").otherwise("18+")
+    """Band of a reading age; Unknown without one."""
+    return F.when(age.isNull(), "Unknown").when(age < 9, "Under 9").when(age < 12, "9-11").when(age < 15, "12-14").when(age < 18, "15-17").otherwise("18+")
 
 
 def confidence(score: Column) -> Column:

@@ -49,17 +49,17 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - F.when(low.endswith("e") & (groups > 1), 1).otherwise(0))
 
 
-def sentences(text: Column) -> Column:
-    """The stretches between sentence marks that hold a word."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE, -1), lambda s: s.rlike(WORD))
+def sentence_count(text: Column) -> Column:
+    """Runs of sentence marks, at least 1."""
+    return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SENTENCE)))
 
 
 def grade(text: Column) -> Column:
-    """Flesch-Kincaid grade; null under ten words."""
+    """Flesch-Kincaid grade to one place; null under ten words."""
     found = words(text)
-    n, s = F.size(found), F.greatest(F.lit(1), F.size(sentences(text)))
+    n = F.size(found)
     spoken = F.aggregate(found, F.lit(0), lambda total, w: total + syllables(w))
-    return F.when(n >= 10, 0.39 * n / s + 11.8 * spoken / n - 15.59)
+    return F.when(n >= 10, F.round(0.39 * n / sentence_count(text) + 11.8 * spoken / n - 15.59, 1))
 
 
 def reading_age(of_grade: Column) -> Column:
@@ -67,13 +67,24 @@ def reading_age(of_grade: Column) -> Column:
     return F.when(of_grade.isNotNull(), F.round(F.greatest(F.lit(5.0), of_grade + 5), 1))
 
 
+#: The classes' single words; all else of a class is a phrase.
+SINGLE = {name: [t for t in terms if t.isalpha()] for name, (_, terms) in ISSUES.items()}
+
+
 def issue_counts(text: Column) -> dict[str, Column]:
-    """Occurrences of each class; whole words between other characters than letters, digits and _, longer terms first, without case."""
+    """Occurrences of each class; whole words between other characters than letters, digits and _, longer terms first, without case.
+
+    The text is cut into words once, and those that any class lists are kept; what the classes
+    count of them is read from these few. Only phrases are looked for by pattern.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
+    every = sorted({t for terms in SINGLE.values() for t in terms})
+    marked = F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.isin(every))
     out = {}
     for name, (_, terms) in ISSUES.items():
-        either = "|".join(sorted(terms, key=lambda t: (-len(t), t)))
-        out[name] = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{either})(?![\p{{L}}\p{{N}}_])"))
+        single, phrases = SINGLE[name], sorted(set(terms) - set(SINGLE[name]), key=lambda t: (-len(t), t))
+        words_of = F.size(F.filter(marked, lambda w, own=single: w.isin(own))) if single else F.lit(0)
+        out[name] = words_of + F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(phrases)})(?![\p{{L}}\p{{N}}_])")) if phrases else words_of
     out["long_sentences"] = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE, -1), lambda s: F.regexp_count(s, F.lit(WORD)) > LONG_SENTENCE))
     return out
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 
 def page_key() -> Column:
+    """What makes rows one page: the content id, else the url."""
     return F.coalesce("content_id", "url")
 
 
@@ -42,10 +43,12 @@ def of_types(types: list[str]) -> Column:
 
 
 def keyword_text() -> Column:
-    return F.lower(F.concat_ws(" ", "title", "search_text"))
+    """Title, description and body in lower case, parted by blanks; missing ones are empty."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("title", "description", "search_text")]))
 
 
 def has_keyword(word: str) -> Column:
+    """Substring match without case."""
     return keyword_text().contains(word.lower())
 
 
@@ -63,12 +66,16 @@ def shortlist(pages: DataFrame, links: DataFrame, organisations=(), types=(), wo
 
 
 def one_row(pages: DataFrame) -> DataFrame:
-    """Of each page key the row of the smallest url."""
-    order = Window.partitionBy(page_key()).orderBy("url")
-    return pages.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """Of each page key the row of the smallest url.
+
+    The smallest url is combined before the shuffle, so a key that very many rows share (as empty
+    texts may) costs one row from each task. Rows that repeat a url all stay.
+    """
+    return pages.join(membership(pages).select("url"), "url", "left_semi")
 
 
 def membership(pages: DataFrame) -> DataFrame:
+    """``content_id, url``: each page once, with its smallest url."""
     return pages.groupBy(page_key().alias("content_id")).agg(F.min("url").alias("url"))
 
 
@@ -84,7 +91,7 @@ def canonical_alias(pages: DataFrame) -> DataFrame:
 
 
 def funnel(pages: DataFrame, links: DataFrame, organisations: list[str], types: list[str], words: list[str]) -> DataFrame:
-    """Distinct pages left after each narrowing step, in one pass over the pages."""
+    """Distinct pages left after each narrowing step, in one pass over the pages: flags by page, then their sums."""
     flagged = pages.where(is_usable())
     if organisations:
         some = links.where(F.col("organisation_slug").isin(organisations)).select("url").distinct().withColumn("in_org", F.lit(True))
@@ -94,7 +101,8 @@ def funnel(pages: DataFrame, links: DataFrame, organisations: list[str], types:
     org = F.coalesce("in_org", F.lit(False))
     typed = org & of_types(types)
     steps = {"n_all": F.lit(True), "n_org": org, "n_type": typed, "n_keyword": typed & keyword_match(words)}
-    return flagged.agg(*[F.countDistinct(F.when(c, page_key())).alias(name) for name, c in steps.items()])
+    per = flagged.groupBy(page_key().alias("key")).agg(*[F.max(c.cast("int")).alias(name) for name, c in steps.items()])
+    return per.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in steps])
 
 
 def url_check(expected: list[str], unexpected: list[str], pages: DataFrame, final: DataFrame) -> DataFrame:

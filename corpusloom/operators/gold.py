@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,21 +16,40 @@ def forwarded(shortlist: DataFrame, compared: DataFrame, min_score: float) -> Da
     return shortlist.select("url").join(c, "url", "full_outer").select("url", tag.alias("tag"))
 
 
-def stratified_order(rows: DataFrame, strata: list[str], seed: str) -> DataFrame:
-    """``position``: round-robin over the strata, smallest first, in order of sha1(seed:url) within each.
+def seeded_rank(rows: DataFrame, strata: list[str], seed: str, target: int | None = None) -> DataFrame:
+    """``rows`` with ``rn``, the rank by sha1(seed:url) within a stratum, and the stratum's ``size``.
 
-    The rank is a window by stratum; the final order is a window over what is asked for, so use it
-    on candidate lists, not on a corpus.
+    The hashes are dealt out by their first digits, so a stratum of any size is ranked in parts;
+    the parts' sizes (a row for each stratum and part) give where each begins.
     """
+    order = F.sha1(F.concat(F.lit(f"{seed}:"), "url"))
+    keyed = rows.withColumns({"hash": order, "part": F.substring(order, 1, 3)})
+    parts = keyed.groupBy(*strata, "part").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy(*strata)
-    ranked = rows.withColumn("rn", F.row_number().over(own.orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), "url"))))).withColumn("size", F.count(F.lit(1)).over(own))
-    return ranked.withColumn("position", F.row_number().over(Window.orderBy("rn", "size", *strata)))
+    starts = parts.withColumn("begin", F.sum("n").over(own.orderBy("part")) - F.col("n")).withColumn("size", F.sum("n").over(own)).drop("n")
+    keys = [*strata, "part"]
+    met = keyed.join(starts.withColumnsRenamed({c: f"{c}_of" for c in keys}), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in keys)))
+    inner = F.row_number().over(Window.partitionBy(*strata, "part").orderBy("hash", "url"))
+    return met.withColumn("rn", F.col("begin") + inner).drop("hash", "part", "begin", *[f"{c}_of" for c in keys])
+
+
+def stratified_order(rows: DataFrame, strata: list[str], seed: str) -> DataFrame:
+    """``rows`` with ``rn, size, position``: round-robin over the strata, smallest first, in order of sha1(seed:url) within each.
+
+    A row's position follows from its rank and the sizes of the strata, which are one small row, so
+    nothing is sorted as a whole. Null strata are one stratum; ties of size go by the strata's values.
+    """
+    ranked = seeded_rank(rows, strata, seed)
+    order = F.struct("size", *strata)
+    sizes = ranked.select(order.alias("s")).distinct().agg(F.collect_list("s").alias("all"))
+    # Those of each stratum that come before: of earlier rounds, and of this round the smaller strata.
+    before = F.aggregate("all", F.lit(0).cast("long"), lambda n, s: n + F.least(s["size"], F.col("rn") - 1) + F.when((s["size"] >= F.col("rn")) & (s < order), 1).otherwise(0))
+    return ranked.crossJoin(F.broadcast(sizes)).withColumn("position", before + 1).drop("all")
 
 
 def sample(rows: DataFrame, stage: str, target: int, seed: str, full: int = 25) -> DataFrame:
     """The first ``target`` pages of each stage by seeded hash, or all if there are at most ``full``; with the sampled fraction."""
-    own = Window.partitionBy(stage)
-    ranked = rows.withColumn("rn", F.row_number().over(own.orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), "url"))))).withColumn("size", F.count(F.lit(1)).over(own))
+    ranked = seeded_rank(rows, [stage], seed)
     goal = F.when(F.col("size") <= full, F.col("size")).otherwise(F.least(F.lit(target), F.col("size")))
     return ranked.where(F.col("rn") <= goal).select("url", stage, "rn", (goal / F.col("size")).alias("fraction"))
 
@@ -69,17 +90,29 @@ def pair_agreement(votes: DataFrame) -> DataFrame:
     return rows.join(chance, ["a", "b"], "left").select("a", "b", "n", po.alias("agreement"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa"))
 
 
-def sheet_errors(sheet: DataFrame, forwarded_urls: DataFrame) -> DataFrame:
-    """``line, error`` of each fault: empty url, duplicate url, foreign url, bad label, missing rationale."""
-    n = F.row_number().over(Window.partitionBy("url").orderBy("line"))
-    known = forwarded_urls.select("url", F.lit(True).alias("known")).distinct()
-    met = sheet.withColumn("n", n).join(known, "url", "left")
-    empty = F.coalesce("url", F.lit("")) == ""
+def sheet_errors(sheet: DataFrame, forwarded_urls: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``line, error`` of each fault of a labelled sheet (``line, url, label, rationale``).
+
+    Empty url, duplicate url, not in the corpus, foreign (in the corpus but not sent on), bad
+    label, missing rationale. Lines with an empty url are kept out of the shuffle.
+    """
+    own = sheet.withColumn("url", F.trim(F.coalesce("url", F.lit(""))))
+    first = own.where("url <> ''").groupBy("url").agg(F.min("line").alias("first"))
+    sent = forwarded_urls.select("url", F.lit(True).alias("sent")).distinct()
+    held = corpus.select("url", F.lit(True).alias("held")).distinct()
+    met = own.where("url <> ''").join(first, "url").join(sent, "url", "left").join(held, "url", "left").select("line", "label", "rationale", (F.col("line") > F.col("first")).alias("again"), "sent", "held")
+    none = own.where("url = ''").select("line", "label", "rationale", F.lit(None).cast("boolean").alias("again"), F.lit(True).alias("sent"), F.lit(True).alias("held"))
     faults = F.array_compact(F.array(
-        F.when(empty, "empty url"), F.when(~empty & (F.col("n") > 1), "duplicate url"), F.when(~empty & F.col("known").isNull(), "not forwarded"),
+        F.when(F.col("again").isNull(), "empty url"), F.when(F.col("again"), "duplicate url"), F.when(F.col("held").isNull(), "not in corpus"), F.when(F.col("held") & F.col("sent").isNull(), "not forwarded"),
         F.when(~F.coalesce("label", F.lit("")).isin("in", "out", "borderline"), "bad label"), F.when(F.coalesce(F.trim("rationale"), F.lit("")) == "", "missing rationale"),
     ))
-    return met.select("line", F.explode(faults).alias("error"))
+    return met.union(none).select("line", F.explode(faults).alias("error"))
+
+
+def sheet_drift(sheet: DataFrame, sheet_sha: str, labels: DataFrame, labels_sha: str) -> DataFrame:
+    """``url, note``: pages whose label in the sheet differs from the stored one, where the sheet was made from other labels than are stored now."""
+    met = sheet.select("url", F.col("label").alias("new")).join(labels.select("url", F.col("label").alias("old")), "url")
+    return met.where(F.lit(sheet_sha != labels_sha) & ~F.col("new").eqNullSafe(F.col("old"))).select("url", F.concat_ws(" -> ", F.coalesce("old", F.lit("none")), F.coalesce("new", F.lit("none"))).alias("note"))
 
 
 def gold_sha(labels: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ def edges_from_both(down: DataFrame, up: DataFrame) -> DataFrame:
 
 
 def children(edges: DataFrame, slug: str) -> DataFrame:
+    """Direct children of ``slug``, each once; none for an unknown one."""
     return edges.where(F.col("parent") == slug).select(F.col("child").alias("slug")).distinct()
 
 
@@ -38,6 +39,7 @@ def expand(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> Da
 
 
 def descendants(edges: DataFrame, slug: str) -> DataFrame:
+    """All that lies below ``slug``, itself only where a cycle leads back."""
     seeds = edges.sparkSession.createDataFrame([(slug, slug)], "root string, slug string")
     return expand(edges, seeds).select("slug")
 
@@ -48,30 +50,45 @@ def with_descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def forest(edges: DataFrame, counts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``slug, parent, depth``: each child keeps the parent with most pages, then the first by name.
+    """``slug, parent, depth, pages``: each child keeps the parent with most pages, then the first by name.
 
-    Members of cycles, which no root reaches, are left out.
+    Loops are left out. A member of a cycle of kept parents is a root, and what hangs on it stays
+    below it. Slugs without a count have 0 pages. No edges give no rows. Raises beyond ``max_depth``.
     """
-    sized = edges.join(counts.select(F.col("slug").alias("parent"), "pages"), "parent", "left")
+    real = edges.where("parent <> child").select("parent", "child")
+    sized = real.join(counts.select(F.col("slug").alias("parent"), "pages"), "parent", "left")
     best = Window.partitionBy("child").orderBy(F.desc(F.coalesce("pages", F.lit(0))), "parent")
     one = cut(sized.withColumn("n", F.row_number().over(best)).where("n = 1").select("parent", "child"))
+    # What no child is left below lies on no cycle; taken away again and again, only cycles remain.
+    ring = one
+    for _ in range(max_depth + 1):
+        rest = cut(ring.join(ring.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
+        shrunk = rest.count() < ring.count()
+        ring = rest
+        if not shrunk:
+            break
+    else:
+        raise RuntimeError(f"hierarchy deeper than {max_depth}")
+    below = cut(one.join(ring.select("child"), "child", "left_anti").select("parent", "child"))
     slugs = edges.select(F.col("parent").alias("slug")).union(edges.select("child")).distinct()
-    level = slugs.join(one, F.col("slug") == F.col("child"), "left_anti").select("slug", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
+    level = slugs.join(below, F.col("slug") == F.col("child"), "left_anti").select("slug", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
     out = level
     for depth in range(1, max_depth + 1):
-        level = cut(one.join(level.select(F.col("slug").alias("parent")), "parent").select(F.col("child").alias("slug"), "parent", F.lit(depth).alias("depth")))
+        level = cut(below.join(level.select(F.col("slug").alias("parent")), "parent").select(F.col("child").alias("slug"), "parent", F.lit(depth).alias("depth")))
         if level.isEmpty():
-            return out
+            return out.join(counts.select("slug", "pages"), "slug", "left").select("slug", "parent", "depth", F.coalesce("pages", F.lit(0)).alias("pages"))
         out = out.union(level)
     raise RuntimeError(f"hierarchy deeper than {max_depth}")
 
 
 def page_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """``slug, pages``: distinct pages of each organisation; aliases of a page count once, pages without links not at all."""
     met = pages.select("url", page_key().alias("key")).join(links.select("url", "organisation_slug"), "url")
     return met.groupBy(F.col("organisation_slug").alias("slug")).agg(F.countDistinct("key").alias("pages"))
 
 
 def registry_list(organisations: DataFrame) -> DataFrame:
-    """Organisations outside ``world/`` with a display name made of their slug's words."""
-    name = F.initcap(F.replace(F.col("slug"), F.lit("-"), F.lit(" ")))
-    return organisations.where(~F.col("slug").startswith("world")).select("slug", name.alias("name")).distinct()
+    """Organisations outside ``world`` by title: ``slug, title``, the slug's words where there is no title."""
+    own = organisations.where(~F.col("slug").startswith("world"))
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.initcap(F.replace(F.col("slug"), F.lit("-"), F.lit(" "))))
+    return own.select("slug", title.alias("title")).distinct().orderBy(F.lower("title"), "slug")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import canonical_url, content_hash
@@ -10,24 +10,26 @@ from corpusloom.sources.scratch import cut
 
 
 def change_classes(fetched: DataFrame, stored: DataFrame, domain: str = "example.org") -> DataFrame:
-    """``url, change`` of each fetched row (``raw_url, http_status, body, seq``) against the stored hashes (``url, content_hash``).
+    """``seq, raw_url, url, change, new_hash`` of each fetched row (``raw_url, http_status, body, seq``) against the stored hashes (``url, content_hash``).
 
     invalid (no canonical url), duplicate (not the first of its url in the batch), no_content_item
-    (404, 410), error (any other status but 200), new, changed, unchanged.
+    (404, 410), error (any other status but 200), new, changed, unchanged. Rows without a url are
+    kept out of the shuffle, and the first of each url is combined before it.
     """
-    own = fetched.withColumn("url", canonical_url(F.col("raw_url"), domain))
-    first = F.row_number().over(Window.partitionBy("url").orderBy("seq"))
-    met = own.withColumn("n", F.when(F.col("url").isNotNull(), first)).join(stored.select("url", F.col("content_hash").alias("old"), F.lit(True).alias("held")), "url", "left")
+    own = fetched.withColumns({"url": canonical_url(F.col("raw_url"), domain), "new_hash": content_hash(F.col("body"))})
+    bad = own.where("url IS NULL").select("seq", "raw_url", "url", F.lit("invalid").alias("change"), "new_hash")
+    good = own.where("url IS NOT NULL")
+    first = good.groupBy("url").agg(F.min("seq").alias("first"))
+    met = good.join(first, "url").join(stored.select("url", F.col("content_hash").alias("old"), F.lit(True).alias("held")), "url", "left")
     change = (
-        F.when(F.col("url").isNull(), "invalid")
-        .when(F.col("n") > 1, "duplicate")
+        F.when(F.col("seq") > F.col("first"), "duplicate")
         .when(F.col("http_status").isin(404, 410), "no_content_item")
         .when(F.col("http_status") != 200, "error")
         .when(F.col("held").isNull(), "new")
-        .when(F.col("old").eqNullSafe(content_hash(F.col("body"))), "unchanged")
+        .when(F.col("old").eqNullSafe(F.col("new_hash")), "unchanged")
         .otherwise("changed")
     )
-    return met.select("seq", "raw_url", "url", change.alias("change"), content_hash(F.col("body")).alias("new_hash"))
+    return met.select("seq", "raw_url", "url", change.alias("change"), "new_hash").union(bad)
 
 
 def upsert_pages(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,15 +74,6 @@ def missing_children(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.select(F.col("child").alias("url")).distinct().join(pages.select("url"), "url", "left_anti")
 
 
-def html_text(raw: Column) -> Column:
-    """Plain text of HTML by patterns: comments, scripts and styles go, tags become blanks, common entities are read."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
-
-
 def body_links(pages: DataFrame, html: str = "html", limit: int = 500) -> DataFrame:
     """``page_id, pos, href, external``: distinct links in order; anchors, mail, phone and script links are skipped.
 
@@ -147,13 +140,40 @@ def redirect_chains(edges: DataFrame, held: DataFrame, max_depth: int = 10) -> D
     return done.join(known, "final", "left").select("src", "final", "hops", found.alias("status"))
 
 
-def guardrail(text: Column, blocked: list[str]) -> Column:
-    """The first finding in a user's text as ``kind:masked``; null if there is none. E-mail, then phone, then a blocked whole word."""
-    mail = F.regexp_extract(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0)
-    phone = F.regexp_extract(text, r"\+[0-9][ ().0-9-]{7,}[0-9]", 0)
-    term = F.regexp_extract(F.lower(text), r"(?<![a-z])(?:" + "|".join(sorted(blocked)) + r")(?![a-z])", 0)
-    masked = lambda kind, c: F.when(c != "", F.concat(F.lit(f"{kind}:"), F.substring(c, 1, 1), F.lit("***")))
-    return F.coalesce(masked("email", mail), masked("phone", phone), masked("term", term))
+# Patterns of e-mail addresses and phone numbers, terms that are always blocked, and the words shown.
+EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+PHONE = r"(?U)(?<!\w)(?:\+?44\s?\d|0\d)(?:[\s\-]?\d){8,10}(?!\w)"
+BLOCKED = ("fuck", "shit", "cunt")
+FINDINGS = {"email": ("personal_data", "an email address (%s•••@%s•••)"), "phone": ("personal_data", "a phone number (•••%s)"), "term": ("prohibited_language", "language that is not permitted")}
+
+
+def guardrail(text: Column, extra: list[str] = ()) -> Column:
+    """The first finding in a user's text as ``kind, offending``; null if there is none.
+
+    E-mail address, then phone number, then a blocked whole word. What is shown is masked: the
+    first letters of name and host, the last two digits, nothing of a term. Null and empty texts
+    have no finding.
+    """
+    mail, phone = F.regexp_extract(text, EMAIL, 0), F.regexp_extract(text, PHONE, 0)
+    terms = sorted({t.strip().lower() for t in (*BLOCKED, *extra)} - {""})
+    blocked = text.rlike(r"(?iuU)\b(?:" + "|".join(rf"\Q{t}\E" for t in terms) + r")\b")
+    finding = lambda kind, shown: F.struct(F.lit(FINDINGS[kind][0]).alias("kind"), shown.alias("offending"))
+    first = lambda part: F.substring(F.split_part(mail, F.lit("@"), F.lit(part)), 1, 1)
+    digits = F.right(F.regexp_replace(phone, r"\D", ""), F.lit(2))
+    return (
+        F.when(mail != "", finding("email", F.format_string(FINDINGS["email"][1], first(1), first(2))))
+        .when(phone != "", finding("phone", F.format_string(FINDINGS["phone"][1], digits)))
+        .when(blocked, finding("term", F.lit(FINDINGS["term"][1])))
+    )
+
+
+#: Keys of a payload's date, the first filled one counts.
+DATE_KEYS = ("public_updated_at", "public_timestamp", "updated_at", "first_published_at")
+
+
+def payload_date(payload: Column) -> Column:
+    """The payload's date by the order of ``DATE_KEYS``; empty if there is none or the JSON is bad."""
+    return first_filled(*[F.get_json_object(payload, f"$.{k}") for k in DATE_KEYS])
 
 
 def view_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.html import bodies_text
 from corpusloom.functions.urls import canonical_url
-from corpusloom.operators.ingest import html_text
 
 _ITEM = "array<struct<base_path: string>>"
 _FILE = "array<struct<attachment_type: string, url: string>>"
@@ -18,10 +18,16 @@ def read(payload: Column) -> Column:
     return F.from_json(payload, SCHEMA)
 
 
-def body_text(payload: Column) -> Column:
-    """The body and the bodies of the parts, joined by blanks; empty for bad JSON."""
+def bodies(payload: Column) -> Column:
+    """The HTML of the body and of the parts, in order; those without any left out."""
     p = read(payload)
-    return F.concat_ws(" ", p["details"]["body"], F.transform(p["details"]["parts"], lambda x: x["body"]))
+    parts = F.coalesce(F.transform(p["details"]["parts"], lambda x: x["body"]), F.array().cast("array<string>"))
+    return F.filter(F.concat(F.array(p["details"]["body"]), parts), lambda b: F.coalesce(b, F.lit("")) != "")
+
+
+def body_text(payload: Column) -> Column:
+    """Plain text of the body and the parts, joined by blanks; empty for bad JSON."""
+    return bodies_text(bodies(payload))
 
 
 def absolute(path: Column, domain: str) -> Column:
@@ -47,7 +53,7 @@ def child_links(pages: DataFrame, domain: str = "example.org") -> DataFrame:
 
 def backfill_search_text(pages: DataFrame, rescan: bool = False) -> DataFrame:
     """``search_text`` made from the payload where it is missing, or everywhere with ``rescan``; bad JSON gives an empty text."""
-    made = html_text(body_text(F.col("payload")))
+    made = body_text(F.col("payload"))
     return pages.withColumn("search_text", made if rescan else F.coalesce("search_text", made))
 
 

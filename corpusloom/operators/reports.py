@@ -19,6 +19,7 @@ def org_breakdown(pages: DataFrame, links: DataFrame, top: int = TOP) -> DataFra
 
 
 def type_breakdown(pages: DataFrame) -> DataFrame:
+    """``type, n``: distinct pages of each effective type."""
     return pages.groupBy(effective_type().alias("type")).agg(F.countDistinct(page_key()).alias("n"))
 
 
@@ -42,9 +43,14 @@ def keyword_overlap(pages: DataFrame, words: list[str]) -> DataFrame:
 
 
 def category_summary(pages: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
-    """Counts by each dimension in one pass: (dimension, value, n)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), c.cast("string").alias("value")) for name, c in dimensions.items()]))
-    return pages.select(cells.alias("c")).groupBy("c.dimension", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    """``dimension, value, n, mean_age, computed_at`` of a selection's pages, by each dimension and in all, in one pass.
+
+    The dimension ``total`` has all pages and no value. ``mean_age`` leaves out pages without a
+    reading age, ``computed_at`` is the latest. An empty selection gives no rows.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), c.cast("string").alias("value")) for name, c in ({"total": F.lit(None)} | dimensions).items()]))
+    rows = pages.select(cells.alias("c"), "reading_age", "computed_at")
+    return rows.groupBy("c.dimension", "c.value").agg(F.count(F.lit(1)).alias("n"), F.avg("reading_age").alias("mean_age"), F.max("computed_at").alias("computed_at"))
 
 
 def audit(pages: DataFrame, links: DataFrame, organisations: list[str], types: list[str], words: list[str]) -> DataFrame:
@@ -56,11 +62,14 @@ def audit(pages: DataFrame, links: DataFrame, organisations: list[str], types: l
 
 
 def stage_stats(pages: DataFrame, asof: str) -> DataFrame:
-    """Size, means and freshness buckets of a stage in one aggregate."""
+    """Number, mean size, reading age, issues and stars, and freshness buckets of a stage, in one aggregate.
+
+    Means leave out nulls, and are null for an empty stage.
+    """
     band = freshness_band(F.col("public_updated_at"), asof)
-    names = {"< 1 month": "lt_1m", "1-3 months": "m1_3", "3-12 months": "m3_12", "1-2 years": "y1_2", "> 2 years": "gt_2y", "Unknown": "unknown"}
+    names = {"< 1 month": "lt_1m", "1-3 months": "m1_3", "3 months-1 year": "m3_12", "1-2 years": "y1_2", "> 2 years": "gt_2y", "Unknown": "unknown"}
     buckets = [F.sum((band == label).cast("int")).alias(name) for label, name in names.items()]
-    return pages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("search_text")).alias("mean_size"), *buckets)
+    return pages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("search_text")).alias("mean_size"), F.avg("reading_age").alias("mean_age"), F.avg("gds_english_score").alias("mean_issues"), F.avg("gds_stars").alias("mean_stars"), *buckets)
 
 
 def top_classes(scanned: DataFrame, weights: dict[str, float], sample: int = 25_000) -> DataFrame:
@@ -107,4 +116,5 @@ def spend_by_day(ledger: DataFrame) -> DataFrame:
 
 
 def spend_by_phase(ledger: DataFrame) -> DataFrame:
+    """``phase, spend, calls``; calls without a cost count but add nothing."""
     return ledger.groupBy("phase").agg(F.sum("cost").alias("spend"), F.count(F.lit(1)).alias("calls"))

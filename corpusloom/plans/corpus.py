@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.html import html_text
 from corpusloom.functions.urls import canonical_url, last_segment
 from corpusloom.operators import compare, filters, hierarchy, ingest, reports
 from corpusloom.plans.roles import CONTENT, ORGS, content, organisations, table
@@ -52,7 +53,7 @@ def payloads(s, d):
     """JSON payloads made of the documents, some broken."""
     k = F.col("doc_id")
     parent = F.when(k % 3 == 0, '[{"document_type":"guidance"}]').when(k % 3 == 1, '{"document_type":"policy_paper"}').otherwise("[]")
-    body = F.format_string('{"content_id":"c%d","document_type":"%s","title":"%s","public_updated_at":"%s","updated_at":"2026-01-02","links":{"parent":%s}}', k, F.when(k % 10 == 0, "redirect").otherwise("guidance"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("t"), k)), F.when(k % 2 == 0, "").otherwise("2025-05-05"), parent)
+    body = F.format_string('{"content_id":"c%d","document_type":"%s","title":"%s","public_updated_at":"%s","first_published_at":"2020-01-01","updated_at":"2026-01-02"%s,"links":{"parent":%s}}', k, F.when(k % 10 == 0, "redirect").otherwise("guidance"), F.when(k % 4 == 0, "").otherwise(F.concat(F.lit("t"), k)), F.when(k % 2 == 0, "").otherwise("2025-05-05"), F.when(k % 5 == 0, ',"public_timestamp":"2024-04-04"').otherwise(""), parent)
     return table(s, d, "documents").select("doc_id", F.when(k % 13 == 0, "{broken").otherwise(body).alias("payload"))
 
 
@@ -64,6 +65,12 @@ def redirects(s, d):
     return table(s, d, "customer").where(k > 20).select(url(k).alias("src"), url(to).alias("dst"))
 
 
+def _typed(k, text):
+    """What users might type: a text, some with a phone number before it."""
+    phone = F.element_at(F.array(*map(F.lit, ["call 07123 456789 ", "é07123456789 ", "+44 7123 456-789x ", "(0) 0712345678 "])), (k % 4 + 1).cast("int"))
+    return F.when(k % 3 == 0, F.concat(phone, F.substring(text, 1, 200))).otherwise(text)
+
+
 def d_change_detect(s, d):
     return ingest.change_classes(fetched(s, d), stored(s, d)).select("seq", "url", "change")
 
@@ -94,7 +101,8 @@ def _nation_pages(s, d):
 def h_forest(s, d):
     nation = table(s, d, "nation")
     two = nation.select(F.col("n_name").alias("parent"), F.concat(F.lit("unit"), F.col("n_nationkey") % 6).alias("child"))
-    return hierarchy.forest(h_edges(s, d).union(two), _nation_pages(s, d))
+    ring = s.createDataFrame([("unit1", "EUROPE"), ("unit2", "unit2"), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r2", "r4"), ("r4", "r5")], "parent string, child string")
+    return hierarchy.forest(h_edges(s, d).union(two).union(ring), _nation_pages(s, d))
 
 
 def h_expand(s, d):
@@ -105,15 +113,20 @@ def h_expand(s, d):
 def hits(s, d):
     """Search hits: pages by phrase, with a score."""
     k = F.col("doc_id")
-    rows = content(s, d).where(k % 3 != 1).select("doc_id", "url", F.explode(F.array(F.lit(0), F.lit(1))).alias("phrase_no")).where((F.col("phrase_no") == 0) | (k % 4 == 0))
+    rows = content(s, d).where(k % 3 != 1).select("doc_id", "url", "title", "document_type", F.explode(F.array(F.lit(0), F.lit(1))).alias("phrase_no")).where((F.col("phrase_no") == 0) | (k % 4 == 0))
     score = (k * 7 + F.col("phrase_no") * 13) % 100 / 100.0
-    return rows.select(F.col("url").alias("link"), "phrase_no", F.when(F.col("phrase_no") == 0, "slurry rules").otherwise("storage").alias("phrase"), score.alias("es_score"), k.alias("hit_no"))
+    return rows.select(F.col("url").alias("link"), F.concat(F.lit("hit "), "title").alias("title"), F.when(k % 5 != 0, F.col("document_type")).alias("document_type"), "phrase_no", F.when(F.col("phrase_no") == 0, "slurry rules").otherwise("storage").alias("phrase"), score.alias("es_score"), k.alias("hit_no"))
+
+
+WORDS = ["thand", "reth", "elle"]
 
 
 def compared(s, d):
-    short = filters.shortlist(content(s, d), organisations(s, d), types=["guidance", "policy_paper"]).select(filters.page_key().alias("key"), "url")
-    merged = compare.merge_hits(hits(s, d)).join(content(s, d).select(F.col("url").alias("link"), filters.page_key().alias("key")), "link")
-    return compare.compare(short, merged.select("key", F.col("link").alias("url"), "es_score"))
+    pages = content(s, d)
+    short = filters.shortlist(pages, organisations(s, d), types=["guidance", "policy_paper"])
+    members = filters.membership_hits(short, WORDS).join(pages.select("url", "title", filters.effective_type().alias("document_type")), "url")
+    merged = compare.merge_hits(hits(s, d)).join(pages.select(F.col("url").alias("link"), filters.page_key().alias("key")), "link")
+    return compare.compare(members.select(F.col("content_id").alias("key"), "url", "title", "document_type", F.col("hits").alias("matched")), merged.withColumnRenamed("link", "url"))
 
 
 def _held(s, d):
@@ -123,7 +136,12 @@ def _held(s, d):
 def c_containers(s, d):
     docs = content(s, d)
     attachments = docs.select(F.col("url").alias("container"), F.explode(F.array(F.col("doc_id") + 3, F.col("doc_id") + 5)).alias("a")).select("container", F.concat(F.lit("https://www.example.org/d/"), "a").alias("attachment"))
-    return compare.resolve_containers(compared(s, d).select("url", "source", "es_score"), attachments, _held(s, d))
+    out = compare.resolve_containers(compared(s, d), attachments, _held(s, d).select("url", filters.page_key().alias("key")))
+    return out.withColumn("phrases", F.array_join("phrases", ", "))
+
+
+def _flat(df):
+    return df.withColumns({c: F.array_join(c, ", ") for c in ("phrases", "matched")})
 
 
 QUERIES = {
@@ -137,14 +155,14 @@ QUERIES = {
     "d_extract_fields": lambda s, d: payloads(s, d).select("doc_id", *ingest.extract_fields(F.col("payload"))),
     "d_parent_type": lambda s, d: payloads(s, d).select("doc_id", ingest.parent_type(F.col("payload")).alias("parent_type")),
     "d_backfill_title": lambda s, d: payloads(s, d).select("doc_id", ingest.first_filled(F.get_json_object("payload", "$.title"), F.get_json_object("payload", "$.content_id")).alias("title")),
-    "d_backfill_date": lambda s, d: payloads(s, d).select("doc_id", ingest.first_filled(*[F.get_json_object("payload", f"$.{p}") for p in ("public_updated_at", "first_published_at", "updated_at")]).alias("date")),
-    "d_html_to_text": lambda s, d: table(s, d, "pages").select("page_id", ingest.html_text(F.col("html")).alias("text")),
+    "d_backfill_date": lambda s, d: payloads(s, d).select("doc_id", ingest.payload_date(F.col("payload")).alias("date")),
+    "d_html_to_text": lambda s, d: table(s, d, "pages").select("page_id", html_text(F.col("html")).alias("text")),
     "d_body_links": lambda s, d: ingest.body_links(table(s, d, "pages")),
     "d_children_missing": lambda s, d: ingest.missing_children(content(s, d).select(F.concat(F.lit("https://www.example.org/d/"), F.col("doc_id") * 3).alias("child")), content(s, d)),
     "d_scrub_orgs": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(ingest.scrub(F.col("text"), F.array(F.lit("the"), F.lit("there (x)"), F.lit("then"), F.lit(""))), 256).alias("scrubbed")),
     "d_redirect_chain": lambda s, d: ingest.redirect_chains(redirects(s, d), table(s, d, "customer").where("c_custkey BETWEEN 12 AND 20").select(F.concat(F.lit("/c/"), "c_custkey").alias("url")), 5),
     "d_redirect_todo": lambda s, d: redirects(s, d).join(redirects(s, d).where(F.length("src") % 2 == 0).select("src"), "src", "left_anti").select("src"),
-    "d_guardrail_scan": lambda s, d: table(s, d, "documents").select("doc_id", ingest.guardrail(F.col("text"), ["idiot", "stupid", "scum"]).alias("finding")),
+    "d_guardrail_scan": lambda s, d: table(s, d, "documents").select("doc_id", ingest.guardrail(_typed(F.col("doc_id"), F.col("text")), ["idiot", "Stupid", "scum"]).alias("f")).select("doc_id", "f.kind", "f.offending"),
     "d_view_counts": lambda s, d: ingest.view_counts(table(s, d, "documents").select(F.concat(F.lit("https://h/a/"), F.col("doc_id") % 50, F.lit("/"), F.col("doc_id")).alias("url")), table(s, d, "documents").where("doc_id < 20").select(F.concat(F.lit("https://h/a/"), F.col("doc_id")).alias("path"), F.col("n_chars").alias("views")).union(table(s, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("https://h/a/"), F.col("doc_id") % 50, F.lit("/"), F.col("doc_id")), F.col("doc_id")))),
     "d_extract_orgs": lambda s, d: table(s, d, "pages").select("page_id", last_segment(F.regexp_replace("url", "[?#].*$", "")).alias("slug")),
     "h_edges": h_edges,
@@ -153,12 +171,15 @@ QUERIES = {
     "h_expand": h_expand,
     "h_forest": h_forest,
     "h_page_counts": lambda s, d: hierarchy.page_counts(content(s, d).where(filters.is_usable()), organisations(s, d)),
-    "h_registry_list": lambda s, d: hierarchy.registry_list(organisations(s, d).select(F.concat("organisation_slug", F.lit("-office")).alias("slug"))),
+    "h_registry_list": lambda s, d: hierarchy.registry_list(organisations(s, d).select(F.concat("organisation_slug", F.lit("-office")).alias("slug"), F.when(F.col("organisation_slug") == "even", "an even Office").when(F.col("organisation_slug") == "odd", "").alias("title"))),
     "a_corpus_totals": lambda s, d: reports.corpus_totals(content(s, d), table(s, d, "documents").select(F.concat(F.lit("https://www.example.org/d/"), F.col("doc_id") * 2).alias("url"))),
-    "src_search_hits": lambda s, d: compare.merge_hits(hits(s, d)).select("link", F.array_join("phrases", ",").alias("phrases"), "es_score", "first_hit"),
-    "c_compare": lambda s, d: compared(s, d),
-    "c_summary": lambda s, d: compare.summary(compared(s, d)).withColumn("mean_score", F.round("mean_score", 6)),
-    "c_pages": lambda s, d: compare.augmented(compared(s, d), _held(s, d), 0.2),
+    "src_search_hits": lambda s, d: compare.merge_hits(hits(s, d)).withColumn("phrases", F.array_join("phrases", ",")),
+    "src_search_totals": lambda s, d: compare.phrase_totals(hits(s, d), 60),
+    "src_search_types": lambda s, d: compare.hit_types(compare.merge_hits(hits(s, d))),
+    "c_compare": lambda s, d: _flat(compared(s, d)),
+    "c_summary": lambda s, d: compare.summary(compared(s, d), 0.2).withColumn("mean_score", F.round("mean_score", 6)),
+    "c_evaluable": lambda s, d: compare.evaluable(compared(s, d), _held(s, d), 0.2),
+    "c_pages": lambda s, d: _flat(compare.augmented(compared(s, d), _held(s, d), 0.2, title="an")),
     "c_pending": lambda s, d: compare.pending(compared(s, d), _held(s, d)),
     "c_containers": c_containers,
 }
@@ -171,14 +192,16 @@ changes AS (SELECT f.*, s.old, CASE WHEN f.url IS NULL THEN 'invalid' WHEN row_n
 _MAP = "sitemap AS (SELECT 'https://www.example.org/o/' || o_orderkey AS url, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS lastmod FROM orders)"
 _JSON = """p AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'c' || doc_id END AS content_id, CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 10 = 0 THEN 'redirect' ELSE 'guidance' END END AS document_type,
   CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 4 = 0 THEN '' ELSE 't' || doc_id END END AS title, CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 2 = 0 THEN '2026-01-02' ELSE '2025-05-05' END AS updated_at,
+  CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 2 = 1 THEN '2025-05-05' WHEN doc_id % 5 = 0 THEN '2024-04-04' ELSE '2026-01-02' END AS dated,
   CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'guidance' WHEN doc_id % 3 = 1 THEN 'policy_paper' ELSE '' END AS parent_type FROM documents)"""
 _EDGE = "edges AS (SELECT 'o' || CASE WHEN p_partkey = 1 THEN 3 ELSE p_partkey // 2 END AS parent, 'o' || p_partkey AS child FROM part)"
 _NAT = "he AS (SELECT DISTINCT r_name AS parent, n_name AS child FROM region JOIN nation ON r_regionkey = n_regionkey)"
 _RED = "red AS (SELECT '/c/' || c_custkey AS src, '/c/' || CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 1 WHEN (c_custkey - 1) % 97 = 0 THEN c_custkey - 1 ELSE c_custkey // 2 END AS dst FROM customer WHERE c_custkey > 20)"
-_HITS = f"""{CONTENT}, {ORGS}, hits AS (SELECT doc_id, url AS link, key, ph, ((doc_id * 7 + ph * 13) % 100) / 100.0::DOUBLE AS es_score FROM typed, unnest([0, 1]) t(ph) WHERE doc_id % 3 <> 1 AND (ph = 0 OR doc_id % 4 = 0)),
-h AS (SELECT key, min(link) AS h_url, max(es_score) AS es_score FROM hits GROUP BY key),
-sh AS (SELECT key, min(url) AS s_url FROM typed WHERE usable AND eff IN ('guidance', 'policy_paper') GROUP BY key),
-cmp AS (SELECT coalesce(sh.key, h.key) AS key, coalesce(s_url, h_url) AS url, CASE WHEN s_url IS NOT NULL AND h_url IS NOT NULL THEN 'both' WHEN h_url IS NULL THEN 'shortlister' ELSE 'search' END AS source, es_score FROM sh FULL JOIN h ON sh.key = h.key)"""
+_HITS = f"""{CONTENT}, {ORGS}, hits AS (SELECT doc_id, url AS link, key, 'hit ' || title AS title, CASE WHEN doc_id % 5 <> 0 THEN document_type END AS document_type, ph, ((doc_id * 7 + ph * 13) % 100) / 100.0::DOUBLE AS es_score FROM typed, unnest([0, 1]) t(ph) WHERE doc_id % 3 <> 1 AND (ph = 0 OR doc_id % 4 = 0)),
+merged AS (SELECT link, key, title, document_type, doc_id AS first_hit, string_agg(CASE WHEN ph = 0 THEN 'slurry rules' ELSE 'storage' END, ', ' ORDER BY ph) AS phrases, max(es_score) AS es_score FROM hits GROUP BY ALL),
+h AS (SELECT key, arg_min({{'u': link, 't': title, 'd': document_type, 'p': phrases, 'e': es_score}}, first_hit) AS h FROM merged GROUP BY key),
+sh AS (SELECT key, arg_min({{'u': url, 't': title, 'd': eff}}, url) AS s, concat_ws(', ', CASE WHEN bool_or(contains(kwt, 'thand')) THEN 'thand' END, CASE WHEN bool_or(contains(kwt, 'reth')) THEN 'reth' END, CASE WHEN bool_or(contains(kwt, 'elle')) THEN 'elle' END) AS matched FROM typed WHERE usable AND eff IN ('guidance', 'policy_paper') GROUP BY key),
+cmp AS (SELECT coalesce(sh.key, h.key) AS key, CASE WHEN s IS NULL THEN h.u ELSE s.u END AS url, CASE WHEN s IS NULL THEN h.t ELSE s.t END AS title, CASE WHEN s IS NULL THEN h.d ELSE s.d END AS document_type, CASE WHEN s IS NOT NULL AND h IS NOT NULL THEN 'both' WHEN h IS NULL THEN 'shortlister' ELSE 'search' END AS source, h.p AS phrases, matched, h.e AS es_score FROM sh FULL JOIN h ON sh.key = h.key)"""
 
 ORACLE_SQL = {
     "d_canonical_url": f"""WITH {_RAW} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'https://www.example.org/d/' || doc_id WHEN doc_id % 10 IN (1, 2) THEN 'https://www.example.org/d/' || doc_id WHEN doc_id % 10 = 3 THEN 'https://www.example.org/D/' || doc_id WHEN doc_id % 10 = 7 THEN 'https://www.example.org/' END AS url FROM raw""",
@@ -191,9 +214,10 @@ ORACLE_SQL = {
     "d_extract_fields": f"WITH {_JSON} SELECT doc_id, content_id, document_type, title, updated_at, false AS withdrawn, document_type = 'redirect' AS is_redirect, NULL::VARCHAR AS destination FROM p",
     "d_parent_type": f"WITH {_JSON} SELECT doc_id, parent_type FROM p",
     "d_backfill_title": f"WITH {_JSON} SELECT doc_id, coalesce(nullif(title, ''), content_id, '') AS title FROM p",
-    "d_backfill_date": f"WITH {_JSON} SELECT doc_id, updated_at AS date FROM p",
-    "d_html_to_text": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs'), '<(script)\b.*?</script\s*>|<(style)\b.*?</style\s*>', ' ', 'gsi'), '<[^>]*>', ' ', 'gs') AS t FROM pages)
-      SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM a""",
+    "d_backfill_date": f"WITH {_JSON} SELECT doc_id, dated AS date FROM p",
+    "d_html_to_text": r"""WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS t FROM pages),
+      a AS (SELECT page_id, regexp_replace(regexp_replace(replace(t, '&amp;', '&'), '<!--.*?-->', '', 'gs'), '<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'gsi') AS t FROM e)
+      SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '</(p|li|h[1-6]|td|th|br|div)\s*>', ' ', 'gi'), '<[/!a-zA-Z][^>]*(>|$)', '', 'g'), '\s+', ' ', 'g')) AS text FROM a""",
     "d_body_links": r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), 1) AS i FROM pages),
       f AS (SELECT page_id, href, min(i) AS i FROM h WHERE NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:|$)') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM f)
       SELECT page_id, CAST(pos AS INTEGER) AS pos, href, regexp_matches(href, '^https?://') AS external FROM r WHERE pos < 500""",
@@ -205,29 +229,39 @@ ORACLE_SQL = {
       last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hops DESC, status <> 'open' DESC) AS n FROM w) WHERE n = 1)
       SELECT src, tip AS final, hops, CASE WHEN status = 'end' THEN CASE WHEN tip IN (SELECT '/c/' || c_custkey FROM customer WHERE c_custkey BETWEEN 12 AND 20) THEN 'ok' ELSE 'not_found' END WHEN status = 'open' THEN 'max_depth' ELSE status END AS status FROM last""",
     "d_redirect_todo": f"WITH {_RED} SELECT src FROM red WHERE length(src) % 2 = 1",
-    "d_guardrail_scan": r"""WITH f AS (SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS mail, regexp_extract(text, '\+[0-9][ ().0-9-]{7,}[0-9]') AS phone, regexp_extract(regexp_replace(lower(text), '([a-z]+)', '<\1>', 'g'), '<(idiot|scum|stupid)>', 1) AS term FROM documents)
-      SELECT doc_id, CASE WHEN mail <> '' THEN 'email:' || mail[1] || '***' WHEN phone <> '' THEN 'phone:' || phone[1] || '***' WHEN term <> '' THEN 'term:' || term[1] || '***' END AS finding FROM f""",
+    "d_guardrail_scan": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['call 07123 456789 ', 'é07123456789 ', '+44 7123 456-789x ', '(0) 0712345678 '][doc_id % 4 + 1] || substr(text, 1, 200) ELSE text END AS text FROM documents),
+      f AS (SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS mail, regexp_extract(text, '(?:^|[^\p{L}\p{N}_])((?:\+?44\s?\d|0\d)(?:[\s\-]?\d){8,10})(?:[^\p{L}\p{N}_]|$)', 1) AS phone,
+        regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:fuck|shit|cunt|idiot|stupid|scum)(?:[^\p{L}\p{N}_]|$)') AS term FROM t)
+      SELECT doc_id, CASE WHEN mail <> '' OR phone <> '' THEN 'personal_data' WHEN term THEN 'prohibited_language' END AS kind,
+        CASE WHEN mail <> '' THEN 'an email address (' || mail[1] || '•••@' || split_part(mail, '@', 2)[1] || '•••)' WHEN phone <> '' THEN 'a phone number (•••' || right(regexp_replace(phone, '\D', '', 'g'), 2) || ')' WHEN term THEN 'language that is not permitted' END AS offending FROM f""",
     "d_view_counts": "WITH c AS (SELECT 'https://h/a/' || doc_id AS path, n_chars AS views FROM documents WHERE doc_id < 20 UNION ALL SELECT 'https://h/a/' || doc_id % 50 || '/' || doc_id, doc_id FROM documents WHERE doc_id % 3 = 0), p AS (SELECT 'https://h/a/' || doc_id % 50 || '/' || doc_id AS url, 'https://h/a/' || doc_id % 50 AS parent FROM documents) SELECT url, coalesce(o.views, a.views) AS views, CASE WHEN o.views IS NOT NULL THEN 'page' WHEN a.views IS NOT NULL THEN 'parent' END AS views_from FROM p LEFT JOIN c o ON o.path = url LEFT JOIN c a ON a.path = parent",
     "d_extract_orgs": "SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1] AS slug FROM pages",
     "h_edges": f"WITH {_NAT} SELECT parent, child FROM he",
     "h_children": f"WITH {_NAT} SELECT child AS slug FROM he WHERE parent = 'EUROPE'",
     "h_descendants": f"WITH RECURSIVE {_EDGE}, x AS (SELECT child AS slug FROM edges WHERE parent = 'o5' UNION SELECT child FROM edges JOIN x ON parent = slug) SELECT slug FROM x",
     "h_expand": f"WITH RECURSIVE {_EDGE}, x AS (SELECT * FROM (VALUES ('a', 'o5'), ('a', 'o9'), ('b', 'o40'), ('c', 'o1')) v(root, slug) UNION SELECT root, child FROM edges JOIN x ON parent = slug) SELECT root, slug FROM x",
-    "h_forest": f"""WITH RECURSIVE {_NAT}, e AS (SELECT * FROM he UNION ALL SELECT n_name, 'unit' || n_nationkey % 6 FROM nation), pc AS (SELECT n_name AS slug, count(*) AS pages FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
-      one AS (SELECT parent, child FROM (SELECT parent, child, row_number() OVER (PARTITION BY child ORDER BY coalesce(pages, 0) DESC, parent) AS n FROM e LEFT JOIN pc ON slug = parent) WHERE n = 1),
-      f AS (SELECT slug, NULL::VARCHAR AS parent, 0 AS depth FROM (SELECT parent AS slug FROM e UNION SELECT child FROM e) WHERE slug NOT IN (SELECT child FROM one) UNION ALL SELECT child, one.parent, depth + 1 FROM one JOIN f ON one.parent = f.slug)
-      SELECT slug, parent, depth FROM f""",
+    "h_forest": f"""WITH RECURSIVE {_NAT}, e AS (SELECT * FROM he UNION ALL SELECT n_name, 'unit' || n_nationkey % 6 FROM nation UNION ALL VALUES ('unit1', 'EUROPE'), ('unit2', 'unit2'), ('r1', 'r2'), ('r2', 'r3'), ('r3', 'r1'), ('r2', 'r4'), ('r4', 'r5')),
+      pc AS (SELECT n_name AS slug, count(*) AS pages FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
+      one AS (SELECT parent, child FROM (SELECT parent, child, row_number() OVER (PARTITION BY child ORDER BY coalesce(pages, 0) DESC, parent) AS n FROM e LEFT JOIN pc ON slug = parent WHERE parent <> child) WHERE n = 1),
+      up AS (SELECT child AS origin, parent AS tip, 1 AS d FROM one UNION ALL SELECT origin, one.parent, d + 1 FROM up JOIN one ON tip = child WHERE tip <> origin AND d < 12), ring AS (SELECT DISTINCT origin FROM up WHERE tip = origin),
+      kept AS (SELECT * FROM one WHERE child NOT IN (FROM ring)),
+      f AS (SELECT slug, NULL::VARCHAR AS parent, 0 AS depth FROM (SELECT parent AS slug FROM e UNION SELECT child FROM e) WHERE slug NOT IN (SELECT child FROM kept) UNION ALL SELECT child, kept.parent, depth + 1 FROM kept JOIN f ON kept.parent = f.slug)
+      SELECT f.slug, parent, depth, coalesce(pages, 0) AS pages FROM f LEFT JOIN pc ON pc.slug = f.slug""",
     "h_page_counts": f"WITH {CONTENT}, {ORGS} SELECT organisation_slug AS slug, count(DISTINCT key) AS pages FROM typed JOIN po USING (url) WHERE usable GROUP BY 1",
-    "h_registry_list": "SELECT * FROM (VALUES ('de-office', 'De Office'), ('en-office', 'En Office'), ('es-office', 'Es Office'), ('even-office', 'Even Office'), ('fr-office', 'Fr Office'), ('odd-office', 'Odd Office')) v(slug, name) WHERE slug IN (SELECT lang || '-office' FROM documents UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even-office' ELSE 'odd-office' END FROM documents)",
+    "h_registry_list": "SELECT * FROM (VALUES ('de-office', 'De Office'), ('en-office', 'En Office'), ('es-office', 'Es Office'), ('even-office', 'an even Office'), ('fr-office', 'Fr Office'), ('odd-office', 'Odd Office')) v(slug, title) WHERE slug IN (SELECT lang || '-office' FROM documents UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even-office' ELSE 'odd-office' END FROM documents)",
     "a_corpus_totals": f"WITH {CONTENT}, fr AS (SELECT 'https://www.example.org/d/' || doc_id * 2 AS url FROM documents) SELECT count(*) AS total, count(content_hash) AS fetched, CAST(sum(is_redirect::INT) AS BIGINT) AS redirects, count(content_hash) * 100.0::DOUBLE / count(*) AS pct_fetched, (SELECT count(*) FROM fr) AS sitemap, (SELECT count(*) FROM fr WHERE url NOT IN (SELECT url FROM typed WHERE content_hash IS NOT NULL)) AS backlog FROM typed",
-    "src_search_hits": f"WITH {_HITS} SELECT link, string_agg(CASE WHEN ph = 0 THEN 'slurry rules' ELSE 'storage' END, ',' ORDER BY ph) AS phrases, max(es_score) AS es_score, min(doc_id) AS first_hit FROM hits GROUP BY link",
+    "src_search_hits": f"WITH {_HITS} SELECT link, replace(phrases, ', ', ',') AS phrases, es_score, title, document_type, first_hit FROM merged",
+    "src_search_totals": f"WITH {_HITS} SELECT CASE WHEN ph = 0 THEN 'slurry rules' ELSE 'storage' END AS phrase, count(*) AS total, least(count(*), 60) AS within, count(*) > 60 AS capped FROM hits GROUP BY 1",
+    "src_search_types": f"WITH {_HITS} SELECT coalesce(document_type, 'unknown') AS document_type, count(*) AS n FROM merged GROUP BY 1",
     "c_compare": f"WITH {_HITS} SELECT * FROM cmp",
-    "c_summary": f"WITH {_HITS} SELECT source, count(*) AS n, round(avg(es_score), 6) AS mean_score FROM cmp GROUP BY source",
-    "c_pages": f"WITH {_HITS} SELECT key, url, source, es_score, url IN (SELECT url FROM typed WHERE doc_id % 5 <> 1) AS loaded FROM cmp WHERE NOT (source = 'search' AND coalesce(es_score < 0.2, false))",
+    "c_summary": f"WITH {_HITS} SELECT v.source AS source, count(cmp.source) AS n, round(avg(es_score), 6) AS mean_score FROM (VALUES ('both'), ('shortlister'), ('search')) v(source) LEFT JOIN cmp ON cmp.source = v.source AND NOT (cmp.source = 'search' AND es_score < 0.2) GROUP BY 1",
+    "c_evaluable": f"WITH {_HITS}, t AS (SELECT *, url IN (SELECT url FROM typed WHERE doc_id % 5 <> 1) AS held FROM cmp WHERE NOT (source = 'search' AND es_score < 0.2)) SELECT count(*) AS total, count(*) FILTER (source = 'search' AND held) AS evaluable, count(*) FILTER (source = 'search' AND NOT held) AS pending_fetch FROM t",
+    "c_pages": f"WITH {_HITS} SELECT *, url IN (SELECT url FROM typed WHERE doc_id % 5 <> 1) AS loaded FROM cmp WHERE NOT (source = 'search' AND coalesce(es_score < 0.2, false)) AND contains(lower(title), 'an')",
     "c_pending": f"WITH {_HITS} SELECT url FROM cmp WHERE source = 'search' AND url NOT IN (SELECT url FROM typed WHERE doc_id % 5 <> 1)",
     "c_containers": f"""WITH {_HITS}, att AS (SELECT url AS container, 'https://www.example.org/d/' || a AS attachment FROM typed, unnest([doc_id + 3, doc_id + 5]) t(a)),
-      k AS (SELECT container, attachment, es_score, attachment IN (SELECT url FROM typed WHERE doc_id % 5 <> 1) AS held FROM cmp JOIN att ON container = url WHERE source = 'search'),
-      whole AS (SELECT container FROM k GROUP BY 1 HAVING bool_and(held)), moved AS (SELECT attachment AS url, arg_min(es_score, container) AS ms FROM k WHERE container IN (FROM whole) GROUP BY 1)
-      SELECT coalesce(c.url, m.url) AS url, CASE WHEN m.url IS NOT NULL AND source = 'shortlister' THEN 'both' WHEN source IS NULL THEN 'search' ELSE source END AS source, coalesce(es_score, ms) AS es_score
-      FROM (SELECT * FROM cmp WHERE url NOT IN (FROM whole)) c FULL JOIN moved m ON c.url = m.url""",
+      k AS (SELECT container, attachment, phrases, es_score, t.key AS held FROM cmp JOIN att ON container = cmp.url LEFT JOIN (SELECT url, key FROM typed WHERE doc_id % 5 <> 1) t ON t.url = attachment WHERE source = 'search'),
+      whole AS (SELECT container FROM k GROUP BY 1 HAVING bool_and(held IS NOT NULL)), moved AS (SELECT held AS key, arg_min({{'a': attachment, 'p': phrases, 'e': es_score}}, {{'c': container, 'a': attachment}}) AS m FROM k WHERE container IN (FROM whole) GROUP BY 1)
+      SELECT coalesce(c.key, m.key) AS key, coalesce(c.url, m.m.a) AS url, CASE WHEN m.key IS NOT NULL AND source = 'shortlister' THEN 'both' WHEN source IS NULL THEN 'search' ELSE source END AS source,
+        CASE WHEN source IS NULL OR source = 'shortlister' THEN coalesce(phrases, m.m.p) ELSE phrases END AS phrases, CASE WHEN source IS NULL OR source = 'shortlister' THEN coalesce(es_score, m.m.e) ELSE es_score END AS es_score
+      FROM (SELECT * FROM cmp WHERE url NOT IN (FROM whole)) c FULL JOIN moved m ON c.key = m.key""",
 }

@@ -65,13 +65,31 @@ def e_parse_decision(s, d):
 
 
 def usage_rows(s, d):
+    """Payloads of both shapes, some without a split, without output, or broken."""
     k = F.col("event_id")
-    payload = F.when(k % 2 == 0, F.format_string('{"prompt_tokens":%d,"completion_tokens":%d,"prompt_cache_hit_tokens":%d,"prompt_cache_miss_tokens":%d}', k % 1000 + k % 300, k % 70, k % 300, k % 1000)).otherwise(
-        F.format_string('{"input_tokens":%d,"output_tokens":%d,"cache_read_input_tokens":%d}', k % 1000, k % 70, k % 300)
+    payload = (
+        F.when(k % 11 == 0, "{broken")
+        .when(k % 7 == 0, F.format_string('{"input_tokens":%d,"cache_read_input_tokens":%d}', k % 1000, k % 300))
+        .when(k % 6 == 0, F.format_string('{"prompt_tokens":%d,"completion_tokens":%d,"prompt_cache_hit_tokens":%d}', k % 1000, k % 70, k % 300))
+        .when(k % 2 == 0, F.format_string('{"prompt_tokens":%d,"completion_tokens":%d,"prompt_cache_hit_tokens":%d,"prompt_cache_miss_tokens":%d}', k % 1000 + k % 300, k % 70, k % 300, k % 1000))
+        .when(k % 3 == 0, F.format_string('{"input_tokens":%d,"output_tokens":%d}', k % 1000, k % 70))
+        .otherwise(F.format_string('{"input_tokens":%d,"output_tokens":%d,"cache_read_input_tokens":%d,"cache_creation_input_tokens":%d}', k % 1000, k % 70, k % 300, k % 40))
     )
     return table(s, d, "events").select("event_id", payload.alias("payload"))
 
 
+def paid_runs(s, d):
+    """The priced calls as runs: one for each user and phase; some lost their tokens."""
+    k = F.col("user_id")
+    sums = [F.sum(c).alias(c) for c in ("cost", "miss", "hit", "out")]
+    rows = priced(s, d).join(table(s, d, "events").select("event_id", "user_id"), "event_id").groupBy("user_id", "model", "phase").agg(*sums)
+    lost = lambda c: F.when(k % 9 != 0, c)
+    return rows.select(
+        F.concat_ws(":", "user_id", "phase").alias("run_id"), F.when(k % 4 != 0, F.concat(F.lit("p"), k % 3)).alias("provider"), "model", "phase", "cost",
+        lost(F.col("miss") + F.col("hit")).alias("total"), lost(F.col("hit")).alias("hit"), lost(F.col("miss")).alias("miss"), lost(F.col("out")).alias("out"), (k % 50).alias("pages"), (k % 10).alias("kept"),
+    )
+
+
 def priced(s, d):
     grid = s.createDataFrame([("small", 0.003, 0.006, 0.15, 0.30, 0.60, 1.20), ("large", None, None, 0.5, 1.0, 2.0, 4.0)], "model string, in_hit_off double, in_hit_peak double, in_miss_off double, in_miss_peak double, out_off double, out_peak double")
     return cost.call_cost(ledger(s, d).withColumn("peak", cost.is_peak(F.col("ts"), BITMAP)), grid)
@@ -103,6 +121,11 @@ def _rounded(df, *names):
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
+def _footprints(df):
+    """Sums of money and energy to so many places as their order of adding leaves alone."""
+    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+
+
 QUERIES = {
     "e_candidates": e_candidates,
     "e_scoped_candidates": lambda s, d: runs.scoped_candidates(b_(s, d).where("keep = 1"), content(s, d).where(filters.is_usable()), a_(s, d).where("keep = 0")),
@@ -136,7 +159,7 @@ QUERIES = {
     "g_votes": lambda s, d: gold.latest_votes(votes(s, d)),
     "g_consensus": lambda s, d: gold.consensus(gold.latest_votes(votes(s, d))),
     "g_agreement": g_agreement,
-    "g_validate_sheet": lambda s, d: gold.sheet_errors(sheet(s, d), filters.membership(short(s, d))),
+    "g_validate_sheet": lambda s, d: gold.sheet_errors(sheet(s, d), filters.membership(short(s, d)), content(s, d).where("doc_id % 4 <> 0")),
     "g_gold_sha": lambda s, d: gold.gold_sha(gold_labels(s, d)),
     "m_confusion": lambda s, d: metrics.confusion(gold_labels(s, d), a_(s, d).where("doc_id % 11 <> 0")),
     "m_rates": lambda s, d: _rounded(metrics.rates(metrics.confusion(gold_labels(s, d), a_(s, d))).drop("tp", "fp", "fn", "tn", "n", "unparsed"), "precision", "recall", "specificity", "accuracy", "f1"),
@@ -154,9 +177,10 @@ QUERIES = {
     "k_usage_norm": lambda s, d: usage_rows(s, d).select("event_id", *cost.usage(F.col("payload"))),
     "k_peak": lambda s, d: table(s, d, "events").select("event_id", cost.is_peak(F.col("ts"), BITMAP).alias("peak")),
     "k_call_cost": lambda s, d: priced(s, d).select("event_id", F.round("cost", 9).alias("cost")),
-    "k_footprint": lambda s, d: _rounded(cost.footprint(ledger(s, d)), "amount"),
-    "k_footprint_summary": lambda s, d: _rounded(cost.by_model_and_phase(priced(s, d)), "cost"),
-    "k_data_issues": lambda s, d: cost.data_issues(priced(s, d).withColumn("total", F.when(F.col("event_id") % 50 != 0, F.col("miss")))).select("event_id"),
+    "k_footprint": lambda s, d: _rounded(cost.footprint(ledger(s, d).withColumn("total", F.col("miss") + F.col("hit"))), "amount"),
+    "k_footprint_summary": lambda s, d: _footprints(cost.footprint_summary(paid_runs(s, d))),
+    "k_equivalents": lambda s, d: _rounded(cost.equivalents(cost.footprint(ledger(s, d).withColumn("total", F.col("miss") + F.col("hit")))), "amount"),
+    "k_data_issues": lambda s, d: cost.data_issues(paid_runs(s, d)).select("run_id", F.round("cost", 6).alias("cost")),
     "a_spend_by_phase": lambda s, d: _rounded(reports.spend_by_phase(priced(s, d)), "spend"),
     "a_spend_by_day": lambda s, d: reports.spend_by_day(priced(s, d)).select("day", F.round("spend", 6).alias("spend"), F.round("running", 6).alias("running")),
     "a_run_health": lambda s, d: _rounded(reports.run_health(_run_log(s, d)), "success"),
@@ -177,6 +201,8 @@ conf AS (SELECT bound, count(*) FILTER (truth AND kept) AS tp, count(*) FILTER (
 _PEAK = f"substr('{BITMAP}', (isodow(ts) - 1) * 24 + hour(ts) + 1, 1) = '1'"
 _PRICED = f"""{LEDGER}, priced AS (SELECT *, {_PEAK} AS peak, CASE WHEN model = 'small' THEN CASE WHEN {_PEAK} THEN miss * 0.30::DOUBLE + hit * 0.006::DOUBLE + out * 1.20::DOUBLE ELSE miss * 0.15::DOUBLE + hit * 0.003::DOUBLE + out * 0.60::DOUBLE END
   ELSE CASE WHEN {_PEAK} THEN (miss + hit) * 1.0::DOUBLE + out * 4.0::DOUBLE ELSE (miss + hit) * 0.5::DOUBLE + out * 2.0::DOUBLE END END / 1e6 AS cost FROM ledger)"""
+_PAID = f"""{_PRICED}, per AS (SELECT user_id AS k, p.model, p.phase, sum(cost) AS cost, sum(miss) AS miss, sum(hit) AS hit, sum(out) AS o FROM priced p JOIN events USING (event_id) GROUP BY ALL),
+paid AS (SELECT k || ':' || phase AS run_id, CASE WHEN k % 4 <> 0 THEN 'p' || k % 3 ELSE '?' END AS provider, model, phase, cost, CASE WHEN k % 9 <> 0 THEN miss + hit END AS total, CASE WHEN k % 9 <> 0 THEN hit END AS hit, CASE WHEN k % 9 <> 0 THEN miss END AS miss, CASE WHEN k % 9 <> 0 THEN o END AS o, k % 50 AS pages, k % 10 AS kept FROM per)"""
 _FINAL = "{n} AS (SELECT i.url, coalesce(i.keep = 1, false) AND (e.url IS NULL OR coalesce(e.keep = 1, false)) AS final FROM {i} i LEFT JOIN {e} e ON e.url = i.url)"
 _SECOND = "second AS (SELECT * FROM vb WHERE doc_id % 5 <> 2)"
 _AB = "ab AS (SELECT url, a.keep AS ak, b.keep AS bk, a.score AS sa, b.score AS sb FROM va a JOIN vb b USING (url))"
@@ -216,7 +242,7 @@ ORACLE_SQL = {
     "g_consensus": f"WITH {VOTES}, s AS (SELECT url, label, count(*) AS n FROM latest GROUP BY ALL), p AS (SELECT url, CAST(sum(n) AS BIGINT) AS n_votes, max(n) AS most, arg_max(label, n * 10 + CASE label WHEN 'out' THEN 3 WHEN 'in' THEN 2 ELSE 1 END) AS top FROM s GROUP BY url), k AS (SELECT *, CASE WHEN n_votes = 1 THEN 'single' WHEN most = n_votes THEN 'unanimous' WHEN most * 2 > n_votes THEN 'majority' ELSE 'split' END AS kind FROM p) SELECT url, n_votes, CASE WHEN kind = 'split' THEN 'borderline' ELSE top END AS label, kind FROM k",
     "g_agreement": f"WITH {VOTES}, j AS (SELECT x.labeller AS a, y.labeller AS b, x.label AS la, y.label AS lb FROM latest x JOIN latest y ON x.url = y.url AND x.labeller < y.labeller), n AS (SELECT a, b, count(*) AS n, avg((la = lb)::INT) AS po FROM j GROUP BY ALL), l AS (SELECT a, b, la AS label, count(*) AS x FROM j GROUP BY ALL), r AS (SELECT a, b, lb AS label, count(*) AS y FROM j GROUP BY ALL), c AS (SELECT a, b, sum(x * y) AS xy FROM l JOIN r USING (a, b, label) GROUP BY ALL) SELECT a, b, n, round(po, 9) AS agreement, round((po - xy::DOUBLE / (n * n)) / (1 - xy::DOUBLE / (n * n)), 9) AS kappa FROM n JOIN c USING (a, b)",
     "g_validate_sheet": f"WITH {CONTENT}, {_SHORT}, s AS (SELECT doc_id AS line, CASE WHEN doc_id % 19 = 0 THEN '' ELSE 'https://www.example.org/d/' || doc_id // 2 * 2 END AS url, doc_id FROM documents), e AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY line) AS n FROM s) "
-    "SELECT line, 'empty url' AS error FROM e WHERE url = '' UNION ALL SELECT line, 'duplicate url' FROM e WHERE url <> '' AND n > 1 UNION ALL SELECT line, 'not forwarded' FROM e WHERE url <> '' AND url NOT IN (SELECT url FROM mem) UNION ALL SELECT line, 'bad label' FROM e WHERE doc_id % 7 = 0 UNION ALL SELECT line, 'missing rationale' FROM e WHERE doc_id % 5 = 0",
+    "SELECT line, 'empty url' AS error FROM e WHERE url = '' UNION ALL SELECT line, 'duplicate url' FROM e WHERE url <> '' AND n > 1 UNION ALL SELECT line, CASE WHEN (doc_id // 2 * 2) % 4 = 0 THEN 'not in corpus' ELSE 'not forwarded' END FROM e WHERE url <> '' AND ((doc_id // 2 * 2) % 4 = 0 OR url NOT IN (SELECT url FROM mem)) UNION ALL SELECT line, 'bad label' FROM e WHERE doc_id % 7 = 0 UNION ALL SELECT line, 'missing rationale' FROM e WHERE doc_id % 5 = 0",
     "g_gold_sha": f"WITH {GOLD} SELECT sha256(string_agg(url || chr(9) || label, chr(10) ORDER BY url || chr(9) || label)) AS gold_sha FROM gold",
     "m_confusion": f"WITH {GOLD}, {_A}, va2 AS (SELECT * FROM va WHERE doc_id % 11 <> 0), {_CELLS.format(v='va2')} SELECT * FROM conf",
     "m_rates": f"WITH {GOLD}, {_A}, {_CELLS.format(v='va')} SELECT bound, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(tn / nullif(tn + fp, 0), 9) AS specificity, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 9) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM conf",
@@ -230,12 +256,21 @@ ORACLE_SQL = {
     "m_mcnemar": f"WITH {GOLD}, {_A}, {_B}, m AS (SELECT coalesce(a.keep = 1, false) = (label = 'in') AS ra, coalesce(b.keep = 1, false) = (label = 'in') AS rb FROM gold LEFT JOIN va a USING (url) LEFT JOIN vb b USING (url) WHERE label <> 'borderline'), c AS (SELECT count(*) FILTER (ra AND NOT rb) AS only_a, count(*) FILTER (NOT ra AND rb) AS only_b FROM m) SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) FROM unnest(range(0, least(only_a, only_b) + 1)) t(i))) END, 9) AS p FROM c",
     "m_kappa": f"WITH {_A}, {_B}, {_AB}, p AS (SELECT avg((coalesce(ak = 1, false) = coalesce(bk = 1, false))::INT) AS po, avg(coalesce(ak = 1, false)::INT) AS pa, avg(coalesce(bk = 1, false)::INT) AS pb FROM ab) SELECT round(po, 9) AS po, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 9) AS kappa, round(abs(2 * asin(sqrt(pa)) - 2 * asin(sqrt(pb))), 9) AS h FROM p",
     "m_percentile": f"WITH {_REP} SELECT run_id, round(quantile_cont(ms::DOUBLE, 0.5), 9) AS p50, round(quantile_cont(ms::DOUBLE, 0.9), 9) AS p90 FROM rep GROUP BY run_id",
-    "k_usage_norm": "SELECT event_id, event_id % 1000 + event_id % 300 AS total, event_id % 300 AS hit, event_id % 1000 AS miss, event_id % 70 AS out FROM events",
+    "k_usage_norm": "WITH u AS (SELECT event_id AS k, event_id % 1000 AS fresh, event_id % 300 AS cached FROM events), v AS (SELECT k, CASE WHEN k % 6 <> 0 AND k % 2 = 1 AND k % 3 = 0 THEN 0 ELSE cached END AS hit, CASE WHEN k % 6 = 0 THEN greatest(fresh - cached, 0) WHEN k % 2 = 0 OR k % 3 = 0 THEN fresh ELSE fresh + k % 40 END AS miss, CASE WHEN k % 6 = 0 THEN fresh END AS prompt FROM u) "
+    "SELECT k AS event_id, CASE WHEN ok THEN coalesce(prompt, miss + hit) END AS total, CASE WHEN ok THEN hit END AS hit, CASE WHEN ok THEN miss END AS miss, CASE WHEN ok THEN k % 70 END AS out FROM (SELECT *, k % 11 <> 0 AND k % 7 <> 0 AS ok FROM v)",
     "k_peak": f"SELECT event_id, {_PEAK} AS peak FROM events",
     "k_call_cost": f"WITH {_PRICED} SELECT event_id, round(cost, 9) AS cost FROM priced",
-    "k_footprint": f"WITH {LEDGER}, t AS (SELECT (sum(miss) + sum(hit) * 0.1::DOUBLE + sum(out) * 3) / 1e6 AS mt FROM ledger) SELECT measure, level, round(mt * rate, 9) AS amount FROM t, (VALUES ('energy', 'point', 120), ('energy', 'low', 60), ('energy', 'high', 240), ('water', 'point', 500), ('water', 'low', 200), ('water', 'high', 1200), ('co2', 'point', 45), ('co2', 'low', 20), ('co2', 'high', 110)) v(measure, level, rate)",
-    "k_footprint_summary": f"WITH {_PRICED} SELECT model, phase, round(sum(cost), 9) AS cost, count(*) AS calls FROM priced GROUP BY GROUPING SETS ((model), (phase), ())",
-    "k_data_issues": f"WITH {_PRICED} SELECT event_id FROM priced WHERE cost > 0 AND coalesce(CASE WHEN event_id % 50 <> 0 THEN miss END, 0) = 0",
+    "k_footprint": f"WITH {LEDGER}, t AS (SELECT sum(miss) AS miss, sum(hit) AS hit, sum(out) AS o FROM ledger), f AS (SELECT * FROM (VALUES ('point', 0.3, 1.5, 0.25, 1.2, 1.0, 0.2, 0.0), ('low', 0.1, 0.5, 0.1, 1.1, 0.3, 0.05, 0.0), ('high', 1.0, 5.0, 0.5, 1.5, 2.0, 0.4, 0.3)) v(level, ein, eout, cache, pue, water, grid, uplift)), k AS (SELECT *, (miss * ein::DOUBLE + hit * ein::DOUBLE * cache + o * eout::DOUBLE) * pue::DOUBLE * (1 + uplift::DOUBLE) / 3.6e6 AS kwh FROM t, f) "
+    "SELECT m AS measure, level, round(CASE m WHEN 'kwh' THEN kwh WHEN 'water_l' THEN kwh * water::DOUBLE ELSE kwh * grid::DOUBLE END, 9) AS amount FROM k, unnest(['kwh', 'water_l', 'co2_kg']) u(m)",
+    "k_equivalents": f"WITH {LEDGER}, t AS (SELECT (sum(miss) * 0.3::DOUBLE + sum(hit) * 0.3::DOUBLE * 0.25 + sum(out) * 1.5::DOUBLE) * 1.2 / 3.6e6 AS kwh FROM ledger) SELECT label, round(kwh * 1000 * per / one, 9) AS amount FROM t, (VALUES ('phone charges', 1.0::DOUBLE, 10), ('kettles boiled', 1.0, 100), ('web searches', 1.0, 0.3), ('cups of water', 1.0, 250), ('km driven', 0.2, 120)) v(label, per, one)",
+    "k_footprint_summary": f"""WITH {_PAID}, g AS (SELECT CASE WHEN grouping(phase) = 0 THEN 'phase' WHEN grouping(model) = 0 THEN 'model' ELSE 'all' END AS scope, provider, model, phase, count(*) AS runs, sum(cost) AS cost, CAST(coalesce(sum(total), 0) AS BIGINT) AS total, CAST(coalesce(sum(hit), 0) AS BIGINT) AS hit,
+      CAST(coalesce(sum(miss), 0) AS BIGINT) AS miss, CAST(coalesce(sum(o), 0) AS BIGINT) AS out, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(kept) AS BIGINT) AS kept, sum(CASE WHEN tokens > 0 THEN cost ELSE 0 END) AS metered_cost,
+      count(*) FILTER (tokens = 0 AND cost > 0) AS untracked_runs, sum(CASE WHEN tokens = 0 THEN cost ELSE 0 END) AS untracked_cost FROM (SELECT *, coalesce(total, 0) + coalesce(o, 0) AS tokens FROM paid) GROUP BY GROUPING SETS ((provider, model), (phase), ())),
+      k AS (SELECT *, (miss * 0.3::DOUBLE + hit * 0.3::DOUBLE * 0.25 + out * 1.5::DOUBLE) * 1.2 / 3.6e6 AS kwh, nullif(total + out, 0) / 1e6 AS mega FROM g)
+      SELECT scope, provider, model, phase, runs, round(cost, 6) AS cost, total, hit, miss, out, pages, kept, round(metered_cost, 6) AS metered_cost, untracked_runs, round(untracked_cost, 6) AS untracked_cost, round(kwh, 6) AS kwh, round(kwh * 1.0::DOUBLE, 6) AS water_l, round(kwh * 0.2::DOUBLE, 6) AS co2_kg,
+      round(metered_cost / mega, 6) AS cost_per_mtok, round(kwh / mega, 6) AS kwh_per_mtok, round(kwh / mega, 6) AS water_l_per_mtok, round(kwh * 0.2::DOUBLE / mega, 6) AS co2_kg_per_mtok, round(cost / nullif(pages, 0), 6) AS cost_per_page, round(cost / nullif(kept, 0), 6) AS cost_per_kept,
+      round(kwh / nullif(pages, 0), 6) AS kwh_per_page, round(kwh * 0.2::DOUBLE * 1000 / nullif(pages, 0), 6) AS co2_g_per_page, round(hit / nullif(total, 0), 6) AS cached_share, round((total + out) / nullif(pages, 0), 6) AS tokens_per_page FROM k""",
+    "k_data_issues": f"WITH {_PAID} SELECT run_id, round(cost, 6) AS cost FROM paid WHERE cost > 0 AND coalesce(total, 0) + coalesce(o, 0) = 0",
     "a_spend_by_phase": f"WITH {_PRICED} SELECT phase, round(sum(cost), 9) AS spend, count(*) AS calls FROM priced GROUP BY phase",
     "a_spend_by_day": f"WITH {_PRICED}, x AS (SELECT ts::DATE AS day, sum(cost) AS spend FROM priced GROUP BY 1) SELECT day, round(spend, 6) AS spend, round(sum(spend) OVER (ORDER BY day), 6) AS running FROM x",
     "a_run_health": "SELECT user_id % 10 AS run_id, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS elapsed, count(*) FILTER (event_type = 'error') AS errors, count(*) AS processed, round((count(*) - count(*) FILTER (event_type = 'error')) * 100.0::DOUBLE / count(*), 9) AS success FROM events GROUP BY 1",

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import filters, reports
+from corpusloom.operators import export, filters, reports
 from corpusloom.plans import corpus
 from corpusloom.plans.evaluation import _SHORT, repeats, short
 from corpusloom.plans.evaluation import ORACLE_SQL as _EVAL
-from corpusloom.plans.roles import CONTENT, GOLD, ORGS, content, gold, organisations, table
+from corpusloom.plans.roles import ASOF, CONTENT, GOLD, ORGS, content, gold, organisations, table
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import ORG, TYPE, WORDS
 from corpusloom.sources import readers, writers
@@ -23,9 +23,11 @@ def _path(s):
 
 
 def snk_export_fields(s, d):
-    path = _path(s)
-    writers.export_fields(content(s, d).where(filters.is_usable()), ["document_type", "nonsense", "lang"], path, "json")
-    return s.read.schema("url string, document_type string, lang string").json(path)
+    """Two runs' exports in one file; the second has no size."""
+    path, pages = _path(s), content(s, d).where(filters.is_usable())
+    runs = {"r1": export.export(pages, organisations(s, d), ["document_type", "nonsense", "size"], ASOF, limit=None), "r2": export.export(pages.where("doc_id % 3 = 0"), organisations(s, d), ["document_type", "primary_org"], ASOF, limit=None)}
+    writers.write_table(export.stacked(runs), path, "csv")
+    return s.read.schema("run_id string, url string, document_type string, size long, primary_org string").csv(path, header=True, escape='"')
 
 
 def snk_label_sheet(s, d):
@@ -111,7 +113,8 @@ def snk_bundle(s, d):
 QUERIES = {f.__name__: f for f in (src_label_sheet, src_payload_json, snk_bundle, snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)}
 
 ORACLE_SQL = {
-    "snk_export_fields": f"WITH {CONTENT} SELECT url, document_type, lang FROM typed WHERE usable",
+    "snk_export_fields": f"WITH {CONTENT}, {ORGS}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM typed WHERE usable) WHERE n = 1), two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM typed WHERE usable AND doc_id % 3 = 0) WHERE n = 1) "
+    "SELECT 'r1' AS run_id, url, document_type, CAST(strlen(search_text) AS BIGINT) AS size, NULL AS primary_org FROM one UNION ALL SELECT 'r2', two.url, document_type, NULL, organisation_slug FROM two LEFT JOIN po ON po.url = two.url AND role = 'primary'",
     "snk_label_sheet": "SELECT 'https://www.example.org/d/' || doc_id AS url, CASE WHEN toxic = 1 THEN 'borderline' WHEN quality = 1 THEN 'in' ELSE 'out' END AS label, CASE WHEN doc_id % 2 = 0 THEN 'said \"yes\",' || chr(10) || 'then' ELSE '' END AS rationale FROM labels",
     "snk_audit_export": _SEL["a_audit_outcomes"],
     "src_bundle": "SELECT doc_id, 'https://www.example.org/d/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",

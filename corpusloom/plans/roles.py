@@ -25,10 +25,11 @@ def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (k % 5 + 1).cast("int"))
     date = F.concat(F.date_format(F.date_sub(F.to_date(F.lit(ASOF)), (k % 900).cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z"))
     return docs.join(toxic, "doc_id", "left").select(
-        "doc_id", F.concat(F.lit("https://www.example.org/d/"), k).alias("url"), F.sha2("text", 256).alias("content_id"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("search_text"),
+        "doc_id", F.concat(F.lit("https://www.example.org/d/"), k).alias("url"), F.sha2("text", 256).alias("content_id"), F.substring("text", 1, 60).alias("title"), F.when(k % 11 != 0, F.substring("text", 61, 40)).alias("description"), F.col("text").alias("search_text"),
         kind.alias("document_type"), F.when(k % 3 == 0, "guidance").otherwise("").alias("parent_document_type"), (k % 17 == 0).alias("is_redirect"),
         F.when(k % 13 != 0, F.sha2("text", 256)).alias("content_hash"), (F.coalesce("toxic", F.lit(0)) == 1).alias("withdrawn"),
-        F.when(k % 7 == 0, "").otherwise(date).alias("public_updated_at"), "lang",
+        F.when(k % 7 == 0, "").otherwise(date).alias("public_updated_at"), "lang", "source", F.when(k % 4 != 0, date).alias("first_published_at"), date.alias("last_seen_at"),
+        F.when(k % 3 == 0, k * 2).alias("view_count"), F.when(k % 3 == 0, F.when(k % 2 == 0, "page").otherwise("parent")).alias("view_count_source"), F.when(k % 3 == 0, F.lit(ASOF)).alias("view_count_updated"), F.concat(F.lit('{"id":'), k, F.lit("}")).alias("content"),
     )
 
 
@@ -69,14 +70,14 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTENT = """labelled AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-content AS (SELECT d.doc_id, 'https://www.example.org/d/' || d.doc_id AS url, sha256(text) AS content_id, substr(text, 1, 60) AS title, text AS search_text,
+content AS (SELECT d.doc_id, 'https://www.example.org/d/' || d.doc_id AS url, sha256(text) AS content_id, substr(text, 1, 60) AS title, CASE WHEN d.doc_id % 11 <> 0 THEN substr(text, 61, 40) END AS description, text AS search_text, source,
   ['guidance', 'news_story', 'html_publication', 'detailed_guide', 'policy_paper'][d.doc_id % 5 + 1] AS document_type,
   CASE WHEN d.doc_id % 3 = 0 THEN 'guidance' ELSE '' END AS parent_document_type, d.doc_id % 17 = 0 AS is_redirect,
   CASE WHEN d.doc_id % 13 <> 0 THEN sha256(text) END AS content_hash, coalesce(toxic, 0) = 1 AS withdrawn,
   CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE strftime(DATE '2026-09-15' - CAST(d.doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' END AS public_updated_at, lang
   FROM documents d LEFT JOIN labelled l ON l.doc_id = d.doc_id),
 typed AS (SELECT *, CASE WHEN document_type = 'html_publication' AND parent_document_type <> '' THEN parent_document_type ELSE document_type END AS eff,
-  lower(title || ' ' || search_text) AS kwt, coalesce(content_id, url) AS key, NOT is_redirect AND content_hash IS NOT NULL AND NOT withdrawn AS usable FROM content)"""
+  lower(coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(search_text, '')) AS kwt, coalesce(content_id, url) AS key, NOT is_redirect AND content_hash IS NOT NULL AND NOT withdrawn AS usable FROM content)"""
 ORGS = """po AS (SELECT 'https://www.example.org/d/' || doc_id AS url, lang AS organisation_slug, 'primary' AS role FROM documents
   UNION ALL SELECT 'https://www.example.org/d/' || doc_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END, 'related' FROM documents)"""
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bands, readability
-from corpusloom.operators import filters, reports
+from corpusloom.operators import export, filters, reports
 from corpusloom.plans.roles import table, ASOF, CONTENT, ORGS, content, organisations
 
 ORG, TYPE, WORDS = ["en", "even"], ["guidance", "policy_paper"], ["thand", "stupid", "elle"]
@@ -35,9 +35,23 @@ def a_org_breakdown(s, d):
     return reports.org_breakdown(_short(s, d), organisations(s, d))
 
 
+def rated(pages):
+    """Pages with their stored readability: reading age, number and text of issues, stars."""
+    counts = readability.issue_counts(F.col("search_text"))
+    text, total = readability.findings(counts)
+    age = readability.reading_age(readability.grade(F.col("search_text")))
+    n_words = F.size(readability.words(F.col("search_text")))
+    return pages.withColumns({"reading_age": age, "gds_english_score": total, "gds_findings": text, "gds_stars": readability.stars(readability.impact(counts), n_words), "computed_at": F.col("last_seen_at")})
+
+
+FIELDS = [
+    *("title", "document_type", "effective_document_type", "parent_document_type", "organisations", "nonsense", "url", "primary_org", "size", "readability", "gds_issues", "gds_findings", "gds_stars", "source", "last_seen_at"),
+    *("search_text", "content", "first_published_at", "public_updated_at", "last_update_band", "view_count", "view_count_source", "view_count_updated"),
+]
+
+
 def f_project_fields(s, d):
-    po = organisations(s, d).groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("organisation_slug")), ",").alias("organisations"), F.min(F.when(F.col("role") == "primary", F.col("organisation_slug"))).alias("primary_org"))
-    return filters.one_row(_short(s, d)).join(po, "url", "left").select("url", "title", F.octet_length("search_text").cast("long").alias("size"), "organisations", "primary_org", filters.effective_type().alias("type"), bands.freshness_band(F.col("public_updated_at"), ASOF).alias("band"))
+    return export.export(rated(_short(s, d)), organisations(s, d), FIELDS, ASOF, limit=None)
 
 
 def f_url_check(s, d):
@@ -47,8 +61,9 @@ def f_url_check(s, d):
 
 
 def a_category_summary(s, d):
-    age = readability.reading_age(readability.grade(F.col("search_text")))
-    return reports.category_summary(filters.one_row(_short(s, d)), {"type": filters.effective_type(), "band": bands.freshness_band(F.col("public_updated_at"), ASOF), "reading": bands.reading_band(age), "lang": F.col("lang")})
+    pages = rated(filters.one_row(_short(s, d))).join(export.page_organisations(organisations(s, d)), "url", "left")
+    dimensions = {"type": filters.effective_type(), "organisation": F.col("primary_org"), "band": bands.freshness_band(F.col("public_updated_at"), ASOF), "reading": bands.reading_band(F.col("reading_age")), "stars": F.col("gds_stars")}
+    return reports.category_summary(pages, dimensions).withColumn("mean_age", F.round("mean_age", 6))
 
 
 def a_audit_counts(s, d):
@@ -57,7 +72,7 @@ def a_audit_counts(s, d):
 
 def r_reading_age(s, d):
     g = readability.grade(F.col("search_text"))
-    return content(s, d).select("doc_id", F.size(readability.words(F.col("search_text"))).alias("n_words"), F.size(readability.sentences(F.col("search_text"))).alias("n_sentences"), F.round(g, 6).alias("grade"), F.round(readability.reading_age(g), 6).alias("age"))
+    return content(s, d).select("doc_id", F.size(readability.words(F.col("search_text"))).alias("n_words"), readability.sentence_count(F.col("search_text")).alias("n_sentences"), g.alias("grade"), readability.reading_age(g).alias("age"))
 
 
 def r_checks(s, d):
@@ -94,7 +109,9 @@ QUERIES = {
     "f_keyword_all": f_keyword_all,
     "f_dedup_count": lambda s, d: _short(s, d).agg(F.countDistinct(filters.page_key()).alias("n")),
     "f_dedup_rows": lambda s, d: filters.one_row(_short(s, d)).select("url", "title", "document_type"),
-    "f_list": lambda s, d: filters.one_row(_short(s, d)).orderBy("url").offset(5).limit(20).select("url", "title"),
+    "f_list": lambda s, d: export.details(_short(s, d), 20, 5),
+    "f_list_titles": lambda s, d: export.titles(_short(s, d), offset=3),
+    "f_list_urls": lambda s, d: export.urls(_short(s, d)),
     "f_membership": lambda s, d: filters.membership(_short(s, d)),
     "f_membership_hits": lambda s, d: filters.membership_hits(_short(s, d), WORDS).select("content_id", "url", F.array_join("hits", ",").alias("hits")),
     "f_canonical_alias": lambda s, d: filters.canonical_alias(_usable(s, d)),
@@ -109,7 +126,7 @@ QUERIES = {
     "a_category_summary": a_category_summary,
     "a_audit_outcomes": lambda s, d: reports.audit(content(s, d).where(filters.is_usable(withdrawn=True)), organisations(s, d), ORG, TYPE, WORDS),
     "a_audit_counts": a_audit_counts,
-    "a_stage_stats": lambda s, d: reports.stage_stats(_short(s, d), ASOF).withColumn("mean_size", F.round("mean_size", 6)),
+    "a_stage_stats": lambda s, d: reports.stage_stats(rated(_short(s, d)), ASOF).withColumns({c: F.round(c, 6) for c in ("mean_size", "mean_age", "mean_issues", "mean_stars")}),
     "a_freshness_band": lambda s, d: content(s, d).select("url", bands.freshness_band(F.col("public_updated_at"), ASOF).alias("band")),
     "r_reading_age": r_reading_age,
     "r_checks": r_checks,
@@ -120,11 +137,11 @@ QUERIES = {
 }
 
 _BAND = """CASE WHEN coalesce(public_updated_at, '') = '' THEN 'Unknown' WHEN public_updated_at >= '2026-08-16' THEN '< 1 month' WHEN public_updated_at >= '2026-06-16' THEN '1-3 months'
-  WHEN public_updated_at >= '2025-09-15' THEN '3-12 months' WHEN public_updated_at >= '2024-09-15' THEN '1-2 years' ELSE '> 2 years' END"""
+  WHEN public_updated_at >= '2025-09-15' THEN '3 months-1 year' WHEN public_updated_at >= '2024-09-15' THEN '1-2 years' ELSE '> 2 years' END"""
 _READ = """reads AS (SELECT *, regexp_extract_all(coalesce(search_text, ''), '[A-Za-z]+') AS w,
-  list_filter(regexp_split_to_array(coalesce(search_text, ''), '[.!?]+'), lambda s: regexp_matches(s, '[A-Za-z]+')) AS s FROM {src}),
+  greatest(1, len(regexp_extract_all(coalesce(search_text, ''), '[.!?]+'))) AS s FROM {src}),
 spoken AS (SELECT *, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(lower(x), '[aeiouy]+')) - CASE WHEN lower(x) LIKE '%e' AND len(regexp_extract_all(lower(x), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END))) AS syl FROM reads),
-graded AS (SELECT *, CASE WHEN len(w) >= 10 THEN 0.39::DOUBLE * len(w) / greatest(1, len(s)) + 11.8::DOUBLE * syl / len(w) - 15.59 END AS grade FROM spoken)"""
+graded AS (SELECT *, CASE WHEN len(w) >= 10 THEN round(0.39::DOUBLE * len(w) / s + 11.8::DOUBLE * syl / len(w) - 15.59, 1) END AS grade FROM spoken)"""
 _TERMS = {k: "|".join(sorted(t, key=lambda x: (-len(x), x))) for k, (_, t) in readability.ISSUES.items()}
 _LOW = "lower(coalesce(search_text, ''))"
 # DuckDB's patterns have no look-behind: a guard is put before and behind every word.
@@ -132,10 +149,14 @@ _guard = lambda term: re.sub(r"(\w+)", r"<\1>", term).replace("'", "''")  # noqa
 _COUNTS = ",\n  ".join(f"len(regexp_extract_all(marked, '({'|'.join(map(_guard, terms.split('|')))})')) AS {k}" for k, terms in _TERMS.items())
 _WEIGHTS = {k: w for k, (w, _) in readability.ISSUES.items()} | {"long_sentences": readability.LONG_WEIGHT}
 _ISSUE = rf"""marks AS (SELECT *, regexp_replace(translate({_LOW}, '<>', '..'), '([\p{{L}}\p{{N}}_]+)', '<\1>', 'g') AS marked FROM typed),
-issues AS (SELECT doc_id, url, usable, len(regexp_extract_all(coalesce(search_text, ''), '[A-Za-z]+')) AS n_words, {_COUNTS},
+issues AS (SELECT * EXCLUDE marked, len(regexp_extract_all(coalesce(search_text, ''), '[A-Za-z]+')) AS n_words, {_COUNTS},
   len(list_filter(regexp_split_to_array(coalesce(search_text, ''), '[.!?]+'), lambda s: len(regexp_extract_all(s, '[A-Za-z]+')) > 25)) AS long_sentences FROM marks)"""
 _IMPACT = "round(" + " + ".join(f"{w}::DOUBLE * log2(1 + {k})" for k, w in _WEIGHTS.items()) + ", 2)"
 _STARS = "CASE WHEN n_words >= 40 THEN CASE " + " ".join(f"WHEN {_IMPACT} / (n_words / 1000.0::DOUBLE) <= {e} THEN {n}" for e, n in readability.STARS) + " ELSE 1 END END"
+_AGG = "agg AS (SELECT url, string_agg(DISTINCT organisation_slug, ', ' ORDER BY organisation_slug) AS organisations, min(CASE WHEN role = 'primary' THEN organisation_slug END) AS primary_org FROM po GROUP BY url)"
+_TOTAL = " + ".join(_WEIGHTS)
+_FOUND = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'k': '{k}'}}" for k in _WEIGHTS) + "], lambda x: x.m < 0)), lambda x: x.k || ': ' || (-x.m)), '; ')"
+_RATED = _READ + ", " + _ISSUE.replace("FROM typed)", "FROM graded)").replace("{{", "{").replace("{", "{{").replace("}", "}}") + f", rated AS (SELECT *, CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END AS reading_age, {_TOTAL} AS total, {_FOUND.replace('{', '{{').replace('}', '}}')} AS findings, {_STARS} AS stars FROM issues)"
 _ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM short) WHERE n = 1)"
 
 ORACLE_SQL = {
@@ -147,11 +168,15 @@ ORACLE_SQL = {
     "f_keyword_all": f"WITH {CONTENT} SELECT url FROM typed WHERE usable AND contains(kwt, 'the ') AND contains(kwt, 'reth')",
     "f_dedup_count": f"{_BASE} SELECT count(DISTINCT key) AS n FROM short",
     "f_dedup_rows": f"{_BASE}, {_ONE} SELECT url, title, document_type FROM one",
-    "f_list": f"{_BASE}, {_ONE} SELECT url, title FROM one ORDER BY url LIMIT 20 OFFSET 5",
+    "f_list": f"{_BASE}, {_ONE} SELECT url, title, CAST(strlen(search_text) AS BIGINT) AS size_bytes, public_updated_at AS updated FROM one ORDER BY url LIMIT 20 OFFSET 5",
+    "f_list_titles": f"{_BASE}, {_ONE} SELECT url, title FROM one ORDER BY url OFFSET 3",
+    "f_list_urls": f"{_BASE}, {_ONE} SELECT url FROM one",
     "f_membership": f"{_BASE} SELECT key AS content_id, min(url) AS url FROM short GROUP BY key",
     "f_membership_hits": f"{_BASE} SELECT key AS content_id, min(url) AS url, concat_ws(',', CASE WHEN bool_or(contains(kwt, 'thand')) THEN 'thand' END, CASE WHEN bool_or(contains(kwt, 'stupid')) THEN 'stupid' END, CASE WHEN bool_or(contains(kwt, 'elle')) THEN 'elle' END) AS hits FROM short GROUP BY key",
     "f_canonical_alias": f"WITH {CONTENT} SELECT content_id, url FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY length(url), url) AS n FROM typed WHERE usable) WHERE n = 1",
-    "f_project_fields": f"{_BASE}, {_ONE}, agg AS (SELECT url, string_agg(DISTINCT organisation_slug, ',' ORDER BY organisation_slug) AS organisations, min(CASE WHEN role = 'primary' THEN organisation_slug END) AS primary_org FROM po GROUP BY url) SELECT url, title, CAST(strlen(search_text) AS BIGINT) AS size, organisations, primary_org, eff AS type, {_BAND} AS band FROM one LEFT JOIN agg USING (url)",
+    "f_project_fields": f"""{_BASE}, {_ONE}, {_RATED.format(src="one")}, {_AGG} SELECT r.url, title, document_type, eff AS effective_document_type, parent_document_type, organisations, primary_org, CAST(strlen(search_text) AS BIGINT) AS size, reading_age AS readability, CAST(total AS INTEGER) AS gds_issues, findings AS gds_findings, stars AS gds_stars, source,
+      strftime(DATE '2026-09-15' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS last_seen_at, search_text, '{{"id":' || doc_id || '}}' AS content, CASE WHEN doc_id % 4 <> 0 THEN strftime(DATE '2026-09-15' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' END AS first_published_at, public_updated_at, {_BAND} AS last_update_band,
+      CASE WHEN doc_id % 3 = 0 THEN doc_id * 2 END AS view_count, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'page' ELSE 'parent' END END AS view_count_source, CASE WHEN doc_id % 3 = 0 THEN '2026-09-15' END AS view_count_updated FROM rated r LEFT JOIN agg USING (url)""",
     "f_title_search": f"WITH {CONTENT} SELECT url, title FROM typed WHERE usable AND contains(lower(title), 'that')",
     "f_url_check": f"{_BASE}, asked AS (SELECT 'https://www.example.org/d/' || k AS url, 'expected' AS list FROM unnest([0, 1, 2, 10, 1000000000]) t(k) UNION ALL SELECT 'https://www.example.org/d/' || k, 'unexpected' FROM unnest([17, 26]) t(k)) SELECT a.url, list, c.url IS NOT NULL AS in_corpus, coalesce(NOT is_redirect AND content_hash IS NOT NULL, false) AS active, a.url IN (SELECT min(url) FROM short GROUP BY key) AS in_final FROM asked a LEFT JOIN typed c ON c.url = a.url",
     "a_org_breakdown": f"{_BASE} SELECT organisation_slug, count(DISTINCT key) AS n FROM short JOIN po USING (url) GROUP BY organisation_slug ORDER BY n DESC, organisation_slug LIMIT 300",
@@ -159,16 +184,16 @@ ORACLE_SQL = {
     "a_doctype_counts": f"WITH {CONTENT}, {ORGS} SELECT document_type, count(*) AS n FROM typed WHERE usable AND {_ORG} GROUP BY document_type",
     "a_keyword_breakdown": f"{_BASE} SELECT k AS keyword, count(DISTINCT CASE WHEN contains(kwt, k) THEN key END) AS n FROM unnest(['thand', 'stupid', 'elle', 'never there']) t(k), short GROUP BY k",
     "a_keyword_overlap": f"{_BASE}, m AS (SELECT key, bool_or(contains(kwt, 'thand'))::INT + 2 * bool_or(contains(kwt, 'stupid'))::INT + 4 * bool_or(contains(kwt, 'elle'))::INT AS mask FROM short GROUP BY key) SELECT CAST(mask AS BIGINT) AS mask, count(*) AS n FROM m WHERE mask > 0 GROUP BY mask",
-    "a_category_summary": f"""{_BASE}, {_ONE}, {_READ.format(src="one")}, cells AS (SELECT unnest([{{'dimension': 'type', 'value': eff}}, {{'dimension': 'band', 'value': {_BAND}}}, {{'dimension': 'lang', 'value': lang}},
-      {{'dimension': 'reading', 'value': CASE WHEN grade IS NULL THEN 'Unknown' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 9 THEN 'Under 9' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 11 THEN '9-10' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 14 THEN '11-13' WHEN CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END < 18 THEN '14-17' ELSE '18+' END}}]) AS c FROM graded)
-      SELECT c.dimension AS dimension, c.value AS value, count(*) AS n FROM cells GROUP BY 1, 2""",
+    "a_category_summary": f"""{_BASE}, {_ONE}, {_RATED.format(src="one")}, {_AGG}, cells AS (SELECT reading_age, doc_id, unnest([{{'dimension': 'total', 'value': NULL}}, {{'dimension': 'type', 'value': eff}}, {{'dimension': 'organisation', 'value': primary_org}}, {{'dimension': 'band', 'value': {_BAND}}}, {{'dimension': 'stars', 'value': stars::VARCHAR}},
+      {{'dimension': 'reading', 'value': CASE WHEN reading_age IS NULL THEN 'Unknown' WHEN reading_age < 9 THEN 'Under 9' WHEN reading_age < 12 THEN '9-11' WHEN reading_age < 15 THEN '12-14' WHEN reading_age < 18 THEN '15-17' ELSE '18+' END}}]) AS c FROM rated r LEFT JOIN agg USING (url))
+      SELECT c.dimension AS dimension, c.value AS value, count(*) AS n, round(avg(reading_age), 6) AS mean_age, max(strftime(DATE '2026-09-15' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z') AS computed_at FROM cells GROUP BY 1, 2""",
     "a_audit_outcomes": f"WITH {CONTENT}, {ORGS} SELECT url, CASE WHEN NOT {_TYPE} THEN 'dropped: document type' WHEN NOT {_WORDS} THEN 'dropped: keyword' ELSE 'included' END AS outcome FROM typed WHERE NOT is_redirect AND content_hash IS NOT NULL AND {_ORG}",
     "a_audit_counts": f"WITH {CONTENT}, {ORGS} SELECT CASE WHEN NOT {_TYPE} THEN 'dropped: document type' WHEN NOT {_WORDS} THEN 'dropped: keyword' ELSE 'included' END AS outcome, count(*) AS n FROM typed WHERE NOT is_redirect AND content_hash IS NOT NULL AND {_ORG} GROUP BY 1",
-    "a_stage_stats": f"{_BASE}, b AS (SELECT *, {_BAND} AS band FROM short) SELECT count(*) AS n, round(avg(strlen(search_text)), 6) AS mean_size, "
-    + ", ".join(f"CAST(count(*) FILTER (band = '{label}') AS BIGINT) AS {name}" for label, name in {"< 1 month": "lt_1m", "1-3 months": "m1_3", "3-12 months": "m3_12", "1-2 years": "y1_2", "> 2 years": "gt_2y", "Unknown": "unknown"}.items())
+    "a_stage_stats": f"{_BASE}, {_RATED.format(src='short')}, b AS (SELECT *, {_BAND} AS band FROM rated) SELECT count(*) AS n, round(avg(strlen(search_text)), 6) AS mean_size, round(avg(reading_age), 6) AS mean_age, round(avg(total), 6) AS mean_issues, round(avg(stars), 6) AS mean_stars, "
+    + ", ".join(f"CAST(count(*) FILTER (band = '{label}') AS BIGINT) AS {name}" for label, name in {"< 1 month": "lt_1m", "1-3 months": "m1_3", "3 months-1 year": "m3_12", "1-2 years": "y1_2", "> 2 years": "gt_2y", "Unknown": "unknown"}.items())
     + " FROM b",
     "a_freshness_band": f"WITH {CONTENT} SELECT url, {_BAND} AS band FROM typed",
-    "r_reading_age": f"WITH {CONTENT}, {_READ.format(src='typed')} SELECT doc_id, len(w) AS n_words, len(s) AS n_sentences, round(grade, 6) AS grade, round(CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END, 6) AS age FROM graded",
+    "r_reading_age": f"WITH {CONTENT}, {_READ.format(src='typed')} SELECT doc_id, len(w) AS n_words, CAST(s AS INTEGER) AS n_sentences, grade, CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END AS age FROM graded",
     "r_checks": f"WITH {CONTENT}, {_ISSUE} SELECT doc_id, n_words, {', '.join(_WEIGHTS)}, round({_IMPACT}, 6) AS impact, {_STARS} AS stars FROM issues",
     "a_top_classes": f"WITH {CONTENT}, {_ISSUE}, first AS (SELECT * FROM issues WHERE usable ORDER BY url LIMIT 25000) "
     + " UNION ALL ".join(f"SELECT '{k}' AS issue, CAST(sum({k}) AS BIGINT) AS n, round(sum({w} * log2(1 + {k})), 4) AS impact, (SELECT count(*) FROM issues WHERE usable) > 25000 AS sampled FROM first" for k, w in _WEIGHTS.items()),
@@ -176,5 +201,5 @@ ORACLE_SQL = {
 ORACLE_SQL |= {
     "r_impact_stars": f"SELECT doc_id, impact, stars FROM ({ORACLE_SQL['r_checks']})",
     "r_syllables": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) SELECT word, CAST(greatest(1, len(regexp_extract_all(lower(word), '[aeiouy]+')) - CASE WHEN lower(word) LIKE '%e' AND len(regexp_extract_all(lower(word), '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) AS INTEGER) AS n FROM w",
-    "a_reading_band": f"SELECT doc_id, CASE WHEN age IS NULL OR grade IS NULL THEN 'Unknown' WHEN age < 9 THEN 'Under 9' WHEN age < 11 THEN '9-10' WHEN age < 14 THEN '11-13' WHEN age < 18 THEN '14-17' ELSE '18+' END AS band FROM ({ORACLE_SQL['r_reading_age']})",
+    "a_reading_band": f"SELECT doc_id, CASE WHEN age IS NULL OR grade IS NULL THEN 'Unknown' WHEN age < 9 THEN 'Under 9' WHEN age < 12 THEN '9-11' WHEN age < 15 THEN '12-14' WHEN age < 18 THEN '15-17' ELSE '18+' END AS band FROM ({ORACLE_SQL['r_reading_age']})",
 }

@@ -307,7 +307,7 @@ ORACLE_SQL = {
     "m_end_to_end": f"{_TWO} SELECT url, {_END} AS keep FROM ph",
     "m_cost_eff": f"WITH {GOLD}, {ev._A}, {ev._CELLS.format(v='va')} SELECT bound, round(12.5::DOUBLE / nullif(tp + tn, 0), 9) AS per_correct, round(12.5::DOUBLE / nullif(tp, 0), 9) AS per_found FROM conf",
     "m_estimate": f"SELECT count(*) AS pages, sum(length(prompt)) / 4 AS tokens, round(sum(length(prompt)) / 4 * 0.3::DOUBLE / 1e6, 9) AS cost FROM ({ev.ORACLE_SQL['e_render_prompt']})",
-    "d_body_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN '<p>b' || doc_id || '</p> one <b>two</b>' ELSE '' END AS text FROM pay",
+    "d_body_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'b' || doc_id || ' one two' ELSE '' END AS text FROM pay",
     "d_html_attachments": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'https://www.example.org/d/' || (doc_id + 1) ELSE '' END AS urls FROM pay",
     "d_child_links": f"WITH {_PAY} SELECT url, 'https://www.example.org/d/' || (doc_id + 2) AS child, 'child' AS relation FROM pay WHERE good UNION ALL SELECT url, url || '/' || p, 'part' FROM pay, unnest(['p1', 'p2']) t(p) WHERE good UNION ALL SELECT url, 'https://www.example.org/d/' || (doc_id + 1), 'attachment' FROM pay WHERE good",
     "d_backfill_search_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'kept' WHEN good THEN 'b' || doc_id || ' one two' ELSE '' END AS search_text FROM pay",

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def export_fields(pages: DataFrame, fields: list[str], path: str, fmt: str = "csv") -> None:
-    """The chosen columns in order, url first; names that do not exist are dropped."""
-    names = ["url", *[f for f in fields if f in pages.columns and f != "url"]]
-    writer = pages.select(names).write.mode("overwrite")
+def write_table(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+    """An export as CSV with a header, or as JSON lines."""
+    writer = rows.write.mode("overwrite")
     writer.csv(path, header=True, escape='"') if fmt == "csv" else writer.json(path)
 
 
