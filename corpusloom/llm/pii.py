@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -13,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of an entity at most, and of the training islands.
+#: Tokens of an entity at most, and of the pieces in which longer islands are learned from.
 LONGEST, TRAIN_TOKENS = 16, 80
-#: Documents that the field is trained on at most, and passes over them.
-TRAIN_ROWS, EPOCHS, RATE, RIDGE = 256, 4, 0.3, 1e-3
+#: Documents and island pieces that the field is trained on at most, and passes over them.
+TRAIN_ROWS, TRAIN_PIECES, EPOCHS, RATE, RIDGE = 256, 4096, 4, 0.3, 1e-3
+#: Characters before a piece that go along with it, for the word before.
+CONTEXT = 24
 #: An added span must beat the reading without it by so much (log odds).
 CAUTION = 2.0
 
@@ -29,6 +32,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\S")
 _TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
+_LAST_WORD = re.compile(r"\S+\s+$")
 _SPACE = re.compile(r"\s")
 _DIGITS = re.compile(r"[0-9]+")
 
@@ -150,15 +154,20 @@ class Field:
 
     weights: dict[tuple[str, str], float]
 
-    def candidates(self, island: Island) -> list[list[tuple[int, str, list[str], float]]]:
-        """By end token: (begin token, kind, features, score) of each segment that may be an entity."""
+    def candidates(self, island: Island, taken: Sequence[tuple[int, int]] = ()) -> list[list[tuple[int, str, list[str], float]]]:
+        """By end token: (begin token, kind, features, score) of each segment that may be an entity and meets none of ``taken`` (sorted by end)."""
         out: list[list[tuple[int, str, list[str], float]]] = [[] for _ in range(len(island.tokens) + 1)]
         text, tokens = island.text, island.tokens
         for i, (s, _) in enumerate(tokens):
             if not (text[s].isascii() and (text[s].isalnum() or text[s] in "+(")):
                 continue
+            # The first span that ends behind the segment's start bounds its end.
+            after = bisect_right(taken, s, key=lambda x: x[1])
+            stop = taken[after][0] if after < len(taken) else len(text)
             for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
                 e = tokens[j - 1][1]
+                if e > stop:
+                    break
                 if not (text[e - 1].isascii() and text[e - 1].isalnum()):
                     continue
                 kinds = allowed(text[s:e])
@@ -167,9 +176,9 @@ class Field:
                     out[j] += [(i, kind, names, sum(self.weights.get((kind, n), 0.0) for n in names)) for kind in kinds]
         return out
 
-    def decode(self, island: Island, caution: float = CAUTION) -> list[tuple[str, int, int]]:
-        """The best segmentation, boundaries and kinds together: segments of up to ``LONGEST`` tokens, or tokens outside."""
-        found = self.candidates(island)
+    def decode(self, island: Island, caution: float = CAUTION, taken: Sequence[tuple[int, int]] = ()) -> list[tuple[str, int, int]]:
+        """The best segmentation beside ``taken``, boundaries and kinds together: segments of up to ``LONGEST`` tokens, or tokens outside."""
+        found = self.candidates(island, taken)
         best, back = [0.0] * len(found), [None] * len(found)
         for j in range(1, len(found)):
             best[j] = best[j - 1]
@@ -192,31 +201,35 @@ def _add(a: float, b: float) -> float:
     return high + math.log1p(math.exp(low - high))
 
 
+def chances(found: list[list[tuple[int, str, list[str], float]]]) -> list[list[float]]:
+    """The probability of each candidate segment, by the forward and backward sums over all segmentations."""
+    n = len(found)
+    ahead, behind = [0.0] * n, [0.0] * n
+    for j in range(1, n):
+        ahead[j] = ahead[j - 1]
+        for i, _, _, score in found[j]:
+            ahead[j] = _add(ahead[j], ahead[i] + score)
+    begins: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    for j in range(1, n):
+        for i, _, _, score in found[j]:
+            begins[i].append((j, score))
+    for i in range(n - 2, -1, -1):
+        behind[i] = behind[i + 1]
+        for j, score in begins[i]:
+            behind[i] = _add(behind[i], behind[j] + score)
+    return [[math.exp(min(0.0, ahead[i] + score + behind[j] - ahead[-1])) for i, _, _, score in found[j]] for j in range(n)]
+
+
 def train(examples: list[tuple[Island, list[tuple[str, int, int]]]]) -> Field:
-    """Maximise the likelihood of the given segmentations: forward and backward sums over all of them, AdaGrad."""
+    """Maximise the likelihood of the given segmentations over all possible ones, by AdaGrad."""
     field = Field({})
     squares: dict[tuple[str, str], float] = {}
     for _ in range(EPOCHS):
         for island, gold in examples:
             found = field.candidates(island)
-            n = len(found)
-            ahead, behind = [0.0] * n, [0.0] * n
-            for j in range(1, n):
-                ahead[j] = ahead[j - 1]
-                for i, _, _, score in found[j]:
-                    ahead[j] = _add(ahead[j], ahead[i] + score)
-            begins: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-            for j in range(1, n):
-                for i, _, _, score in found[j]:
-                    begins[i].append((j, score))
-            for i in range(n - 2, -1, -1):
-                behind[i] = behind[i + 1]
-                for j, score in begins[i]:
-                    behind[i] = _add(behind[i], behind[j] + score)
             right = set(gold)
-            for j in range(1, n):
-                for i, kind, names, score in found[j]:
-                    p = math.exp(min(0.0, ahead[i] + score + behind[j] - ahead[-1]))
+            for j, chance in enumerate(chances(found)):
+                for (i, kind, names, _), p in zip(found[j], chance, strict=True):
                     g = p - ((kind, island.tokens[i][0], island.tokens[j - 1][1]) in right)
                     if abs(g) > 1e-4:
                         for name in names:
@@ -241,50 +254,79 @@ def variants(kind: str, span: str) -> list[str]:
     return [f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}-{digits[3:6]}-{digits[6:]}"] if len(digits) == 10 else []
 
 
+def pieces_of(text: str) -> Iterator[str]:
+    """The islands of a text in pieces of ``TRAIN_TOKENS``, with what stands just before and after."""
+    spans = sorted((s, e) for _, s, e in base_spans(text))
+    for island in islands(text):
+        k = 0
+        while k < len(island.tokens):
+            last = min(k + TRAIN_TOKENS, len(island.tokens)) - 1
+            end = island.tokens[last][1]
+            # A piece goes on to the end of a span that it would cut.
+            at = bisect_right(spans, end - 1, key=lambda x: x[1])
+            if at < len(spans) and spans[at][0] < end:
+                end = spans[at][1]
+            start = island.tokens[k][0]
+            # The word before an island has no digits; what stands before a later piece belongs to the island.
+            word = _LAST_WORD.search(text[max(0, start - CONTEXT) : start]) if k == 0 else None
+            yield text[start - (len(word[0]) if word else 0) : min(len(text), end + 1)]
+            while k < len(island.tokens) and island.tokens[k][1] <= end:
+                k += 1
+
+
 def examples_of(text: str) -> Iterator[tuple[Island, list[tuple[str, int, int]]]]:
     """Islands of a text with their fixed-pattern spans; and again with each span rewritten."""
     spans = base_spans(text)
     for island in islands(text):
-        if len(island.tokens) > TRAIN_TOKENS:
-            continue
         end = island.tokens[-1][1]
         own = [s for s in spans if s[1] >= island.start and s[2] <= end]
         yield island, own
-        for kind, s, e in own[:2]:
-            low, high = max(0, island.start - 24), min(len(text), end + 1)
+        for kind, s, e in own:
+            low, high = max(0, island.start - CONTEXT), min(len(text), end + 1)
             for other in variants(kind, text[s:e]):
                 for left, right in AROUND if kind == "email" else AROUND[:1]:
                     changed = text[low:s] + left + other + right + text[e:high]
                     at = s - low + len(left)
+                    others = [x for x in base_spans(changed) if x[2] <= at or x[1] >= at + len(other)]
                     for again in islands(changed):
                         if again.start <= at < again.tokens[-1][1]:
-                            yield again, [(kind, at, at + len(other))]
+                            yield again, [(kind, at, at + len(other)), *(x for x in others if x[1] >= again.start and x[2] <= again.tokens[-1][1])]
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS) -> Field:
-    """Train on at most ``limit`` texts with digits or @ signs, chosen by a hash of id and text.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_ROWS, pieces: int = TRAIN_PIECES) -> Field:
+    """Train on at most ``pieces`` island pieces of about ``limit`` texts with digits or @ signs, chosen by hashes.
 
     The fixed patterns label them; numbers that no pattern reads teach the field what to leave.
-    They are counted first, so about as many as needed leave the executors at any size.
+    The texts are counted first, so that at any size about as many as needed are cut, on the
+    executors; only the pieces leave them. Without such texts the field adds nothing.
     """
     text = F.col(text_col)
-    some = docs.where(text.rlike("@[A-Za-z0-9]|[0-9]{3}") & (F.length(text) < 20_000)).select(F.pmod(F.xxhash64(F.lit(9), F.col(id_col), text), F.lit(1 << 40)).alias("h"), text.alias("text"))
-    share = min(1.0, 1.5 * limit / max(some.count(), 1))
-    rows = sorted((r.h, r.text) for r in some.where(F.col("h") < int(share * (1 << 40))).toLocalIterator())[:limit]
-    return train([x for _, t in rows for x in examples_of(t)])
+    some = docs.where(text.rlike("@[A-Za-z0-9]|[0-9]{3}")).select(F.pmod(F.xxhash64(F.lit(9), F.col(id_col), text), F.lit(1 << 40)).alias("h"), text.alias("text"))
+    share = min(1.0, limit / max(some.count(), 1))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_pydict({"piece": list(pieces_of(t))}, schema=pa.schema([("piece", pa.string())]))
+
+    found = some.where(F.col("h") < int(share * (1 << 40))).mapInArrow(cut, "piece string")
+    rows = found.orderBy(F.xxhash64(F.lit(9), "piece"), "piece").limit(pieces).collect()
+    return train([x for r in rows for x in examples_of(r.piece)])
 
 
 def all_spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The fixed-pattern spans, and these with what the field adds where it meets none of them."""
+    """The fixed-pattern spans, and these with what the field adds beside them: they stand fixed when it reads the rest."""
     base = base_spans(text)
     if not text:
         return base, base
-    taken = sorted((s, e) for _, s, e in base)
-    added = []
-    for island in islands(text):
-        for kind, s, e in field.decode(island):
-            if not any(a < e and s < b for a, b in taken):
-                added.append((kind, s, e))
+    # Spans of two kinds may overlap; joined, they are in order of start and of end.
+    taken: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+        else:
+            taken.append((s, e))
+    added = [span for island in islands(text) for span in field.decode(island, taken=taken)]
     if not added:
         return base, base
     return base, sorted(base + added, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
