@@ -16,6 +16,8 @@ from corpusloom.llm.samples import held_out
 
 #: Texts of each language that its dictionary is cut from (about so many, by a hash), and its bytes.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 192, 1 << 17
+#: Characters of a long text that may go into a dictionary.
+SAMPLE_CHARS = 4096
 #: Words are short, so matches of three bytes must count.
 PARAMETERS = {"compression_level": 5, "strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 3}
 #: Bytes that are compressed at a time; a text's size is the sum over all of it.
@@ -69,28 +71,50 @@ class Compressors:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_TEXTS) -> Compressors:
     """Cut each language's dictionary from about ``sample`` texts that are not held out.
 
-    Each text gives an equal share of the dictionary's bytes, from its beginning. The languages are counted over all rows; a text is taken if a hash of its id falls under its
-    language's share, so the sample's size does not grow with the table.
+    The languages are counted over all rows; a text is taken if a hash of its id falls under its
+    language's share, so the sample's size does not grow with the table. A long text gives a piece
+    of ``SAMPLE_CHARS`` that begins where another hash of its id says. The pieces share a
+    dictionary's bytes evenly; what short ones leave goes to longer ones. Null texts, null
+    languages and languages of fewer than 8 bytes are left out; repeated rows are taken together.
+    No rows give no dictionaries.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    known = docs.where(F.col(lang_col).isNotNull() & text.isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
     # One row a language; there are some thousands of languages at most.
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Compressors({})
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
     point = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = sorted((r.lang, r.id, r.text) for r in known.where(point < share[F.col("lang")]).select("lang", "id", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).toLocalIterator())
+    begin = F.pmod(F.xxhash64(F.lit(6), "id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    piece = F.substring("text", begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    chosen = known.where(point < share[F.col("lang")]).select("lang", point.alias("point"), "id", piece)
+    # Twice the expected number at most, whatever ids repeat.
+    rows = chosen.orderBy("point", "lang", "id", "text").limit(2 * sample * len(counts)).collect()
+    found: dict[str, list[bytes]] = {}
+    for r in rows:
+        data = letters(r.text)
+        if data:
+            found.setdefault(r.lang, []).append(data)
     out = {}
     for lang in sorted(counts, key=lambda name: (-counts[name], name)):
-        data = [x for x in (letters(t) for name, _, t in rows if name == lang) if x]
-        even = DICTIONARY_BYTES // max(len(data), 1)
-        parts = [d[: max(even, 512)] for d in data]
-        raw = b" ".join(parts)[-DICTIONARY_BYTES:]
+        raw = b" ".join(shares(found.get(lang, []), DICTIONARY_BYTES))[-DICTIONARY_BYTES:]
         if len(raw) >= 8:
             out[lang] = raw
     return Compressors(out)
 
 
+def shares(data: list[bytes], room: int) -> list[bytes]:
+    """Beginnings of all pieces in their order that fill ``room``: as long as one another, or whole."""
+    even, left = 0, room
+    for k, n in enumerate(sorted(map(len, data))):
+        even = left // (len(data) - k)
+        if n > even:
+            break
+        left -= n
+    return [d[: max(even, 1)] for d in data] if sum(map(len, data)) > room else data
+
+
 def identify(docs: DataFrame, model: Compressors, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, rejected`` of every document, in one pass without a shuffle.
 
