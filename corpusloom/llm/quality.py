@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, WordHashes
-from corpusloom.llm.samples import TRAIN_ROWS, held_out, labelled_sample
+from corpusloom.llm.samples import TRAIN_ROWS, first_rows, held_out, labelled_sample
 
 #: Buckets of hashed words (a power of two), and columns of the pairwise part.
 BUCKETS, FACTORS = 1 << 14, 8
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(arrays, ["id", "at", "x", "y"])
 
     got = sample.mapInArrow(extract, f"id {key}, at array<bigint>, x array<double>, y int")
-    rows = sorted((r.id, r.y, tuple(r.at), tuple(r.x)) for r in got.collect())
+    rows = sorted((r.id, r.y, tuple(r.at), tuple(r.x)) for r in first_rows(got, limit))
     return train([(list(at), list(x), int(y > 0)) for _, y, at, x in rows])
 
 
@@ -169,7 +169,11 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
 
 
 def keep_good(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``CUT``, with all their columns and without a shuffle."""
+    """The rows of ``docs`` with a score of at least ``CUT``, with all their columns and without a shuffle.
+
+    A null or empty text is scored as a text without words. Repeated rows are judged alike, null
+    ids play no part. No rows give no rows; no column is changed, whatever its name.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

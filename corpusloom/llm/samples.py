@@ -20,7 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
 
     Held-out documents are left out unless ``all_folds``. A document with several labels gets the
     largest. The sample is picked among the labels alone, so the texts are read once and only the
-    chosen ones leave the scan; ``limit`` bounds what is broadcast.
+    chosen ones leave the scan; ``limit`` bounds what is broadcast. Documents that repeat an id all
+    come, so what is collected is limited again (``first_rows``).
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     if not all_folds:
@@ -32,3 +33,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int =
     chosen = once.where(point < int(share * (1 << 40))).orderBy(point, "id").limit(limit)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(chosen), "id")
+
+
+def first_rows(sample: DataFrame, limit: int) -> list:
+    """At most ``limit`` rows, by id, in one job."""
+    return sample.orderBy("id").limit(limit).collect()

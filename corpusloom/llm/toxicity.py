@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, WordHashes
-from corpusloom.llm.samples import TRAIN_ROWS, labelled_sample
+from corpusloom.llm.samples import TRAIN_ROWS, first_rows, labelled_sample
 
 #: The chain's categories in order with the words that mark a training text as one; the last link is the labelled one.
 #: No mark may be a common word of another language, as "die" is of German.
@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             arrays = [batch.column("id"), pa.array([features(t) for t in texts], pa.list_(pa.int64())), pa.array(flags, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "at", "flags"])
 
-    got = sample.mapInArrow(extract, f"id {key}, at array<bigint>, flags array<bigint>").collect()
-    rows = sorted((r.id, tuple(r.flags), tuple(r.at)) for r in got)
+    got = sample.mapInArrow(extract, f"id {key}, at array<bigint>, flags array<bigint>")
+    rows = sorted((r.id, tuple(r.flags), tuple(r.at)) for r in first_rows(got, limit))
     return train([(list(at), list(flags)) for _, flags, at in rows], [*SEEDS, LABEL], {name: _buckets(list(words)) for name, words in SEEDS.items()})
 
 
