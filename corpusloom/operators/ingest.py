@@ -74,14 +74,24 @@ def missing_children(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.select(F.col("child").alias("url")).distinct().join(pages.select("url"), "url", "left_anti")
 
 
-def body_links(pages: DataFrame, html: str = "html", limit: int = 500) -> DataFrame:
-    """``page_id, pos, href, external``: distinct links in order; anchors, mail, phone and script links are skipped.
+#: A link with its target and what it shows; fixed value.
+LINK = r'(?is)<a\b[^>]*?href="([^"]+)"[^>]*>(.*?)</a>'
 
-    At most ``limit`` a page, which is part of the feature.
+
+def body_links(blobs: Column, domain: str = "example.org", limit: int = 500) -> Column:
+    """Links of HTML texts (an array) as an array of ``href, text, external``, each target once, in order.
+
+    Targets that begin with ``/`` are made absolute on ``domain``; anchors, queries, mail, phone
+    and script links are skipped. The text is at most 200 characters, the target where there is
+    none. At most ``limit`` a page, which is part of the feature.
     """
-    hrefs = F.array_distinct(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1)))
-    good = F.filter(hrefs, lambda h: ~h.rlike(r"^(?:#|mailto:|tel:|javascript:|$)"))
-    return pages.select("page_id", F.posexplode(F.slice(good, 1, limit)).alias("pos", "href")).withColumn("external", F.col("href").rlike("^https?://"))
+    pairs = F.flatten(F.transform(F.coalesce(blobs, F.array().cast("array<string>")), lambda b: F.arrays_zip(F.regexp_extract_all(F.coalesce(b, F.lit("")), F.lit(LINK), F.lit(1)).alias("href"), F.regexp_extract_all(F.coalesce(b, F.lit("")), F.lit(LINK), F.lit(2)).alias("text"))))
+    trimmed = F.transform(pairs, lambda p: F.struct(F.trim(p["href"]).alias("href"), F.trim(F.regexp_replace(p["text"], "<[^>]+>", "")).alias("text")))
+    good = F.filter(trimmed, lambda p: ~p["href"].rlike(r"(?i)^(?:$|[#?]|mailto:|tel:|javascript:)"))
+    whole = F.transform(good, lambda p: F.struct(F.when(p["href"].startswith("/"), F.concat(F.lit(f"https://www.{domain}"), p["href"])).otherwise(p["href"]).alias("href"), p["text"].alias("text")))
+    first = F.filter(whole, lambda p, i: F.array_position(F.transform(whole, lambda q: q["href"]), p["href"]) == i + 1)
+    foreign = r"(?i)^https?://(www\.)?" + domain.replace(".", r"\.")
+    return F.transform(F.slice(first, 1, limit), lambda p: F.struct(p["href"].alias("href"), F.substring(F.coalesce(F.nullif(p["text"], F.lit("")), p["href"]), 1, 200).alias("text"), (~p["href"].rlike(foreign)).alias("external")))
 
 
 def scrub(text: Column, names: Column, marker: str = "[organisation]") -> Column:
@@ -115,29 +125,38 @@ def extract_fields(payload: Column) -> list[Column]:
     ]
 
 
-def redirect_chains(edges: DataFrame, held: DataFrame, max_depth: int = 10) -> DataFrame:
-    """``src, final, hops, status`` of each redirect: ok, circular, not_found or max_depth.
+def redirect_chains(fetched: DataFrame, sources: DataFrame, max_depth: int = 10) -> DataFrame:
+    """``src, final, http_status, hops, error`` of each of ``sources`` (``url``): where its chain of redirects ends.
 
-    ``edges`` has one ``dst`` for each ``src``; ``held`` lists the urls of pages that are not
-    redirects. One join for each hop.
+    ``fetched`` has one row a url: ``url, http_status, is_redirect, destination`` (canonical, null
+    if foreign or bad). error is null for a page, else circular, gone (410), not_found (404, or not
+    in ``fetched``), external (no destination of ours), http_<status>, or max_depth. ``hops`` are
+    the urls met. One join for each hop; no sources give no rows.
     """
-    step = edges.select(F.col("src").alias("at"), "dst")
-    open_ = edges.select("src", F.array("src", "dst").alias("path"), F.col("dst").alias("at"))
+    step = fetched.select(F.col("url").alias("at"), "http_status", "is_redirect", "destination")
+    open_ = sources.select(F.col("url").alias("src"), F.col("url").alias("at"), F.array().cast("array<string>").alias("hops")).distinct()
     done = None
-    for hop in range(max_depth):
-        met = open_.join(step, "at", "left")
-        circular = F.array_contains("path", F.col("dst"))
-        status = F.when(F.col("dst").isNull(), "end").when(circular, "circular").otherwise("open")
-        met = cut(met.withColumn("status", status))
-        ended = met.where("status <> 'open'").select("src", F.col("at").alias("final"), (F.size("path") - 1).alias("hops"), "status")
+    for _ in range(max_depth + 1):
+        met = open_.join(step, "at", "left").withColumn("again", F.array_contains("hops", F.col("at")))
+        met = met.withColumn("hops", F.when(F.col("again"), F.col("hops")).otherwise(F.concat("hops", F.array("at"))))
+        status = F.coalesce("http_status", F.lit(404))
+        error = (
+            F.when(F.col("again"), "circular")
+            .when(status == 410, "gone")
+            .when(status == 404, "not_found")
+            .when(status != 200, F.concat(F.lit("http_"), status))
+            .when(F.coalesce("is_redirect", F.lit(False)), F.when(F.col("destination").isNull(), "external").otherwise("open"))
+        )
+        met = cut(met.withColumns({"error": error, "http_status": status}))
+        where = F.when(F.col("error").isNull() | F.col("error").isin("gone", "not_found"), F.col("at")).alias("final")
+        seen = F.when(F.col("error").isNull() | (F.col("error") != "circular"), F.col("http_status")).alias("http_status")
+        ended = met.where("error IS NULL OR error <> 'open'").select("src", where, seen, "hops", "error")
         done = ended if done is None else done.union(ended)
-        open_ = met.where("status = 'open'").select("src", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"))
+        open_ = met.where("error = 'open'").select("src", F.col("destination").alias("at"), "hops")
         if open_.isEmpty():
-            break
-    done = done.union(open_.select("src", F.col("at").alias("final"), (F.size("path") - 1).alias("hops"), F.lit("max_depth").alias("status")))
-    known = held.select(F.col("url").alias("final"), F.lit(True).alias("there")).distinct()
-    found = F.when(F.col("status") == "end", F.when(F.col("there"), "ok").otherwise("not_found")).otherwise(F.col("status"))
-    return done.join(known, "final", "left").select("src", "final", "hops", found.alias("status"))
+            return done
+    none = F.lit(None)
+    return done.union(open_.select("src", none.cast("string").alias("final"), none.cast("int").alias("http_status"), "hops", F.lit("max_depth").alias("error")))
 
 
 # Patterns of e-mail addresses and phone numbers, terms that are always blocked, and the words shown.
@@ -176,12 +195,20 @@ def payload_date(payload: Column) -> Column:
     return first_filled(*[F.get_json_object(payload, f"$.{k}") for k in DATE_KEYS])
 
 
-def view_counts(pages: DataFrame, counts: DataFrame) -> DataFrame:
-    """``url, views, views_from``: the page's own count, else its parent path's when the path has three segments."""
-    segments = F.split(F.regexp_replace("url", r"^https?://[^/]*/?", ""), "/")
-    parent = F.when(F.size(segments) >= 3, F.regexp_replace("url", r"/[^/]*$", ""))
-    own = counts.select(F.col("path").alias("url"), F.col("views").alias("own"))
+def view_counts(pages: DataFrame, counts: DataFrame, today: str) -> DataFrame:
+    """``url, view_count, view_count_source, view_count_updated`` of pages (with the same columns) after a collection.
+
+    ``counts`` has ``path, views``. A page takes its own path's count, else its parent path's when
+    the path has three segments or more; others, and those collected ``today``, keep what they have.
+    """
+    path = F.when(F.col("url").startswith("http"), F.regexp_replace("url", r"^https?://[^/]*", "")).otherwise(F.col("url"))
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    parent = F.when(F.size(segments) >= 3, F.concat(F.lit("/"), F.array_join(F.slice(segments, 1, F.size(segments) - 1), "/")))
+    due = F.coalesce(F.col("view_count_updated") != today, F.lit(True))
+    own = counts.select(F.col("path"), F.col("views").alias("own"))
     above = counts.select(F.col("path").alias("parent"), F.col("views").alias("inherited"))
-    met = pages.select("url").withColumn("parent", parent).join(own, "url", "left").join(above, "parent", "left")
+    met = pages.withColumns({"path": path, "parent": parent}).join(own, "path", "left").join(above, "parent", "left")
     source = F.when(F.col("own").isNotNull(), "page").when(F.col("inherited").isNotNull(), "parent")
-    return met.select("url", F.coalesce("own", "inherited").alias("views"), source.alias("views_from"))
+    new = due & source.isNotNull()
+    pick = lambda value, name: F.when(new, value).otherwise(F.col(name)).alias(name)
+    return met.select("url", pick(F.coalesce("own", "inherited"), "view_count"), pick(source, "view_count_source"), pick(F.lit(today), "view_count_updated"))

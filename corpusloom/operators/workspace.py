@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.filters import is_usable, keyword_match, of_types, page_key
@@ -30,12 +31,18 @@ def validate(selections: DataFrame, longest: int) -> DataFrame:
     return selections.select("id", F.explode(faults).alias("error"))
 
 
-def unknown_entries(selections: DataFrame, field: str, known: DataFrame) -> DataFrame:
-    """``id, slug, suggestion`` of entries that ``known`` (slug) lacks; the suggestion shares the first two letters."""
+def unknown_entries(selections: DataFrame, field: str, known: DataFrame, suggest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``id, slug, suggestions`` of entries that ``known`` (slug) lacks; what ``suggest`` finds for them, joined by commas.
+
+    ``suggest`` takes ``id, text`` and returns ``id, slug, rank``. An empty vocabulary checks nothing.
+    """
     asked = selections.select("id", F.explode(entries(F.col(field))).alias("slug"))
-    near = known.groupBy(F.substring("slug", 1, 2).alias("head")).agg(F.min("slug").alias("suggestion"))
-    foreign = asked.join(known.select("slug").distinct(), "slug", "left_anti").withColumn("head", F.substring("slug", 1, 2))
-    return foreign.join(near, "head", "left").select("id", "slug", "suggestion")
+    foreign = asked.join(known.select("slug").distinct(), "slug", "left_anti")
+    if known.isEmpty():
+        foreign = foreign.where(F.lit(False))
+    near = suggest(foreign.select(F.col("slug").alias("id"), F.col("slug").alias("text")).distinct())
+    joined = near.groupBy(F.col("id").alias("slug")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("slug").alias("s")))), lambda x: x["s"]), ",").alias("suggestions"))
+    return foreign.join(joined, "slug", "left").select("id", "slug", "suggestions")
 
 
 def params_changed(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -45,28 +52,60 @@ def params_changed(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("id", (~(same("orgs") & same("types") & same("words"))).alias("changed"))
 
 
-def stem(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(word), "ies$", "y"), "s$", "")
+# Words that mean a document type.
+SYNONYMS = {
+    "news": "news_story", "press": "press_release", "forms": "form", "stats": "statistics",
+    "guide": "detailed_guide", "guides": "detailed_guide", "policy": "policy_paper",
+    "policies": "policy_paper", "regulations": "regulation", "consultations": "consultation",
+    "publications": "publication", "notices": "notice", "speeches": "speech", "maps": "map",
+}
+# Words that say nothing about which organisation is meant.
+COMMON = (
+    "agency", "agencies", "department", "departments", "office", "offices", "service",
+    "services", "authority", "board", "committee", "council", "team", "group", "unit",
+)
 
 
-def suggest_types(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """``id, slug, shared``: types that share words with a text, in singular or plural."""
-    said = asked.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), stem))).alias("word"))
-    parts = known.select("slug", F.explode(F.array_distinct(F.transform(F.split("slug", "_"), stem))).alias("word"))
-    return said.join(parts, "word").groupBy("id", "slug").agg(F.count(F.lit(1)).alias("shared"))
+def singular(word: Column) -> Column:
+    """A rough singular: policies, cases, but not glass or its."""
+    n = F.length(word)
+    cut = F.when(word.endswith("ies") & (n > 4), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
+    return F.coalesce(cut, F.when(word.endswith("s") & ~word.endswith("ss") & (n > 3), F.substring(word, F.lit(1), n - 1)), word)
 
 
-def suggest_organisations(asked: DataFrame, known: DataFrame, shortest: int = 4) -> DataFrame:
-    """``id, slug, pos``: organisations whose slug holds a word of the text, with the first such word.
+def suggest_types(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``id, slug, rank``: types (``slug``) that a text (``id, text``) names: as a whole, by one of their words, singular or plural, or by a synonym.
 
-    Every part of a slug from ``shortest`` letters is a join key, so no pair of a text and an
-    organisation is compared that does not match.
+    rank 0 is by words, 1 by a synonym alone. Texts without words, and null ones, name none.
     """
-    said = asked.select("id", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("pos", "part"))
-    size = F.length("slug")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), size - (shortest - 1)), lambda i: F.transform(F.sequence(F.lit(shortest), size - i + 1), lambda n: F.substring(F.col("slug"), i, n))))
-    keyed = known.where(size >= shortest).select("slug", F.explode(F.array_distinct(parts)).alias("part"))
-    return said.join(keyed, "part").groupBy("id", "slug").agg(F.min("pos").alias("pos"))
+    said = asked.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z_]+)"), F.lit(1)))).alias("word"))
+    stems = said.union(said.select("id", singular(F.col("word")))).distinct()
+    parts = known.select("slug", F.explode(F.array_distinct(F.concat(F.array("slug"), F.split("slug", "_")))).alias("word"))
+    by_word = stems.join(parts, "word").select("id", "slug", F.lit(0).alias("rank"))
+    pairs = known.sparkSession.createDataFrame(list(SYNONYMS.items()), "word string, slug string")
+    by_synonym = said.join(pairs, "word").select("id", "slug", F.lit(1).alias("rank"))
+    return by_word.union(by_synonym).groupBy("id", "slug").agg(F.min("rank").alias("rank"))
+
+
+def suggest_organisations(asked: DataFrame, known: DataFrame, shortest: int = 4, limit: int = 20) -> DataFrame:
+    """``id, slug, rank``: organisations (``slug, title, acronym``) that a text (``id, text``) names.
+
+    A word of ``shortest`` letters or more names those whose slug or title holds it, any word those
+    whose acronym it is; common words count for nothing. The first word comes first, then the
+    shortest slug; an organisation counts by the first word that names it, and ``limit`` is the
+    most a text gets. Pieces of slugs and titles are join keys, so no pair is compared that does
+    not match. Null texts name none.
+    """
+    words_of = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9][a-z0-9&-]+)"), F.lit(1)), lambda w: ~w.isin(*COMMON))
+    said = asked.select("id", F.posexplode(words_of).alias("pos", "piece"))
+    pieces = lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.length(c) - (shortest - 1)), lambda i: F.transform(F.sequence(F.lit(shortest), F.length(c) - i + 1), lambda n: F.substring(c, i, n))))
+    none = F.array().cast("array<string>")
+    of = lambda name: F.when(F.length(name) >= shortest, pieces(F.lower(name))).otherwise(none)
+    acronym = F.array_compact(F.array(F.lower("acronym")))
+    keyed = known.select("slug", F.explode(F.array_distinct(F.concat(F.coalesce(of("slug"), none), F.coalesce(of("title"), none), acronym))).alias("piece"))
+    found = said.join(keyed, "piece").groupBy("id", "slug").agg(F.min("pos").alias("pos"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("pos", F.length("slug"), "slug")))
+    return ranked.where(F.col("rank") <= limit).select("id", "slug", "rank")
 
 
 def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame, most: int = MOST) -> DataFrame:
@@ -86,10 +125,17 @@ def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame, most: int
     return found.groupBy("category_id", "content_id").agg(F.min("url").alias("url"))
 
 
-def overview(selections: DataFrame, members: DataFrame) -> DataFrame:
-    """Selections with the size of their membership, zeros included."""
-    n = members.groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("pages"))
-    return selections.join(n, "id", "left").select("id", "name", F.coalesce("pages", F.lit(0)).alias("pages"))
+def overview(selections: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:
+    """Selections with their stored count (``id, pages_kept, computed_at``), null without one, and the size of their membership, zeros included; newest first."""
+    n = members.groupBy(F.col("category_id").alias("id")).agg(F.count(F.lit(1)).alias("membership_count"))
+    met = selections.join(counts, "id", "left").join(n, "id", "left")
+    return met.select("id", "name", "created_at", "pages_kept", "computed_at", F.coalesce("membership_count", F.lit(0)).alias("membership_count")).orderBy(F.desc("created_at"), "id")
+
+
+def page_of_results(rows: DataFrame, limit: int, offset: int) -> DataFrame:
+    """A page of rows by url, with the number of all of them as ``total`` beside each."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy("url").offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
 def member_facts(members: DataFrame, pages: DataFrame, compared_ids: list[int]) -> DataFrame:

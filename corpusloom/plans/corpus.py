@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.html import html_text
-from corpusloom.functions.urls import canonical_url, last_segment
-from corpusloom.operators import compare, filters, hierarchy, ingest, reports
+from corpusloom.functions.urls import canonical_url
+from corpusloom.operators import compare, filters, hierarchy, ingest, payload, reports
 from corpusloom.plans.roles import CONTENT, ORGS, content, organisations, table
 
 _URL = "concat('https://www.example.org/d/', doc_id)"
@@ -57,12 +57,25 @@ def payloads(s, d):
     return table(s, d, "documents").select("doc_id", F.when(k % 13 == 0, "{broken").otherwise(body).alias("payload"))
 
 
-def redirects(s, d):
-    """Redirects along halved keys; some end in nothing and some in circles."""
+def redirected(s, d):
+    """Fetched pages: redirects along halved keys, of which some end in nothing, in circles, abroad, or in errors."""
     k = F.col("c_custkey")
     to = F.when(k % 97 == 0, k + 1).when((k - 1) % 97 == 0, k - 1).otherwise(F.floor(k / 2))
     url = lambda c: F.concat(F.lit("/c/"), c.cast("string"))
-    return table(s, d, "customer").where(k > 20).select(url(k).alias("src"), url(to).alias("dst"))
+    status = F.when(k % 37 == 0, 410).when(k % 41 == 0, 500).otherwise(200)
+    return table(s, d, "customer").where(k >= 12).select(url(k).alias("url"), status.alias("http_status"), (k > 20).alias("is_redirect"), F.when((k > 20) & (k % 31 != 0), url(to)).alias("destination"))
+
+
+def d_redirect_chain(s, d):
+    out = ingest.redirect_chains(redirected(s, d), redirected(s, d).where("is_redirect").select("url"), 5)
+    return out.select("src", "final", "http_status", F.size("hops").alias("n_hops"), F.element_at("hops", -1).alias("last"), "error")
+
+
+def d_view_counts(s, d):
+    docs, k = table(s, d, "documents"), F.col("doc_id")
+    pages = docs.select(F.concat(F.lit("https://h/a/b/"), k % 50, F.lit("/"), k).alias("url"), F.when(k % 4 == 0, 7).cast("long").alias("view_count"), F.when(k % 4 == 0, "page").alias("view_count_source"), F.when(k % 4 == 0, F.when(k % 8 == 0, "2026-09-15").otherwise("2026-09-01")).alias("view_count_updated"))
+    counts = docs.where("doc_id < 20").select(F.concat(F.lit("/a/b/"), "doc_id").alias("path"), F.col("n_chars").cast("long").alias("views"))
+    return ingest.view_counts(pages, counts.union(docs.where("doc_id % 3 = 0").select(F.concat(F.lit("/a/b/"), k % 50, F.lit("/"), k), k)), "2026-09-15")
 
 
 def _typed(k, text):
@@ -157,14 +170,13 @@ QUERIES = {
     "d_backfill_title": lambda s, d: payloads(s, d).select("doc_id", ingest.first_filled(F.get_json_object("payload", "$.title"), F.get_json_object("payload", "$.content_id")).alias("title")),
     "d_backfill_date": lambda s, d: payloads(s, d).select("doc_id", ingest.payload_date(F.col("payload")).alias("date")),
     "d_html_to_text": lambda s, d: table(s, d, "pages").select("page_id", html_text(F.col("html")).alias("text")),
-    "d_body_links": lambda s, d: ingest.body_links(table(s, d, "pages")),
+    "d_body_links": lambda s, d: table(s, d, "pages").select("page_id", F.posexplode(ingest.body_links(F.array("html"))).alias("pos", "l")).select("page_id", "pos", "l.href", "l.text", "l.external"),
     "d_children_missing": lambda s, d: ingest.missing_children(content(s, d).select(F.concat(F.lit("https://www.example.org/d/"), F.col("doc_id") * 3).alias("child")), content(s, d)),
     "d_scrub_orgs": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(ingest.scrub(F.col("text"), F.array(F.lit("the"), F.lit("there (x)"), F.lit("then"), F.lit(""))), 256).alias("scrubbed")),
-    "d_redirect_chain": lambda s, d: ingest.redirect_chains(redirects(s, d), table(s, d, "customer").where("c_custkey BETWEEN 12 AND 20").select(F.concat(F.lit("/c/"), "c_custkey").alias("url")), 5),
-    "d_redirect_todo": lambda s, d: redirects(s, d).join(redirects(s, d).where(F.length("src") % 2 == 0).select("src"), "src", "left_anti").select("src"),
+    "d_redirect_chain": d_redirect_chain,
+    "d_redirect_todo": lambda s, d: payload.unresolved(redirected(s, d).where("is_redirect"), redirected(s, d).where(F.length("url") % 2 == 0).select(F.col("url").alias("src"))),
     "d_guardrail_scan": lambda s, d: table(s, d, "documents").select("doc_id", ingest.guardrail(_typed(F.col("doc_id"), F.col("text")), ["idiot", "Stupid", "scum"]).alias("f")).select("doc_id", "f.kind", "f.offending"),
-    "d_view_counts": lambda s, d: ingest.view_counts(table(s, d, "documents").select(F.concat(F.lit("https://h/a/"), F.col("doc_id") % 50, F.lit("/"), F.col("doc_id")).alias("url")), table(s, d, "documents").where("doc_id < 20").select(F.concat(F.lit("https://h/a/"), F.col("doc_id")).alias("path"), F.col("n_chars").alias("views")).union(table(s, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("https://h/a/"), F.col("doc_id") % 50, F.lit("/"), F.col("doc_id")), F.col("doc_id")))),
-    "d_extract_orgs": lambda s, d: table(s, d, "pages").select("page_id", last_segment(F.regexp_replace("url", "[?#].*$", "")).alias("slug")),
+    "d_view_counts": d_view_counts,
     "h_edges": h_edges,
     "h_children": lambda s, d: hierarchy.children(h_edges(s, d), "EUROPE"),
     "h_descendants": lambda s, d: hierarchy.descendants(_edges(s, d), "o5"),
@@ -196,7 +208,7 @@ _JSON = """p AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'c' || doc_id EN
   CASE WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'guidance' WHEN doc_id % 3 = 1 THEN 'policy_paper' ELSE '' END AS parent_type FROM documents)"""
 _EDGE = "edges AS (SELECT 'o' || CASE WHEN p_partkey = 1 THEN 3 ELSE p_partkey // 2 END AS parent, 'o' || p_partkey AS child FROM part)"
 _NAT = "he AS (SELECT DISTINCT r_name AS parent, n_name AS child FROM region JOIN nation ON r_regionkey = n_regionkey)"
-_RED = "red AS (SELECT '/c/' || c_custkey AS src, '/c/' || CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 1 WHEN (c_custkey - 1) % 97 = 0 THEN c_custkey - 1 ELSE c_custkey // 2 END AS dst FROM customer WHERE c_custkey > 20)"
+_RED = "red AS (SELECT '/c/' || c_custkey AS url, CASE WHEN c_custkey % 37 = 0 THEN 410 WHEN c_custkey % 41 = 0 THEN 500 ELSE 200 END AS st, c_custkey > 20 AS is_redirect, CASE WHEN c_custkey > 20 AND c_custkey % 31 <> 0 THEN '/c/' || CASE WHEN c_custkey % 97 = 0 THEN c_custkey + 1 WHEN (c_custkey - 1) % 97 = 0 THEN c_custkey - 1 ELSE c_custkey // 2 END END AS destination FROM customer WHERE c_custkey >= 12)"
 _HITS = f"""{CONTENT}, {ORGS}, hits AS (SELECT doc_id, url AS link, key, 'hit ' || title AS title, CASE WHEN doc_id % 5 <> 0 THEN document_type END AS document_type, ph, ((doc_id * 7 + ph * 13) % 100) / 100.0::DOUBLE AS es_score FROM typed, unnest([0, 1]) t(ph) WHERE doc_id % 3 <> 1 AND (ph = 0 OR doc_id % 4 = 0)),
 merged AS (SELECT link, key, title, document_type, doc_id AS first_hit, string_agg(CASE WHEN ph = 0 THEN 'slurry rules' ELSE 'storage' END, ', ' ORDER BY ph) AS phrases, max(es_score) AS es_score FROM hits GROUP BY ALL),
 h AS (SELECT key, arg_min({{'u': link, 't': title, 'd': document_type, 'p': phrases, 'e': es_score}}, first_hit) AS h FROM merged GROUP BY key),
@@ -218,24 +230,28 @@ ORACLE_SQL = {
     "d_html_to_text": r"""WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS t FROM pages),
       a AS (SELECT page_id, regexp_replace(regexp_replace(replace(t, '&amp;', '&'), '<!--.*?-->', '', 'gs'), '<(script|style)\b[^>]*>.*?</(script|style)\s*>', '', 'gsi') AS t FROM e)
       SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '</(p|li|h[1-6]|td|th|br|div)\s*>', ' ', 'gi'), '<[/!a-zA-Z][^>]*(>|$)', '', 'g'), '\s+', ' ', 'g')) AS text FROM a""",
-    "d_body_links": r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1), 1) AS i FROM pages),
-      f AS (SELECT page_id, href, min(i) AS i FROM h WHERE NOT regexp_matches(href, '^(#|mailto:|tel:|javascript:|$)') GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM f)
-      SELECT page_id, CAST(pos AS INTEGER) AS pos, href, regexp_matches(href, '^https?://') AS external FROM r WHERE pos < 500""",
+    "d_body_links": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<a\b[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', 1, 'si') AS hs, regexp_extract_all(html, '<a\b[^>]*?href="([^"]+)"[^>]*>(.*?)</a>', 2, 'si') AS ts FROM pages),
+      u AS (SELECT page_id, trim(unnest(hs)) AS href, trim(regexp_replace(unnest(ts), '<[^>]+>', '', 'g')) AS text, generate_subscripts(hs, 1) AS i FROM h),
+      f AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN 'https://www.example.org' || href ELSE href END AS href, text, i FROM u WHERE NOT regexp_matches(href, '^(?i:$|[#?]|mailto:|tel:|javascript:)')),
+      g AS (SELECT page_id, href, arg_min(text, i) AS text, min(i) AS i FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos FROM g)
+      SELECT page_id, CAST(pos AS INTEGER) AS pos, href, substr(CASE WHEN text = '' THEN href ELSE text END, 1, 200) AS text, NOT regexp_matches(href, '^(?i:https?://(www\.)?example\.org)') AS external FROM r WHERE pos < 500""",
     "d_children_missing": f"WITH {CONTENT} SELECT DISTINCT 'https://www.example.org/d/' || doc_id * 3 AS url FROM documents WHERE 'https://www.example.org/d/' || doc_id * 3 NOT IN (SELECT url FROM typed)",
     "d_scrub_orgs": "SELECT doc_id, sha256(regexp_replace(text, 'there \\(x\\)|then|the', '[organisation]', 'gi')) AS scrubbed FROM documents",
-    "d_redirect_chain": f"""WITH RECURSIVE {_RED}, w AS (SELECT src, [src, dst] AS path, dst AS tip, 'open' AS status, 1 AS hops FROM red
-      UNION ALL SELECT w.src, CASE WHEN red.dst IS NULL OR list_contains(path, red.dst) THEN path ELSE list_append(path, red.dst) END, CASE WHEN red.dst IS NULL OR list_contains(path, red.dst) THEN tip ELSE red.dst END,
-        CASE WHEN red.dst IS NULL THEN 'end' WHEN list_contains(path, red.dst) THEN 'circular' ELSE 'open' END, CASE WHEN red.dst IS NULL OR list_contains(path, red.dst) THEN hops ELSE hops + 1 END FROM w LEFT JOIN red ON red.src = w.tip WHERE w.status = 'open' AND w.hops <= 5),
-      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hops DESC, status <> 'open' DESC) AS n FROM w) WHERE n = 1)
-      SELECT src, tip AS final, hops, CASE WHEN status = 'end' THEN CASE WHEN tip IN (SELECT '/c/' || c_custkey FROM customer WHERE c_custkey BETWEEN 12 AND 20) THEN 'ok' ELSE 'not_found' END WHEN status = 'open' THEN 'max_depth' ELSE status END AS status FROM last""",
-    "d_redirect_todo": f"WITH {_RED} SELECT src FROM red WHERE length(src) % 2 = 1",
+    "d_redirect_chain": f"""WITH RECURSIVE {_RED}, w AS (SELECT url AS src, url AS tip, []::VARCHAR[] AS hops, 'open' AS error, NULL::INT AS st, 0 AS n FROM red WHERE is_redirect
+      UNION ALL SELECT src, CASE WHEN e = 'open' THEN destination ELSE tip END, CASE WHEN e = 'circular' THEN hops ELSE list_append(hops, tip) END, e, st2, n + 1 FROM (SELECT w.*, red.destination, coalesce(red.st, 404) AS st2,
+        CASE WHEN list_contains(hops, tip) THEN 'circular' WHEN coalesce(red.st, 404) = 410 THEN 'gone' WHEN coalesce(red.st, 404) = 404 THEN 'not_found' WHEN red.st <> 200 THEN 'http_' || red.st WHEN red.is_redirect THEN CASE WHEN red.destination IS NULL THEN 'external' ELSE 'open' END ELSE '' END AS e
+        FROM w LEFT JOIN red ON red.url = w.tip WHERE w.error = 'open' AND w.n < 6)),
+      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC) AS k FROM w) WHERE k = 1)
+      SELECT src, CASE WHEN error IN ('', 'gone', 'not_found') THEN tip END AS final, CASE WHEN error NOT IN ('circular', 'open') THEN st END AS http_status, len(hops)::INT AS n_hops, hops[-1] AS last, CASE error WHEN '' THEN NULL WHEN 'open' THEN 'max_depth' ELSE error END AS error FROM last""",
+    "d_redirect_todo": f"WITH {_RED} SELECT url FROM red WHERE is_redirect AND length(url) % 2 = 1",
     "d_guardrail_scan": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['call 07123 456789 ', 'é07123456789 ', '+44 7123 456-789x ', '(0) 0712345678 '][doc_id % 4 + 1] || substr(text, 1, 200) ELSE text END AS text FROM documents),
       f AS (SELECT doc_id, regexp_extract(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}') AS mail, regexp_extract(text, '(?:^|[^\p{L}\p{N}_])((?:\+?44\s?\d|0\d)(?:[\s\-]?\d){8,10})(?:[^\p{L}\p{N}_]|$)', 1) AS phone,
         regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:fuck|shit|cunt|idiot|stupid|scum)(?:[^\p{L}\p{N}_]|$)') AS term FROM t)
       SELECT doc_id, CASE WHEN mail <> '' OR phone <> '' THEN 'personal_data' WHEN term THEN 'prohibited_language' END AS kind,
         CASE WHEN mail <> '' THEN 'an email address (' || mail[1] || '•••@' || split_part(mail, '@', 2)[1] || '•••)' WHEN phone <> '' THEN 'a phone number (•••' || right(regexp_replace(phone, '\D', '', 'g'), 2) || ')' WHEN term THEN 'language that is not permitted' END AS offending FROM f""",
-    "d_view_counts": "WITH c AS (SELECT 'https://h/a/' || doc_id AS path, n_chars AS views FROM documents WHERE doc_id < 20 UNION ALL SELECT 'https://h/a/' || doc_id % 50 || '/' || doc_id, doc_id FROM documents WHERE doc_id % 3 = 0), p AS (SELECT 'https://h/a/' || doc_id % 50 || '/' || doc_id AS url, 'https://h/a/' || doc_id % 50 AS parent FROM documents) SELECT url, coalesce(o.views, a.views) AS views, CASE WHEN o.views IS NOT NULL THEN 'page' WHEN a.views IS NOT NULL THEN 'parent' END AS views_from FROM p LEFT JOIN c o ON o.path = url LEFT JOIN c a ON a.path = parent",
-    "d_extract_orgs": "SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '/')[-1] AS slug FROM pages",
+    "d_view_counts": "WITH c AS (SELECT '/a/b/' || doc_id AS path, n_chars AS views FROM documents WHERE doc_id < 20 UNION ALL SELECT '/a/b/' || doc_id % 50 || '/' || doc_id, doc_id FROM documents WHERE doc_id % 3 = 0), p AS (SELECT doc_id AS k, '/a/b/' || doc_id % 50 || '/' || doc_id AS path, '/a/b/' || doc_id % 50 AS parent, doc_id % 8 <> 0 AS due FROM documents), "
+    "m AS (SELECT k, p.path, due, o.views AS own, a.views AS up FROM p LEFT JOIN c o ON o.path = p.path LEFT JOIN c a ON a.path = parent) SELECT 'https://h' || path AS url, CAST(CASE WHEN due AND coalesce(own, up) IS NOT NULL THEN coalesce(own, up) WHEN k % 4 = 0 THEN 7 END AS BIGINT) AS view_count, CASE WHEN due AND own IS NOT NULL THEN 'page' WHEN due AND up IS NOT NULL THEN 'parent' WHEN k % 4 = 0 THEN 'page' END AS view_count_source, "
+    "CASE WHEN due AND coalesce(own, up) IS NOT NULL THEN '2026-09-15' WHEN k % 8 = 0 THEN '2026-09-15' WHEN k % 4 = 0 THEN '2026-09-01' END AS view_count_updated FROM m",
     "h_edges": f"WITH {_NAT} SELECT parent, child FROM he",
     "h_children": f"WITH {_NAT} SELECT child AS slug FROM he WHERE parent = 'EUROPE'",
     "h_descendants": f"WITH RECURSIVE {_EDGE}, x AS (SELECT child AS slug FROM edges WHERE parent = 'o5' UNION SELECT child FROM edges JOIN x ON parent = slug) SELECT slug FROM x",

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import readability
-from corpusloom.operators import filters, gold, metrics, payload, review, runs, workspace
+from corpusloom.operators import filters, gold, ingest, metrics, payload, review, runs, workspace
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
@@ -52,16 +52,32 @@ def known_types(s):
     return s.createDataFrame([(t,) for t in TYPES], "slug string")
 
 
-def f_type_suggest(s, d):
-    said = ["news stories", "detailed guides and a guide", "Policy papers please", "nothing", ""]
-    asked = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 5 + 1).cast("int")).alias("text"))
-    return workspace.suggest_types(asked, known_types(s))
+SAID = ["united kingdom rules", "farm payments agency", "United States of China team", "the news", "ch in euro and policies", "detailed guides", "stats press", ""]
+
+
+def asked(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.array(*map(F.lit, SAID)), (F.col("doc_id") % 8 + 1).cast("int")).alias("text"))
+
+
+TITLES, ACRONYMS = ["United Kingdom", "Farm Payments Agency", "Trade with China", "Rural Affairs", "Europe and Policies"], ["UK", "FPA", "CH", "RA", "EU"]
 
 
 def f_org_suggest(s, d):
-    said = ["united kingdom rules", "farm payments", "United States of China", "the", "rope in euro"]
-    asked = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.element_at(F.array(*map(F.lit, said)), (F.col("doc_id") % 5 + 1).cast("int")).alias("text"))
-    return workspace.suggest_organisations(asked, table(s, d, "nation").select(F.lower("n_name").alias("slug")))
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    known = table(s, d, "nation").select(F.lower("n_name").alias("slug"), of(TITLES).alias("title"), of(ACRONYMS).alias("acronym"))
+    return workspace.suggest_organisations(asked(s, d), known, limit=7)
+
+
+def f_validate_slugs(s, d):
+    known = s.createDataFrame([("en", "English", None), ("de", "German", None), ("strange", "Odd and even things", "ODD"), ("evening", None, None)], "slug string, title string, acronym string")
+    types = workspace.unknown_entries(many(s, d), "types", known_types(s), lambda a: workspace.suggest_types(a, known_types(s)))
+    orgs = workspace.unknown_entries(many(s, d), "orgs", known, lambda a: workspace.suggest_organisations(a, known, limit=5))
+    return types.withColumn("field", F.lit("types")).union(orgs.withColumn("field", F.lit("orgs")))
+
+
+def a_overview(s, d):
+    counts = s.createDataFrame([(1, 10, "t1"), (5, 0, "t0")], "id long, pages_kept long, computed_at string")
+    return workspace.overview(few(s, d).withColumn("created_at", F.concat(F.lit("2026-"), F.col("id") % 7)), members(s, d), counts)
 
 
 def a_delete_cascade(s, d):
@@ -77,7 +93,7 @@ def a_feedback_list(s, d):
 
 def f_page_results(s, d):
     hits = filters.membership_hits(chosen(s, d), WORDS).select("url", F.array_join("hits", ",").alias("hits"))
-    return filters.one_row(chosen(s, d)).select("url", "title").join(hits, "url", "left").orderBy("url").offset(3).limit(20)
+    return workspace.page_of_results(filters.one_row(chosen(s, d)).select("url", "title").join(hits, "url", "left"), 20, 3)
 
 
 def r_findings(s, d):
@@ -140,10 +156,11 @@ def hits_of(s, d):
 def page_payloads(s, d):
     """Payloads with a body, parts, attachments, children and organisations; some broken."""
     k = F.col("doc_id")
+    org = '{"content_id":"%s","base_path":"%s"}'
     body = F.format_string(
-        '{"details":{"body":"<p>b%d</p>","parts":[{"slug":"p1","body":"one"},{"slug":"p2","body":"<b>two</b>"}],"attachments":[{"attachment_type":"html","url":"/d/%d/"},{"attachment_type":"file","url":"/f"},{"attachment_type":"html","url":"https://foreign.example/x"}]},'
-        '"links":{"children":[{"base_path":"/d/%d"},{"base_path":"/d/%d"},{"base_path":"/d/%d"}],"organisations":[{"slug":"o%d"},{"slug":"o1"},{"slug":"o1"}]}}',
-        k, k + 1, k, k + 2, k + 2, k % 4,
+        '{%s"details":{"body":"<p>b%d</p>","parts":[{"slug":"p1","body":"one <a href=\\"/d/5\\">five <b>5</b></a>"},{"slug":"p2","body":"<b>two</b>"}],"attachments":[{"attachment_type":"html","url":"/d/%d/","body":"<a href=\\"http://other.example/\\"></a>"},{"attachment_type":"file","url":"/f"},{"attachment_type":"html","url":"https://foreign.example/x"}]},'
+        '"links":{"children":[{"base_path":"/d/%d"},{"base_path":"/d/%d"},{"base_path":"/d/%d"}],"primary_publishing_organisation":[' + org % ("p%d", "/a/b/o%d/") + '],"organisations":[' + org % ("o%d", "/world/o%d") + "," + org % ("o1", "/a/first") + "," + org % ("o1", "second") + "]}}",
+        F.when(k % 2 == 0, F.format_string('"base_path":"/d/%d/",', k)).otherwise(""), k, k + 1, k, k + 2, k + 2, k % 4, k % 4, k % 4, k % 4,
     )
     return table(s, d, "documents").select("doc_id", F.concat(F.lit("https://www.example.org/d/"), k).alias("url"), F.when(k % 13 == 0, "{broken").otherwise(body).alias("payload"), F.when(k % 2 == 0, "kept").alias("search_text"))
 
@@ -156,10 +173,29 @@ def redirect_rows(s, d):
 
 def d_refresh_search_rows(s, d):
     k = F.col("doc_id")
-    rows = content(s, d).select("url", F.when(k % 3 == 0, "").when(k % 3 == 1, "own").alias("title"), F.when(k % 2 == 0, "").otherwise("kind").alias("document_type"))
+    rows = content(s, d).select("url", F.when(k % 7 == 0, "own-id").alias("content_id"), F.when(k % 3 == 0, "").when(k % 3 == 1, "own").alias("title"), F.when(k % 2 == 0, "").otherwise("kind").alias("document_type"))
     return payload.fill_search_rows(rows, _held(s, d))
 
 
+def d_redirect_mirror(s, d):
+    stored, new = redirect_rows(s, d)
+    return payload.mirror_redirects(stored.select(F.col("src").alias("url"), F.col("dst").alias("destination")), new)
+
+
+def d_body_links_payload(s, d):
+    return page_payloads(s, d).select("doc_id", F.posexplode(ingest.body_links(payload.blobs(F.col("payload")))).alias("pos", "l")).select("doc_id", "pos", "l.href", "l.text", "l.external")
+
+
+def d_spec_backfill(s, d):
+    """Settings of runs, some full, some empty or broken, and categories of which one is gone."""
+    k = F.col("run_id")
+    spec = F.when(k % 5 == 0, "{bad").when(k % 5 == 1, '{"name":"","include":"i"}').when(k % 5 == 2, '{"name":"n","include":"i","exclude":"e"}').when(k % 5 == 3, "{}")
+    categories = s.range(1, 7).select(F.col("id").alias("category_id"), F.concat(F.lit("c"), "id").alias("name"), F.when(F.col("id") % 2 == 0, "rules").alias("include"), F.lit("none").alias("exclude"))
+    out = payload.fill_spec(ev.run_table(s, d).withColumn("spec", spec), categories, ["name", "include", "exclude"], "2026-09-15")
+    get = lambda key: F.get_json_object("spec", f"$.{key}").alias(key)
+    return out.select("run_id", "state", get("name"), get("include"), get("exclude"), get("criteria_backfilled_keys"), get("criteria_backfilled_at"))
+
+
 def snk_augmented_export(s, d):
     path = f"{checkpoint_dir(s)}/export-{uuid.uuid4().hex}"
     rank = F.when(F.col("source") == "search", 0).when(F.col("source") == "both", 1).otherwise(2)
@@ -191,13 +227,13 @@ def chains(s, d):
 
 QUERIES = {
     "f_validate_category": lambda s, d: workspace.validate(many(s, d), 15),
-    "f_validate_slugs": lambda s, d: workspace.unknown_entries(many(s, d), "types", known_types(s)),
+    "f_validate_slugs": f_validate_slugs,
     "f_params_changed": lambda s, d: workspace.params_changed(many(s, d), renewed(s, d)),
-    "f_type_suggest": f_type_suggest,
+    "f_type_suggest": lambda s, d: workspace.suggest_types(asked(s, d), known_types(s)),
     "f_org_suggest": f_org_suggest,
     "f_page_results": f_page_results,
     "a_membership_refresh": members,
-    "a_overview": lambda s, d: workspace.overview(few(s, d), members(s, d)),
+    "a_overview": a_overview,
     "a_meta": lambda s, d: workspace.member_facts(members(s, d), content(s, d), [1, 2]),
     "a_category_pages": lambda s, d: filters.membership(chosen(s, d)).join(content(s, d).select("url", "title", "document_type"), "url").orderBy("content_id").offset(5).limit(20),
     "a_delete_cascade": a_delete_cascade,
@@ -232,7 +268,12 @@ QUERIES = {
     "d_html_attachments": lambda s, d: page_payloads(s, d).select("doc_id", F.array_join(payload.html_attachments(F.col("payload")), ",").alias("urls")),
     "d_child_links": lambda s, d: payload.child_links(page_payloads(s, d)),
     "d_backfill_search_text": lambda s, d: payload.backfill_search_text(page_payloads(s, d)).select("doc_id", "search_text"),
-    "d_backfill_orgs": lambda s, d: payload.page_organisations(page_payloads(s, d)),
+    "d_extract_orgs": lambda s, d: payload.page_organisations(page_payloads(s, d)),
+    "d_backfill_orgs": lambda s, d: payload.organisation_counters(page_payloads(s, d)),
+    "d_file_attachments": lambda s, d: page_payloads(s, d).select("doc_id", payload.file_count(F.col("payload")).alias("files")),
+    "d_body_links_payload": d_body_links_payload,
+    "d_redirect_mirror": d_redirect_mirror,
+    "d_spec_backfill": d_spec_backfill,
     "d_redirect_upsert": lambda s, d: payload.upsert_redirects(*redirect_rows(s, d)),
     "d_refresh_search_rows": d_refresh_search_rows,
     "d_votes_backfill": lambda s, d: payload.votes_of_labels(gold_labels(s, d), votes(s, d).where("labelled_at = 2"), "earlier"),
@@ -257,7 +298,7 @@ _MEMBERS = f"""{CONTENT}, {ORGS}, {_FEW}, slugs AS (SELECT url, list(organisatio
   lists AS (SELECT id, {_list("orgs")} AS o, {_list("types")} AS t, {_list("words")} AS w FROM cats),
   members AS (SELECT id AS category_id, key AS content_id, min(p.url) AS url FROM typed p LEFT JOIN slugs USING (url), lists
   WHERE usable AND (len(o) = 0 OR list_has_any(o, held)) AND (len(t) = 0 OR list_contains(t, eff)) AND (len(w) = 0 OR len(list_filter(w, lambda x: contains(kwt, x))) > 0) GROUP BY 1, 2)"""
-_STEM = "regexp_replace(regexp_replace({}, 'ies$', 'y'), 's$', '')"
+_SINGLE = "CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN substr(w, 1, length(w) - 3) || 'y' WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN substr(w, 1, length(w) - 1) ELSE w END"
 _TYPES = "known AS (SELECT unnest(['guidance', 'news_story', 'html_publication', 'detailed_guide', 'policy_paper']) AS slug)"
 _FOUND = "found AS (SELECT key AS content_id, min(url) AS url, concat_ws(',', CASE WHEN bool_or(contains(kwt, 'thand')) THEN 'thand' END, CASE WHEN bool_or(contains(kwt, 'stupid')) THEN 'stupid' END, CASE WHEN bool_or(contains(kwt, 'elle')) THEN 'elle' END) AS hits FROM short GROUP BY key)"
 _PH = "ph AS (SELECT i.url, i.keep, i.score, e.keep AS again, e.url IS NOT NULL AS seen FROM va i LEFT JOIN second e ON e.url = i.url)"
@@ -270,13 +311,16 @@ _REASON = "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'r' || doc
 
 ORACLE_SQL = {
     "f_validate_category": f"WITH {_MANY} SELECT id, unnest(list_filter([CASE WHEN trim(name) = '' THEN 'name is required' END, CASE WHEN length(trim(name)) > 15 THEN 'name is too long' END, CASE WHEN trim(name) <> '' AND NOT regexp_full_match(trim(name), '[A-Za-z0-9 #-]+') THEN 'name has other characters' END, CASE WHEN orgs = '' AND types = '' AND words = '' THEN 'no filter' END], lambda x: x IS NOT NULL)) AS error FROM cats",
-    "f_validate_slugs": f"WITH {_MANY}, {_TYPES}, asked AS (SELECT id, unnest({_list('types')}) AS slug FROM cats) SELECT id, slug, (SELECT min(k.slug) FROM known k WHERE substr(k.slug, 1, 2) = substr(asked.slug, 1, 2)) AS suggestion FROM asked WHERE slug NOT IN (SELECT slug FROM known)",
+    "f_validate_slugs": f"WITH {_MANY}, {_TYPES}, t AS (SELECT id, unnest({_list('types')}) AS slug FROM cats), o AS (SELECT id, unnest({_list('orgs')}) AS slug FROM cats) SELECT id, slug, NULL AS suggestions, 'types' AS field FROM t WHERE slug NOT IN (SELECT slug FROM known) "
+    "UNION ALL SELECT id, slug, CASE slug WHEN 'even' THEN 'evening,strange' WHEN 'odd' THEN 'strange' END, 'orgs' FROM o WHERE slug NOT IN ('en', 'de')",
     "f_params_changed": f"WITH {_MANY} SELECT id, (id % 5 = 0) OR list_sort({_list('orgs')}) <> list_sort({_list('CASE WHEN id % 8 = 0 THEN ' + repr('even,en') + ' ELSE orgs END')}) AS changed FROM cats",
-    "f_type_suggest": f"WITH {_TYPES}, asked AS (SELECT doc_id AS id, lower(['news stories', 'detailed guides and a guide', 'Policy papers please', 'nothing', ''][doc_id % 5 + 1]) AS text FROM documents), said AS (SELECT DISTINCT id, {_STEM.format('w')} AS w FROM asked, unnest(regexp_extract_all(text, '[a-z]+')) t(w)), parts AS (SELECT DISTINCT slug, {_STEM.format('w')} AS w FROM known, unnest(string_split(slug, '_')) t(w)) SELECT id, slug, count(*) AS shared FROM said JOIN parts USING (w) GROUP BY id, slug",
-    "f_org_suggest": "WITH asked AS (SELECT doc_id AS id, string_split(lower(['united kingdom rules', 'farm payments', 'United States of China', 'the', 'rope in euro'][doc_id % 5 + 1]), ' ') AS ws FROM documents), said AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM asked) SELECT id, lower(n_name) AS slug, CAST(min(pos) AS INTEGER) AS pos FROM said JOIN nation ON length(w) >= 4 AND contains(lower(n_name), w) GROUP BY 1, 2",
-    "f_page_results": f"{_BASE}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM short) WHERE n = 1), {_FOUND} SELECT url, title, hits FROM one LEFT JOIN found USING (url) ORDER BY url LIMIT 20 OFFSET 3",
+    "f_type_suggest": f"WITH {_TYPES}, asked AS (SELECT doc_id AS id, lower({SAID}[doc_id % 8 + 1]) AS text FROM documents), said AS (SELECT DISTINCT id, w FROM asked, unnest(regexp_extract_all(text, '[a-z_]+')) t(w)), stems AS (SELECT id, w FROM said UNION SELECT id, {_SINGLE} FROM said), parts AS (SELECT DISTINCT slug, w FROM known, unnest(list_append(string_split(slug, '_'), slug)) t(w)), "
+    f"found AS (SELECT id, slug, 0 AS rank FROM stems JOIN parts USING (w) UNION ALL SELECT id, slug, 1 FROM said JOIN (VALUES {', '.join(map(str, workspace.SYNONYMS.items()))}) v(w, slug) USING (w)) SELECT id, slug, min(rank) AS rank FROM found GROUP BY id, slug",
+    "f_org_suggest": f"WITH asked AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower({SAID}[doc_id % 8 + 1]), '[a-z0-9][a-z0-9&-]+'), lambda w: w NOT IN {workspace.COMMON}) AS ws FROM documents), said AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM asked), "
+    f"found AS (SELECT id, lower(n_name) AS slug, min(pos) AS pos FROM said JOIN nation ON (length(w) >= 4 AND (contains(lower(n_name), w) OR contains(lower({TITLES}[n_nationkey % 5 + 1]), w))) OR lower({ACRONYMS}[n_nationkey % 5 + 1]) = w GROUP BY 1, 2), r AS (SELECT id, slug, row_number() OVER (PARTITION BY id ORDER BY pos, length(slug), slug) AS rank FROM found) SELECT id, slug, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7",
+    "f_page_results": f"{_BASE}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM short) WHERE n = 1), {_FOUND} SELECT url, title, hits, (SELECT count(*) FROM one) AS total FROM one LEFT JOIN found USING (url) ORDER BY url LIMIT 20 OFFSET 3",
     "a_membership_refresh": f"WITH {_MEMBERS} SELECT * FROM members",
-    "a_overview": f"WITH {_MEMBERS} SELECT id, name, count(category_id) AS pages FROM cats LEFT JOIN members ON category_id = id GROUP BY id, name",
+    "a_overview": f"WITH {_MEMBERS} SELECT id, name, '2026-' || id % 7 AS created_at, CASE id WHEN 1 THEN 10 WHEN 5 THEN 0 END AS pages_kept, CASE id WHEN 1 THEN 't1' WHEN 5 THEN 't0' END AS computed_at, count(category_id) AS membership_count FROM cats LEFT JOIN members ON category_id = id GROUP BY id, name",
     "a_meta": f"WITH {_MEMBERS} SELECT category_id, count(*) AS members, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS types, category_id IN (1, 2) AS compared FROM members JOIN typed USING (url) GROUP BY category_id",
     "a_category_pages": f"{_BASE} SELECT m.url, content_id_ AS content_id, t.title, t.document_type FROM (SELECT key AS content_id_, min(url) AS url FROM short GROUP BY key) m JOIN typed t ON t.url = m.url ORDER BY content_id_ LIMIT 20 OFFSET 5",
     "a_delete_cascade": f"WITH {_MEMBERS} SELECT 'members' AS name, count(*) AS n FROM members WHERE category_id <> 3 UNION ALL SELECT 'runs', count(*) FROM customer WHERE c_custkey % 7 <> 3",
@@ -307,13 +351,21 @@ ORACLE_SQL = {
     "m_end_to_end": f"{_TWO} SELECT url, {_END} AS keep FROM ph",
     "m_cost_eff": f"WITH {GOLD}, {ev._A}, {ev._CELLS.format(v='va')} SELECT bound, round(12.5::DOUBLE / nullif(tp + tn, 0), 9) AS per_correct, round(12.5::DOUBLE / nullif(tp, 0), 9) AS per_found FROM conf",
     "m_estimate": f"SELECT count(*) AS pages, sum(length(prompt)) / 4 AS tokens, round(sum(length(prompt)) / 4 * 0.3::DOUBLE / 1e6, 9) AS cost FROM ({ev.ORACLE_SQL['e_render_prompt']})",
-    "d_body_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'b' || doc_id || ' one two' ELSE '' END AS text FROM pay",
+    "d_body_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'b' || doc_id || ' one five 5 two' ELSE '' END AS text FROM pay",
     "d_html_attachments": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'https://www.example.org/d/' || (doc_id + 1) ELSE '' END AS urls FROM pay",
     "d_child_links": f"WITH {_PAY} SELECT url, 'https://www.example.org/d/' || (doc_id + 2) AS child, 'child' AS relation FROM pay WHERE good UNION ALL SELECT url, url || '/' || p, 'part' FROM pay, unnest(['p1', 'p2']) t(p) WHERE good UNION ALL SELECT url, 'https://www.example.org/d/' || (doc_id + 1), 'attachment' FROM pay WHERE good",
-    "d_backfill_search_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'kept' WHEN good THEN 'b' || doc_id || ' one two' ELSE '' END AS search_text FROM pay",
-    "d_backfill_orgs": f"WITH {_PAY} SELECT url, 'o' || doc_id % 4 AS organisation_slug, 'primary' AS role FROM pay WHERE good UNION ALL SELECT url, 'o1', 'related' FROM pay WHERE good AND doc_id % 4 <> 1",
+    "d_backfill_search_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'kept' WHEN good THEN 'b' || doc_id || ' one five 5 two' ELSE '' END AS search_text FROM pay",
+    "d_extract_orgs": f"WITH {_PAY} SELECT url, 'p' || doc_id % 4 AS content_id, 'o' || doc_id % 4 AS organisation_slug, 'primary' AS role FROM pay WHERE good UNION ALL SELECT url, 'o' || doc_id % 4, 'o' || doc_id % 4, 'related' FROM pay WHERE good UNION ALL SELECT url, 'o1', 'first', 'related' FROM pay WHERE good AND doc_id % 4 <> 1",
+    "d_backfill_orgs": f"WITH {_PAY} SELECT count(*) AS scanned, count(*) FILTER (good) AS pages_with_orgs, count(*) FILTER (good) * 2 + count(*) FILTER (good AND doc_id % 4 <> 1) AS org_links, count(*) FILTER (NOT good) AS bad_json FROM pay",
+    "d_file_attachments": f"WITH {_PAY} SELECT doc_id, good::INT AS files FROM pay",
+    "d_body_links_payload": f"WITH {_PAY} SELECT doc_id, 0 AS pos, 'https://www.example.org/d/5' AS href, 'five 5' AS text, false AS external FROM pay WHERE good UNION ALL SELECT doc_id, 1, 'http://other.example/', 'http://other.example/', true FROM pay WHERE good",
+    "d_redirect_mirror": "SELECT c_custkey AS url, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey * 2 END AS destination FROM customer WHERE c_custkey % 3 <> 0",
+    "d_spec_backfill": f"""WITH {ev._RUNS}, x AS (SELECT run_id, category_id AS c, CASE run_id % 5 WHEN 1 THEN ['', 'i', NULL] WHEN 2 THEN ['n', 'i', 'e'] ELSE [NULL, NULL, NULL] END AS own, CASE run_id % 5 WHEN 1 THEN 'exclude' WHEN 2 THEN '' ELSE 'exclude,include,name' END AS missing FROM runs),
+      y AS (SELECT *, CASE WHEN missing = '' THEN 'already_complete' WHEN c = 0 THEN 'no_category' ELSE 'backfilled' END AS state FROM x)
+      SELECT run_id, state, CASE WHEN own[1] IS NULL AND state = 'backfilled' THEN 'c' || c ELSE own[1] END AS name, CASE WHEN own[2] IS NULL AND state = 'backfilled' THEN CASE WHEN c % 2 = 0 THEN 'rules' ELSE '' END ELSE own[2] END AS include, CASE WHEN own[3] IS NULL AND state = 'backfilled' THEN 'none' ELSE own[3] END AS exclude,
+        CASE WHEN state = 'backfilled' THEN missing END AS criteria_backfilled_keys, CASE WHEN state = 'backfilled' THEN '2026-09-15' END AS criteria_backfilled_at FROM y""",
     "d_redirect_upsert": "SELECT c_custkey AS src, CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE c_custkey * 2 END AS dst, CASE WHEN c_custkey % 2 = 0 THEN 302 ELSE 301 END AS status FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 <> 0",
-    "d_refresh_search_rows": f"WITH {CONTENT} SELECT url, CASE WHEN doc_id % 3 = 1 THEN 'own' WHEN doc_id % 5 <> 1 THEN title END AS title, CASE WHEN doc_id % 2 <> 0 THEN 'kind' WHEN doc_id % 5 <> 1 THEN document_type END AS document_type FROM typed",
+    "d_refresh_search_rows": f"WITH {CONTENT} SELECT url, CASE WHEN doc_id % 7 = 0 THEN 'own-id' WHEN doc_id % 5 <> 1 THEN content_id END AS content_id, CASE WHEN doc_id % 3 = 1 THEN 'own' WHEN doc_id % 5 <> 1 THEN title END AS title, CASE WHEN doc_id % 2 <> 0 THEN 'kind' WHEN doc_id % 5 <> 1 THEN document_type END AS document_type FROM typed",
     "d_votes_backfill": f"WITH {VOTES}, {GOLD} SELECT url, 'earlier' AS labeller, label FROM gold WHERE url NOT IN (SELECT url FROM votes WHERE labelled_at = 2)",
     "src_scope_list": f"WITH {CONTENT}, u AS (SELECT DISTINCT doc_id % 7 AS scope, url FROM ({_CORPUS['d_canonical_url']}) WHERE url IS NOT NULL) SELECT scope, count(*) AS urls, count(*) FILTER (url IN (SELECT url FROM typed WHERE usable)) AS usable FROM u GROUP BY scope",
     "snk_augmented_export": f"WITH {_HITS} SELECT url, source, es_score FROM cmp",

@@ -163,3 +163,42 @@ def test_stage_means(spark):
     pages = spark.createDataFrame([("aa", "", 9.0, 2, 5), ("b", None, None, 4, None)], "search_text string, public_updated_at string, reading_age double, gds_english_score int, gds_stars int")
     row = reports.stage_stats(pages, "2026-09-15").first()
     assert (row.n, row.mean_size, row.mean_age, row.mean_issues, row.mean_stars, row.unknown) == (2, 1.5, 9.0, 3.0, 5.0, 2)
+
+
+def test_payload_parts(spark):
+    raw = (
+        '{"base_path": "/g/", "details": {"body": [{"content_type": "text/govspeak", "content": "<a href=\\"/no\\">n</a>"}, {"content_type": "text/html", "content": "<p><a class=x href=\\"/a\\">one <b>A</b></a><A HREF=\\"/a\\">again</A><a href=\\"#top\\">t</a></p>"}],'
+        ' "parts": [{"slug": "p1", "body": "<a href=\\"MAILTO:x@y\\">m</a><a href=\\"https://other.example/b\\"> </a>"}], "attachments": [{"attachment_type": "html", "url": "/h/", "body": "<a href=\\"https://example.org/c\\">c</a>"}, {"attachment_type": "file", "url": "/f.pdf"}]},'
+        ' "links": {"children": [{"base_path": "/g"}, {"base_path": "/k"}], "primary_publishing_organisation": [{"content_id": "1", "base_path": "/government/organisations/courts/tribunal/"}], "organisations": [{"content_id": "1", "base_path": "/x/first"}, {"content_id": "1", "base_path": "/x/second"}, {"content_id": "2"}]}}'
+    )
+    pages = spark.createDataFrame([("https://www.example.org/g", raw), ("https://www.example.org/bad", "{"), ("https://www.example.org/none", None)], "url string, payload string")
+    links = {r.url[-3:]: [tuple(x) for x in r.l] for r in pages.select("url", ingest.body_links(payload.blobs(F.col("payload"))).alias("l")).collect()}
+    assert links == {"g/g": [("https://www.example.org/a", "one A", False), ("https://other.example/b", "https://other.example/b", True), ("https://example.org/c", "c", False)], "bad": [], "one": []}
+    assert sorted(map(tuple, payload.child_links(pages).select("child", "relation").collect())) == [("https://www.example.org/g/p1", "part"), ("https://www.example.org/h", "attachment"), ("https://www.example.org/k", "child")]
+    assert [r.n for r in pages.select(payload.file_count(F.col("payload")).alias("n")).collect()] == [1, 0, 0]
+    assert [tuple(r)[1:] for r in payload.page_organisations(pages).collect()] == [("1", "tribunal", "primary"), ("1", "first", "related"), ("2", "", "related")]
+    assert tuple(payload.organisation_counters(pages).first()) == (2, 1, 3, 1)
+
+
+def test_view_counts(spark):
+    pages = spark.createDataFrame([("https://h/a/b/c", None, None, None), ("https://h/a/b", 1, "page", "old"), ("https://h/x", 9, "page", "today"), ("https://h/q/r", None, None, None)], "url string, view_count long, view_count_source string, view_count_updated string")
+    counts = spark.createDataFrame([("/a/b", 5), ("/x", 4), ("/q", 3)], "path string, views long")
+    got = {r.url: tuple(r)[1:] for r in ingest.view_counts(pages, counts, "today").collect()}
+    assert got == {"https://h/a/b/c": (5, "parent", "today"), "https://h/a/b": (5, "page", "today"), "https://h/x": (9, "page", "today"), "https://h/q/r": (None, None, None)}
+
+
+def test_suggestions(spark):
+    from corpusloom.operators import workspace
+
+    ask = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    types = spark.createDataFrame([("guidance",), ("policy_paper",), ("case_study",)], "slug string")
+    got = {(r.id, r.slug, r["rank"]) for r in workspace.suggest_types(ask("guidances", "some policies", "Cases", None, "stats and press"), types).collect()}
+    assert got == {(0, "guidance", 0), (1, "policy_paper", 0), (2, "case_study", 0), (4, "statistics", 1), (4, "press_release", 1)}
+    orgs = spark.createDataFrame([("environment-agency", "Environment Agency", "EA"), ("natural-england", "Natural England", None), ("defra", "Environment, Food and Rural Affairs", "DEFRA")], "slug string, title string, acronym string")
+    found = {r.id: [] for r in ask("", "", "", "").collect()}
+    for r in workspace.suggest_organisations(ask("EA office", "the environment agency", "natural, rural", "agency"), orgs).orderBy("id", "rank").collect():
+        found[r.id].append(r.slug)
+    assert found == {0: ["environment-agency"], 1: ["defra", "environment-agency"], 2: ["natural-england", "defra"], 3: []}
+    saved = spark.createDataFrame([(1, "guidance, guidances", "")], "id int, types string, orgs string")
+    assert [tuple(r) for r in workspace.unknown_entries(saved, "types", types, lambda a: workspace.suggest_types(a, types)).collect()] == [(1, "guidances", "guidance")]
+    assert workspace.unknown_entries(saved, "types", types.limit(0), lambda a: workspace.suggest_types(a, types)).count() == 0

@@ -72,10 +72,14 @@ def test_hierarchy(spark):
 
 
 def test_redirects(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("p", "q"), *[(f"n{k}", f"n{k + 1}") for k in range(8)]], "src string, dst string")
-    held = spark.createDataFrame([("c",)], "url string")
-    found = {r.src: (r.final, r.status) for r in ingest.redirect_chains(edges, held, 5).collect()}
-    assert found["a"] == ("c", "ok") and found["x"][1] == "circular" and found["p"] == ("q", "not_found") and found["n0"][1] == "max_depth"
+    rows = [("a", 200, True, "b"), ("b", 200, True, "c"), ("c", 200, False, None), ("x", 200, True, "y"), ("y", 200, True, "x"), ("p", 200, True, "q"), ("g", 200, True, "h"), ("h", 410, False, None), ("e", 503, False, None), ("o", 200, True, None), *[(f"n{k}", 200, True, f"n{k + 1}") for k in range(8)]]
+    fetched = spark.createDataFrame(rows, "url string, http_status int, is_redirect boolean, destination string")
+    found = {r.src: r for r in ingest.redirect_chains(fetched, fetched.select("url"), 5).collect()}
+    assert len(found) == len(rows) and tuple(found["a"])[1:] == ("c", 200, ["a", "b", "c"], None) and tuple(found["c"])[1:] == ("c", 200, ["c"], None)
+    assert tuple(found["x"])[1:] == (None, None, ["x", "y"], "circular") and tuple(found["p"])[1:] == ("q", 404, ["p", "q"], "not_found")
+    assert tuple(found["g"])[1:4:2] == ("h", ["g", "h"]) and found["g"].error == "gone" and found["e"].error == "http_503" and found["o"].error == "external"
+    assert found["n0"].error == "max_depth" and len(found["n0"].hops) == 6 and found["n4"].error == "not_found"
+    assert ingest.redirect_chains(fetched, fetched.select("url").limit(0)).count() == 0
 
 
 def test_gold_and_metrics(spark):

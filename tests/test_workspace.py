@@ -5,7 +5,7 @@ import pytest
 from corpusloom.operators import payload, review, workspace
 
 LISTS = "id long, name string, orgs string, types string, words string"
-PAGE = "url string, content_id string, title string, search_text string, document_type string, parent_document_type string, is_redirect boolean, content_hash string, withdrawn boolean"
+PAGE = "url string, content_id string, title string, description string, search_text string, document_type string, parent_document_type string, is_redirect boolean, content_hash string, withdrawn boolean"
 
 
 def pages(spark):
