@@ -25,10 +25,25 @@ def reading_band(age: Column) -> Column:
 
 
 def confidence(score: Column) -> Column:
-    """Three-way label of a score."""
-    return F.when(score.isNull(), "unknown").when(score >= 0.65, "high").when(score >= 0.35, "medium").otherwise("low")
+    """How central a topic is by its score; empty without one."""
+    return F.when(score.isNull(), "").when(score <= 0, "Wrong sense").when(score <= 0.35, "Mentioned in passing").when(score <= 0.65, "Discussed a moderate amount").otherwise("Major focus")
+
+
+#: The bands of ``score_band`` in order of scores.
+BAND_ORDER = ("0", "0.1-0.3", "0.4-0.6", "0.7-1.0")
+
+
+def score_band(score: Column) -> Column:
+    """Band of a score for strata and calibration; unscored without one."""
+    return F.when(score.isNull(), "unscored").when(score <= 0, "0").when(score <= 0.35, "0.1-0.3").when(score <= 0.65, "0.4-0.6").otherwise("0.7-1.0")
 
 
 def score_bucket(score: Column) -> Column:
-    """Histogram bucket 0 to 4; null without a score."""
-    return F.when(score.isNull(), F.lit(None).cast("int")).when(score >= 0.65, 4).when(score >= 0.35, 3).when(score >= 0.23, 2).when(score >= 0.12, 1).otherwise(0)
+    """Histogram bucket 0 to 5; a missing score counts as 0."""
+    s = F.coalesce(score, F.lit(0.0))
+    return F.when(s <= 0, 0).when(s <= 0.12, 1).when(s <= 0.23, 2).when(s <= 0.35, 3).when(s <= 0.65, 4).otherwise(5)
+
+
+def zone(bucket: Column) -> Column:
+    """What becomes of a bucket: drop, borderline or confident."""
+    return F.when(bucket == 0, "drop").when(bucket <= 3, "borderline").otherwise("confident")

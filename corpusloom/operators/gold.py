@@ -65,12 +65,64 @@ def latest_votes(votes: DataFrame) -> DataFrame:
     return last.where("label IS NOT NULL")
 
 
-def consensus(votes: DataFrame) -> DataFrame:
-    """``url, n_votes, label, kind``: single, unanimous, majority, or split, which is borderline."""
-    share = votes.groupBy("url", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = share.groupBy("url").agg(F.sum("n").alias("n_votes"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("top"))
-    kind = F.when(F.col("n_votes") == 1, "single").when(F.col("most") == F.col("n_votes"), "unanimous").when(F.col("most") * 2 > F.col("n_votes"), "majority").otherwise("split")
-    return per.select("url", "n_votes", F.when(kind == "split", "borderline").otherwise(F.col("top")).alias("label"), kind.alias("kind"))
+#: Labels in the order in which ties go; fixed values.
+LABELS = ("in", "out", "borderline")
+
+
+def consensus(votes: DataFrame, adjudicated: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """``url, n_votes, label, agreement, rationale, labelled_by`` (and ``version``) of each page with votes or an adjudication.
+
+    ``votes`` has ``url, labeller, label, rationale``. One vote is single; all alike unanimous; more
+    than half majority; else split, which is borderline. The rationale is the single vote's, else
+    ``labeller: label — rationale`` of all, by labeller. An adjudication (``url, label, rationale``)
+    wins, with or without votes. With ``stored`` (``url, label, agreement, rationale, n_votes,
+    version``) the version goes up by one where anything changed and begins at 1.
+    """
+    line = F.concat(F.col("labeller"), F.lit(": "), F.col("label"), F.lit(" — "), F.coalesce("rationale", F.lit("")))
+    per = votes.groupBy("url").agg(
+        F.count(F.lit(1)).alias("n_votes"), *[F.count(F.when(F.col("label") == x, 1)).alias(x) for x in LABELS],
+        F.array_sort(F.collect_list(F.struct("labeller", line.alias("line"), F.coalesce("rationale", F.lit("")).alias("own")))).alias("lines"),
+    )
+    most = F.greatest(*LABELS)
+    top = F.when(F.col("in") == most, "in").when(F.col("out") == most, "out").otherwise("borderline")
+    kind = F.when(F.col("n_votes") == 1, "single").when(most == F.col("n_votes"), "unanimous").when(most * 2 > F.col("n_votes"), "majority").otherwise("split")
+    merged = F.when(F.col("n_votes") == 1, F.col("lines")[0]["own"]).otherwise(F.array_join(F.transform("lines", lambda v: v["line"]), " | "))
+    people = F.array_join(F.array_distinct(F.transform("lines", lambda v: v["labeller"])), ", ")
+    out = per.select("url", "n_votes", F.when(kind == "split", "borderline").otherwise(top).alias("label"), kind.alias("agreement"), merged.alias("rationale"), people.alias("labelled_by"))
+    if adjudicated is not None:
+        a = adjudicated.select("url", F.struct("label", "rationale").alias("a"))
+        pick = lambda c: F.when(F.col("a").isNotNull(), F.col(f"a.{c}")).otherwise(F.col(c)).alias(c)
+        out = out.join(a, "url", "full_outer").select("url", F.coalesce("n_votes", F.lit(0)).alias("n_votes"), pick("label"), F.when(F.col("a").isNotNull(), "adjudicated").otherwise(F.col("agreement")).alias("agreement"), pick("rationale"), F.coalesce("labelled_by", F.lit("")).alias("labelled_by"))
+    if stored is None:
+        return out
+    fields = ("label", "agreement", "rationale", "n_votes")
+    old = stored.select("url", F.struct(*fields).alias("old"), F.col("version").alias("v"))
+    version = F.when(F.col("v").isNull(), 1).when(F.struct(*fields).eqNullSafe(F.col("old")), F.col("v")).otherwise(F.col("v") + 1)
+    return out.join(old, "url", "left").select(*out.columns, version.cast("int").alias("version"))
+
+
+def disagreements(votes: DataFrame) -> DataFrame:
+    """``url, votes`` of pages with two votes or more that differ; votes as ``labeller=label`` text in order."""
+    said = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "labeller", "label"))), ",")
+    return votes.groupBy("url").agg(said.alias("votes"), F.countDistinct("label").alias("n")).where("n > 1").select("url", "votes")
+
+
+def agreement_summary(votes: DataFrame) -> DataFrame:
+    """One row: labellers, pages with a vote, with two or more, with one of every labeller, unanimous ones, Fleiss' kappa over the complete pages, blind votes.
+
+    ``votes`` has ``url, labeller, label, blind``. Kappa is null without complete pages or with one labeller.
+    """
+    people = votes.agg(F.countDistinct("labeller").alias("labellers"), F.count(F.when(F.col("blind"), 1)).alias("blind_votes"))
+    per = votes.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("kinds"), *[F.count(F.when(F.col("label") == x, 1)).alias(x) for x in LABELS]).crossJoin(F.broadcast(people))
+    whole = (F.col("n") == F.col("labellers")) & (F.col("labellers") >= 2)
+    squares = sum((F.col(x) * F.col(x) for x in LABELS), F.lit(0))
+    count = lambda c: F.count(F.when(c, 1))
+    got = per.agg(
+        F.first("labellers").alias("labellers"), F.count(F.lit(1)).alias("pages_voted"), count(F.col("n") >= 2).alias("pages_multi"), count(whole).alias("pages_complete"), count((F.col("n") >= 2) & (F.col("kinds") == 1)).alias("unanimous"), F.first("blind_votes").alias("blind_votes"),
+        F.avg(F.when(whole, (squares - F.col("n")) / (F.col("n") * (F.col("n") - 1)))).alias("p"), *[F.avg(F.when(whole, F.col(x) / F.col("n"))).alias(f"p_{x}") for x in LABELS],
+    )
+    chance = sum((F.col(f"p_{x}") * F.col(f"p_{x}") for x in LABELS), F.lit(0.0))
+    return got.select("labellers", "pages_voted", "pages_multi", "pages_complete", "unanimous", F.when(chance < 1, (F.col("p") - chance) / (1 - chance)).when(chance >= 1, 1.0).alias("fleiss_kappa"), "blind_votes")
 
 
 def pair_agreement(votes: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def _flag(c: Column, weight: Column) -> Column:
 
 
 def confusion(gold: DataFrame, verdicts: DataFrame, weight: str | None = None) -> DataFrame:
-    """tp, fp, fn, tn, n and unparsed for each bound; a missing or unparsed verdict counts as a drop."""
+    """tp, fp, fn, tn, n and unparsed for each bound, all weighted; a missing or unparsed verdict counts as a drop."""
     met = gold.join(verdicts.select("url", "keep"), "url", "left")
     w = F.col(weight) if weight else F.lit(1)
     each = met.withColumn("bound", F.explode(F.array(*map(F.lit, BOUNDS))))
@@ -23,7 +23,7 @@ def confusion(gold: DataFrame, verdicts: DataFrame, weight: str | None = None) -
     used = each.withColumn("truth", truth).where("truth IS NOT NULL")
     return used.groupBy("bound").agg(
         _flag(F.col("truth") & kept, w).alias("tp"), _flag(~F.col("truth") & kept, w).alias("fp"), _flag(F.col("truth") & ~kept, w).alias("fn"), _flag(~F.col("truth") & ~kept, w).alias("tn"),
-        _flag(F.lit(True), w).alias("n"), _flag(F.col("keep").isNull(), F.lit(1)).alias("unparsed"),
+        _flag(F.lit(True), w).alias("n"), _flag(F.col("keep").isNull(), w).alias("unparsed"),
     )
 
 
@@ -34,7 +34,29 @@ def rates(counts: DataFrame) -> DataFrame:
     return counts.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(tn, tn + fp).alias("specificity"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
+def rates_by_repeat(gold: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Rates of each repeat, of their majority verdict, and of all counts together (micro), by bound: ``arm`` is the run's id, majority or micro.
+
+    ``repeats`` has ``run_id, url, keep``. A page that a repeat lacks counts as a drop in it.
+    """
+    names = repeats.select(F.col("run_id").cast("string").alias("arm")).distinct()
+    asked = gold.select("url", "label").crossJoin(F.broadcast(names))
+    met = asked.join(repeats.select("url", F.col("run_id").cast("string").alias("arm"), "keep"), ["url", "arm"], "left")
+    vote = majority(repeats).select("url", F.lit("majority").alias("arm"), "keep")
+    every = met.unionByName(gold.select("url", "label").join(vote, "url", "left").withColumn("arm", F.lit("majority")))
+    cells = every.withColumn("bound", F.explode(F.array(*map(F.lit, BOUNDS))))
+    truth = F.when(F.col("label") == "borderline", F.when(F.col("bound") == "in", True).when(F.col("bound") == "out", False)).otherwise(F.col("label") == "in")
+    kept = F.coalesce(F.col("keep") == 1, F.lit(False))
+    used = cells.withColumn("truth", truth).where("truth IS NOT NULL")
+    one = lambda c: F.count(F.when(c, 1))
+    counts = used.groupBy("arm", "bound").agg(one(F.col("truth") & kept).alias("tp"), one(~F.col("truth") & kept).alias("fp"), one(F.col("truth") & ~kept).alias("fn"), one(~F.col("truth") & ~kept).alias("tn"))
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]
+    micro = counts.where("arm <> 'majority'").groupBy("bound").agg(*sums).select(F.lit("micro").alias("arm"), "bound", "tp", "fp", "fn", "tn")
+    return rates(counts.unionByName(micro))
+
+
 def borderline_kept(gold: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``kept_share``: share of borderline pages that are kept; a missing verdict is a drop, no such page gives null."""
     met = gold.where("label = 'borderline'").join(verdicts.select("url", "keep"), "url", "left")
     return met.agg(F.avg(F.when(F.col("keep") == 1, 1.0).otherwise(0.0)).alias("kept_share"))
 
@@ -54,18 +76,23 @@ def keep_counts(repeats: DataFrame, n_repeats: int) -> DataFrame:
 
 
 def stability(repeats: DataFrame, n_repeats: int) -> DataFrame:
+    """``pages, flip_pages, unanimous``: pages, those with both verdicts over the repeats, and the share without."""
     flips = (F.col("keeps") > 0) & (F.col("drops") > 0)
     return keep_counts(repeats, n_repeats).agg(F.count(F.lit(1)).alias("pages"), F.sum(flips.cast("int")).alias("flip_pages"), F.avg((~flips).cast("int")).alias("unanimous"))
 
 
-def fleiss_kappa(repeats: DataFrame, n_repeats: int) -> DataFrame:
-    """Fleiss' kappa of keep against drop; null under two repeats, 1 where chance agreement is certain."""
-    r = n_repeats
-    per = keep_counts(repeats, r).agg(
-        F.avg((F.col("keeps") * F.col("keeps") + F.col("drops") * F.col("drops") - r) / F.lit(float(r * (r - 1)) or None)).alias("p"), F.avg(F.col("keeps") / r).alias("k")
-    )
-    chance = F.col("k") * F.col("k") + (1 - F.col("k")) * (1 - F.col("k"))
-    return per.select(F.when(chance < 1, (F.col("p") - chance) / (1 - chance)).otherwise(F.when(F.col("p").isNotNull(), 1.0)).alias("kappa"))
+def fleiss_kappa(ratings: DataFrame) -> DataFrame:
+    """Fleiss' kappa of ``ratings`` (``url, keep``) into keep and drop; an unparsed one is a drop.
+
+    Null without pages, with one rating a page, or if pages have different numbers of ratings; 1
+    where chance agreement is certain.
+    """
+    kept = F.count(F.when(F.col("keep") == 1, 1))
+    per = ratings.groupBy("url").agg(F.count(F.lit(1)).alias("n"), kept.alias("k"))
+    d = F.col("n") - F.col("k")
+    got = per.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.avg((F.col("k") * F.col("k") + d * d - F.col("n")) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0))).alias("p"), F.avg(F.col("k") / F.col("n")).alias("q"))
+    chance = F.col("q") * F.col("q") + (1 - F.col("q")) * (1 - F.col("q"))
+    return got.select(F.when((F.col("low") == F.col("high")) & (F.col("low") >= 2), F.when(chance < 1, (F.col("p") - chance) / (1 - chance)).otherwise(1.0)).alias("kappa"))
 
 
 def majority(repeats: DataFrame) -> DataFrame:
@@ -80,11 +107,22 @@ def score_stability(repeats: DataFrame, band: Column, threshold: float = 0.15) -
     return per.agg(F.avg("sd").alias("mean_sd"), F.avg((F.col("sd") > threshold).cast("int")).alias("unstable"), F.avg((F.col("bands") == 1).cast("int")).alias("one_band"))
 
 
-def calibration(gold: DataFrame, scores: DataFrame, band: Column) -> DataFrame:
-    """``band, n, share_in, mean_score, brier`` over labelled pages; borderline ones are left out."""
-    met = gold.where("label <> 'borderline'").join(scores.where("score IS NOT NULL").select("url", "score"), "url")
+def calibration(gold: DataFrame, scores: DataFrame, band: Column, order: tuple[str, ...]) -> DataFrame:
+    """``band, n, share_in`` over labelled pages, with ``monotone`` and ``brier`` of all beside each.
+
+    ``band`` is over the column ``score``; pages without a score are in its band for none, and out
+    of the Brier score. ``monotone``: the shares never fall along the bands of ``order``; null with
+    fewer than two of them. Borderline pages are left out; no pages give no rows.
+    """
+    met = gold.where("label <> 'borderline'").join(scores.select("url", "score"), "url", "left")
     truth = (F.col("label") == "in").cast("double")
-    return met.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg(truth).alias("share_in"), F.avg("score").alias("mean_score"), F.avg(F.pow(F.col("score") - truth, F.lit(2.0))).alias("brier"))
+    table = met.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg(truth).alias("share_in"), F.sum(F.pow(F.col("score") - truth, F.lit(2.0))).alias("squares"), F.count("score").alias("scored"))
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("band"))
+    shares = F.transform(F.array_sort(F.collect_list(F.when(rank > 0, F.struct(rank.alias("r"), "share_in")))), lambda x: x["share_in"])
+    whole = table.agg(shares.alias("s"), (F.sum("squares") / F.nullif(F.sum("scored"), F.lit(0))).alias("brier"))
+    steps = F.forall(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.element_at("s", i) <= F.element_at("s", i + 1))
+    flag = whole.select(F.when(F.size("s") > 1, steps).alias("monotone"), "brier")
+    return table.select("band", "n", "share_in").crossJoin(F.broadcast(flag))
 
 
 def mcnemar(gold: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -113,16 +151,31 @@ def latency(results: DataFrame, column: str = "ms") -> DataFrame:
     return results.groupBy("run_id").agg(F.percentile(column, 0.5).alias("p50"), F.percentile(column, 0.9).alias("p90"))
 
 
-def bootstrap(gold: DataFrame, verdicts: DataFrame, repeats: int = 200, seed: int = 1) -> DataFrame:
-    """Percentile interval (2.5 to 97.5) of accuracy over ``repeats`` Poisson resamples.
+#: Upper ends of the chances of 0, 1, 2, ... draws of one page in a resample (Poisson with mean 1).
+DRAWS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def bootstrap(gold: DataFrame, verdicts: DataFrame, other: DataFrame | None = None, metric: str = "recall", repeats: int = 200, seed: int = 20260924) -> DataFrame:
+    """``point, low, high, draws`` of a metric of ``rates``, or of its difference to that of ``other``, by resampling pages.
 
-    Each page gets a weight for each resample from a hash, so no resample is gathered anywhere.
+    Each page gets a number of draws for each resample from md5 of seed, resample and url, so no
+    resample is gathered anywhere and any system draws alike. low and high are the values at 2.5
+    and 97.5 % of the sorted resamples in which the metric is defined; null without any. Borderline
+    pages are left out; a missing verdict is a drop.
     """
-    met = gold.where("label <> 'borderline'").join(verdicts.select("url", "keep"), "url", "left")
-    right = F.coalesce(F.col("keep") == 1, F.lit(False)) == (F.col("label") == "in")
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "url"), F.lit(1 << 40)) / float(1 << 40)
-    edges = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    draw = sum((F.when(u >= e, 1).otherwise(0) for e in edges), F.lit(0))
-    each = met.select("url", right.cast("int").alias("ok"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep")).withColumn("w", draw)
-    per = each.groupBy("rep").agg((F.sum(F.col("ok") * F.col("w")) / F.sum("w")).alias("accuracy"))
-    return per.agg(F.percentile("accuracy", 0.025).alias("low"), F.percentile("accuracy", 0.975).alias("high"))
+    met = gold.where("label <> 'borderline'").join(verdicts.select("url", F.col("keep").alias("ka")), "url", "left")
+    met = met.join((verdicts if other is None else other).select("url", F.col("keep").alias("kb")), "url", "left").select("url", (F.col("label") == "in").alias("truth"), *[F.coalesce(F.col(c) == 1, F.lit(False)).alias(c) for c in ("ka", "kb")])
+    # Resample 0 is the table itself.
+    each = met.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats))).alias("rep"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("url"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = F.when(F.col("rep") == 0, 1).otherwise(sum((F.when(u >= e, 1).otherwise(0) for e in DRAWS), F.lit(0)))
+    weighed = each.withColumn("w", drawn)
+    cell = lambda k, t, v: F.sum(F.when((F.col("truth") == t) & (F.col(k) == v), F.col("w")).otherwise(0))
+    names = {"tp": (True, True), "fp": (False, True), "fn": (True, False), "tn": (False, False)}
+    per = weighed.groupBy("rep").agg(*[cell(k, *v).alias(f"{k}_{c}") for k in ("ka", "kb") for c, v in names.items()])
+    value = lambda k: rates(per.select("rep", *[F.col(f"{k}_{c}").alias(c) for c in names])).select("rep", F.col(metric).alias(k))
+    pairs = value("ka") if other is None else value("ka").join(value("kb"), "rep")
+    found = pairs.select("rep", F.col("ka") if other is None else (F.col("ka") - F.col("kb")).alias("ka"))
+    got = found.agg(F.max(F.when(F.col("rep") == 0, F.col("ka"))).alias("point"), F.array_sort(F.collect_list(F.when(F.col("rep") > 0, F.col("ka")))).alias("all"))
+    at = lambda share: F.try_element_at("all", (F.floor(F.lit(share) * (F.size("all") - 1)) + 1).cast("int"))
+    return got.select("point", F.when(F.size("all") > 0, at(0.025)).alias("low"), F.when(F.size("all") > 0, at(0.975)).alias("high"), F.size("all").alias("draws"))

@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions.bands import confidence
 from corpusloom.functions.urls import canonical_url
 from corpusloom.operators.workspace import entries
 
 
-def keyword_scorer(words: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Score = share of the words that a page holds; kept with one or more."""
+def score_pages(pages: DataFrame, words: list[str]) -> DataFrame:
+    """``url, keep, score`` of every page (``url, text``): the share of the words that it holds, in any case; kept with one or more.
 
-    def score(batch: pd.DataFrame) -> pd.DataFrame:
-        text = batch["text"].fillna("").str.lower()
-        found = sum(text.str.contains(w.lower(), regex=False).astype("int64") for w in words)
-        return pd.DataFrame({"url": batch["url"], "keep": (found > 0).astype("int32"), "score": found / len(words)})
-
-    return score
-
-
-def score_pages(pages: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """``url, keep, score`` of every page (``url, text``) by a batch function."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(scorer, batches)
-
-    return pages.select("url", "text").mapInPandas(run, "url string, keep int, score double")
+    A null text holds none. At least one word is needed.
+    """
+    text = F.lower(F.coalesce("text", F.lit("")))
+    found = sum((text.contains(w.lower()).cast("int") for w in words), F.lit(0))
+    return pages.select("url", (found > 0).cast("int").alias("keep"), (found / len(words)).alias("score"))
 
 
 def exclusion_reason(reply: Column) -> Column:
@@ -65,12 +57,26 @@ def end_to_end(first: DataFrame, second: DataFrame) -> DataFrame:
     return _phases(first, second).select("url", keep.alias("keep"))
 
 
-def stage_rows(first: DataFrame, second: DataFrame) -> DataFrame:
-    """``url, stage``: every stage a page is listed at; a page may be at several."""
-    kept = F.coalesce(F.col("keep") == 1, F.lit(False))
-    final = kept & (F.col("seen").isNull() | F.coalesce(F.col("again") == 1, F.lit(False)))
-    stages = {"kept": kept, "dropped": F.col("keep") == 0, "unparsed": F.col("keep").isNull(), "checked": F.col("seen"), "excluded": kept & (F.col("again") == 0), "final": final}
-    return _phases(first, second).select("url", F.explode(F.array_compact(F.array(*[F.when(c, s) for s, c in stages.items()]))).alias("stage"))
+def stage_rows(first: DataFrame, second: DataFrame, dept: DataFrame, doctype: DataFrame, keyword: DataFrame) -> DataFrame:
+    """``url, stage``: each of the nine stages that a page is listed at.
+
+    dept, doctype and keyword are the urls left by the filters. Of a chain's runs: reached_inclusion
+    (scored at all), include (kept), excl_include (dropped), reached_exclusion (kept by the first),
+    excl_final (dropped by the second), final (kept by the second, or by the first where the chain
+    has no second run, that is if ``second`` is empty).
+    """
+    listed = lambda rows, stage: rows.select("url", F.lit(stage).alias("stage"))
+    kept = first.where("keep = 1")
+    parts = [
+        listed(dept, "dept"), listed(doctype, "doctype"), listed(keyword, "keyword"), listed(first, "reached_inclusion"), listed(kept, "include"), listed(first.where("keep = 0"), "excl_include"), listed(kept, "reached_exclusion"),
+        listed(second.where("keep = 0"), "excl_final"), listed(kept if second.isEmpty() else second.where("keep = 1"), "final"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def left_at(keep: Column, seen: Column, again: Column) -> Column:
+    """Where a page left a chain: p1_unparsed, p1_drop, kept (also if the second run has not seen it), p2_unparsed or p2_drop."""
+    return F.when(keep.isNull(), "p1_unparsed").when(keep == 0, "p1_drop").when(seen.isNull(), "kept").when(again.isNull(), "p2_unparsed").when(again == 1, "kept").otherwise("p2_drop")
 
 
 def verdict_label(keep: Column) -> Column:
@@ -78,9 +84,9 @@ def verdict_label(keep: Column) -> Column:
 
 
 def run_pages(first: DataFrame, second: DataFrame, labels: DataFrame, votes: DataFrame) -> DataFrame:
-    """Every page of a run with both verdicts, its label and its votes as ``labeller=label`` text."""
+    """Every page of a run with both verdicts, the stage it left at, its label and its votes as ``labeller=label`` text."""
     said = votes.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "labeller", "label"))), ",").alias("votes"))
-    return _phases(first, second).join(labels.select("url", "label"), "url", "left").join(said, "url", "left").select("url", "keep", "again", "label", "votes")
+    return _phases(first, second).join(labels.select("url", "label"), "url", "left").join(said, "url", "left").select("url", "keep", "again", left_at(F.col("keep"), F.col("seen"), F.col("again")).alias("stage"), "label", "votes")
 
 
 def enrich(results: DataFrame, pages: DataFrame, hits: DataFrame, second: DataFrame) -> DataFrame:
@@ -103,12 +109,33 @@ def diff_cards(base: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFr
     return b.join(o, "url").where("NOT (b <=> o)").join(pages.select("url", "title"), "url", "left").select("url", "title", "b_first", "b_second", "o_first", "o_second")
 
 
-def second_phase_bands(base: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """By band of the base's first score: pages that both chains checked, drops of each, flips."""
-    b = _phases(*base).where("seen").select("url", "score", F.col("again").alias("b"))
-    o = _phases(*other).where("seen").select("url", F.col("again").alias("o"))
+# Bands of the smaller of two scores, as they are shown.
+BANDS = ("0 (wrong sense)", "0.01–0.35 (in passing)", "0.36–0.65 (moderate)", "0.66–1 (major)")
+
+
+def second_phase(base: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``url, band, input, b_drop, o_drop, b_final, o_final, same_first`` of the pages that both chains scored.
+
+    ``input``: both first runs kept it; ``b_drop`` and ``o_drop``: a second run dropped it.
+    """
+    side = lambda chain, p: _phases(*chain).select("url", F.col("keep").alias(f"{p}_keep"), F.coalesce("score", F.lit(0.0)).alias(f"{p}_score"), F.coalesce(F.col("again") == 0, F.lit(False)).alias(f"{p}_drop"), (F.coalesce(F.col("keep") == 1, F.lit(False)) & (F.col("seen").isNull() | F.coalesce(F.col("again") == 1, F.lit(False)))).alias(f"{p}_final"))
+    low = F.least("b_score", "o_score")
+    band = F.when(low <= 0, BANDS[0]).when(low <= 0.35, BANDS[1]).when(low <= 0.65, BANDS[2]).otherwise(BANDS[3])
+    return side(base, "b").join(side(other, "o"), "url").select("url", band.alias("band"), (F.coalesce(F.col("b_keep") == 1, F.lit(False)) & F.coalesce(F.col("o_keep") == 1, F.lit(False))).alias("input"), "b_drop", "o_drop", "b_final", "o_final", F.col("b_keep").eqNullSafe(F.col("o_keep")).alias("same_first"))
+
+
+def second_phase_summary(pages: DataFrame) -> DataFrame:
+    """One row of ``second_phase``: shared pages, input, drops of each chain, flips of the final, and which phase drove them."""
     n = lambda text: F.count(F.when(F.expr(text), 1))
-    return b.join(o, "url").groupBy(confidence(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"), n("b = 0").alias("base_drops"), n("o = 0").alias("other_drops"), n("NOT (b <=> o)").alias("flips"))
+    return pages.agg(F.count(F.lit(1)).alias("shared"), n("input").alias("excl_input"), n("input AND b_drop").alias("base_dropped"), n("input AND o_drop").alias("other_dropped"), n("b_final <> o_final").alias("flips"), n("b_final <> o_final AND same_first").alias("exclusion_driven"), n("b_final <> o_final AND NOT same_first").alias("inclusion_driven"))
+
+
+def second_phase_bands(pages: DataFrame) -> DataFrame:
+    """By band of ``second_phase``: input, kept by both, dropped by both and flipped of the input; pages and flips of all; every band."""
+    n = lambda text: F.count(F.when(F.expr(text), 1))
+    found = pages.groupBy("band").agg(n("input").alias("input"), n("input AND b_final AND o_final").alias("kept"), n("input AND NOT b_final AND NOT o_final").alias("dropped"), n("input AND b_final <> o_final").alias("flipped"), F.count(F.lit(1)).alias("pages"), n("b_final <> o_final").alias("all_flipped"))
+    every = pages.sparkSession.createDataFrame([(b,) for b in BANDS], "band string")
+    return every.join(found, "band", "left").na.fill(0)
 
 
 def latest_verdicts(results: DataFrame) -> DataFrame:
@@ -132,16 +159,25 @@ def matched_keywords(asked: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def label_status(labels: DataFrame, sent: DataFrame) -> DataFrame:
-    """By tag of the pages sent on: how many, how many without a label, how many borderline; labels of pages not sent on as ``gone``."""
-    met = sent.join(labels.select("url", "label", F.lit(True).alias("labelled")), "url", "full_outer")
+    """By tag of the pages sent on (``url, tag, content_hash``): how many, unlabelled, borderline, and drifted from the hash they were labelled at; labels of pages not sent on as ``gone``."""
+    own = labels.select("url", "label", F.col("content_hash_at_label").alias("then"), F.lit(True).alias("labelled"))
+    met = sent.join(own, "url", "full_outer")
     n = lambda text: F.count(F.when(F.expr(text), 1))
-    return met.groupBy(F.coalesce("tag", F.lit("gone")).alias("tag")).agg(F.count(F.lit(1)).alias("n"), n("labelled IS NULL").alias("unlabelled"), n("label = 'borderline'").alias("borderline"))
+    return met.groupBy(F.coalesce("tag", F.lit("gone")).alias("tag")).agg(F.count(F.lit(1)).alias("n"), n("labelled IS NULL").alias("unlabelled"), n("label = 'borderline'").alias("borderline"), n("content_hash <> then").alias("drifted"))
+
+
+def label_strata(labels: DataFrame, strata: list[str]) -> DataFrame:
+    """``stratum, in, out, borderline, share_borderline`` of labels by the joined strata, a dash where one is missing or empty."""
+    key = F.concat_ws(" / ", *[F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("-")) for c in strata])
+    n = lambda x: F.count(F.when(F.col("label") == x, 1)).alias(x)
+    return labels.groupBy(key.alias("stratum")).agg(n("in"), n("out"), n("borderline"), F.avg((F.col("label") == "borderline").cast("int")).alias("share_borderline"))
 
 
 def run_list(runs: DataFrame) -> DataFrame:
-    """Settings of each run read from its stored JSON; null where that is missing or broken."""
-    spec = F.from_json("spec", "variant string, concurrency int, scope struct<urls: array<string>>")
-    return runs.withColumn("s", spec).select("run_id", "s.variant", "s.concurrency", F.size("s.scope.urls").alias("scope_size"))
+    """A category's runs, newest first, with the settings of their stored JSON: variant (current where none is named), concurrency, sampling, number of scoped urls; null where that is missing or broken."""
+    spec = F.from_json("spec", "prompt_variant string, concurrency int, sampling string, scope struct<urls: array<string>>")
+    valid = F.try_parse_json("spec").isNotNull()
+    return runs.withColumn("s", spec).orderBy(F.desc("started_at"), F.desc("run_id")).select("run_id", "started_at", F.when(valid, F.coalesce("s.prompt_variant", F.lit("current"))).alias("variant"), "s.concurrency", "s.sampling", F.size("s.scope.urls").alias("scope_size"))
 
 
 def prompt_spec(runs: DataFrame) -> DataFrame:
@@ -161,18 +197,64 @@ def estimate(prompts: DataFrame, rate: float, factor: float = 1.0, letters: int
     return prompts.agg(F.count(F.lit(1)).alias("pages"), tokens.alias("tokens"), (tokens * rate / 1e6).alias("cost"))
 
 
-def grounding(rows: DataFrame) -> DataFrame:
-    """``check, n, passed`` over verdicts (``keep, score, text, evidence, topic``) and the texts they judge.
+# Marks that count as the plain ones.
+PLAIN = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
+
+
+@F.pandas_udf(StringType())
+def normal_text(text: pd.Series) -> pd.Series:
+    """Compatibility forms, curly quotes and dashes made plain, runs of blanks one blank, lower case; null is empty."""
+    table = str.maketrans(PLAIN)
+    return text.map(lambda t: " ".join(unicodedata.normalize("NFKC", t or "").translate(table).split()).lower(), na_action=None)
+
 
-    parsed: there is a verdict; agrees: the score is on its side of a half; in_range: the score is 0
-    to 1; verbatim: every quote is in the text; short_topic: one to ten words. Null fails a check.
+FIELDS = ("title", "description", "body")
+
+
+def grounding_checks(rows: DataFrame) -> DataFrame:
+    """``rows`` with seven checks, each true, false, or null where it does not apply.
+
+    Columns: ``keep, score, evidence, where_hit`` (arrays), ``primary_topic, title, description,
+    body`` (as it was sent), ``include_text, truncated``. G1_parsed: there is a verdict; without one
+    only G7 applies further. G2_keep_matches_score: kept if and only if the score is over 0. Of kept
+    pages: G3_evidence_verbatim, quotes exist and each is in a field; G4_where_valid, fields are
+    named, all are real and each holds a quote. G5_topic_sane: one to ten words, and less than 0.6
+    alike (Jaccard of words) to the first sentence of the criteria. G6_score_in_range: 0 to 1.
+    G7_not_truncated.
     """
+    texts = {f: F.col(f"n_{f}") for f in FIELDS}
+    quotes = F.filter(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.trim(e) != "")
+    named = F.coalesce("where_hit", F.array().cast("array<string>"))
+    # Quotes are normalised as one text, parted by a mark that no text holds.
+    made = rows.withColumns({"quotes": quotes, "named": named}).withColumns({f"n_{f}": normal_text(F.col(f)) for f in FIELDS} | {"n_quotes": normal_text(F.array_join("quotes", "\x00 "))})
+    sent = F.transform(F.split("n_quotes", "\x00"), lambda q: F.trim(q))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), F.lit(1)))
+    topic, first = normal_text(F.col("primary_topic")), normal_text(F.element_at(F.split(F.trim("include_text"), r"(?<=[.!?])\s"), 1))
+    made = made.withColumns({"sent": sent, "topic": F.trim(F.coalesce("primary_topic", F.lit(""))), "tw": words(topic), "fw": words(first)})
+    alike = F.size(F.array_intersect("tw", "fw")) / F.nullif(F.size(F.array_union("tw", "fw")), F.lit(0))
+    parsed, kept = F.col("keep").isNotNull(), F.col("keep") == 1
+    some = F.size("quotes") > 0
+    holds = lambda text, q: (text != "") & text.contains(q)
+    in_any = F.forall("sent", lambda q: holds(texts["title"], q) | holds(texts["description"], q) | holds(texts["body"], q))
+    of_field = lambda w: F.when(w == "title", texts["title"]).when(w == "description", texts["description"]).otherwise(texts["body"])
+    each = F.forall("named", lambda w: w.isin(*FIELDS) & F.coalesce(F.col("quotes")[0].isNotNull(), F.lit(False)) & F.exists("sent", lambda q: of_field(w).contains(q)))
     checks = {
-        "parsed": F.col("keep").isNotNull(),
-        "agrees": (F.col("keep") == 1) == (F.col("score") >= 0.5),
-        "in_range": F.col("score").between(0, 1),
-        "verbatim": F.forall("evidence", lambda q: F.col("text").contains(q)),
-        "short_topic": F.regexp_count("topic", F.lit("[^ ]+")).between(1, 10),
+        "G1_parsed": parsed,
+        "G2_keep_matches_score": F.when(parsed, F.col("score").isNotNull() & (kept == (F.coalesce("score", F.lit(0.0)) > 0))),
+        "G3_evidence_verbatim": F.when(parsed & kept, some & in_any),
+        "G4_where_valid": F.when(parsed & kept, (F.size("named") > 0) & some & each),
+        "G5_topic_sane": F.when(parsed, (F.col("topic") != "") & (F.size(F.split("topic", r"\s+")) <= 10) & ((F.size("tw") == 0) | (F.size("fw") == 0) | (alike < 0.6))),
+        "G6_score_in_range": F.when(parsed, F.coalesce(F.col("score").between(0, 1), F.lit(False))),
+        "G7_not_truncated": ~F.coalesce("truncated", F.lit(False)),
     }
-    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.coalesce(c, F.lit(False)).alias("ok")) for name, c in checks.items()]))
-    return rows.select(cells.alias("c")).groupBy("c.check").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("c.ok"), 1)).alias("passed"))
+    return made.select(*rows.columns, *[c.alias(k) for k, c in checks.items()])
+
+
+CHECKS = ("G1_parsed", "G2_keep_matches_score", "G3_evidence_verbatim", "G4_where_valid", "G5_topic_sane", "G6_score_in_range", "G7_not_truncated")
+
+
+def grounding(rows: DataFrame) -> DataFrame:
+    """``check, n, passed, share`` of ``grounding_checks``: rows that each applies to, and how many pass; share is null without any."""
+    cells = F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("ok")) for name in CHECKS]))
+    out = grounding_checks(rows).select(cells.alias("c")).groupBy("c.check").agg(F.count("c.ok").alias("n"), F.count(F.when(F.col("c.ok"), 1)).alias("passed"))
+    return out.withColumn("share", F.when(F.col("n") > 0, F.col("passed") / F.col("n")))

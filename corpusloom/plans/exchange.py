@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import export, filters, reports
 from corpusloom.plans import corpus
-from corpusloom.plans.evaluation import _SHORT, repeats, short
-from corpusloom.plans.evaluation import ORACLE_SQL as _EVAL
+from corpusloom.plans.evaluation import _REP, _SHORT, repeats, short
 from corpusloom.plans.roles import ASOF, CONTENT, GOLD, ORGS, content, gold, organisations, table
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import ORG, TYPE, WORDS
@@ -120,7 +119,7 @@ ORACLE_SQL = {
     "src_bundle": "SELECT doc_id, 'https://www.example.org/d/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
     "src_legacy_import": "SELECT 'https://www.example.org/d/' || doc_id AS url FROM documents WHERE doc_id % 3 <> 0",
     "t_fetch_health": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "t_run_totals": _EVAL["e_run_totals"].replace("count(*) AS pages, ", ""),
+    "t_run_totals": f"WITH {_REP} SELECT run_id, count(*) FILTER (keep = 1) AS kept, count(*) FILTER (keep = 0) AS dropped, count(*) FILTER (keep IS NULL) AS unparsed FROM rep GROUP BY run_id",
     "src_org_registry": """WITH e AS (SELECT c_custkey AS p, c_custkey + unnest([1, 2]) AS c FROM customer WHERE c_custkey % 5 = 0 UNION SELECT c_custkey - 1, c_custkey FROM customer WHERE c_custkey % 5 < 3)
 SELECT 'c-' || c_custkey AS slug, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'C' || c_custkey END AS acronym, (SELECT count(*) FROM e WHERE p = c_custkey) AS children FROM customer""",
     "t_payload_ingest": corpus.ORACLE_SQL["d_upsert_provenance"].replace("n.seq % 2 = 0 THEN 'feed'", "n.url IS NOT NULL THEN 'stream'").replace("'t2'", "'0'"),

@@ -13,7 +13,7 @@ from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
 from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, organisations, table, votes
 from corpusloom.plans.roles import gold as gold_labels
-from corpusloom.plans.selection import _BASE, _WEIGHTS, WORDS
+from corpusloom.plans.selection import _BASE, _ORG, _TYPE, _WEIGHTS, ORG, TYPE, WORDS
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import QUERIES as _SELECTION
 from corpusloom.plans.selection import _short as chosen
@@ -117,8 +117,8 @@ def r_backfill(s, d):
 
 
 def e_score_pages(s, d):
-    pages = content(s, d).select("url", F.concat_ws(" ", "title", "search_text").alias("text"))
-    return review.score_pages(pages, review.keyword_scorer(WORDS)).withColumn("score", F.round("score", 9))
+    pages = content(s, d).select("url", filters.keyword_text().alias("text"))
+    return review.score_pages(pages, WORDS).withColumn("score", F.round("score", 9))
 
 
 def exclusion_replies(s, d):
@@ -139,7 +139,8 @@ def e_outcome(s, d):
 
 def e_run_list(s, d):
     k = F.col("run_id")
-    spec = F.when(k % 6 == 0, "{bad").when(k % 6 != 1, F.format_string('{"variant":"v%d","concurrency":%d,"scope":{"urls":["a","b"]}}', k % 3, k % 8))
+    spec = F.when(k % 6 == 0, "{bad").when(k % 6 != 1, F.format_string('{"prompt_variant":"v%d","concurrency":%d,"sampling":{"temperature":0},"scope":{"urls":["a","b"]}}', k % 3, k % 8))
+    spec = F.when(k % 12 == 2, "{}").otherwise(spec)
     return review.run_list(ev.run_table(s, d).withColumn("spec", spec))
 
 
@@ -210,17 +211,31 @@ def src_sitemap(s, d):
 
 
 def m_grounding(s, d):
-    """Verdicts with a quote of the text, or with one that is not in it."""
+    """Verdicts with a quote of the text in other marks and case, or with one that is not in it."""
     k = F.col("doc_id")
-    quote = F.when(k % 4 == 0, "Never Said 0").otherwise(F.substring("text", 3, 12))
+    quote = F.when(k % 4 == 0, "Never Said 0").otherwise(F.concat(F.lit(" "), F.upper(F.substring("text", 3, 12)), F.lit(" ")))
     text = table(s, d, "documents").select("doc_id", "text")
-    return review.grounding(ev.a_(s, d).join(text, "doc_id").select("keep", "score", "text", F.array(quote).alias("evidence"), F.when(k % 5 != 0, F.repeat(F.lit("word "), (k % 14).cast("int"))).alias("topic")))
+    return review.grounding(ev.a_(s, d).join(text, "doc_id").select(
+        "keep", "score", F.array(quote, F.lit(" ")).alias("evidence"), F.when(k % 6 == 0, F.array(F.lit("footer"))).when(k % 6 == 1, F.array(F.lit("title"))).when(k % 6 != 2, F.array(F.lit("body"))).alias("where_hit"),
+        F.when(k % 5 != 0, F.concat(F.lit("topic"), F.repeat(F.lit(" word"), (k % 14).cast("int")))).alias("primary_topic"), F.substring("text", 1, 60).alias("title"), F.lit(None).cast("string").alias("description"), F.col("text").alias("body"), F.when(k % 3 == 0, "Topic word! And more.").otherwise("").alias("include_text"), (k % 10 == 0).alias("truncated"),
+    )).withColumn("share", F.round("share", 9))
 
 
 def m_cost_eff(s, d):
     return ev._rounded(review.cost_efficiency(metrics.confusion(gold_labels(s, d), ev.a_(s, d)), 12.5), "per_correct", "per_found")
 
 
+def chosen_types(s, d):
+    return filters.shortlist(content(s, d), organisations(s, d), ORG, TYPE)
+
+
+def g_status(s, d):
+    """Labels made on an older text of some pages."""
+    labels = gold_labels(s, d).join(content(s, d).select("url", "content_hash"), "url").withColumn("content_hash_at_label", F.when(F.col("doc_id") % 4 == 0, "older").otherwise(F.col("content_hash")))
+    sent = gold.forwarded(filters.membership(ev.short(s, d)), compared(s, d), 0.3)
+    return review.label_status(labels.drop("content_hash"), sent.join(content(s, d).select("url", "content_hash"), "url", "left"))
+
+
 def chains(s, d):
     return (ev.a_(s, d), ev.second(s, d)), (ev.b_(s, d), ev.verdicts(s, d, "c"))
 
@@ -248,19 +263,21 @@ QUERIES = {
     "e_parse_exclusion": lambda s, d: exclusion_replies(s, d).select("doc_id", review.exclusion_reason(F.col("reply")).alias("reason")),
     "e_exclusion_label": e_exclusion_label,
     "e_outcome": e_outcome,
-    "e_stage_rows": lambda s, d: review.stage_rows(ev.a_(s, d), ev.second(s, d)),
+    "e_stage_rows": lambda s, d: review.stage_rows(ev.a_(s, d), ev.second(s, d), _SELECTION["f_org_semi"](s, d), chosen_types(s, d), chosen(s, d)),
     "e_enrich_rows": lambda s, d: review.enrich(ev.a_(s, d), content(s, d), hits_of(s, d), ev.second(s, d)),
     "e_review_list": lambda s, d: review.review_list(ev.a_(s, d), 1, ev.second(s, d)),
     "e_run_list": e_run_list,
     "e_prompt_spec": lambda s, d: review.prompt_spec(ev.run_table(s, d)),
     "e_diff_cards": lambda s, d: review.diff_cards(*chains(s, d), content(s, d)),
-    "n_phase2": lambda s, d: review.second_phase_bands(*chains(s, d)),
+    "n_phase2": lambda s, d: review.second_phase_summary(review.second_phase(*chains(s, d))),
+    "n_phase2_bands": lambda s, d: review.second_phase_bands(review.second_phase(*chains(s, d))),
     "g_latest_verdicts": lambda s, d: review.latest_verdicts(ev.repeats(s, d)),
     "g_seed_labels": g_seed_labels,
     "g_matched_keywords": lambda s, d: review.matched_keywords(content(s, d).select("url", filters.page_key().alias("key")), hits_of(s, d)),
     "g_run_pages": lambda s, d: review.run_pages(ev.a_(s, d), ev.second(s, d), gold_labels(s, d), gold.latest_votes(votes(s, d))),
     "g_verdict_label": lambda s, d: review.end_to_end(ev.a_(s, d), ev.second(s, d)).select("url", review.verdict_label(F.col("keep")).alias("label")),
-    "g_status": lambda s, d: review.label_status(gold_labels(s, d), gold.forwarded(filters.membership(ev.short(s, d)), compared(s, d), 0.3)),
+    "g_status": g_status,
+    "g_strata": lambda s, d: review.label_strata(gold_labels(s, d).withColumns({"band": F.col("doc_id") % 3, "kind": F.when(F.col("doc_id") % 2 == 0, "")}), ["band", "kind"]).withColumn("share_borderline", F.round("share_borderline", 9)),
     "m_end_to_end": lambda s, d: review.end_to_end(ev.a_(s, d), ev.second(s, d)),
     "m_cost_eff": m_cost_eff,
     "m_estimate": lambda s, d: ev._rounded(review.estimate(ev.e_render_prompt(s, d), 0.3), "cost"),
@@ -302,12 +319,13 @@ _SINGLE = "CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN substr(w, 1, length(w)
 _TYPES = "known AS (SELECT unnest(['guidance', 'news_story', 'html_publication', 'detailed_guide', 'policy_paper']) AS slug)"
 _FOUND = "found AS (SELECT key AS content_id, min(url) AS url, concat_ws(',', CASE WHEN bool_or(contains(kwt, 'thand')) THEN 'thand' END, CASE WHEN bool_or(contains(kwt, 'stupid')) THEN 'stupid' END, CASE WHEN bool_or(contains(kwt, 'elle')) THEN 'elle' END) AS hits FROM short GROUP BY key)"
 _PH = "ph AS (SELECT i.url, i.keep, i.score, e.keep AS again, e.url IS NOT NULL AS seen FROM va i LEFT JOIN second e ON e.url = i.url)"
-_PH2 = "ph2 AS (SELECT i.url, i.keep, e.keep AS again, e.url IS NOT NULL AS seen FROM vb i LEFT JOIN vc e ON e.url = i.url)"
+_PH2 = "ph2 AS (SELECT i.url, i.keep, i.score, e.keep AS again, e.url IS NOT NULL AS seen FROM vb i LEFT JOIN vc e ON e.url = i.url)"
 _END = "CASE WHEN keep = 1 THEN CASE WHEN seen THEN again ELSE 1 END ELSE keep END"
 _TWO = f"WITH {ev._A}, {ev._B}, {ev._SECOND}, {_PH}"
 _PAY = "pay AS (SELECT doc_id, doc_id % 13 <> 0 AS good, 'https://www.example.org/d/' || doc_id AS url FROM documents)"
 _FIND = "list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'k': '{k}'}}" for k in _WEIGHTS) + "], lambda x: x.m < 0))"
 _REASON = "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'r' || doc_id ELSE '[' || ['fees', 'old news'][doc_id % 3] || '] r' || doc_id END"
+_PHASES = f"""{ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2}, both_ AS (SELECT CASE WHEN least(ph.score, ph2.score) <= 0 THEN '0 (wrong sense)' WHEN least(ph.score, ph2.score) <= 0.35 THEN '0.01–0.35 (in passing)' WHEN least(ph.score, ph2.score) <= 0.65 THEN '0.36–0.65 (moderate)' ELSE '0.66–1 (major)' END AS band, coalesce(ph.keep = 1 AND ph2.keep = 1, false) AS input, coalesce(ph.again = 0, false) AS bd, coalesce(ph2.again = 0, false) AS od, coalesce(ph.keep = 1, false) AND (NOT ph.seen OR coalesce(ph.again = 1, false)) AS bf, coalesce(ph2.keep = 1, false) AND (NOT ph2.seen OR coalesce(ph2.again = 1, false)) AS of, ph.keep IS NOT DISTINCT FROM ph2.keep AS same FROM ph JOIN ph2 USING (url))"""
 
 ORACLE_SQL = {
     "f_validate_category": f"WITH {_MANY} SELECT id, unnest(list_filter([CASE WHEN trim(name) = '' THEN 'name is required' END, CASE WHEN length(trim(name)) > 15 THEN 'name is too long' END, CASE WHEN trim(name) <> '' AND NOT regexp_full_match(trim(name), '[A-Za-z0-9 #-]+') THEN 'name has other characters' END, CASE WHEN orgs = '' AND types = '' AND words = '' THEN 'no filter' END], lambda x: x IS NOT NULL)) AS error FROM cats",
@@ -335,19 +353,20 @@ ORACLE_SQL = {
     "e_parse_exclusion": f"SELECT doc_id, {_REASON} AS reason FROM documents",
     "e_exclusion_label": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR doc_id % 3 = 0 THEN '' ELSE ['fees', 'old news'][doc_id % 3] END AS label, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'r' || doc_id END AS text FROM documents",
     "e_outcome": f"WITH {ev._REP}, t AS (SELECT run_id, count(*) AS p, count(*) FILTER (keep = 1) AS k, count(*) FILTER (keep = 0) AS x, count(*) FILTER (keep IS NULL) AS u, (SELECT count(*) FROM va) AS a FROM rep GROUP BY run_id) SELECT run_id, CASE WHEN u * 2 > p THEN 'failed' WHEN p >= a THEN 'complete' ELSE 'incomplete' END AS kind, p || ' of ' || a || ': ' || k || ' kept, ' || x || ' dropped, ' || u || ' unparsed' AS note FROM t",
-    "e_stage_rows": f"{_TWO} SELECT url, unnest(list_filter([CASE WHEN keep = 1 THEN 'kept' END, CASE WHEN keep = 0 THEN 'dropped' END, CASE WHEN keep IS NULL THEN 'unparsed' END, CASE WHEN seen THEN 'checked' END, CASE WHEN keep = 1 AND again = 0 THEN 'excluded' END, CASE WHEN keep = 1 AND (NOT seen OR again = 1) THEN 'final' END], lambda x: x IS NOT NULL)) AS stage FROM ph",
+    "e_stage_rows": f"{_BASE}, {ev._A}, {ev._B}, {ev._SECOND} SELECT url, 'dept' AS stage FROM typed WHERE usable AND {_ORG} UNION ALL SELECT url, 'doctype' FROM typed WHERE usable AND {_ORG} AND {_TYPE} UNION ALL SELECT url, 'keyword' FROM short UNION ALL SELECT url, 'reached_inclusion' FROM va UNION ALL SELECT url, 'include' FROM va WHERE keep = 1 UNION ALL SELECT url, 'reached_exclusion' FROM va WHERE keep = 1 UNION ALL SELECT url, 'excl_include' FROM va WHERE keep = 0 UNION ALL SELECT url, 'excl_final' FROM second WHERE keep = 0 UNION ALL SELECT url, 'final' FROM second WHERE keep = 1",
     "e_enrich_rows": f"{_BASE}, {_FOUND}, {ev._A}, {ev._B}, {ev._SECOND} SELECT v.url, coalesce(f.hits, '') AS hits, {ev._CONF} AS confidence, CASE keep WHEN 1 THEN 'keep' WHEN 0 THEN 'drop' ELSE 'unparsed' END AS decision, CASE WHEN v.url IN (SELECT url FROM second) THEN 'exclusion' ELSE 'inclusion' END AS furthest FROM va v LEFT JOIN typed t USING (url) LEFT JOIN found f ON f.content_id = t.key",
     "e_review_list": f"WITH {ev._A}, {ev._B}, {ev._SECOND} SELECT url, score FROM va WHERE keep = 1 AND url IN (SELECT url FROM second)",
-    "e_run_list": "SELECT c_custkey AS run_id, CASE WHEN c_custkey % 6 > 1 THEN 'v' || c_custkey % 3 END AS variant, CASE WHEN c_custkey % 6 > 1 THEN CAST(c_custkey % 8 AS INTEGER) END AS concurrency, CASE WHEN c_custkey % 6 > 1 THEN 2 END AS scope_size FROM customer",
+    "e_run_list": "SELECT c_custkey AS run_id, strftime(DATE '2026-01-01' + CAST(c_custkey % 20 AS INTEGER), '%Y-%m-%d') || 'T' || lpad((c_custkey % 24)::VARCHAR, 2, '0') || ':00:00' AS started_at, CASE WHEN c_custkey % 12 = 2 THEN 'current' WHEN c_custkey % 6 > 1 THEN 'v' || c_custkey % 3 END AS variant, CASE WHEN c_custkey % 6 > 1 AND c_custkey % 12 <> 2 THEN CAST(c_custkey % 8 AS INTEGER) END AS concurrency, CASE WHEN c_custkey % 6 > 1 AND c_custkey % 12 <> 2 THEN '{\"temperature\":0}' END AS sampling, CASE WHEN c_custkey % 6 > 1 AND c_custkey % 12 <> 2 THEN 2 END AS scope_size FROM customer",
     "e_prompt_spec": f"WITH {ev._RUNS} SELECT run_id, '{{\"category_id\":' || category_id || ',\"phase\":\"' || phase || '\",\"settings\":{{\"status\":\"' || status || '\"}}}}' AS spec FROM runs",
     "e_diff_cards": f"WITH {CONTENT}, {ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2}, x AS (SELECT *, {_END} AS r FROM ph), y AS (SELECT *, {_END} AS r FROM ph2) SELECT x.url, title, x.keep AS b_first, x.again AS b_second, y.keep AS o_first, y.again AS o_second FROM x JOIN y USING (url) LEFT JOIN typed t ON t.url = x.url WHERE x.r IS DISTINCT FROM y.r",
-    "n_phase2": f"WITH {ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2} SELECT {ev._CONF} AS band, count(*) AS n, count(*) FILTER (ph.again = 0) AS base_drops, count(*) FILTER (ph2.again = 0) AS other_drops, count(*) FILTER (ph.again IS DISTINCT FROM ph2.again) AS flips FROM ph JOIN ph2 USING (url) WHERE ph.seen AND ph2.seen GROUP BY 1",
+    "n_phase2": f"WITH {_PHASES} SELECT count(*) AS shared, count(*) FILTER (input) AS excl_input, count(*) FILTER (input AND bd) AS base_dropped, count(*) FILTER (input AND od) AS other_dropped, count(*) FILTER (bf <> of) AS flips, count(*) FILTER (bf <> of AND same) AS exclusion_driven, count(*) FILTER (bf <> of AND NOT same) AS inclusion_driven FROM both_",
+    "n_phase2_bands": f"WITH {_PHASES} SELECT v.band AS band, count(*) FILTER (input) AS input, count(*) FILTER (input AND bf AND of) AS kept, count(*) FILTER (input AND NOT bf AND NOT of) AS dropped, count(*) FILTER (input AND bf <> of) AS flipped, count(both_.band) AS pages, count(*) FILTER (bf <> of) AS all_flipped FROM (VALUES ('0 (wrong sense)'), ('0.01–0.35 (in passing)'), ('0.36–0.65 (moderate)'), ('0.66–1 (major)')) v(band) LEFT JOIN both_ USING (band) GROUP BY 1",
     "g_latest_verdicts": f"WITH {ev._REP} SELECT url, run_id, keep FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY run_id DESC) AS n FROM rep) WHERE n = 1",
     "g_seed_labels": "WITH u AS (SELECT doc_id AS n FROM documents UNION SELECT doc_id + 1 FROM documents), o AS (SELECT doc_id + 1 AS n FROM documents WHERE doc_id % 3 = 0) SELECT 'https://www.example.org/d/' || n AS url, CASE WHEN n IN (SELECT n FROM o) THEN 'out' ELSE 'in' END AS label FROM u",
     "g_matched_keywords": f"{_BASE}, {_FOUND} SELECT t.url, coalesce(a.hits, b.hits) AS hits FROM typed t LEFT JOIN found a ON a.content_id = t.key LEFT JOIN found b ON b.url = t.url",
-    "g_run_pages": f"WITH {VOTES}, {GOLD}, {ev._A}, {ev._B}, {ev._SECOND}, {_PH}, s AS (SELECT url, string_agg(labeller || '=' || label, ',' ORDER BY labeller || '=' || label) AS votes FROM latest GROUP BY url) SELECT ph.url, keep, again, label, s.votes FROM ph LEFT JOIN gold USING (url) LEFT JOIN s ON s.url = ph.url",
+    "g_run_pages": f"WITH {VOTES}, {GOLD}, {ev._A}, {ev._B}, {ev._SECOND}, {_PH}, s AS (SELECT url, string_agg(labeller || '=' || label, ',' ORDER BY labeller || '=' || label) AS votes FROM latest GROUP BY url) SELECT ph.url, keep, again, CASE WHEN keep IS NULL THEN 'p1_unparsed' WHEN keep = 0 THEN 'p1_drop' WHEN NOT seen THEN 'kept' WHEN again IS NULL THEN 'p2_unparsed' WHEN again = 1 THEN 'kept' ELSE 'p2_drop' END AS stage, label, s.votes FROM ph LEFT JOIN gold USING (url) LEFT JOIN s ON s.url = ph.url",
     "g_verdict_label": f"{_TWO} SELECT url, CASE {_END} WHEN 1 THEN 'in' WHEN 0 THEN 'out' END AS label FROM ph",
-    "g_status": f"WITH {_HITS}, {GOLD}, {ev._SHORT}, sent AS (SELECT coalesce(m.url, c.url) AS url, CASE WHEN source = 'search' AND coalesce(es_score < 0.3, false) THEN 'search_below_floor' ELSE coalesce(source, 'shortlister') END AS tag FROM mem m FULL JOIN cmp c ON c.url = m.url) SELECT coalesce(tag, 'gone') AS tag, count(*) AS n, count(*) FILTER (label IS NULL) AS unlabelled, count(*) FILTER (label = 'borderline') AS borderline FROM sent s FULL JOIN gold g ON g.url = s.url GROUP BY 1",
+    "g_status": f"WITH {_HITS}, {GOLD}, {ev._SHORT}, sent AS (SELECT coalesce(m.url, c.url) AS url, CASE WHEN source = 'search' AND coalesce(es_score < 0.3, false) THEN 'search_below_floor' ELSE coalesce(source, 'shortlister') END AS tag FROM mem m FULL JOIN cmp c ON c.url = m.url) SELECT coalesce(tag, 'gone') AS tag, count(*) AS n, count(*) FILTER (label IS NULL) AS unlabelled, count(*) FILTER (label = 'borderline') AS borderline, count(*) FILTER (t.content_hash <> CASE WHEN g.doc_id % 4 = 0 THEN 'older' ELSE t.content_hash END) AS drifted FROM sent s FULL JOIN (SELECT * FROM gold WHERE url IN (SELECT url FROM typed)) g ON g.url = s.url LEFT JOIN typed t ON t.url = s.url AND t.url = g.url GROUP BY 1",
     "m_end_to_end": f"{_TWO} SELECT url, {_END} AS keep FROM ph",
     "m_cost_eff": f"WITH {GOLD}, {ev._A}, {ev._CELLS.format(v='va')} SELECT bound, round(12.5::DOUBLE / nullif(tp + tn, 0), 9) AS per_correct, round(12.5::DOUBLE / nullif(tp, 0), 9) AS per_found FROM conf",
     "m_estimate": f"SELECT count(*) AS pages, sum(length(prompt)) / 4 AS tokens, round(sum(length(prompt)) / 4 * 0.3::DOUBLE / 1e6, 9) AS cost FROM ({ev.ORACLE_SQL['e_render_prompt']})",
@@ -370,7 +389,10 @@ ORACLE_SQL = {
     "src_scope_list": f"WITH {CONTENT}, u AS (SELECT DISTINCT doc_id % 7 AS scope, url FROM ({_CORPUS['d_canonical_url']}) WHERE url IS NOT NULL) SELECT scope, count(*) AS urls, count(*) FILTER (url IN (SELECT url FROM typed WHERE usable)) AS usable FROM u GROUP BY scope",
     "snk_augmented_export": f"WITH {_HITS} SELECT url, source, es_score FROM cmp",
     "src_sitemap": "SELECT 'https://www.example.org/o/' || o_orderkey AS loc, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS lastmod FROM orders",
-    "m_grounding": f"""WITH {ev._A}, x AS (SELECT keep, score, doc_id, text FROM va JOIN documents USING (doc_id)), c AS (SELECT unnest([{{'name': 'parsed', 'ok': keep IS NOT NULL}}, {{'name': 'agrees', 'ok': (keep = 1) = (score >= 0.5)}}, {{'name': 'in_range', 'ok': score BETWEEN 0 AND 1}},
-      {{'name': 'verbatim', 'ok': contains(text, CASE WHEN doc_id % 4 = 0 THEN 'Never Said 0' ELSE substr(text, 3, 12) END)}}, {{'name': 'short_topic', 'ok': doc_id % 5 <> 0 AND doc_id % 14 BETWEEN 1 AND 10}}]) AS c FROM x)
-      SELECT c.name AS check, count(*) AS n, count(*) FILTER (c.ok) AS passed FROM c GROUP BY 1""",
+    "m_grounding": f"""WITH {ev._A}, x AS (SELECT keep, score, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body, lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))) AS title, CASE WHEN doc_id % 4 = 0 THEN 'never said 0' ELSE lower(trim(regexp_replace(upper(substr(text, 3, 12)), '\\s+', ' ', 'g'))) END AS q FROM va JOIN documents USING (doc_id)),
+      y AS (SELECT *, (contains(body, q) AND body <> '') OR (contains(title, q) AND title <> '') AS said, doc_id % 14 AS w FROM x),
+      c AS (SELECT unnest([{{'name': 'G1_parsed', 'ok': keep IS NOT NULL}}, {{'name': 'G2_keep_matches_score', 'ok': CASE WHEN keep IS NOT NULL THEN (keep = 1) = (score > 0) END}}, {{'name': 'G3_evidence_verbatim', 'ok': CASE WHEN keep = 1 THEN q <> '' AND said END}},
+        {{'name': 'G4_where_valid', 'ok': CASE WHEN keep = 1 THEN CASE doc_id % 6 WHEN 0 THEN false WHEN 2 THEN false WHEN 1 THEN contains(title, q) ELSE contains(body, q) END END}}, {{'name': 'G5_topic_sane', 'ok': CASE WHEN keep IS NOT NULL THEN doc_id % 5 <> 0 AND w < 10 AND (doc_id % 3 <> 0 OR w = 0) END}},
+        {{'name': 'G6_score_in_range', 'ok': CASE WHEN keep IS NOT NULL THEN score BETWEEN 0 AND 1 END}}, {{'name': 'G7_not_truncated', 'ok': doc_id % 10 <> 0}}]) AS c FROM y)
+      SELECT c.name AS check, count(c.ok) AS n, count(*) FILTER (c.ok) AS passed, round(count(*) FILTER (c.ok) / count(c.ok), 9) AS share FROM c GROUP BY 1""",
 }

@@ -202,3 +202,97 @@ def test_suggestions(spark):
     saved = spark.createDataFrame([(1, "guidance, guidances", "")], "id int, types string, orgs string")
     assert [tuple(r) for r in workspace.unknown_entries(saved, "types", types, lambda a: workspace.suggest_types(a, types)).collect()] == [(1, "guidances", "guidance")]
     assert workspace.unknown_entries(saved, "types", types.limit(0), lambda a: workspace.suggest_types(a, types)).count() == 0
+
+
+def test_decisions():
+    from corpusloom.operators.runs import read_decision
+
+    read = lambda t: (lambda d: (d["keep"], d["score"], d["reason"], d["primary_topic"], d["where_hit"], d["evidence"]))(read_decision(t))
+    none = (None,) * 6
+    assert read(None) == read("") == read("no {json} here") == none
+    assert read('{"keep": true, "score": "0.5", "reason": null}') == (1, 0.5, "", None, None, None)
+    assert read('```json\n{"keep": 0, "score": 1, "reason": "a } b"}\n```') == (0, 1.0, "a } b", None, None, None)
+    assert read('think {"keep": 0} more {"keep": 1, "where": "title", "evidence": ["q", 2], "primary_topic": "  t "} end {"x": 1}') == (1, None, "", "t", ["title"], ["q", "2"])
+    assert read('{"score": "high"}') == (None, None, "", None, None, None)
+    long = read('{"keep": 1, "reason": "%s", "primary_topic": "%s", "evidence": [%s]}' % ("r" * 2000, "t" * 300, ", ".join(['"%s"' % ("e" * 600)] * 60)))
+    assert (len(long[2]), len(long[3]), len(long[5]), len(long[5][0])) == (1000, 200, 50, 500)
+
+
+def test_consensus(spark):
+    votes = spark.createDataFrame(
+        [("u1", "a", "in", "x"), ("u2", "b", "in", "y"), ("u2", "a", "in", None), ("u3", "a", "in", "p"), ("u3", "b", "out", "q"), ("u4", "a", "in", "p"), ("u4", "b", "out", "q"), ("u4", "c", "in", "r")],
+        "url string, labeller string, label string, rationale string",
+    )
+    got = {r.url: (r.label, r.agreement, r.n_votes, r.rationale, r.labelled_by) for r in gold.consensus(votes).collect()}
+    assert got == {"u1": ("in", "single", 1, "x", "a"), "u2": ("in", "unanimous", 2, "a: in —  | b: in — y", "a, b"), "u3": ("borderline", "split", 2, "a: in — p | b: out — q", "a, b"), "u4": ("in", "majority", 3, "a: in — p | b: out — q | c: in — r", "a, b, c")}
+    settled = spark.createDataFrame([("u3", "out", "note"), ("u9", "in", "old")], "url string, label string, rationale string")
+    stored = spark.createDataFrame([("u1", "in", "single", "x", 1, 7), ("u3", "borderline", "split", "", 2, 2)], "url string, label string, agreement string, rationale string, n_votes long, version int")
+    got = {r.url: (r.label, r.agreement, r.n_votes, r.version) for r in gold.consensus(votes, settled, stored).collect()}
+    assert got["u3"] == ("out", "adjudicated", 2, 3) and got["u9"] == ("in", "adjudicated", 0, 1) and got["u1"] == ("in", "single", 1, 7) and got["u2"][3] == 1
+    row = gold.agreement_summary(votes.withColumn("blind", F.col("labeller") == "c")).first()
+    assert (row.labellers, row.pages_voted, row.pages_multi, row.pages_complete, row.unanimous, row.blind_votes) == (3, 4, 3, 1, 1, 1)
+    assert {r.url: r.votes for r in gold.disagreements(votes).collect()} == {"u3": "a=in,b=out", "u4": "a=in,b=out,c=in"}
+
+
+def test_fleiss_and_calibration(spark):
+    from corpusloom.functions import bands
+    from corpusloom.operators import metrics
+
+    kappa = lambda rows: metrics.fleiss_kappa(spark.createDataFrame(rows, "url string, keep int")).first().kappa
+    assert kappa([("a", 1), ("a", 1), ("b", 0), ("b", None)]) == 1.0 and kappa([("a", 1), ("a", 1)]) == 1.0
+    assert kappa([("a", 1), ("b", 0)]) is None and kappa([("a", 1), ("a", 1), ("b", 0)]) is None and kappa([]) is None
+    assert kappa([("a", 1), ("a", 0), ("b", 0), ("b", 0)]) == pytest.approx((0.5 - 0.625) / 0.375)
+    labels = spark.createDataFrame([("a", "in"), ("b", "out"), ("c", "in"), ("d", "out"), ("e", "borderline")], "url string, label string")
+    scores = lambda *v: spark.createDataFrame(list(zip("abcde", v)), "url string, score double")
+    table = lambda *v: {r.band: (r.n, r.share_in, r.monotone, r.brier) for r in metrics.calibration(labels, scores(*v), bands.score_band(F.col("score")), bands.BAND_ORDER).collect()}
+    assert table(0.9, 0.0, 0.5, None, 0.1) == {"0.7-1.0": (1, 1.0, True, pytest.approx((0.01 + 0.25) / 3)), "0": (1, 0.0, True, pytest.approx(0.26 / 3)), "0.4-0.6": (1, 1.0, True, pytest.approx(0.26 / 3)), "unscored": (1, 0.0, True, pytest.approx(0.26 / 3))}
+    assert table(0.1, 0.9, 0.1, 0.9, 0.1)["0.7-1.0"][2] is False and table(0.9, 0.9, 0.9, 0.9, None)["0.7-1.0"][2] is None
+    weighted = metrics.confusion(labels.withColumn("w", F.lit(2.5)), spark.createDataFrame([("a", 1), ("b", None)], "url string, keep int"), "w").where("bound = 'exclude'").first()
+    assert (weighted.tp, weighted.fn, weighted.tn, weighted.n, weighted.unparsed) == (2.5, 2.5, 5.0, 10.0, 7.5)
+
+
+def test_bootstrap(spark):
+    from corpusloom.operators import metrics
+
+    labels = spark.range(300).select(F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 2 == 0, "in").otherwise("out").alias("label"))
+    keeps = lambda n: labels.select("url", F.when(F.substring("url", 2, 9).cast("int") % n != 0, 1).otherwise(0).alias("keep"))
+    row = metrics.bootstrap(labels, keeps(10), metric="recall").first()
+    assert row.point == pytest.approx(0.8) and 0.7 < row.low < 0.8 < row.high < 0.9 and row.draws == 200
+    assert tuple(metrics.bootstrap(labels, keeps(10), metric="recall").first()) == tuple(row)
+    other = metrics.bootstrap(labels, keeps(10), keeps(4), "recall").first()
+    assert other.point == pytest.approx(0.3) and other.low < 0.3 < other.high
+    empty = metrics.bootstrap(labels.where("label = 'out'"), keeps(10), metric="recall").first()
+    assert tuple(empty) == (None, None, None, 0)
+
+
+def test_grounding(spark):
+    from corpusloom.operators import review
+
+    cols = "keep int, score double, evidence array<string>, where_hit array<string>, primary_topic string, title string, description string, body string, include_text string, truncated boolean"
+    rows = [
+        (1, 0.8, ["“Store  Slurry”"], ["body"], "slurry", "t", None, 'you must "store slurry" well', "Pages about farms. More.", False), (1, 0.8, ["not there"], ["footer"], "pages about farms", "t", None, "b", "Pages about farms. More.", True),
+        (0, 0.0, None, None, " ".join(["w"] * 11), "t", "d", "b", "", None), (None, None, None, None, None, None, None, None, None, True), (1, 1.5, [" "], [], "", "t", "d", "b", "x", False), (1, 0.0, ["ﬁne"], ["title", "description"], "t", "Fine title", None, "fine", "", False),
+    ]
+    got = [tuple(r[k] for k in review.CHECKS) for r in review.grounding_checks(spark.createDataFrame(rows, cols)).collect()]
+    assert got == [(True,) * 7, (True, True, False, False, False, True, False), (True, True, None, None, False, True, True), (False, None, None, None, None, None, False), (True, True, False, False, False, False, True), (True, False, True, False, True, True, True)]
+    assert {r.check: (r.n, r.passed) for r in review.grounding(spark.createDataFrame(rows, cols)).collect()}["G3_evidence_verbatim"] == (4, 2)
+
+
+def test_runs_and_stages(spark):
+    from corpusloom.operators import review, runs
+
+    results = spark.createDataFrame([("r", "/a", 1, 5, 0.2), ("r", "/b", 0, 7, 0.0), ("r", "/c", None, 1, None)], "run_id string, url string, keep int, ms long, score double")
+    usage = spark.createDataFrame([("r", 0.5, 10, 1, 4, 6), ("r", 0.25, 1, 1, 0, 1)], "run_id string, cost double, in_tokens long, out_tokens long, hit_tokens long, miss_tokens long")
+    assert tuple(runs.run_totals(results, usage).first()) == ("r", 3, 1, 1, 1, 13, 0.75, 11, 2, 4, 7) and runs.run_totals(results, usage.limit(0)).first().cost == 0
+    some = spark.createDataFrame([("/a",)], "url string")
+    second = spark.createDataFrame([("/a", 0)], "url string, keep int")
+    stages = lambda second: {(r.url, r.stage) for r in review.stage_rows(results, second, some, some, some).collect()}
+    assert {("/a", "excl_final"), ("/b", "excl_include"), ("/c", "reached_inclusion"), ("/a", "reached_exclusion")} <= stages(second) and ("/a", "final") not in stages(second)
+    assert ("/a", "final") in stages(second.limit(0))
+    left = runs.recounted(spark.createDataFrame([("r",), ("s",)], "run_id string"), results.where("url <> '/b'"))
+    assert sorted(map(tuple, left.collect())) == [("r", 2, 1, 0), ("s", 0, 0, 0)]
+    chain = (results, second)
+    row = runs.overall_compare(chain, (results.withColumn("keep", F.lit(1)), second.limit(0))).first()
+    assert (row.shared, row.both_in, row.both_out, row.base_only, row.other_only, row.agreement) == (3, 0, 0, 0, 3, 0.0)
+    row = runs.discriminability(results).first()
+    assert (row.scored, row.kept, row.borderline_keeps, row.borderline_pct, row.top_score, row.top_share) == (2, 1, 1, 100.0, 0.2, 100.0)

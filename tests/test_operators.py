@@ -84,7 +84,7 @@ def test_redirects(spark):
 
 def test_gold_and_metrics(spark):
     votes = spark.createDataFrame([("u1", "a", "in"), ("u2", "a", "in"), ("u2", "b", "in"), ("u3", "a", "in"), ("u3", "b", "out"), ("u4", "a", "in"), ("u4", "b", "out"), ("u4", "c", "in")], "url string, labeller string, label string")
-    found = {r.url: (r.label, r.kind) for r in gold.consensus(votes).collect()}
+    found = {r.url: (r.label, r.agreement) for r in gold.consensus(votes.withColumn("rationale", F.lit("r"))).collect()}
     assert found == {"u1": ("in", "single"), "u2": ("in", "unanimous"), "u3": ("borderline", "split"), "u4": ("in", "majority")}
     labels = spark.createDataFrame([("a", "in"), ("b", "in"), ("c", "out"), ("d", "out"), ("e", "borderline"), ("f", "in")], "url string, label string")
     verdicts = spark.createDataFrame([("a", 1), ("b", 0), ("c", 1), ("d", 0), ("e", 1), ("f", None)], "url string, keep int")

@@ -9,7 +9,7 @@ PAGE = "url string, content_id string, title string, description string, search_
 
 
 def pages(spark):
-    return spark.createDataFrame([("/a", None, "Slurry", None, "guidance", "", False, "h", None), ("/b", "x", None, "other", "news_story", None, None, "h", False), ("/c", "x", "slurry", "", "guidance", "", True, "h", False)], PAGE)
+    return spark.createDataFrame([("/a", None, "Slurry", None, None, "guidance", "", False, "h", None), ("/b", "x", None, None, "other", "news_story", None, None, "h", False), ("/c", "x", "slurry", None, "", "guidance", "", True, "h", False)], PAGE)
 
 
 def links(spark):
