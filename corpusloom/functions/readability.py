@@ -106,9 +106,16 @@ def stars(of_impact: Column, n_words: Column) -> Column:
     return F.when(n_words >= RATED_WORDS, band)
 
 
+# The classes' names, in the order in which ties go.
+NAMES = {
+    "words_to_avoid": "Words to avoid", "phrases_to_avoid": "Phrases to avoid", "long_sentences": "Over-long sentences", "nominalisation": "Nominalisations", "vague_language": "Vague language",
+    "unnecessary_words": "Unnecessary words", "there_is_are": "There is / there are", "impersonal_it_is": "Impersonal ‘It is’", "gov_focused": "Government-focused (we/us/our)", "applicant": "Applicant vs you", "negative_phrasing": "Negative phrasing",
+}
+
+
 def findings(counts: dict[str, Column]) -> tuple[Column, Column]:
-    """``class: n`` of the classes that occur, most first, as one text; and the total."""
-    pairs = F.array(*[F.struct((-n).alias("m"), F.lit(name).alias("k")) for name, n in counts.items()])
+    """``Name: n`` of the classes that occur, most first, as one text (empty if there are none); and the total."""
+    pairs = F.array(*[F.struct((-counts[key]).alias("m"), F.lit(k).alias("o"), F.lit(name).alias("k")) for k, (key, name) in enumerate(NAMES.items()) if key in counts])
     found = F.array_sort(F.filter(pairs, lambda x: x["m"] < 0))
     total = sum(counts.values(), F.lit(0))
     return F.array_join(F.transform(found, lambda x: F.concat(x["k"], F.lit(": "), (-x["m"]).cast("string"))), "; "), total

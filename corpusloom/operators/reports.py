@@ -81,27 +81,46 @@ def top_classes(scanned: DataFrame, weights: dict[str, float], sample: int = 25_
     return out.crossJoin(total).select("issue", "n", "impact", (F.col("total") > sample).alias("sampled"))
 
 
-def corpus_totals(pages: DataFrame, frontier: DataFrame) -> DataFrame:
-    """One row: pages, fetched, redirects, share fetched, frontier size and backlog."""
-    own = pages.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count("content_hash").alias("fetched"),
-        F.sum(F.col("is_redirect").cast("int")).alias("redirects"),
-    )
+def corpus_totals(pages: DataFrame, frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: pages, fetched, unfetched, redirects, share fetched (0 for no pages), frontier size, backlog, links between pages."""
+    own = pages.agg(F.count(F.lit(1)).alias("total"), F.count("content_hash").alias("fetched"), F.coalesce(F.sum(F.col("is_redirect").cast("int")), F.lit(0)).alias("redirects"))
     waiting = frontier.join(pages.where("content_hash IS NOT NULL").select("url"), "url", "left_anti").agg(F.count(F.lit(1)).alias("backlog"))
-    size = frontier.agg(F.count(F.lit(1)).alias("sitemap"))
-    share = F.when(F.col("total") > 0, F.col("fetched") * 100.0 / F.col("total"))
-    return own.crossJoin(waiting).crossJoin(size).withColumn("pct_fetched", share)
-
-
-def run_health(log: DataFrame) -> DataFrame:
-    """Elapsed seconds, errors, processed and success rate of each run from its log rows."""
-    out = log.groupBy("run_id").agg(
-        (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("elapsed"),
-        F.sum((F.col("action") == "error").cast("int")).alias("errors"),
-        F.count(F.lit(1)).alias("processed"),
-    )
-    return out.withColumn("success", (F.col("processed") - F.col("errors")) * 100.0 / F.col("processed"))
+    size, linked = frontier.agg(F.count(F.lit(1)).alias("sitemap")), links.agg(F.count(F.lit(1)).alias("page_links"))
+    share = F.when(F.col("total") > 0, F.col("fetched") * 100.0 / F.col("total")).otherwise(0.0)
+    # One row each.
+    return own.crossJoin(waiting).crossJoin(size).crossJoin(linked).withColumns({"unfetched": F.col("total") - F.col("fetched"), "pct_fetched": share})
+
+
+def source_breakdown(pages: DataFrame) -> DataFrame:
+    """``source, n`` of pages by where they come from, most first; ``(none)`` where that is not known."""
+    return pages.groupBy(F.coalesce("source", F.lit("(none)")).alias("source")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source")
+
+
+# Counters of outcomes that failed, and of totals that are no outcomes.
+FAILED = ("error", "invalid", "no_content_item", "failed", "circular", "max_depth", "gone", "external", "imported_error", "imported_no_content_item")
+TOTALS = ("seen", "sources", "parents", "urls_seen", "sub_sitemaps", "children_to_import", "child_links", "binaries", "duplicate", "resolved", "content_in", "sitemap_in")
+
+
+def run_health(runs: DataFrame, newest: int = 7) -> DataFrame:
+    """The ``newest`` runs (``run_id, stage, status, started_at, finished_at, counters``) with seconds, errors, processed and success rate in percent.
+
+    ``counters`` is JSON of numbers; broken or missing ones count as empty, and a run without
+    outcomes has a rate of 100. Seconds are null without both times.
+    """
+    last = runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(newest)
+    held = F.coalesce(F.from_json("counters", "map<string, double>"), F.create_map().cast("map<string, double>"))
+    count = lambda keys: F.aggregate(F.map_values(keys), F.lit(0).cast("long"), lambda n, v: n + F.coalesce(v, F.lit(0.0)).cast("long"))
+    bad = count(F.map_filter("c", lambda k, _: k.isin(*FAILED)))
+    good = count(F.map_filter("c", lambda k, _: ~k.isin(*FAILED, *TOTALS)))
+    seconds = F.round(F.unix_micros(F.try_to_timestamp("finished_at")) / 1e6 - F.unix_micros(F.try_to_timestamp("started_at")) / 1e6, 1)
+    met = last.withColumn("c", held).withColumns({"errors": bad, "processed": good})
+    rate = F.when(F.col("errors") + F.col("processed") > 0, F.col("processed") * 100.0 / (F.col("errors") + F.col("processed"))).otherwise(100.0)
+    return met.select("run_id", "stage", "status", "started_at", seconds.alias("elapsed_s"), "errors", "processed", rate.alias("success_rate"))
+
+
+def running(runs: DataFrame) -> DataFrame:
+    """``n``: runs that are under way."""
+    return runs.where("status = 'running'").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fetch_counters(log: DataFrame, actions: list[str]) -> DataFrame:

@@ -159,18 +159,26 @@ def input_mix(compared: DataFrame, held: DataFrame, floor: float) -> DataFrame:
 
 
 def search_pages_per_run(results: DataFrame, compared: DataFrame) -> DataFrame:
+    """``run_id, n``: pages of each run that only the search found; runs without any are left out."""
     only = compared.where("source = 'search'").select("url")
     return results.join(only, "url", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def additions(compared: DataFrame, held: DataFrame, links: DataFrame, floor: float) -> DataFrame:
-    """Search-only pages with their organisations, whether the corpus holds them, and whether a run would see them."""
-    only = compared.where("source = 'search'").select("url", "es_score")
-    names = links.join(only, "url", "left_semi").groupBy("url").agg(F.array_join(F.array_sort(F.collect_set("organisation_slug")), ",").alias("organisations"))
-    there = held.select("url", F.lit(True).alias("there")).distinct()
+def additions(compared: DataFrame, pages: DataFrame, links: DataFrame, registry: DataFrame, floor: float, forwarded: bool = False) -> DataFrame:
+    """Search-only pages, those of the corpus first, then by url: ``url, title, document_type, phrases, es_score, organisations, in_corpus, forwarded``.
+
+    ``organisations`` are titles (slugs where the registry has none), each once, in order.
+    ``in_corpus``: fetched and no redirect. ``forwarded``: in the corpus and over the floor, or
+    without a score; with ``forwarded`` only these.
+    """
+    only = compared.where("source = 'search'").select("url", "title", "document_type", "phrases", "es_score")
+    titled = links.join(only.select("url"), "url", "left_semi").join(registry.select(F.col("slug").alias("organisation_slug"), F.col("title").alias("org_title")), "organisation_slug", "left")
+    names = titled.groupBy("url").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("org_title", "organisation_slug"))), ", ").alias("organisations"))
+    there = pages.where("content_hash IS NOT NULL AND NOT coalesce(is_redirect, false)").select("url", F.lit(True).alias("there")).distinct()
     in_corpus = F.coalesce("there", F.lit(False))
-    out = only.join(names, "url", "left").join(there, "url", "left")
-    return out.select("url", "organisations", in_corpus.alias("in_corpus"), (in_corpus & F.coalesce(F.col("es_score") >= floor, F.lit(True))).alias("forwarded"))
+    met = only.join(names, "url", "left").join(there, "url", "left")
+    out = met.select("url", "title", "document_type", "phrases", "es_score", F.coalesce("organisations", F.lit("")).alias("organisations"), in_corpus.alias("in_corpus"), (in_corpus & F.coalesce(F.col("es_score") >= floor, F.lit(True))).alias("forwarded"))
+    return (out.where("forwarded") if forwarded else out).orderBy(F.desc("in_corpus"), "url")
 
 
 def feedback(rows: DataFrame, newest: int = 500) -> DataFrame:

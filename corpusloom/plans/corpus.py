@@ -184,7 +184,8 @@ QUERIES = {
     "h_forest": h_forest,
     "h_page_counts": lambda s, d: hierarchy.page_counts(content(s, d).where(filters.is_usable()), organisations(s, d)),
     "h_registry_list": lambda s, d: hierarchy.registry_list(organisations(s, d).select(F.concat("organisation_slug", F.lit("-office")).alias("slug"), F.when(F.col("organisation_slug") == "even", "an even Office").when(F.col("organisation_slug") == "odd", "").alias("title"))),
-    "a_corpus_totals": lambda s, d: reports.corpus_totals(content(s, d), table(s, d, "documents").select(F.concat(F.lit("https://www.example.org/d/"), F.col("doc_id") * 2).alias("url"))),
+    "a_corpus_totals": lambda s, d: reports.corpus_totals(content(s, d), table(s, d, "documents").select(F.concat(F.lit("https://www.example.org/d/"), F.col("doc_id") * 2).alias("url")), _edges(s, d)),
+    "a_source_breakdown": lambda s, d: reports.source_breakdown(content(s, d).withColumn("source", F.when(F.col("doc_id") % 5 != 0, F.col("source")))),
     "src_search_hits": lambda s, d: compare.merge_hits(hits(s, d)).withColumn("phrases", F.array_join("phrases", ",")),
     "src_search_totals": lambda s, d: compare.phrase_totals(hits(s, d), 60),
     "src_search_types": lambda s, d: compare.hit_types(compare.merge_hits(hits(s, d))),
@@ -265,7 +266,8 @@ ORACLE_SQL = {
       SELECT f.slug, parent, depth, coalesce(pages, 0) AS pages FROM f LEFT JOIN pc ON pc.slug = f.slug""",
     "h_page_counts": f"WITH {CONTENT}, {ORGS} SELECT organisation_slug AS slug, count(DISTINCT key) AS pages FROM typed JOIN po USING (url) WHERE usable GROUP BY 1",
     "h_registry_list": "SELECT * FROM (VALUES ('de-office', 'De Office'), ('en-office', 'En Office'), ('es-office', 'Es Office'), ('even-office', 'an even Office'), ('fr-office', 'Fr Office'), ('odd-office', 'Odd Office')) v(slug, title) WHERE slug IN (SELECT lang || '-office' FROM documents UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even-office' ELSE 'odd-office' END FROM documents)",
-    "a_corpus_totals": f"WITH {CONTENT}, fr AS (SELECT 'https://www.example.org/d/' || doc_id * 2 AS url FROM documents) SELECT count(*) AS total, count(content_hash) AS fetched, CAST(sum(is_redirect::INT) AS BIGINT) AS redirects, count(content_hash) * 100.0::DOUBLE / count(*) AS pct_fetched, (SELECT count(*) FROM fr) AS sitemap, (SELECT count(*) FROM fr WHERE url NOT IN (SELECT url FROM typed WHERE content_hash IS NOT NULL)) AS backlog FROM typed",
+    "a_corpus_totals": f"WITH {CONTENT}, fr AS (SELECT 'https://www.example.org/d/' || doc_id * 2 AS url FROM documents) SELECT count(*) AS total, count(content_hash) AS fetched, count(*) - count(content_hash) AS unfetched, (SELECT count(*) FROM part) AS page_links, CAST(sum(is_redirect::INT) AS BIGINT) AS redirects, count(content_hash) * 100.0::DOUBLE / count(*) AS pct_fetched, (SELECT count(*) FROM fr) AS sitemap, (SELECT count(*) FROM fr WHERE url NOT IN (SELECT url FROM typed WHERE content_hash IS NOT NULL)) AS backlog FROM typed",
+    "a_source_breakdown": f"WITH {CONTENT} SELECT coalesce(CASE WHEN doc_id % 5 <> 0 THEN source END, '(none)') AS source, count(*) AS n FROM typed GROUP BY 1",
     "src_search_hits": f"WITH {_HITS} SELECT link, replace(phrases, ', ', ',') AS phrases, es_score, title, document_type, first_hit FROM merged",
     "src_search_totals": f"WITH {_HITS} SELECT CASE WHEN ph = 0 THEN 'slurry rules' ELSE 'storage' END AS phrase, count(*) AS total, least(count(*), 60) AS within, count(*) > 60 AS capped FROM hits GROUP BY 1",
     "src_search_types": f"WITH {_HITS} SELECT coalesce(document_type, 'unknown') AS document_type, count(*) AS n FROM merged GROUP BY 1",

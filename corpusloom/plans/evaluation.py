@@ -84,9 +84,29 @@ def g_consensus(s, d):
     return gold.consensus(voted(s, d), settled, stored)
 
 
-def e_render_prompt(s, d):
+TEMPLATE = "{{INCLUDE}} / {{EXCLUDE}} {{UNKNOWN}}<<<{{TITLE}} | {{DESCRIPTION}} | {{BODY}}"
+
+
+def rendered(s, d, template=TEMPLATE, fields=runs.INCLUSION_FIELDS):
+    k = F.col("doc_id")
     body = F.sha2(runs.truncate_body(F.col("search_text"), 300), 256)
-    return content(s, d).select("doc_id", runs.render("{title} | {type} | {date} | {body}", {"title": F.substring("title", 1, 10), "type": F.col("document_type"), "date": F.col("public_updated_at"), "body": body}).alias("prompt"))
+    values = {"inclusion": F.when(k % 3 != 0, F.concat(F.lit("in "), k)), "exclusion": F.when(k % 2 == 0, "out"), "keep_hints": F.when(k % 4 == 0, "like this"), "title": F.when(k % 5 != 0, F.substring("title", 1, 10)).otherwise(""), "description": F.lit(None).cast("string"), "body": body}
+    return content(s, d).select("doc_id", runs.render(template, fields, values).alias("prompt"))
+
+
+def e_render_prompt(s, d):
+    return rendered(s, d).select("doc_id", "prompt", *runs.split_prompt(F.col("prompt"), "<<<"))
+
+
+def counted_runs(s, d):
+    """Runs with counters as JSON, some without or broken."""
+    k = F.col("c_custkey")
+    json = F.format_string('{"new": %d, "error": %d, "gone": 1, "seen": 500, "changed": null}', k % 50, k % 7)
+    day = F.date_format(F.date_add(F.to_date(F.lit("2026-01-01")), (k % 300).cast("int")), "yyyy-MM-dd")
+    return table(s, d, "customer").select(
+        k.alias("run_id"), F.lit("align").alias("stage"), F.when(k % 3 == 0, "running").otherwise("done").alias("status"), F.concat(day, F.lit("T10:00:00")).alias("started_at"), F.when(k % 3 != 0, F.concat(day, F.lit("T10:0"), k % 10, F.lit(":30.5"))).alias("finished_at"),
+        F.when(k % 11 == 0, "{bad").when(k % 13 != 0, json).alias("counters"),
+    )
 
 
 def replies(s, d):
@@ -169,6 +189,7 @@ QUERIES = {
     "e_exclusion_candidates": lambda s, d: runs.exclusion_candidates(detailed(s, d, "a"), second(s, d), 60),
     "e_truncate_body": lambda s, d: table(s, d, "documents").select("doc_id", runs.truncate_body(F.col("text"), 100).alias("body")),
     "e_render_prompt": e_render_prompt,
+    "e_render_legacy": lambda s, d: rendered(s, d, "{{TITLE_LINE}}{{SPEC}}{{KEEP_SECTION}}{{DROP_SECTION}}{{PASS1_TOPIC}}", runs.EXCLUSION_FIELDS),
     "e_template_hash": lambda s, d: table(s, d, "documents").select("doc_id", runs.template_hash(F.col("text")).alias("fingerprint")),
     "e_parse_decision": e_parse_decision,
     "e_confidence": lambda s, d: a_(s, d).select("url", bands.confidence(F.col("score")).alias("confidence"), bands.score_band(F.col("score")).alias("band"), bands.score_bucket(F.col("score")).alias("bucket"), bands.zone(bands.score_bucket(F.col("score"))).alias("zone")),
@@ -229,7 +250,8 @@ QUERIES = {
     "k_data_issues": lambda s, d: cost.data_issues(paid_runs(s, d)).select("run_id", F.round("cost", 6).alias("cost")),
     "a_spend_by_phase": lambda s, d: _rounded(reports.spend_by_phase(priced(s, d)), "spend"),
     "a_spend_by_day": lambda s, d: reports.spend_by_day(priced(s, d)).select("day", F.round("spend", 6).alias("spend"), F.round("running", 6).alias("running")),
-    "a_run_health": lambda s, d: _rounded(reports.run_health(_run_log(s, d)), "success"),
+    "a_run_health": lambda s, d: _rounded(reports.run_health(counted_runs(s, d), 40), "success_rate"),
+    "a_runs_active": lambda s, d: reports.running(counted_runs(s, d)),
     "a_fetch_log": lambda s, d: reports.fetch_counters(_run_log(s, d), ["click", "error", "purchase", "view"]),
 }
 
@@ -267,7 +289,8 @@ ORACLE_SQL = {
     "e_scoped_candidates": f"WITH {CONTENT}, {_A}, {_B} SELECT url FROM typed WHERE usable AND url IN (SELECT url FROM vb WHERE keep = 1) AND url NOT IN (SELECT url FROM va WHERE keep = 0)",
     "e_exclusion_candidates": f"WITH {_A}, {_B}, {_SECOND} SELECT url, 'a' || doc_id % 7 AS pass1_reason, CASE WHEN doc_id % 5 <> 0 THEN 't' || doc_id % 5 END AS pass1_topic FROM va WHERE keep = 1 AND url NOT IN (SELECT url FROM second) ORDER BY url LIMIT 60",
     "e_truncate_body": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 66) || ' … ' || right(text, 34) ELSE text END AS body FROM documents",
-    "e_render_prompt": f"WITH {CONTENT} SELECT doc_id, coalesce(nullif(trim(substr(title, 1, 10), ' '), ''), '-') || ' | ' || document_type || ' | ' || coalesce(nullif(public_updated_at, ''), '-') || ' | ' || sha256(CASE WHEN length(search_text) > 300 THEN substr(search_text, 1, 200) || ' … ' || right(search_text, 100) ELSE search_text END) AS prompt FROM typed",
+    "e_render_prompt": f"WITH {CONTENT}, p AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'in ' || doc_id ELSE '(not specified)' END || ' / ' || CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '(none given)' END || ' {{{{UNKNOWN}}}}' AS stable, CASE WHEN doc_id % 5 <> 0 AND substr(title, 1, 10) <> '' THEN substr(title, 1, 10) ELSE '(none)' END || ' | (none) | ' || sha256(CASE WHEN length(search_text) > 300 THEN substr(search_text, 1, 200) || ' … ' || right(search_text, 100) ELSE search_text END) AS variable FROM typed) SELECT doc_id, stable || '<<<' || variable AS prompt, stable, variable FROM p",
+    "e_render_legacy": f"WITH {CONTENT} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND substr(title, 1, 10) <> '' THEN 'Page title: ' || substr(title, 1, 10) || chr(10) ELSE '' END || 'Inclusion criteria:' || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN 'in ' || doc_id ELSE '(not specified)' END || chr(10) || chr(10) || 'Exclusion criteria:' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '(none given)' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'KEEP examples (keep = true) — lean toward keeping when similar content appears:' || chr(10) || 'like this' || chr(10) ELSE '' END || '(not given)' AS prompt FROM typed",
     "e_template_hash": "SELECT doc_id, substr(sha256(text), 1, 8) AS fingerprint FROM documents",
     "e_parse_decision": f"WITH {_REPLY}, x AS (SELECT *, doc_id % 6 AS m, doc_id % 6 NOT IN (0, 3) AS ok FROM r) SELECT url, CASE WHEN ok THEN keep END AS keep, CASE WHEN ok THEN score END AS score, CASE WHEN ok THEN 'r {{' || doc_id % 3 || '}}' WHEN m = 3 THEN '' END AS reason, CASE WHEN ok THEN 't' || doc_id % 5 END AS primary_topic, CASE WHEN ok THEN 'title' END AS where_hit, CASE WHEN ok THEN 'one {{|two' END AS evidence FROM x",
     "e_confidence": f"WITH {_A} SELECT url, {_CONF} AS confidence, {_BAND} AS band, {_BUCKET} AS bucket, {_ZONE.format(b=_BUCKET)} AS zone FROM va",
@@ -348,6 +371,7 @@ ORACLE_SQL = {
     "k_data_issues": f"WITH {_PAID} SELECT run_id, round(cost, 6) AS cost FROM paid WHERE cost > 0 AND coalesce(total, 0) + coalesce(o, 0) = 0",
     "a_spend_by_phase": f"WITH {_PRICED} SELECT phase, round(sum(cost), 9) AS spend, count(*) AS calls FROM priced GROUP BY phase",
     "a_spend_by_day": f"WITH {_PRICED}, x AS (SELECT ts::DATE AS day, sum(cost) AS spend FROM priced GROUP BY 1) SELECT day, round(spend, 6) AS spend, round(sum(spend) OVER (ORDER BY day), 6) AS running FROM x",
-    "a_run_health": "SELECT user_id % 10 AS run_id, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS elapsed, count(*) FILTER (event_type = 'error') AS errors, count(*) AS processed, round((count(*) - count(*) FILTER (event_type = 'error')) * 100.0::DOUBLE / count(*), 9) AS success FROM events GROUP BY 1",
+    "a_run_health": "WITH r AS (SELECT c_custkey AS k, strftime(DATE '2026-01-01' + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') || 'T10:00:00' AS started_at, c_custkey % 11 <> 0 AND c_custkey % 13 <> 0 AS ok FROM customer), h AS (SELECT *, CASE WHEN ok THEN k % 7 + 1 ELSE 0 END AS errors, CASE WHEN ok THEN k % 50 ELSE 0 END AS processed FROM r ORDER BY started_at DESC, k DESC LIMIT 40) SELECT k AS run_id, 'align' AS stage, CASE WHEN k % 3 = 0 THEN 'running' ELSE 'done' END AS status, started_at, CASE WHEN k % 3 <> 0 THEN (k % 10 * 60 + 30.5)::DOUBLE END AS elapsed_s, errors, processed, round(CASE WHEN errors + processed > 0 THEN processed * 100.0::DOUBLE / (errors + processed) ELSE 100 END, 9) AS success_rate FROM h",
+    "a_runs_active": "SELECT count(*) AS n FROM customer WHERE c_custkey % 3 = 0",
     "a_fetch_log": "SELECT user_id % 10 AS run_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1",
 }

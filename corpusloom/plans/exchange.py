@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from corpusloom.operators import export, filters, reports
 from corpusloom.plans import corpus
-from corpusloom.plans.evaluation import _REP, _SHORT, repeats, short
+from corpusloom.plans import evaluation as ev
+from corpusloom.plans.evaluation import _REP, repeats
 from corpusloom.plans.roles import ASOF, CONTENT, GOLD, ORGS, content, gold, organisations, table
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import ORG, TYPE, WORDS
-from corpusloom.sources import readers, writers
+from corpusloom.sources import bundles, readers, writers
 from corpusloom.sources.scratch import checkpoint_dir
 from corpusloom.streaming import streams
 
@@ -42,16 +44,53 @@ def snk_audit_export(s, d):
     return s.read.parquet(path).select("url", F.col("outcome").cast("string").alias("outcome"))
 
 
+def shared_tables(s, d):
+    """Tables of 25 categories: runs, results, members, counts, audits, pages and organisations."""
+    k, docs, runs = F.col("doc_id"), content(s, d), ev.run_table(s, d)
+    edges = s.createDataFrame([("en", "sub-en"), ("top", "even"), ("far", "away")], "parent string, child string")
+    return {
+        "categories": table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("category_id"), F.col("n_name").alias("name"), F.lit("first").alias("owner")),
+        "runs": runs.select("run_id", F.col("category_id").cast("long"), "phase"), "results": docs.select((k % 40 + 1).alias("run_id"), "url", (k % 2).alias("keep")), "membership": docs.where(k % 2 == 0).select((k % 25).alias("category_id"), "content_id", "url"),
+        "counts": s.range(25).select(F.col("id").alias("category_id"), (F.col("id") * 2).alias("n")), "audit": docs.where(k % 3 == 0).select((k % 25).alias("category_id"), "url", F.lit("included").alias("outcome")),
+        "pages": docs.select("url", "title"), "page_organisations": organisations(s, d), "hierarchy": edges, "organisations": organisations(s, d).select(F.col("organisation_slug").alias("slug")).union(edges.select("parent")).union(edges.select("child")).distinct(),
+    }
+
+
+def _sizes(tables, *more):
+    """Rows of each table, and what else is told of it."""
+    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), *[f(name, df) for f in more]) for name, df in tables.items()]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
+def snk_bundle(s, d):
+    """A category with all that it refers to, written as a unit; the sizes of its tables as they are read again."""
+    path = _path(s)
+    bundle = bundles.collect(shared_tables(s, d), 3)
+    bundles.write(bundle, path)
+    return _sizes({name: s.read.parquet(f"{path}/{name}") for name in bundle})
+
+
 def src_bundle(s, d):
-    path, pages = _path(s), content(s, d).select("doc_id", "url", F.lit("old").alias("state"))
-    writers.write_bundle({"pages": pages.where("doc_id % 3 = 0").withColumn("state", F.lit("new"))}, path)
-    once = writers.merge_bundle(s, path, "pages", pages.where("doc_id % 2 = 0"), ["url"])
-    return writers.merge_bundle(s, path, "pages", once, ["url"])
+    """A bundle taken in twice, where the category has other members and results and some shared rows are older or missing."""
+    path, tables = _path(s), shared_tables(s, d)
+    bundles.write(bundles.collect(tables, 3), path)
+    k = F.regexp_extract("url", "([0-9]+)$", 1).cast("long")
+    here = tables | {"pages": tables["pages"].where(k % 5 != 0).withColumn("title", F.lit("old")), "membership": tables["membership"].withColumn("category_id", F.when(k % 10 == 4, 3).otherwise(F.col("category_id")).cast("long")), "results": tables["results"].withColumn("keep", F.lit(7).cast("long")), "organisations": tables["organisations"].where("slug <> 'en'")}
+    twice = bundles.take_in(s, path, bundles.take_in(s, path, here, "second"), "second")
+    mine = lambda name, df: F.count(F.when(F.col("owner") == "second", 1) if name == "categories" else F.when(F.col("title") != "old", 1) if name == "pages" else F.when(F.col("keep") != 7, 1) if name == "results" else F.lit(None)).alias("fresh")
+    return _sizes(twice, mine)
+
+
+def legacy(s, d):
+    docs, k = table(s, d, "documents"), F.col("doc_id")
+    pages = corpus.raw_urls(s, d).select(F.col("raw").alias("url"), F.when(k % 9 != 0, F.col("text")).otherwise("").alias("content"), F.when(k % 8 == 0, "redirect").otherwise("guidance").alias("document_type"), F.concat(F.lit("t"), k).alias("title"))
+    sitemap = docs.where(k % 2 == 0).select(F.concat(F.lit("https://example.org/d/"), k, F.lit("/")).alias("url"), F.concat(F.lit("2026-"), k % 12).alias("lastmod")).union(docs.where(k % 50 == 0).select(F.lit("nowhere"), F.lit(None)))
+    return pages, sitemap
 
 
 def src_legacy_import(s, d):
-    pages = content(s, d).select("url", "doc_id")
-    return readers.new_rows(pages, pages.where("doc_id % 3 = 0")).select("url")
+    target = table(s, d, "documents").where("doc_id % 7 = 0").select(F.concat(F.lit("https://www.example.org/d/"), "doc_id").alias("url"))
+    return readers.legacy_rows(*legacy(s, d), target).drop("content")
 
 
 def t_fetch_health(s, d):
@@ -101,23 +140,23 @@ def src_payload_json(s, d):
     return readers.with_validity(s.read.parquet(path)).select("doc_id", F.get_json_object("payload", "$.content_id").alias("content_id"), "valid")
 
 
-def snk_bundle(s, d):
-    """Pages and labels that one selection refers to, written as a unit; its pages read again."""
-    path, pages, labels = _path(s), content(s, d), gold(s, d)
-    used = filters.membership(short(s, d)).select("url").union(labels.select("url")).distinct()
-    writers.write_bundle({"pages": pages.join(used, "url", "left_semi"), "labels": labels}, path)
-    return s.read.parquet(f"{path}/pages").select("url", "document_type")
-
+QUERIES = {f.__name__: f for f in (src_label_sheet, src_payload_json, snk_bundle, snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)} | {"src_legacy_counters": lambda s, d: readers.legacy_counters(*legacy(s, d))}
 
-QUERIES = {f.__name__: f for f in (src_label_sheet, src_payload_json, snk_bundle, snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)}
+_BUN = """x AS (SELECT *, doc_id % 25 AS cat, doc_id % 40 + 1 AS run FROM documents), r3 AS (SELECT c_custkey AS run FROM customer WHERE c_custkey % 7 = 3), u AS (SELECT doc_id, lang FROM x WHERE (doc_id % 2 = 0 AND cat = 3) OR (doc_id % 3 = 0 AND cat = 3) OR run IN (FROM r3)),
+s AS (SELECT lang AS slug FROM u UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END FROM u), e AS (SELECT * FROM (VALUES ('en', 'sub-en'), ('top', 'even')) v(parent, child) WHERE parent IN (FROM s) OR child IN (FROM s)), o AS (FROM s UNION SELECT parent FROM e UNION SELECT child FROM e)"""
 
 ORACLE_SQL = {
     "snk_export_fields": f"WITH {CONTENT}, {ORGS}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM typed WHERE usable) WHERE n = 1), two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM typed WHERE usable AND doc_id % 3 = 0) WHERE n = 1) "
     "SELECT 'r1' AS run_id, url, document_type, CAST(strlen(search_text) AS BIGINT) AS size, NULL AS primary_org FROM one UNION ALL SELECT 'r2', two.url, document_type, NULL, organisation_slug FROM two LEFT JOIN po ON po.url = two.url AND role = 'primary'",
     "snk_label_sheet": "SELECT 'https://www.example.org/d/' || doc_id AS url, CASE WHEN toxic = 1 THEN 'borderline' WHEN quality = 1 THEN 'in' ELSE 'out' END AS label, CASE WHEN doc_id % 2 = 0 THEN 'said \"yes\",' || chr(10) || 'then' ELSE '' END AS rationale FROM labels",
     "snk_audit_export": _SEL["a_audit_outcomes"],
-    "src_bundle": "SELECT doc_id, 'https://www.example.org/d/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
-    "src_legacy_import": "SELECT 'https://www.example.org/d/' || doc_id AS url FROM documents WHERE doc_id % 3 <> 0",
+    "src_bundle": f"""WITH {_BUN}, slugs AS (SELECT lang AS slug FROM documents UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END FROM documents UNION SELECT unnest(['en', 'sub-en', 'top', 'even', 'far', 'away'])) SELECT * FROM (SELECT 'categories' AS name, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM nation WHERE n_nationkey = 3) AS fresh UNION ALL SELECT 'runs', (SELECT count(*) FROM customer), 0
+      UNION ALL SELECT 'results', (SELECT count(*) FROM x), (SELECT count(*) FROM x WHERE run IN (FROM r3)) UNION ALL SELECT 'membership', (SELECT count(*) FROM x WHERE doc_id % 2 = 0 AND CASE WHEN doc_id % 10 = 4 THEN 3 ELSE cat END <> 3) + (SELECT count(*) FROM x WHERE doc_id % 2 = 0 AND cat = 3), 0 UNION ALL SELECT 'counts', 25, 0 UNION ALL SELECT 'audit', (SELECT count(*) FROM x WHERE doc_id % 3 = 0), 0
+      UNION ALL SELECT 'pages', (SELECT count(*) FROM documents WHERE doc_id % 5 <> 0 OR doc_id IN (SELECT doc_id FROM u)), (SELECT count(*) FROM u) UNION ALL SELECT 'page_organisations', 2 * (SELECT count(*) FROM documents), 0 UNION ALL SELECT 'hierarchy', 3, 0 UNION ALL SELECT 'organisations', (SELECT count(*) FROM slugs WHERE slug <> 'en' OR 'en' IN (FROM o)), 0)""",
+    "src_legacy_import": f"""WITH u AS (SELECT c.doc_id, url, raw FROM ({corpus.ORACLE_SQL['d_canonical_url']}) c JOIN (WITH {corpus._RAW} SELECT doc_id, raw FROM raw) USING (doc_id) WHERE url IS NOT NULL), one AS (SELECT url, arg_min(doc_id, raw) AS k FROM u GROUP BY url), d AS (SELECT one.url, k, CASE WHEN k % 9 <> 0 THEN text ELSE '' END AS content FROM one JOIN documents ON doc_id = k)
+      SELECT url, CASE WHEN content <> '' THEN sha256(content) END AS content_hash, CASE WHEN l.doc_id IS NOT NULL THEN 'sitemap' ELSE 'other' END AS source, CASE WHEN k % 8 = 0 THEN 'redirect' ELSE 'guidance' END AS document_type, 't' || k AS title, k % 8 = 0 AS is_redirect, CASE WHEN l.doc_id IS NOT NULL THEN '2026-' || l.doc_id % 12 END AS lastmod
+      FROM d LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) l ON url = 'https://www.example.org/d/' || l.doc_id WHERE url NOT IN (SELECT 'https://www.example.org/d/' || doc_id FROM documents WHERE doc_id % 7 = 0)""",
+    "src_legacy_counters": f"SELECT count(*) AS content_in, count(url) AS content_written, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS sitemap_in, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS sitemap_written, count(*) - count(url) + (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS invalid_url FROM ({corpus.ORACLE_SQL['d_canonical_url']})",
     "t_fetch_health": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "t_run_totals": f"WITH {_REP} SELECT run_id, count(*) FILTER (keep = 1) AS kept, count(*) FILTER (keep = 0) AS dropped, count(*) FILTER (keep IS NULL) AS unparsed FROM rep GROUP BY run_id",
     "src_org_registry": """WITH e AS (SELECT c_custkey AS p, c_custkey + unnest([1, 2]) AS c FROM customer WHERE c_custkey % 5 = 0 UNION SELECT c_custkey - 1, c_custkey FROM customer WHERE c_custkey % 5 < 3)
@@ -125,5 +164,6 @@ SELECT 'c-' || c_custkey AS slug, c_name AS title, CASE WHEN c_custkey % 2 = 0 T
     "t_payload_ingest": corpus.ORACLE_SQL["d_upsert_provenance"].replace("n.seq % 2 = 0 THEN 'feed'", "n.url IS NOT NULL THEN 'stream'").replace("'t2'", "'0'"),
     "src_label_sheet": f"WITH {GOLD} SELECT url, label FROM gold",
     "src_payload_json": "SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN 'c' || doc_id END AS content_id, doc_id % 13 <> 0 AS valid FROM documents",
-    "snk_bundle": f"WITH {CONTENT}, {_SHORT}, {GOLD} SELECT url, document_type FROM typed WHERE url IN (SELECT url FROM mem) OR url IN (SELECT url FROM gold)",
+    "snk_bundle": f"""WITH {_BUN} SELECT * FROM (SELECT 'categories' AS name, (SELECT count(*) FROM nation WHERE n_nationkey = 3) AS n UNION ALL SELECT 'runs', (SELECT count(*) FROM r3) UNION ALL SELECT 'membership', (SELECT count(*) FROM x WHERE doc_id % 2 = 0 AND cat = 3) UNION ALL SELECT 'counts', 1 UNION ALL SELECT 'audit', (SELECT count(*) FROM x WHERE doc_id % 3 = 0 AND cat = 3)
+      UNION ALL SELECT 'results', (SELECT count(*) FROM x WHERE run IN (FROM r3)) UNION ALL SELECT 'pages', (SELECT count(*) FROM u) UNION ALL SELECT 'page_organisations', 2 * (SELECT count(*) FROM u) UNION ALL SELECT 'hierarchy', (SELECT count(*) FROM e) UNION ALL SELECT 'organisations', (SELECT count(*) FROM o))""",
 }

@@ -155,7 +155,7 @@ _IMPACT = "round(" + " + ".join(f"{w}::DOUBLE * log2(1 + {k})" for k, w in _WEIG
 _STARS = "CASE WHEN n_words >= 40 THEN CASE " + " ".join(f"WHEN {_IMPACT} / (n_words / 1000.0::DOUBLE) <= {e} THEN {n}" for e, n in readability.STARS) + " ELSE 1 END END"
 _AGG = "agg AS (SELECT url, string_agg(DISTINCT organisation_slug, ', ' ORDER BY organisation_slug) AS organisations, min(CASE WHEN role = 'primary' THEN organisation_slug END) AS primary_org FROM po GROUP BY url)"
 _TOTAL = " + ".join(_WEIGHTS)
-_FOUND = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'k': '{k}'}}" for k in _WEIGHTS) + "], lambda x: x.m < 0)), lambda x: x.k || ': ' || (-x.m)), '; ')"
+_FOUND = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'o': {n}, 'k': '{name}'}}" for n, (k, name) in enumerate(readability.NAMES.items())) + "], lambda x: x.m < 0)), lambda x: x.k || ': ' || (-x.m)), '; ')"
 _RATED = _READ + ", " + _ISSUE.replace("FROM typed)", "FROM graded)").replace("{{", "{").replace("{", "{{").replace("}", "}}") + f", rated AS (SELECT *, CASE WHEN grade IS NOT NULL THEN round(greatest(5, grade + 5), 1) END AS reading_age, {_TOTAL} AS total, {_FOUND.replace('{', '{{').replace('}', '}}')} AS findings, {_STARS} AS stars FROM issues)"
 _ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM short) WHERE n = 1)"
 

@@ -96,6 +96,12 @@ def f_page_results(s, d):
     return workspace.page_of_results(filters.one_row(chosen(s, d)).select("url", "title").join(hits, "url", "left"), 20, 3)
 
 
+def a_additions_review(s, d):
+    registry = s.createDataFrame([("en", "English office"), ("even", "Even team"), ("fr", None)], "slug string, title string")
+    pages = content(s, d).where("doc_id % 5 <> 1")
+    return workspace.additions(compared(s, d), pages, organisations(s, d), registry, 0.3).withColumn("phrases", F.array_join("phrases", ", "))
+
+
 def r_findings(s, d):
     counts = readability.issue_counts(F.col("search_text"))
     text, total = readability.findings(counts)
@@ -254,7 +260,7 @@ QUERIES = {
     "a_delete_cascade": a_delete_cascade,
     "a_ai_input_mix": lambda s, d: workspace.input_mix(compared(s, d), _held(s, d), 0.3),
     "a_search_pages_per_run": lambda s, d: workspace.search_pages_per_run(ev.repeats(s, d), compared(s, d)),
-    "a_additions_review": lambda s, d: workspace.additions(compared(s, d), _held(s, d), organisations(s, d), 0.3),
+    "a_additions_review": a_additions_review,
     "a_feedback_list": a_feedback_list,
     "r_findings": r_findings,
     "r_rederive": r_rederive,
@@ -280,7 +286,7 @@ QUERIES = {
     "g_strata": lambda s, d: review.label_strata(gold_labels(s, d).withColumns({"band": F.col("doc_id") % 3, "kind": F.when(F.col("doc_id") % 2 == 0, "")}), ["band", "kind"]).withColumn("share_borderline", F.round("share_borderline", 9)),
     "m_end_to_end": lambda s, d: review.end_to_end(ev.a_(s, d), ev.second(s, d)),
     "m_cost_eff": m_cost_eff,
-    "m_estimate": lambda s, d: ev._rounded(review.estimate(ev.e_render_prompt(s, d), 0.3), "cost"),
+    "m_estimate": lambda s, d: ev._rounded(review.estimate(ev.rendered(s, d), 0.3), "cost"),
     "d_body_text": lambda s, d: page_payloads(s, d).select("doc_id", payload.body_text(F.col("payload")).alias("text")),
     "d_html_attachments": lambda s, d: page_payloads(s, d).select("doc_id", F.array_join(payload.html_attachments(F.col("payload")), ",").alias("urls")),
     "d_child_links": lambda s, d: payload.child_links(page_payloads(s, d)),
@@ -323,7 +329,7 @@ _PH2 = "ph2 AS (SELECT i.url, i.keep, i.score, e.keep AS again, e.url IS NOT NUL
 _END = "CASE WHEN keep = 1 THEN CASE WHEN seen THEN again ELSE 1 END ELSE keep END"
 _TWO = f"WITH {ev._A}, {ev._B}, {ev._SECOND}, {_PH}"
 _PAY = "pay AS (SELECT doc_id, doc_id % 13 <> 0 AS good, 'https://www.example.org/d/' || doc_id AS url FROM documents)"
-_FIND = "list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'k': '{k}'}}" for k in _WEIGHTS) + "], lambda x: x.m < 0))"
+_FIND = "list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'o': {n}, 'k': '{name}'}}" for n, (k, name) in enumerate(readability.NAMES.items())) + "], lambda x: x.m < 0))"
 _REASON = "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'r' || doc_id ELSE '[' || ['fees', 'old news'][doc_id % 3] || '] r' || doc_id END"
 _PHASES = f"""{ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2}, both_ AS (SELECT CASE WHEN least(ph.score, ph2.score) <= 0 THEN '0 (wrong sense)' WHEN least(ph.score, ph2.score) <= 0.35 THEN '0.01–0.35 (in passing)' WHEN least(ph.score, ph2.score) <= 0.65 THEN '0.36–0.65 (moderate)' ELSE '0.66–1 (major)' END AS band, coalesce(ph.keep = 1 AND ph2.keep = 1, false) AS input, coalesce(ph.again = 0, false) AS bd, coalesce(ph2.again = 0, false) AS od, coalesce(ph.keep = 1, false) AND (NOT ph.seen OR coalesce(ph.again = 1, false)) AS bf, coalesce(ph2.keep = 1, false) AND (NOT ph2.seen OR coalesce(ph2.again = 1, false)) AS of, ph.keep IS NOT DISTINCT FROM ph2.keep AS same FROM ph JOIN ph2 USING (url))"""
 
@@ -344,7 +350,8 @@ ORACLE_SQL = {
     "a_delete_cascade": f"WITH {_MEMBERS} SELECT 'members' AS name, count(*) AS n FROM members WHERE category_id <> 3 UNION ALL SELECT 'runs', count(*) FROM customer WHERE c_custkey % 7 <> 3",
     "a_ai_input_mix": f"WITH {_HITS} SELECT count(*) FILTER (source = 'both') AS n_both, count(*) FILTER (source = 'shortlister') AS n_shortlister, count(*) FILTER (source = 'search' AND coalesce(es_score >= 0.3, true)) AS n_search FROM cmp WHERE url IN (SELECT url FROM typed WHERE doc_id % 5 <> 1)",
     "a_search_pages_per_run": f"WITH {_HITS}, {ev._REP} SELECT run_id, count(*) AS n FROM rep WHERE url IN (SELECT url FROM cmp WHERE source = 'search') GROUP BY run_id",
-    "a_additions_review": f"WITH {_HITS}, o AS (SELECT url, string_agg(DISTINCT organisation_slug, ',' ORDER BY organisation_slug) AS organisations FROM po GROUP BY url), h2 AS (SELECT url FROM typed WHERE doc_id % 5 <> 1) SELECT url, organisations, url IN (FROM h2) AS in_corpus, url IN (FROM h2) AND coalesce(es_score >= 0.3, true) AS forwarded FROM cmp LEFT JOIN o USING (url) WHERE source = 'search'",
+    "a_additions_review": f"WITH {_HITS}, o AS (SELECT url, string_agg(DISTINCT n, ', ' ORDER BY n) AS organisations FROM (SELECT url, CASE organisation_slug WHEN 'en' THEN 'English office' WHEN 'even' THEN 'Even team' ELSE organisation_slug END AS n FROM po) GROUP BY url), h2 AS (SELECT url FROM typed WHERE doc_id % 5 <> 1 AND content_hash IS NOT NULL AND NOT is_redirect) "
+    "SELECT url, title, document_type, phrases, es_score, coalesce(organisations, '') AS organisations, url IN (FROM h2) AS in_corpus, url IN (FROM h2) AND coalesce(es_score >= 0.3, true) AS forwarded FROM cmp LEFT JOIN o USING (url) WHERE source = 'search'",
     "a_feedback_list": "SELECT event_id AS id, CASE WHEN event_id % 9 - 1 BETWEEN 1 AND 5 THEN event_id % 9 - 1 END AS stars FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
     "r_findings": f"SELECT doc_id, array_to_string(list_transform({_FIND}, lambda x: x.k || ': ' || (-x.m)), '; ') AS findings, CAST({' + '.join(_WEIGHTS)} AS INTEGER) AS total FROM ({_SEL['r_checks']})",
     "r_rederive": f"SELECT doc_id, impact, stars FROM ({_SEL['r_checks']})",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.urls import canonical_url, content_hash
+
 SITEMAP = T.StructType([T.StructField("loc", T.StringType()), T.StructField("lastmod", T.StringType())])
 _ORG = "slug string, link string, title string, acronym string, child_organisations array<string>, parent_organisations array<string>"
 REGISTRY = f"aggregates struct<organisations: struct<options: array<struct<value: struct<{_ORG.replace(' ', ': ').replace(',:', ',')}>>>>>"
@@ -34,9 +36,30 @@ def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def new_rows(source: DataFrame, target: DataFrame, key: str = "url") -> DataFrame:
-    """Insert or ignore: rows of ``source`` whose key ``target`` lacks, the first of each key."""
-    return source.dropDuplicates([key]).join(target.select(key), key, "left_anti")
+def legacy_rows(pages: DataFrame, sitemap: DataFrame, target: DataFrame, domain: str = "example.org") -> DataFrame:
+    """Insert or ignore: rows of an old page table that ``target`` (``url``) lacks, in the present form.
+
+    ``url`` canonical (rows without are left out; of several spellings of one the first as text
+    stays), ``content, content_hash, source`` (sitemap where the old sitemap lists the url, else
+    other), ``document_type, title, is_redirect, lastmod``. An empty body has no hash.
+    """
+    own = pages.withColumn("key", canonical_url(F.col("url"), domain)).where("key IS NOT NULL")
+    first = own.groupBy("key").agg(F.min("url").alias("url"))
+    listed = sitemap.select(canonical_url(F.col("url"), domain).alias("key"), "lastmod").where("key IS NOT NULL").groupBy("key").agg(F.max("lastmod").alias("lastmod"), F.lit("sitemap").alias("listed"))
+    met = own.join(first, ["key", "url"], "left_semi").dropDuplicates(["key"]).join(listed, "key", "left").join(target.select(F.col("url").alias("key")), "key", "left_anti")
+    return met.select(
+        F.col("key").alias("url"), "content", F.when(F.col("content") != "", content_hash(F.col("content"))).alias("content_hash"), F.coalesce("listed", F.lit("other")).alias("source"), "document_type", "title",
+        (F.coalesce("document_type", F.lit("")) == "redirect").alias("is_redirect"), "lastmod",
+    )
+
+
+def legacy_counters(pages: DataFrame, sitemap: DataFrame, domain: str = "example.org") -> DataFrame:
+    """One row ``content_in, sitemap_in, content_written, sitemap_written, invalid_url`` of an import."""
+    good = lambda df: F.count(canonical_url(F.col("url"), domain))
+    a = pages.agg(F.count(F.lit(1)).alias("content_in"), good(pages).alias("content_written"))
+    b = sitemap.agg(F.count(F.lit(1)).alias("sitemap_in"), good(sitemap).alias("sitemap_written"))
+    lost = F.col("content_in") + F.col("sitemap_in") - F.col("content_written") - F.col("sitemap_written")
+    return a.crossJoin(b).withColumn("invalid_url", lost)  # one row each
 
 
 def with_validity(payloads: DataFrame, column: str = "payload") -> DataFrame:

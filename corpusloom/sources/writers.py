@@ -22,18 +22,6 @@ def write_audit(audit: DataFrame, path: str) -> None:
     audit.write.mode("overwrite").partitionBy("outcome").parquet(path)
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """All of a category's tables as one folder of Parquet."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def merge_bundle(spark: SparkSession, path: str, name: str, target: DataFrame, keys: list[str]) -> DataFrame:
-    """``target`` with the bundle's rows of a table in place of its own with the same keys; repeating it changes nothing."""
-    new = spark.read.parquet(f"{path}/{name}")
-    return target.join(new.select(keys), keys, "left_anti").unionByName(new)
-
-
 def write_report(tables: dict[str, DataFrame], summary: DataFrame, path: str) -> None:
     """A report bundle: each table as CSV with a header, and a summary of a few rows as JSON lines."""
     for name, df in tables.items():
