@@ -39,6 +39,7 @@ LONG_SENTENCE, LONG_WEIGHT = 25, 3.0
 
 
 def words(text: Column) -> Column:
+    """Runs of the letters A to Z of a text, in order; null has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))
 
 
@@ -71,6 +72,10 @@ def reading_age(of_grade: Column) -> Column:
 SINGLE = {name: [t for t in terms if t.isalpha()] for name, (_, terms) in ISSUES.items()}
 
 
+def _among(words_of: Column, some: list[str]) -> Column:
+    return F.filter(words_of, lambda w: w.isin(some))
+
+
 def issue_counts(text: Column) -> dict[str, Column]:
     """Occurrences of each class; whole words between other characters than letters, digits and _, longer terms first, without case.
 
@@ -83,7 +88,7 @@ def issue_counts(text: Column) -> dict[str, Column]:
     out = {}
     for name, (_, terms) in ISSUES.items():
         single, phrases = SINGLE[name], sorted(set(terms) - set(SINGLE[name]), key=lambda t: (-len(t), t))
-        words_of = F.size(F.filter(marked, lambda w, own=single: w.isin(own))) if single else F.lit(0)
+        words_of = F.size(_among(marked, single)) if single else F.lit(0)
         out[name] = words_of + F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(phrases)})(?![\p{{L}}\p{{N}}_])")) if phrases else words_of
     out["long_sentences"] = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE, -1), lambda s: F.regexp_count(s, F.lit(WORD)) > LONG_SENTENCE))
     return out

@@ -53,6 +53,7 @@ def body_text(payload: Column) -> Column:
 
 
 def absolute(path: Column, domain: str) -> Column:
+    """A path on ``domain``, or an address, in canonical form; null if it is foreign or null."""
     return canonical_url(F.when(path.startswith("/"), F.concat(F.lit(f"https://www.{domain}"), path)).otherwise(path), domain)
 
 

@@ -2,57 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from corpusloom.functions import english
 
 
-def phrase_hits(text: Column, terms: list[str]) -> Column:
-    """Indexes of the ``terms`` that a text holds as phrases, ascending; a null text holds none.
+#: Most word forms that the words of a query may have in a corpus; a stem has some dozens.
+MOST_FORMS = 10_000
 
-    Words match by stem and must stand at the term's distances; a stop word within a term leaves
-    room for any one word. A term of stop words alone matches nothing. The pass needs no shuffle,
-    as the terms are a user's own short list and travel with the function.
+
+@F.pandas_udf(StringType())
+def stems(words: pd.Series) -> pd.Series:
+    return words.map(english.stem)
+
+
+def word_list(text: Column) -> Column:
+    """Runs of letters and digits of a text, in lower case, in order; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
+def word_forms(pages: DataFrame, text: Column, wanted: list[str]) -> dict[str, list[str]]:
+    """The words of all pages by the wanted stem that they have.
+
+    Distinct words are found first, so each is stemmed once in the whole corpus, and only those
+    that begin as a wanted stem does.
     """
-    first: dict[str, list] = {}
-    for n, term in enumerate(terms):
-        at = english.phrase(term)
-        if at:
-            first.setdefault(at[0][1], []).append((n, at[1:]))
+    words = pages.select(F.explode(F.array_distinct(word_list(text))).alias("word")).where(F.substring("word", 1, 1).isin(sorted({w[0] for w in wanted}))).distinct()
+    rows = words.withColumn("stem", stems("word")).where(F.col("stem").isin(wanted)).limit(MOST_FORMS + 1).collect()
+    if len(rows) > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} forms of the query's words")
+    out: dict[str, list[str]] = {w: [] for w in wanted}
+    for r in rows:
+        out[r.stem].append(r.word)
+    return out
 
-    def find(body: str | None) -> list[int]:
-        stems = [english.stem(w) for w in english.tokens(body)]
-        hits = set()
-        for i, s in enumerate(stems):
-            for n, rest in first.get(s, ()):
-                if n not in hits and all(i + o < len(stems) and stems[i + o] == t for o, t in rest):
-                    hits.add(n)
-        return sorted(hits)
 
-    @F.pandas_udf("array<int>")
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for bodies in batches:
-            yield pd.Series([find(b) for b in bodies], dtype=object)
+def _places(marked: Column, words: list[str]) -> Column:
+    """Where any of the words stands."""
+    return F.transform(F.filter(marked, lambda x: x["w"].isin(words)), lambda x: x["i"])
 
-    return found(text)
+
+def _runs(at: dict[str, Column], first: str, rest: list[tuple[int, str]]) -> Column:
+    """Whether the first stem stands somewhere with all others at their distances."""
+    return F.exists(at[first], lambda p: reduce(lambda a, b: a & b, [F.array_contains(at[s], p + o) for o, s in rest], F.lit(True)))
+
+
+def phrase_hits(text: Column, terms: list[str], forms: dict[str, list[str]]) -> Column:
+    """The ``terms`` that a text holds as phrases, in their order; a null text holds none.
+
+    ``forms`` has the words of each stem of the terms. They must stand at the term's distances; a
+    stop word within a term leaves room for any one word.
+    """
+    every = sorted({w for words in forms.values() for w in words})
+    if not every:
+        return F.array().cast("array<string>")
+    marked = F.filter(F.transform(word_list(text), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(every))
+    at = {s: _places(marked, words) for s, words in forms.items() if words}
+    hits = []
+    for term in terms:
+        (_, first), *rest = english.phrase(term)
+        if first in at and all(s in at for _, s in rest):
+            hits.append(F.when(_runs(at, first, rest), term))
+    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
 
 
 def match_phrases(pages: DataFrame, terms: list[str], match: str = "any") -> DataFrame:
     """Pages whose title and text hold any (or all) of the terms, with the terms found as ``hits``.
 
-    Terms of stop words alone are left out; if no term is left, no page matches.
+    Words match by stem. Terms of stop words alone are left out; if no term is left, no page
+    matches. The terms are a user's own short list.
     """
     counted = [t for t in terms if english.phrase(t)]
     if not counted:
         return pages.withColumn("hits", F.array().cast("array<string>")).where(F.lit(False))
     text = F.concat_ws(" ", "title", "search_text")
-    found = pages.withColumn("hits", phrase_hits(text, counted)).where(F.size("hits") >= (1 if match == "any" else len(counted)))
-    names = F.array(*map(F.lit, counted))
-    return found.withColumn("hits", F.transform("hits", lambda n: F.element_at(names, n + 1)))
+    forms = word_forms(pages, text, sorted({s for t in counted for _, s in english.phrase(t)}))
+    return pages.withColumn("hits", phrase_hits(text, counted, forms)).where(F.size("hits") >= (1 if match == "any" else len(counted)))
 
 
 def _quoted(words: Column) -> Column:
@@ -86,7 +116,7 @@ def explain_terms(terms: DataFrame) -> DataFrame:
     one = F.concat(F.lit("Matches a page that contains "), _quoted(F.col("content_words")), F.lit(f" anywhere in its text. {ENDINGS} {CAPITALS}"), note)
     more = F.concat(F.lit("A phrase. Matches a page where "), _quoted(F.col("content_words")), F.lit(f" appear together, in this order. {ENDINGS} {CAPITALS}"), note)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def query(column: pd.Series) -> pd.Series:
         return column.map(english.normalised)
 

@@ -80,6 +80,7 @@ def left_at(keep: Column, seen: Column, again: Column) -> Column:
 
 
 def verdict_label(keep: Column) -> Column:
+    """The label that a verdict stands for; null for an unparsed one."""
     return F.when(keep == 1, "in").when(keep == 0, "out")
 
 
