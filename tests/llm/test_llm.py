@@ -452,13 +452,63 @@ def test_wand_is_exact():
 
 
 def test_pipeline(spark):
+    """Every stage against brute force on what the one before kept."""
     import corpus_pipeline
 
+    stages = dict(corpus_pipeline.STAGES)
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = common.materialise(stage(spark, docs, DATA), "stage")
-        assert after.columns == docs.columns and 0 < after.count() <= docs.count(), name
-        docs = after
-    rest = {r.doc_id: r.text for r in docs.collect()}
-    assert not brute_links(rest)
-    assert corpus_pipeline.run(spark, DATA).select("doc_id").distinct().count() == len(rest)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def run(name, docs):
+        after = common.materialise(stages[name](spark, docs, DATA), "stage")
+        assert after.columns == docs.columns and after.schema == docs.schema
+        return after
+
+    good = run("quality classifier", docs)
+    machine = quality.fit(docs, labels)
+    assert {r.doc_id for r in good.collect()} == {k for k, r in rows.items() if machine.score(r.text) >= quality.CUT}
+
+    once = run("exact dedup", good)
+    groups = {}
+    for r in good.collect():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append((-len(r.text or ""), r.doc_id))
+    assert {r.doc_id for r in once.collect()} == {min(g)[1] for g in groups.values()}
+
+    apart = run("near dedup", once)
+    before, after = {r.doc_id: r.text for r in once.collect()}, {r.doc_id for r in apart.collect()}
+    group = {k: k for k in before}
+    for a, b in sorted(brute_links(before)):
+        low, high = sorted((group[a], group[b]))
+        group = {k: low if g == high else g for k, g in group.items()}
+    assert after == set(group.values())
+
+    clean = run("decontamination", apart)
+    items = [r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    left = {r.doc_id: r.text for r in apart.collect()}
+    gone = set(left) - {r.doc_id for r in clean.collect()}
+    overlap = {k: max(len(shingles(i) & shingles(t)) / len(shingles(i)) for i in items) for k, t in left.items()}
+    assert {k for k, x in overlap.items() if x == 1} <= gone and all(overlap[k] >= 0.7 for k in gone)
+
+    pieces = stages["packing"](spark, clean, DATA).collect()
+    fast = packing.tokens_of(packing.tokenizer_path(), special=True)
+    assert {r.doc_id: sum(p.length for p in pieces if p.doc_id == r.doc_id) for r in clean.collect()} == {r.doc_id: len(fast(r.text or "")) // 4 + 1 for r in clean.collect()}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, DATA).select("doc_id").collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_pipeline_edges(spark):
+    """Nulls, empties, repeated rows, a long text and clashing names in every stage; and no rows at all."""
+    import corpus_pipeline
+
+    docs = docs_of(spark, [*EDGE, "same text here", "same text here"], [*range(len(EDGE)), None, None]).withColumns({"__id": F.lit("a"), "__sum": F.lit("b"), "__digest": F.lit("c"), "__alone": F.lit("d")})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        kept[name] = Counter(r.doc_id for r in out.collect())
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    assert kept["exact dedup"] == Counter({2: 1, 3: 1, 4: 1, 6: 1, 8: 1, 9: 1, None: 1})
+    assert kept["near dedup"] == Counter({0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 6: 1, 8: 1, 9: 1, 10: 1, None: 1})
+    assert kept["decontamination"] == Counter([*range(len(EDGE)), None, None])
+    assert set(kept["packing"]) == set(kept["decontamination"])

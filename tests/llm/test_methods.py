@@ -289,3 +289,87 @@ def test_contamination_edges(spark):
     assert [r["index"] for r in decontamination.decontaminate(docs, items).collect()] == [2]
     assert decontamination.contaminated(docs.limit(0), items).count() == 0
     assert decontamination.decontaminate(docs, items.limit(0)).count() == 3
+
+
+# 3
+def test_links_against_brute_force(spark):
+    """Two hundred pages with canonical links and refreshes of all kinds: verdicts by union-find over addresses written out here."""
+    from corpusloom.llm import url_filter
+
+    rng = random.Random(12)
+    hosts = [f"{p}h{k}.{t}" for k in range(12) for t in ("org", "net", "com") for p in ("", "www.")]
+    urls = sorted({f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{rng.choice(['en', 'fr', 'es', 'x'])}/{rng.randrange(40)}{rng.choice(['', '.html', '/'])}" for _ in range(220)})
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def form(url):
+        scheme, rest = url.split("://")
+        host, _, path = rest.partition("/")
+        path = "/" + path
+        host = host[4:] if host.startswith("www.") else host
+        path = path[:-5] if path.endswith(".html") else path
+        return f"https://{host}{path.rstrip('/')}"
+
+    def decide(url):
+        host, _, path = url.split("://")[1].partition("/")
+        path, best = "/" + path, None
+        for action, at, under in url_filter.RULES:
+            if (host == at or host.endswith("." + at)) and path.startswith(under) and (best is None or len(at + under) > len(best[1])):
+                best = (action, at + under)
+        return best[0] if best else None
+
+    rows = []
+    for k, url in enumerate(urls):
+        find(url), find(form(url))
+        parent[find(url)] = find(form(url))
+        target, html = None, "<p>none</p>"
+        kind = rng.randrange(6)
+        if kind < 4:
+            other = rng.choice(urls)
+            host = url.split("://")[1].split("/")[0]
+            target, written = {0: (other, other), 1: (url.split("://")[0] + "://" + other.split("://")[1], "//" + other.split("://")[1]), 2: (f"{url.split('://')[0]}://{host}/x/7", "/x/7"), 3: (other, other)}[kind]
+            html = f'<html><LINK href="{written}" rel="canonical">' if kind < 3 else f"<meta content='5; url={written}' http-equiv='refresh'>"
+            parent[find(url)] = find(target)
+            parent[find(target)] = find(form(target))
+        rows.append((k, url, html))
+    marks = {}
+    for node in list(parent):
+        marks.setdefault(find(node), set()).add(decide(node))
+    want = {}
+    for k, url in enumerate(urls):
+        spread = marks[find(url)]
+        want[k] = decide(url) or ("allow" if "allow" in spread else "block" if "block" in spread else "allow")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("component", F.lit("x"))
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.page_edges(pages)).collect()}
+    assert got == want and sum(v == "block" for v in want.values()) > 40
+    long = spark.createDataFrame([(1, "http://a.net/fr/" + "x" * 100_000, "<p>" * 100_000), (None, None, None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.filter_urls(long, url_filter.page_edges(long)).collect()} == {1: "block", None: "allow"}
+
+
+# 2, 9
+def test_classifier_edges(spark):
+    from corpusloom.llm import quality, samples, toxicity
+
+    docs = spark.createDataFrame([(None, "some words", "x"), (1, "word " * 60_000, "y"), (2, None, "z"), (1, "again", "w")], "doc_id long, text string, y string").withColumn("flags", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    chain, machine = toxicity.fit(docs, labels), quality.fit(docs, labels)
+    for out in (toxicity.score_documents(docs, chain), quality.score_documents(docs, machine)):
+        assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "1", "2", "None"]
+    assert toxicity.score_documents(docs.limit(0), chain).count() == quality.score_documents(docs.limit(0), machine).count() == 0
+    assert toxicity.score_documents(docs, toxicity.fit(docs.limit(0), labels)).count() == 4
+    many = spark.range(50).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same id").alias("text"))
+    assert len(samples.first_rows(samples.labelled_sample(many, labels, "quality", 3, all_folds=True), 3)) == 3
+
+
+# 6, 8
+def test_exact_and_lines_of_long_texts(spark):
+    from corpusloom.llm import exact_dedup
+
+    long = "é " * 200_000
+    docs = spark.createDataFrame([(1, long), (2, long.replace(" ", "")), (3, long + "x")], "doc_id long, text string").withColumn("batch", F.lit(9))
+    assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {1: 1, 2: 1, 3: 3}
