@@ -102,8 +102,8 @@ def majority(repeats: DataFrame) -> DataFrame:
 
 
 def score_stability(repeats: DataFrame, band: Column, threshold: float = 0.15) -> DataFrame:
-    """Mean of the pages' sample deviations, share over the threshold, share that stays in one band."""
-    per = repeats.groupBy("url").agg(F.stddev_samp("score").alias("sd"), F.countDistinct(band).alias("bands"))
+    """Over the pages with two scores or more: mean of their sample deviations, share over the threshold, share that stays in one band; null without such pages."""
+    per = repeats.where("score IS NOT NULL").groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("score").alias("sd"), F.countDistinct(band).alias("bands")).where("n >= 2")
     return per.agg(F.avg("sd").alias("mean_sd"), F.avg((F.col("sd") > threshold).cast("int")).alias("unstable"), F.avg((F.col("bands") == 1).cast("int")).alias("one_band"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from corpusloom.functions.bands import confidence
 from corpusloom.functions.urls import canonical_url
+from corpusloom.operators.runs import template_hash
 from corpusloom.operators.workspace import entries
 
 
@@ -181,9 +182,23 @@ def run_list(runs: DataFrame) -> DataFrame:
     return runs.withColumn("s", spec).orderBy(F.desc("started_at"), F.desc("run_id")).select("run_id", "started_at", F.when(valid, F.coalesce("s.prompt_variant", F.lit("current"))).alias("variant"), "s.concurrency", "s.sampling", F.size("s.scope.urls").alias("scope_size"))
 
 
-def prompt_spec(runs: DataFrame) -> DataFrame:
-    """``run_id, spec``: a run's category, phase and settings as one JSON text."""
-    return runs.select("run_id", F.to_json(F.struct("category_id", "phase", F.struct(F.col("status")).alias("settings"))).alias("spec"))
+def prompt_spec(runs: DataFrame, categories: DataFrame, templates: DataFrame, body_limit: int) -> DataFrame:
+    """``run_id, spec``: all that a run's prompts depend on as one JSON text, empty where the category has none.
+
+    ``runs`` has ``run_id, category_id, phase, prompt_variant, concurrency``; ``categories``
+    ``category_id, name, inclusion, exclusion, keep_hints, drop_hints``; ``templates`` ``phase,
+    prompt_variant, template, version``. The fingerprint is the template's. A missing variant is
+    current, a missing name the topic.
+    """
+    t = templates.select(F.col("phase").alias("t_phase"), F.col("prompt_variant").alias("t_variant"), "template", "version")
+    variant = F.coalesce("prompt_variant", F.lit("current"))
+    met = runs.withColumn("variant", variant).join(categories, "category_id", "left").join(t, (F.col("phase") == F.col("t_phase")) & (F.col("variant") == F.col("t_variant")), "left")
+    some = lambda c, other="": F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
+    spec = F.struct(
+        some("template").alias("template"), some("version").alias("template_version"), template_hash(F.col("template")).alias("template_hash"), some("inclusion").alias("inclusion_context"), some("exclusion").alias("exclusion_context"),
+        some("name", "the topic").alias("name"), some("keep_hints").alias("keep_hints"), some("drop_hints").alias("drop_hints"), F.lit(body_limit).alias("body_limit"), F.col("variant").alias("prompt_variant"), F.col("concurrency").alias("concurrency"),
+    )
+    return met.select("run_id", F.to_json(spec).alias("spec"))
 
 
 def cost_efficiency(confusion: DataFrame, cost: float) -> DataFrame:

@@ -138,16 +138,30 @@ def page_of_results(rows: DataFrame, limit: int, offset: int) -> DataFrame:
     return rows.orderBy("url").offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
-def member_facts(members: DataFrame, pages: DataFrame, compared_ids: list[int]) -> DataFrame:
-    """Of each selection its members, their types as text, and whether a comparison is stored."""
-    met = members.join(pages.select("url", "document_type"), "url")
+def member_facts(members: DataFrame, pages: DataFrame, compared: DataFrame) -> DataFrame:
+    """``category_id, members, computed_at, has_hits, types, has_comparison`` of each selection with members.
+
+    ``members`` has ``category_id, url, hits, computed_at``; ``compared`` the ``category_id`` of
+    stored comparisons. The latest build counts; hits are there if any row has them.
+    """
+    met = members.join(pages.select("url", "document_type"), "url", "left")
     types = F.array_join(F.array_sort(F.collect_set("document_type")), ",")
-    return met.groupBy("category_id").agg(F.count(F.lit(1)).alias("members"), types.alias("types")).withColumn("compared", F.col("category_id").isin(compared_ids))
+    facts = met.groupBy("category_id").agg(F.count(F.lit(1)).alias("members"), F.max("computed_at").alias("computed_at"), F.max(F.col("hits").isNotNull()).alias("has_hits"), types.alias("types"))
+    there = compared.select("category_id", F.lit(True).alias("there")).distinct()
+    return facts.join(there, "category_id", "left").withColumn("has_comparison", F.coalesce("there", F.lit(False))).drop("there")
+
+
+def corpus_version(pages: DataFrame) -> DataFrame:
+    """One row ``total, version``: usable pages, and a token that changes with their number or the time they were last seen."""
+    own = pages.where(is_usable(withdrawn=True)).agg(F.count(F.lit(1)).alias("total"), F.max("last_seen_at").alias("last"))
+    return own.select("total", F.substring(F.md5(F.concat_ws(":", F.col("total").cast("string"), "last")), 1, 8).alias("version"))
 
 
 def delete_selection(tables: dict[str, DataFrame], category_id: int) -> dict[str, DataFrame]:
-    """All tables without the selection's rows; rows of no selection stay."""
-    return {name: df.where(~F.col("category_id").eqNullSafe(category_id)) for name, df in tables.items()}
+    """All tables without the selection's rows; rows of no selection stay. Tables without a category but with runs lose those of its runs (``runs``)."""
+    gone = tables["runs"].where(F.col("category_id") == category_id).select("run_id")
+    of = lambda df: df.where(~F.col("category_id").eqNullSafe(category_id)) if "category_id" in df.columns else df.join(gone, "run_id", "left_anti") if "run_id" in df.columns else df
+    return {name: of(df) for name, df in tables.items()}
 
 
 def input_mix(compared: DataFrame, held: DataFrame, floor: float) -> DataFrame:

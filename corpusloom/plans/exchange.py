@@ -98,11 +98,17 @@ def t_fetch_health(s, d):
     return streams.drain(streams.fetch_health(log)).select(F.to_date("start").alias("day"), "event_type", "n")
 
 
+def t_error_share(s, d):
+    log = streams.read_stream(s, d, "events.parquet", table(s, d, "events").schema)
+    return streams.drain(streams.error_share(log)).select(F.to_date("start").alias("day"), "n", "errors", F.round("share", 9).alias("share"))
+
+
 def t_run_totals(s, d):
-    path = _path(s)
-    repeats(s, d).unionByName(repeats(s, d).where("doc_id % 2 = 0")).repartition(3).write.parquet(f"{path}/verdicts")
-    verdicts = s.readStream.schema(repeats(s, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/verdicts")
-    return streams.drain(streams.run_totals(verdicts))
+    """Verdicts in three files, half of them twice."""
+    path, rows = _path(s), repeats(s, d).withColumn("cost", F.col("ms") / 1000.0)
+    rows.unionByName(rows.where("doc_id % 2 = 0")).repartition(3).write.parquet(f"{path}/verdicts")
+    verdicts = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/verdicts")
+    return streams.drain(streams.run_totals(verdicts)).withColumn("cost", F.round("cost", 6))
 
 
 def src_org_registry(s, d):
@@ -122,9 +128,9 @@ def src_org_registry(s, d):
 def t_payload_ingest(s, d):
     path = _path(s)
     corpus.fetched(s, d).write.parquet(f"{path}/fetched")
-    corpus.stored(s, d).select("url", "content_hash", F.lit("crawl").alias("source"), F.lit("t0").alias("first_seen"), F.lit("t1").alias("last_seen"), F.lit("t0").alias("last_changed")).write.parquet(f"{path}/pages/v0")
+    streams.write_pages(corpus.stored(s, d).select("url", "content_hash", F.lit("crawl").alias("source"), F.lit("t0").alias("first_seen"), F.lit("t1").alias("last_seen"), F.lit("t0").alias("last_changed")), f"{path}/pages", 0)
     streams.ingest_payloads(s.readStream.schema(corpus.fetched(s, d).schema).parquet(f"{path}/fetched"), f"{path}/pages")
-    return s.read.parquet(f"{path}/pages/v1")
+    return streams.read_pages(s, f"{path}/pages")
 
 
 def src_label_sheet(s, d):
@@ -140,7 +146,7 @@ def src_payload_json(s, d):
     return readers.with_validity(s.read.parquet(path)).select("doc_id", F.get_json_object("payload", "$.content_id").alias("content_id"), "valid")
 
 
-QUERIES = {f.__name__: f for f in (src_label_sheet, src_payload_json, snk_bundle, snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_run_totals, t_payload_ingest)} | {"src_legacy_counters": lambda s, d: readers.legacy_counters(*legacy(s, d))}
+QUERIES = {f.__name__: f for f in (src_label_sheet, src_payload_json, snk_bundle, snk_export_fields, snk_label_sheet, snk_audit_export, src_bundle, src_legacy_import, src_org_registry, t_fetch_health, t_error_share, t_run_totals, t_payload_ingest)} | {"src_legacy_counters": lambda s, d: readers.legacy_counters(*legacy(s, d))}
 
 _BUN = """x AS (SELECT *, doc_id % 25 AS cat, doc_id % 40 + 1 AS run FROM documents), r3 AS (SELECT c_custkey AS run FROM customer WHERE c_custkey % 7 = 3), u AS (SELECT doc_id, lang FROM x WHERE (doc_id % 2 = 0 AND cat = 3) OR (doc_id % 3 = 0 AND cat = 3) OR run IN (FROM r3)),
 s AS (SELECT lang AS slug FROM u UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END FROM u), e AS (SELECT * FROM (VALUES ('en', 'sub-en'), ('top', 'even')) v(parent, child) WHERE parent IN (FROM s) OR child IN (FROM s)), o AS (FROM s UNION SELECT parent FROM e UNION SELECT child FROM e)"""
@@ -158,7 +164,8 @@ ORACLE_SQL = {
       FROM d LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) l ON url = 'https://www.example.org/d/' || l.doc_id WHERE url NOT IN (SELECT 'https://www.example.org/d/' || doc_id FROM documents WHERE doc_id % 7 = 0)""",
     "src_legacy_counters": f"SELECT count(*) AS content_in, count(url) AS content_written, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) + (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS sitemap_in, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS sitemap_written, count(*) - count(url) + (SELECT count(*) FROM documents WHERE doc_id % 50 = 0) AS invalid_url FROM ({corpus.ORACLE_SQL['d_canonical_url']})",
     "t_fetch_health": "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "t_run_totals": f"WITH {_REP} SELECT run_id, count(*) FILTER (keep = 1) AS kept, count(*) FILTER (keep = 0) AS dropped, count(*) FILTER (keep IS NULL) AS unparsed FROM rep GROUP BY run_id",
+    "t_run_totals": f"WITH {_REP} SELECT run_id, count(*) FILTER (keep = 1) AS kept, count(*) FILTER (keep = 0) AS dropped, count(*) FILTER (keep IS NULL) AS unparsed, round(sum(ms / 1000.0::DOUBLE), 6) AS cost FROM rep GROUP BY run_id",
+    "t_error_share": "SELECT ts::DATE AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS share FROM events GROUP BY 1",
     "src_org_registry": """WITH e AS (SELECT c_custkey AS p, c_custkey + unnest([1, 2]) AS c FROM customer WHERE c_custkey % 5 = 0 UNION SELECT c_custkey - 1, c_custkey FROM customer WHERE c_custkey % 5 < 3)
 SELECT 'c-' || c_custkey AS slug, c_name AS title, CASE WHEN c_custkey % 2 = 0 THEN 'C' || c_custkey END AS acronym, (SELECT count(*) FROM e WHERE p = c_custkey) AS children FROM customer""",
     "t_payload_ingest": corpus.ORACLE_SQL["d_upsert_provenance"].replace("n.seq % 2 = 0 THEN 'feed'", "n.url IS NOT NULL THEN 'stream'").replace("'t2'", "'0'"),

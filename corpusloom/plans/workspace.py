@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from corpusloom.operators import filters, gold, ingest, metrics, payload, review
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
+from corpusloom.plans.exchange import shared_tables
 from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, organisations, table, votes
 from corpusloom.plans.roles import gold as gold_labels
 from corpusloom.plans.selection import _BASE, _ORG, _TYPE, _WEIGHTS, ORG, TYPE, WORDS
@@ -81,9 +83,22 @@ def a_overview(s, d):
 
 
 def a_delete_cascade(s, d):
-    tables = {"members": members(s, d), "runs": ev.run_table(s, d)}
-    left = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in workspace.delete_selection(tables, 3).items()]
-    return left[0].union(left[1])
+    left = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in workspace.delete_selection(shared_tables(s, d), 3).items()]
+    return reduce(lambda a, b: a.union(b), left)
+
+
+def a_meta(s, d):
+    k = F.col("category_id")
+    rows = members(s, d).withColumns({"hits": F.when(k % 2 == 0, "x"), "computed_at": F.concat(F.lit("t"), F.length("url"))})
+    return workspace.member_facts(rows, content(s, d), s.createDataFrame([(1,), (2,)], "category_id long"))
+
+
+def e_prompt_spec(s, d):
+    k = F.col("category_id")
+    categories = s.range(6).select(F.col("id").alias("category_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("c"), "id")).otherwise(" ").alias("name"), F.lit("in").alias("inclusion"), F.lit(None).cast("string").alias("exclusion"), F.lit("k").alias("keep_hints"), F.lit("").alias("drop_hints"))
+    templates = s.createDataFrame([("inclusion", "current", "T1", "v1"), ("exclusion", "current", "T2", "v1"), ("inclusion", "cached", "T3", "cached")], "phase string, prompt_variant string, template string, version string")
+    asked = ev.run_table(s, d).withColumns({"prompt_variant": F.when(F.col("run_id") % 3 == 0, "cached"), "concurrency": (F.col("run_id") % 4).cast("int")})
+    return review.prompt_spec(asked.withColumn("category_id", k.cast("long")), categories, templates, 20_000)
 
 
 def a_feedback_list(s, d):
@@ -255,7 +270,8 @@ QUERIES = {
     "f_page_results": f_page_results,
     "a_membership_refresh": members,
     "a_overview": a_overview,
-    "a_meta": lambda s, d: workspace.member_facts(members(s, d), content(s, d), [1, 2]),
+    "a_meta": a_meta,
+    "a_corpus_version": lambda s, d: workspace.corpus_version(content(s, d)),
     "a_category_pages": lambda s, d: filters.membership(chosen(s, d)).join(content(s, d).select("url", "title", "document_type"), "url").orderBy("content_id").offset(5).limit(20),
     "a_delete_cascade": a_delete_cascade,
     "a_ai_input_mix": lambda s, d: workspace.input_mix(compared(s, d), _held(s, d), 0.3),
@@ -273,7 +289,7 @@ QUERIES = {
     "e_enrich_rows": lambda s, d: review.enrich(ev.a_(s, d), content(s, d), hits_of(s, d), ev.second(s, d)),
     "e_review_list": lambda s, d: review.review_list(ev.a_(s, d), 1, ev.second(s, d)),
     "e_run_list": e_run_list,
-    "e_prompt_spec": lambda s, d: review.prompt_spec(ev.run_table(s, d)),
+    "e_prompt_spec": e_prompt_spec,
     "e_diff_cards": lambda s, d: review.diff_cards(*chains(s, d), content(s, d)),
     "n_phase2": lambda s, d: review.second_phase_summary(review.second_phase(*chains(s, d))),
     "n_phase2_bands": lambda s, d: review.second_phase_bands(review.second_phase(*chains(s, d))),
@@ -345,9 +361,12 @@ ORACLE_SQL = {
     "f_page_results": f"{_BASE}, one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY url) AS n FROM short) WHERE n = 1), {_FOUND} SELECT url, title, hits, (SELECT count(*) FROM one) AS total FROM one LEFT JOIN found USING (url) ORDER BY url LIMIT 20 OFFSET 3",
     "a_membership_refresh": f"WITH {_MEMBERS} SELECT * FROM members",
     "a_overview": f"WITH {_MEMBERS} SELECT id, name, '2026-' || id % 7 AS created_at, CASE id WHEN 1 THEN 10 WHEN 5 THEN 0 END AS pages_kept, CASE id WHEN 1 THEN 't1' WHEN 5 THEN 't0' END AS computed_at, count(category_id) AS membership_count FROM cats LEFT JOIN members ON category_id = id GROUP BY id, name",
-    "a_meta": f"WITH {_MEMBERS} SELECT category_id, count(*) AS members, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS types, category_id IN (1, 2) AS compared FROM members JOIN typed USING (url) GROUP BY category_id",
+    "a_meta": f"WITH {_MEMBERS} SELECT category_id, count(*) AS members, max('t' || length(m.url)) AS computed_at, category_id % 2 = 0 AS has_hits, string_agg(DISTINCT document_type, ',' ORDER BY document_type) AS types, category_id IN (1, 2) AS has_comparison FROM members m JOIN typed USING (url) GROUP BY category_id",
+    "a_corpus_version": f"WITH {CONTENT} SELECT count(*) AS total, substr(md5(count(*) || ':' || max(strftime(DATE '2026-09-15' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z')), 1, 8) AS version FROM typed WHERE NOT is_redirect AND content_hash IS NOT NULL",
     "a_category_pages": f"{_BASE} SELECT m.url, content_id_ AS content_id, t.title, t.document_type FROM (SELECT key AS content_id_, min(url) AS url FROM short GROUP BY key) m JOIN typed t ON t.url = m.url ORDER BY content_id_ LIMIT 20 OFFSET 5",
-    "a_delete_cascade": f"WITH {_MEMBERS} SELECT 'members' AS name, count(*) AS n FROM members WHERE category_id <> 3 UNION ALL SELECT 'runs', count(*) FROM customer WHERE c_custkey % 7 <> 3",
+    "a_delete_cascade": """WITH x AS (SELECT *, doc_id % 25 AS cat, doc_id % 40 + 1 AS run FROM documents), slugs AS (SELECT lang AS slug FROM documents UNION SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END FROM documents UNION SELECT unnest(['en', 'sub-en', 'top', 'even', 'far', 'away']))
+      SELECT 'categories' AS name, (SELECT count(*) FROM nation WHERE n_nationkey <> 3) AS n UNION ALL SELECT 'runs', (SELECT count(*) FROM customer WHERE c_custkey % 7 <> 3) UNION ALL SELECT 'results', (SELECT count(*) FROM x WHERE run NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)) UNION ALL SELECT 'membership', (SELECT count(*) FROM x WHERE doc_id % 2 = 0 AND cat <> 3) UNION ALL SELECT 'counts', 24
+      UNION ALL SELECT 'audit', (SELECT count(*) FROM x WHERE doc_id % 3 = 0 AND cat <> 3) UNION ALL SELECT 'pages', (SELECT count(*) FROM documents) UNION ALL SELECT 'page_organisations', 2 * (SELECT count(*) FROM documents) UNION ALL SELECT 'hierarchy', 3 UNION ALL SELECT 'organisations', (SELECT count(*) FROM slugs)""",
     "a_ai_input_mix": f"WITH {_HITS} SELECT count(*) FILTER (source = 'both') AS n_both, count(*) FILTER (source = 'shortlister') AS n_shortlister, count(*) FILTER (source = 'search' AND coalesce(es_score >= 0.3, true)) AS n_search FROM cmp WHERE url IN (SELECT url FROM typed WHERE doc_id % 5 <> 1)",
     "a_search_pages_per_run": f"WITH {_HITS}, {ev._REP} SELECT run_id, count(*) AS n FROM rep WHERE url IN (SELECT url FROM cmp WHERE source = 'search') GROUP BY run_id",
     "a_additions_review": f"WITH {_HITS}, o AS (SELECT url, string_agg(DISTINCT n, ', ' ORDER BY n) AS organisations FROM (SELECT url, CASE organisation_slug WHEN 'en' THEN 'English office' WHEN 'even' THEN 'Even team' ELSE organisation_slug END AS n FROM po) GROUP BY url), h2 AS (SELECT url FROM typed WHERE doc_id % 5 <> 1 AND content_hash IS NOT NULL AND NOT is_redirect) "
@@ -364,7 +383,9 @@ ORACLE_SQL = {
     "e_enrich_rows": f"{_BASE}, {_FOUND}, {ev._A}, {ev._B}, {ev._SECOND} SELECT v.url, coalesce(f.hits, '') AS hits, {ev._CONF} AS confidence, CASE keep WHEN 1 THEN 'keep' WHEN 0 THEN 'drop' ELSE 'unparsed' END AS decision, CASE WHEN v.url IN (SELECT url FROM second) THEN 'exclusion' ELSE 'inclusion' END AS furthest FROM va v LEFT JOIN typed t USING (url) LEFT JOIN found f ON f.content_id = t.key",
     "e_review_list": f"WITH {ev._A}, {ev._B}, {ev._SECOND} SELECT url, score FROM va WHERE keep = 1 AND url IN (SELECT url FROM second)",
     "e_run_list": "SELECT c_custkey AS run_id, strftime(DATE '2026-01-01' + CAST(c_custkey % 20 AS INTEGER), '%Y-%m-%d') || 'T' || lpad((c_custkey % 24)::VARCHAR, 2, '0') || ':00:00' AS started_at, CASE WHEN c_custkey % 12 = 2 THEN 'current' WHEN c_custkey % 6 > 1 THEN 'v' || c_custkey % 3 END AS variant, CASE WHEN c_custkey % 6 > 1 AND c_custkey % 12 <> 2 THEN CAST(c_custkey % 8 AS INTEGER) END AS concurrency, CASE WHEN c_custkey % 6 > 1 AND c_custkey % 12 <> 2 THEN '{\"temperature\":0}' END AS sampling, CASE WHEN c_custkey % 6 > 1 AND c_custkey % 12 <> 2 THEN 2 END AS scope_size FROM customer",
-    "e_prompt_spec": f"WITH {ev._RUNS} SELECT run_id, '{{\"category_id\":' || category_id || ',\"phase\":\"' || phase || '\",\"settings\":{{\"status\":\"' || status || '\"}}}}' AS spec FROM runs",
+    "e_prompt_spec": f"""WITH {ev._RUNS}, v AS (SELECT run_id, category_id AS c, phase, CASE WHEN run_id % 3 = 0 THEN 'cached' ELSE 'current' END AS variant FROM runs), t AS (SELECT *, CASE WHEN variant = 'current' THEN CASE phase WHEN 'inclusion' THEN 'T1' ELSE 'T2' END WHEN phase = 'inclusion' THEN 'T3' ELSE '' END AS template FROM v)
+      SELECT run_id, '{{"template":"' || template || '","template_version":"' || CASE template WHEN '' THEN '' WHEN 'T3' THEN 'cached' ELSE 'v1' END || '","template_hash":"' || CASE template WHEN '' THEN '' ELSE substr(sha256(template), 1, 8) END || '","inclusion_context":"' || CASE WHEN c < 6 THEN 'in' ELSE '' END || '","exclusion_context":"","name":"' || CASE WHEN c < 6 AND c % 2 = 0 THEN 'c' || c ELSE 'the topic' END
+        || '","keep_hints":"' || CASE WHEN c < 6 THEN 'k' ELSE '' END || '","drop_hints":"","body_limit":20000,"prompt_variant":"' || variant || '","concurrency":' || run_id % 4 || '}}' AS spec FROM t""",
     "e_diff_cards": f"WITH {CONTENT}, {ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2}, x AS (SELECT *, {_END} AS r FROM ph), y AS (SELECT *, {_END} AS r FROM ph2) SELECT x.url, title, x.keep AS b_first, x.again AS b_second, y.keep AS o_first, y.again AS o_second FROM x JOIN y USING (url) LEFT JOIN typed t ON t.url = x.url WHERE x.r IS DISTINCT FROM y.r",
     "n_phase2": f"WITH {_PHASES} SELECT count(*) AS shared, count(*) FILTER (input) AS excl_input, count(*) FILTER (input AND bd) AS base_dropped, count(*) FILTER (input AND od) AS other_dropped, count(*) FILTER (bf <> of) AS flips, count(*) FILTER (bf <> of AND same) AS exclusion_driven, count(*) FILTER (bf <> of AND NOT same) AS inclusion_driven FROM both_",
     "n_phase2_bands": f"WITH {_PHASES} SELECT v.band AS band, count(*) FILTER (input) AS input, count(*) FILTER (input AND bf AND of) AS kept, count(*) FILTER (input AND NOT bf AND NOT of) AS dropped, count(*) FILTER (input AND bf <> of) AS flipped, count(both_.band) AS pages, count(*) FILTER (bf <> of) AS all_flipped FROM (VALUES ('0 (wrong sense)'), ('0.01–0.35 (in passing)'), ('0.36–0.65 (moderate)'), ('0.66–1 (major)')) v(band) LEFT JOIN both_ USING (band) GROUP BY 1",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.urls import canonical_url
 from corpusloom.operators.ingest import change_classes, upsert_pages
 from corpusloom.sources.scratch import checkpoint_dir
 
@@ -21,11 +22,22 @@ def fetch_health(log: DataFrame, window: str = "1 day", late: str = "1 hour") ->
     return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def run_totals(verdicts: DataFrame) -> DataFrame:
-    """Kept, dropped and unparsed of each run; a repeated page of a run counts once."""
-    once = verdicts.dropDuplicates(["run_id", "url"])
+def error_share(log: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """``start, n, errors, share`` of actions in tumbling windows; rows later than the watermark are left out."""
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    failed = F.count(F.when(F.col("event_type") == "error", 1))
+    return timed.groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("n"), failed.alias("errors"), (failed / F.count(F.lit(1))).alias("share")).select(F.col("w.start").alias("start"), "n", "errors", "share")
+
+
+def run_totals(verdicts: DataFrame, arrived: str | None = None, late: str = "1 day") -> DataFrame:
+    """Kept, dropped, unparsed and cost of each run; a repeated page of a run counts once.
+
+    With ``arrived``, a time column, repeats are known for ``late`` after a page came, and the state
+    that tells them stays as small as that; without, all pages of all runs are kept in state.
+    """
+    once = verdicts.dropDuplicates(["run_id", "url"]) if arrived is None else verdicts.withWatermark(arrived, late).dropDuplicatesWithinWatermark(["run_id", "url"])
     flag = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return once.groupBy("run_id").agg(flag(F.col("keep") == 1).alias("kept"), flag(F.col("keep") == 0).alias("dropped"), flag(F.col("keep").isNull()).alias("unparsed"))
+    return once.groupBy("run_id").agg(flag(F.col("keep") == 1).alias("kept"), flag(F.col("keep") == 0).alias("dropped"), flag(F.col("keep").isNull()).alias("unparsed"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -38,18 +50,45 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def ingest_payloads(fetched: DataFrame, stored_path: str, domain: str = "example.org") -> None:
-    """Merge each batch of fetched payloads into the page table, which is rewritten as a new version.
+#: Parts of a page table, by a hash of the url.
+PARTS = 64
+
+
+def part_of(url: Column) -> Column:
+    """The part of a page table that a url belongs to; null for null."""
+    return F.when(url.isNotNull(), F.pmod(F.xxhash64(url), F.lit(PARTS))).cast("int")
+
+
+def write_pages(pages: DataFrame, path: str, version: int) -> None:
+    """Pages as a version of their parts; the other parts keep theirs. Written again, it replaces that version."""
+    parted = pages.withColumns({"part": part_of(F.col("url")), "version": F.lit(version)})
+    parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
+
+
+def read_pages(spark: SparkSession, path: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+    """The newest version of each part (of versions before ``before``, of ``parts`` alone), without the two columns."""
+    every = spark.read.parquet(path)
+    every = every if before is None else every.where(F.col("version") < before)
+    every = every if parts is None else every.where(F.col("part").isin(parts))
+    newest = every.select("part", "version").distinct().groupBy("part").agg(F.max("version").alias("version"))
+    return every.join(F.broadcast(newest), ["part", "version"], "left_semi").drop("part", "version")  # a row a part
+
+
+def ingest_payloads(fetched: DataFrame, path: str, domain: str = "example.org") -> None:
+    """Merge each batch of fetched payloads into a page table of ``write_pages``; only the parts that a batch touches are rewritten.
 
-    Batch ``n`` reads version ``n`` and writes version ``n + 1``, so a repeated batch gives the
-    same table.
+    Batch ``n`` reads versions up to ``n`` and writes version ``n + 1``, so a repeated batch gives
+    the same table.
     """
     spark = fetched.sparkSession
 
     def merge(batch: DataFrame, n: int) -> None:
-        old = spark.read.parquet(f"{stored_path}/v{n}")
+        touched = [r.part for r in batch.select(part_of(canonical_url(F.col("raw_url"), domain)).alias("part")).where("part IS NOT NULL").distinct().collect()]
+        if not touched:
+            return
+        old = read_pages(spark, path, n + 1, touched)
         seen = change_classes(batch, old, domain).where("change IN ('new', 'changed', 'unchanged')")
         new = seen.select("url", F.col("new_hash").alias("content_hash"), F.lit("stream").alias("source"), F.lit(str(n)).alias("seen_at"))
-        upsert_pages(old, new).write.mode("overwrite").parquet(f"{stored_path}/v{n + 1}")
+        write_pages(upsert_pages(old, new), path, n + 1)
 
-    fetched.writeStream.foreachBatch(merge).option("checkpointLocation", f"{stored_path}/log").trigger(availableNow=True).start().awaitTermination()
+    fetched.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
