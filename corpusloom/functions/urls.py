@@ -22,8 +22,3 @@ def canonical_url(raw: Column, domain: str = "example.org") -> Column:
 def content_hash(body: Column) -> Column:
     """sha256 of a body in lower-case hex; null for null."""
     return F.sha2(body, 256)
-
-
-def last_segment(path: Column) -> Column:
-    """The last non-empty part of a path."""
-    return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)

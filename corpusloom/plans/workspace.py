@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from corpusloom.functions import readability
-from corpusloom.operators import filters, gold, ingest, metrics, payload, review, runs, workspace
+from corpusloom.operators import compare, filters, gold, ingest, metrics, payload, review, runs, workspace
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
@@ -220,8 +220,7 @@ def d_spec_backfill(s, d):
 
 def snk_augmented_export(s, d):
     path = f"{checkpoint_dir(s)}/export-{uuid.uuid4().hex}"
-    rank = F.when(F.col("source") == "search", 0).when(F.col("source") == "both", 1).otherwise(2)
-    compared(s, d).select("url", "source", "es_score").orderBy(rank, "url").write.csv(path, header=True, escape='"')
+    compared(s, d).select("url", "source", "es_score").orderBy(compare.source_rank(), "url").write.csv(path, header=True, escape='"')
     return s.read.schema("url string, source string, es_score double").csv(path, header=True, escape='"')
 
 
