@@ -373,3 +373,15 @@ def test_exact_and_lines_of_long_texts(spark):
     long = "é " * 200_000
     docs = spark.createDataFrame([(1, long), (2, long.replace(" ", "")), (3, long + "x")], "doc_id long, text string").withColumn("batch", F.lit(9))
     assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_scratch_is_cleared(spark):
+    import os
+
+    from corpusloom.llm.common import clear_scratch, materialise, scratch_dir
+
+    here = scratch_dir(spark).removeprefix("file://")
+    materialise(spark.range(3), "cleared").count()
+    assert any(n.startswith("cleared-") for n in os.listdir(here))
+    clear_scratch(spark)
+    assert not os.path.exists(here)
