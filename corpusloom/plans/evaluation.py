@@ -179,8 +179,8 @@ def _rounded(df, *names):
 
 
 def _footprints(df):
-    """Sums of money and energy to so many places as their order of adding leaves alone."""
-    return df.withColumns({c: F.round(c, 6) for c, kind in df.dtypes if kind == "double"})
+    """Sums of money to so many places as their order of adding leaves alone, all else to nine."""
+    return df.withColumns({c: F.round(c, 6 if "cost" in c else 9) for c, kind in df.dtypes if kind == "double"})
 
 
 QUERIES = {
@@ -365,9 +365,9 @@ ORACLE_SQL = {
       CAST(coalesce(sum(miss), 0) AS BIGINT) AS miss, CAST(coalesce(sum(o), 0) AS BIGINT) AS out, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(kept) AS BIGINT) AS kept, sum(CASE WHEN tokens > 0 THEN cost ELSE 0 END) AS metered_cost,
       count(*) FILTER (tokens = 0 AND cost > 0) AS untracked_runs, sum(CASE WHEN tokens = 0 THEN cost ELSE 0 END) AS untracked_cost FROM (SELECT *, coalesce(total, 0) + coalesce(o, 0) AS tokens FROM paid) GROUP BY GROUPING SETS ((provider, model), (phase), ())),
       k AS (SELECT *, (miss * 0.3::DOUBLE + hit * 0.3::DOUBLE * 0.25 + out * 1.5::DOUBLE) * 1.2 / 3.6e6 AS kwh, nullif(total + out, 0) / 1e6 AS mega FROM g)
-      SELECT scope, provider, model, phase, runs, round(cost, 6) AS cost, total, hit, miss, out, pages, kept, round(metered_cost, 6) AS metered_cost, untracked_runs, round(untracked_cost, 6) AS untracked_cost, round(kwh, 6) AS kwh, round(kwh * 1.0::DOUBLE, 6) AS water_l, round(kwh * 0.2::DOUBLE, 6) AS co2_kg,
-      round(metered_cost / mega, 6) AS cost_per_mtok, round(kwh / mega, 6) AS kwh_per_mtok, round(kwh / mega, 6) AS water_l_per_mtok, round(kwh * 0.2::DOUBLE / mega, 6) AS co2_kg_per_mtok, round(cost / nullif(pages, 0), 6) AS cost_per_page, round(cost / nullif(kept, 0), 6) AS cost_per_kept,
-      round(kwh / nullif(pages, 0), 6) AS kwh_per_page, round(kwh * 0.2::DOUBLE * 1000 / nullif(pages, 0), 6) AS co2_g_per_page, round(hit / nullif(total, 0), 6) AS cached_share, round((total + out) / nullif(pages, 0), 6) AS tokens_per_page FROM k""",
+      SELECT scope, provider, model, phase, runs, round(cost, 6) AS cost, total, hit, miss, out, pages, kept, round(metered_cost, 6) AS metered_cost, untracked_runs, round(untracked_cost, 6) AS untracked_cost, round(kwh, 9) AS kwh, round(kwh * 1.0::DOUBLE, 9) AS water_l, round(kwh * 0.2::DOUBLE, 9) AS co2_kg,
+      round(metered_cost / mega, 6) AS cost_per_mtok, round(kwh / mega, 9) AS kwh_per_mtok, round(kwh / mega, 9) AS water_l_per_mtok, round(kwh * 0.2::DOUBLE / mega, 9) AS co2_kg_per_mtok, round(cost / nullif(pages, 0), 6) AS cost_per_page, round(cost / nullif(kept, 0), 6) AS cost_per_kept,
+      round(kwh / nullif(pages, 0), 9) AS kwh_per_page, round(kwh * 0.2::DOUBLE * 1000 / nullif(pages, 0), 9) AS co2_g_per_page, round(hit / nullif(total, 0), 9) AS cached_share, round((total + out) / nullif(pages, 0), 9) AS tokens_per_page FROM k""",
     "k_data_issues": f"WITH {_PAID} SELECT run_id, round(cost, 6) AS cost FROM paid WHERE cost > 0 AND coalesce(total, 0) + coalesce(o, 0) = 0",
     "a_spend_by_phase": f"WITH {_PRICED} SELECT phase, round(sum(cost), 9) AS spend, count(*) AS calls FROM priced GROUP BY phase",
     "a_spend_by_day": f"WITH {_PRICED}, x AS (SELECT ts::DATE AS day, sum(cost) AS spend FROM priced GROUP BY 1) SELECT day, round(spend, 6) AS spend, round(sum(spend) OVER (ORDER BY day), 6) AS running FROM x",

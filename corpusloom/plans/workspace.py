@@ -233,7 +233,7 @@ def src_sitemap(s, d):
 def m_grounding(s, d):
     """Verdicts with a quote of the text in other marks and case, or with one that is not in it."""
     k = F.col("doc_id")
-    quote = F.when(k % 4 == 0, "Never Said 0").otherwise(F.concat(F.lit(" "), F.upper(F.substring("text", 3, 12)), F.lit(" ")))
+    quote = F.when(k % 4 == 0, "Never Said 0").otherwise(F.concat(F.lit(" "), F.lower(F.substring("text", 3, 12)), F.lit(" ")))
     text = table(s, d, "documents").select("doc_id", "text")
     return review.grounding(ev.a_(s, d).join(text, "doc_id").select(
         "keep", "score", F.array(quote, F.lit(" ")).alias("evidence"), F.when(k % 6 == 0, F.array(F.lit("footer"))).when(k % 6 == 1, F.array(F.lit("title"))).when(k % 6 != 2, F.array(F.lit("body"))).alias("where_hit"),
@@ -416,7 +416,8 @@ ORACLE_SQL = {
     "src_scope_list": f"WITH {CONTENT}, u AS (SELECT DISTINCT doc_id % 7 AS scope, url FROM ({_CORPUS['d_canonical_url']}) WHERE url IS NOT NULL) SELECT scope, count(*) AS urls, count(*) FILTER (url IN (SELECT url FROM typed WHERE usable)) AS usable FROM u GROUP BY scope",
     "snk_augmented_export": f"WITH {_HITS} SELECT url, source, es_score FROM cmp",
     "src_sitemap": "SELECT 'https://www.example.org/o/' || o_orderkey AS loc, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS VARCHAR) END AS lastmod FROM orders",
-    "m_grounding": f"""WITH {ev._A}, x AS (SELECT keep, score, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body, lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))) AS title, CASE WHEN doc_id % 4 = 0 THEN 'never said 0' ELSE lower(trim(regexp_replace(upper(substr(text, 3, 12)), '\\s+', ' ', 'g'))) END AS q FROM va JOIN documents USING (doc_id)),
+    "g_strata": f"WITH {GOLD} SELECT doc_id % 3 || ' / -' AS stratum, count(*) FILTER (label = 'in') AS \"in\", count(*) FILTER (label = 'out') AS out, count(*) FILTER (label = 'borderline') AS borderline, round(avg((label = 'borderline')::INT), 9) AS share_borderline FROM gold GROUP BY 1",
+    "m_grounding": f"""WITH {ev._A}, x AS (SELECT keep, score, doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body, lower(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'))) AS title, CASE WHEN doc_id % 4 = 0 THEN 'never said 0' ELSE lower(trim(regexp_replace(lower(substr(text, 3, 12)), '\\s+', ' ', 'g'))) END AS q FROM va JOIN documents USING (doc_id)),
       y AS (SELECT *, (contains(body, q) AND body <> '') OR (contains(title, q) AND title <> '') AS said, doc_id % 14 AS w FROM x),
       c AS (SELECT unnest([{{'name': 'G1_parsed', 'ok': keep IS NOT NULL}}, {{'name': 'G2_keep_matches_score', 'ok': CASE WHEN keep IS NOT NULL THEN (keep = 1) = (score > 0) END}}, {{'name': 'G3_evidence_verbatim', 'ok': CASE WHEN keep = 1 THEN q <> '' AND said END}},
         {{'name': 'G4_where_valid', 'ok': CASE WHEN keep = 1 THEN CASE doc_id % 6 WHEN 0 THEN false WHEN 2 THEN false WHEN 1 THEN contains(title, q) ELSE contains(body, q) END END}}, {{'name': 'G5_topic_sane', 'ok': CASE WHEN keep IS NOT NULL THEN doc_id % 5 <> 0 AND w < 10 AND (doc_id % 3 <> 0 OR w = 0) END}},
