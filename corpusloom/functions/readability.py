@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,9 +57,9 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SENTENCE)))
 
 
-def grade(text: Column) -> Column:
-    """Flesch-Kincaid grade to one place; null under ten words."""
-    found = words(text)
+def grade(text: Column, found: Column | None = None) -> Column:
+    """Flesch-Kincaid grade to one place; null under ten words. ``found`` is a column with the text's ``words``, where one has been made."""
+    found = words(text) if found is None else found
     n = F.size(found)
     spoken = F.aggregate(found, F.lit(0), lambda total, w: total + syllables(w))
     return F.when(n >= 10, F.round(0.39 * n / sentence_count(text) + 11.8 * spoken / n - 15.59, 1))
@@ -76,20 +78,32 @@ def _among(words_of: Column, some: list[str]) -> Column:
     return F.filter(words_of, lambda w: w.isin(some))
 
 
-def issue_counts(text: Column) -> dict[str, Column]:
+def listed_words(text: Column) -> Column:
+    """The words of a text that any class lists, in order, lower-case."""
+    every = sorted({t for terms in SINGLE.values() for t in terms})
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.isin(every))
+
+
+def _phrase_count(low: Column, phrases: list[str]) -> Column:
+    """Occurrences of phrases as whole words; the pattern is tried only where one stands in the text at all."""
+    there = reduce(lambda a, b: a | b, map(low.contains, phrases))
+    return F.when(there, F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(phrases)})(?![\p{{L}}\p{{N}}_])"))).otherwise(0)
+
+
+def issue_counts(text: Column, listed: Column | None = None) -> dict[str, Column]:
     """Occurrences of each class; whole words between other characters than letters, digits and _, longer terms first, without case.
 
-    The text is cut into words once, and those that any class lists are kept; what the classes
-    count of them is read from these few. Only phrases are looked for by pattern.
+    Single words are counted in ``listed_words``, phrases are looked for by pattern. ``listed`` is a
+    column that holds these words already: made in a step before, the text is cut into words once
+    and not for every class.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    every = sorted({t for terms in SINGLE.values() for t in terms})
-    marked = F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)), lambda w: w.isin(every))
+    marked = listed_words(text) if listed is None else listed
     out = {}
     for name, (_, terms) in ISSUES.items():
         single, phrases = SINGLE[name], sorted(set(terms) - set(SINGLE[name]), key=lambda t: (-len(t), t))
         words_of = F.size(_among(marked, single)) if single else F.lit(0)
-        out[name] = words_of + F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(phrases)})(?![\p{{L}}\p{{N}}_])")) if phrases else words_of
+        out[name] = words_of + _phrase_count(low, phrases) if phrases else words_of
     out["long_sentences"] = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE, -1), lambda s: F.regexp_count(s, F.lit(WORD)) > LONG_SENTENCE))
     return out
 

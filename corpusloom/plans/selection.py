@@ -37,11 +37,13 @@ def a_org_breakdown(s, d):
 
 def rated(pages):
     """Pages with their stored readability: reading age, number and text of issues, stars."""
-    counts = readability.issue_counts(F.col("search_text"))
-    text, total = readability.findings(counts)
+    counts = COUNTS()
+    counted = worded(pages).withColumns({f"n_{k}": c for k, c in counts.items()} | {"n_words": F.size(readability.words(F.col("search_text")))})
+    held = {k: F.col(f"n_{k}") for k in counts}
+    text, total = readability.findings(held)
     age = readability.reading_age(readability.grade(F.col("search_text")))
-    n_words = F.size(readability.words(F.col("search_text")))
-    return pages.withColumns({"reading_age": age, "gds_english_score": total, "gds_findings": text, "gds_stars": readability.stars(readability.impact(counts), n_words), "computed_at": F.col("last_seen_at")})
+    made = counted.withColumns({"reading_age": age, "gds_english_score": total, "gds_findings": text, "gds_stars": readability.stars(readability.impact(held), F.col("n_words")), "computed_at": F.col("last_seen_at")})
+    return made.drop("listed", "n_words", *[f"n_{k}" for k in counts])
 
 
 FIELDS = [
@@ -71,13 +73,22 @@ def a_audit_counts(s, d):
 
 
 def r_reading_age(s, d):
-    g = readability.grade(F.col("search_text"))
-    return content(s, d).select("doc_id", F.size(readability.words(F.col("search_text"))).alias("n_words"), readability.sentence_count(F.col("search_text")).alias("n_sentences"), g.alias("grade"), readability.reading_age(g).alias("age"))
+    found = content(s, d).select("doc_id", "search_text", readability.words(F.col("search_text")).alias("words"))
+    graded = found.select("doc_id", F.size("words").alias("n_words"), readability.sentence_count(F.col("search_text")).alias("n_sentences"), readability.grade(F.col("search_text"), F.col("words")).alias("grade"))
+    return graded.withColumn("age", readability.reading_age(F.col("grade")))
+
+
+def worded(pages):
+    """Pages with the words that the issue classes list, cut out once."""
+    return pages.withColumn("listed", readability.listed_words(F.col("search_text")))
+
+
+COUNTS = lambda: readability.issue_counts(F.col("search_text"), F.col("listed"))
 
 
 def r_checks(s, d):
-    counts = readability.issue_counts(F.col("search_text"))
-    rows = content(s, d).select("doc_id", F.size(readability.words(F.col("search_text"))).alias("n_words"), *[c.alias(k) for k, c in counts.items()])
+    counts = COUNTS()
+    rows = worded(content(s, d)).select("doc_id", F.size(readability.words(F.col("search_text"))).alias("n_words"), *[c.alias(k) for k, c in counts.items()])
     impact = readability.impact({k: F.col(k) for k in counts})
     return rows.select("*", F.round(impact, 6).alias("impact"), readability.stars(impact, F.col("n_words")).alias("stars"))
 
@@ -93,8 +104,8 @@ def r_syllables(s, d):
 
 
 def a_top_classes(s, d):
-    counts = readability.issue_counts(F.col("search_text"))
-    scanned = _usable(s, d).select("url", F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), c)]).alias("counts"))
+    counts = COUNTS()
+    scanned = worded(_usable(s, d)).select("url", F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), c)]).alias("counts"))
     weights = {k: w for k, (w, _) in readability.ISSUES.items()} | {"long_sentences": readability.LONG_WEIGHT}
     out = reports.top_classes(scanned, weights)
     return out.select("issue", F.col("n").cast("long").alias("n"), F.round("impact", 4).alias("impact"), "sampled")

@@ -15,7 +15,7 @@ from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
 from corpusloom.plans.exchange import shared_tables
 from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, organisations, table, votes
 from corpusloom.plans.roles import gold as gold_labels
-from corpusloom.plans.selection import _BASE, _ORG, _TYPE, _WEIGHTS, ORG, TYPE, WORDS
+from corpusloom.plans.selection import _BASE, _ORG, _TYPE, _WEIGHTS, COUNTS, ORG, TYPE, WORDS, worded
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
 from corpusloom.plans.selection import QUERIES as _SELECTION
 from corpusloom.plans.selection import _short as chosen
@@ -118,15 +118,16 @@ def a_additions_review(s, d):
 
 
 def r_findings(s, d):
-    counts = readability.issue_counts(F.col("search_text"))
-    text, total = readability.findings(counts)
-    return content(s, d).select("doc_id", text.alias("findings"), total.alias("total"))
+    counts = COUNTS()
+    rows = worded(content(s, d)).select("doc_id", *[c.alias(k) for k, c in counts.items()])
+    text, total = readability.findings({k: F.col(k) for k in counts})
+    return rows.select("doc_id", text.alias("findings"), total.alias("total"))
 
 
 def r_rederive(s, d):
     """Counts are stored as JSON and read again without the text."""
-    counts = readability.issue_counts(F.col("search_text"))
-    stored = content(s, d).select("doc_id", F.to_json(F.struct(F.size(readability.words(F.col("search_text"))).alias("n_words"), *[c.alias(k) for k, c in counts.items()])).alias("checks"))
+    counts = COUNTS()
+    stored = worded(content(s, d)).select("doc_id", F.to_json(F.struct(F.size(readability.words(F.col("search_text"))).alias("n_words"), *[c.alias(k) for k, c in counts.items()])).alias("checks"))
     kept = stored.select("doc_id", F.from_json("checks", "n_words int, " + ", ".join(f"{k} int" for k in counts)).alias("c"))
     impact = readability.impact({k: F.col(f"c.{k}") for k in counts})
     return kept.select("doc_id", F.round(impact, 6).alias("impact"), readability.stars(impact, F.col("c.n_words")).alias("stars"))
