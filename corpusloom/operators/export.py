@@ -23,9 +23,9 @@ def fields(asof: str) -> dict[str, Column]:
         "primary_org": F.col("primary_org"),
         "size": F.octet_length("search_text").cast("long"),
         "readability": F.col("reading_age"),
-        "gds_issues": F.col("gds_english_score"),
-        "gds_findings": F.col("gds_findings"),
-        "gds_stars": F.col("gds_stars"),
+        "english_issues": F.col("english_score"),
+        "english_findings": F.col("english_findings"),
+        "english_stars": F.col("english_stars"),
         "last_update_band": freshness_band(F.col("public_updated_at"), asof),
     }
     return made | {name: F.col(name) for name in own}

@@ -69,7 +69,7 @@ def stage_stats(pages: DataFrame, asof: str) -> DataFrame:
     band = freshness_band(F.col("public_updated_at"), asof)
     names = {"< 1 month": "lt_1m", "1-3 months": "m1_3", "3 months-1 year": "m3_12", "1-2 years": "y1_2", "> 2 years": "gt_2y", "Unknown": "unknown"}
     buckets = [F.sum((band == label).cast("int")).alias(name) for label, name in names.items()]
-    return pages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("search_text")).alias("mean_size"), F.avg("reading_age").alias("mean_age"), F.avg("gds_english_score").alias("mean_issues"), F.avg("gds_stars").alias("mean_stars"), *buckets)
+    return pages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.octet_length("search_text")).alias("mean_size"), F.avg("reading_age").alias("mean_age"), F.avg("english_score").alias("mean_issues"), F.avg("english_stars").alias("mean_stars"), *buckets)
 
 
 def top_classes(scanned: DataFrame, weights: dict[str, float], sample: int = 25_000) -> DataFrame:

@@ -42,12 +42,12 @@ def rated(pages):
     held = {k: F.col(f"n_{k}") for k in counts}
     text, total = readability.findings(held)
     age = readability.reading_age(readability.grade(F.col("search_text")))
-    made = counted.withColumns({"reading_age": age, "gds_english_score": total, "gds_findings": text, "gds_stars": readability.stars(readability.impact(held), F.col("n_words")), "computed_at": F.col("last_seen_at")})
+    made = counted.withColumns({"reading_age": age, "english_score": total, "english_findings": text, "english_stars": readability.stars(readability.impact(held), F.col("n_words")), "computed_at": F.col("last_seen_at")})
     return made.drop("listed", "n_words", *[f"n_{k}" for k in counts])
 
 
 FIELDS = [
-    *("title", "document_type", "effective_document_type", "parent_document_type", "organisations", "nonsense", "url", "primary_org", "size", "readability", "gds_issues", "gds_findings", "gds_stars", "source", "last_seen_at"),
+    *("title", "document_type", "effective_document_type", "parent_document_type", "organisations", "nonsense", "url", "primary_org", "size", "readability", "english_issues", "english_findings", "english_stars", "source", "last_seen_at"),
     *("search_text", "content", "first_published_at", "public_updated_at", "last_update_band", "view_count", "view_count_source", "view_count_updated"),
 ]
 
@@ -64,7 +64,7 @@ def f_url_check(s, d):
 
 def a_category_summary(s, d):
     pages = rated(filters.one_row(_short(s, d))).join(export.page_organisations(organisations(s, d)), "url", "left")
-    dimensions = {"type": filters.effective_type(), "organisation": F.col("primary_org"), "band": bands.freshness_band(F.col("public_updated_at"), ASOF), "reading": bands.reading_band(F.col("reading_age")), "stars": F.col("gds_stars")}
+    dimensions = {"type": filters.effective_type(), "organisation": F.col("primary_org"), "band": bands.freshness_band(F.col("public_updated_at"), ASOF), "reading": bands.reading_band(F.col("reading_age")), "stars": F.col("english_stars")}
     return reports.category_summary(pages, dimensions).withColumn("mean_age", F.round("mean_age", 6))
 
 
@@ -185,7 +185,7 @@ ORACLE_SQL = {
     "f_membership": f"{_BASE} SELECT key AS content_id, min(url) AS url FROM short GROUP BY key",
     "f_membership_hits": f"{_BASE} SELECT key AS content_id, min(url) AS url, concat_ws(',', CASE WHEN bool_or(contains(kwt, 'thand')) THEN 'thand' END, CASE WHEN bool_or(contains(kwt, 'stupid')) THEN 'stupid' END, CASE WHEN bool_or(contains(kwt, 'elle')) THEN 'elle' END) AS hits FROM short GROUP BY key",
     "f_canonical_alias": f"WITH {CONTENT} SELECT content_id, url FROM (SELECT *, row_number() OVER (PARTITION BY content_id ORDER BY length(url), url) AS n FROM typed WHERE usable) WHERE n = 1",
-    "f_project_fields": f"""{_BASE}, {_ONE}, {_RATED.format(src="one")}, {_AGG} SELECT r.url, title, document_type, eff AS effective_document_type, parent_document_type, organisations, primary_org, CAST(strlen(search_text) AS BIGINT) AS size, reading_age AS readability, CAST(total AS INTEGER) AS gds_issues, findings AS gds_findings, stars AS gds_stars, source,
+    "f_project_fields": f"""{_BASE}, {_ONE}, {_RATED.format(src="one")}, {_AGG} SELECT r.url, title, document_type, eff AS effective_document_type, parent_document_type, organisations, primary_org, CAST(strlen(search_text) AS BIGINT) AS size, reading_age AS readability, CAST(total AS INTEGER) AS english_issues, findings AS english_findings, stars AS english_stars, source,
       strftime(DATE '2026-09-15' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' AS last_seen_at, search_text, '{{"id":' || doc_id || '}}' AS content, CASE WHEN doc_id % 4 <> 0 THEN strftime(DATE '2026-09-15' - CAST(doc_id % 900 AS INTEGER), '%Y-%m-%d') || 'T00:00:00Z' END AS first_published_at, public_updated_at, {_BAND} AS last_update_band,
       CASE WHEN doc_id % 3 = 0 THEN doc_id * 2 END AS view_count, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'page' ELSE 'parent' END END AS view_count_source, CASE WHEN doc_id % 3 = 0 THEN '2026-09-15' END AS view_count_updated FROM rated r LEFT JOIN agg USING (url)""",
     "f_title_search": f"WITH {CONTENT} SELECT url, title FROM typed WHERE usable AND contains(lower(title), 'that')",

@@ -44,7 +44,7 @@ def test_payload_date(spark, raw, want):
 @pytest.mark.parametrize(
     "raw, want",
     [
-        ("Guidance from DEFRA and APHA about IPAFFS step-by-step", None), ("", None), (None, None), ("owner is jane.doe@defra.example.org please", ("personal_data", "an email address (j•••@d•••)")),
+        ("Guidance from the agency and its office about forms step-by-step", None), ("", None), (None, None), ("owner is jane.doe@dept.example.org please", ("personal_data", "an email address (j•••@d•••)")),
         ("call me on 07123 456789", ("personal_data", "a phone number (•••89)")), ("+44 7123 456 789.", ("personal_data", "a phone number (•••89)")), ("ref x07123456789", None), ("this is Shit guidance", ("prohibited_language", "language that is not permitted")),
         ("Guidance on the assassination inquiry and shitake mushrooms", None), ("mention of a Widget.", ("prohibited_language", "language that is not permitted")), ("widgets", None),
     ],
@@ -91,10 +91,10 @@ def test_footprint(spark):
 
 
 def test_forest(spark):
-    edges = spark.createDataFrame([("moj", "hmcts"), ("hmcts", "et"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "x"), ("small", "et")], "parent string, child string")
-    counts = spark.createDataFrame([("moj", 4), ("et", 2), ("hmcts", 1)], "slug string, pages long")
+    edges = spark.createDataFrame([("justice", "courts"), ("courts", "tribunal"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "x"), ("small", "tribunal")], "parent string, child string")
+    counts = spark.createDataFrame([("justice", 4), ("tribunal", 2), ("courts", 1)], "slug string, pages long")
     got = {r.slug: (r.parent, r.depth, r.pages) for r in hierarchy.forest(edges, counts).collect()}
-    assert got["et"] == ("hmcts", 2, 2) and got["moj"] == (None, 0, 4) and got["small"] == (None, 0, 0) and got["x"] == (None, 0, 0)
+    assert got["tribunal"] == ("courts", 2, 2) and got["justice"] == (None, 0, 4) and got["small"] == (None, 0, 0) and got["x"] == (None, 0, 0)
     assert [got[k][:2] for k in "abcde"] == [(None, 0)] * 3 + [("c", 1), ("d", 2)]
     assert hierarchy.forest(edges.limit(0), counts).count() == 0
 
@@ -160,7 +160,7 @@ def test_sheet_errors(spark):
 
 
 def test_stage_means(spark):
-    pages = spark.createDataFrame([("aa", "", 9.0, 2, 5), ("b", None, None, 4, None)], "search_text string, public_updated_at string, reading_age double, gds_english_score int, gds_stars int")
+    pages = spark.createDataFrame([("aa", "", 9.0, 2, 5), ("b", None, None, 4, None)], "search_text string, public_updated_at string, reading_age double, english_score int, english_stars int")
     row = reports.stage_stats(pages, "2026-09-15").first()
     assert (row.n, row.mean_size, row.mean_age, row.mean_issues, row.mean_stars, row.unknown) == (2, 1.5, 9.0, 3.0, 5.0, 2)
 
@@ -194,11 +194,11 @@ def test_suggestions(spark):
     types = spark.createDataFrame([("guidance",), ("policy_paper",), ("case_study",)], "slug string")
     got = {(r.id, r.slug, r["rank"]) for r in workspace.suggest_types(ask("guidances", "some policies", "Cases", None, "stats and press"), types).collect()}
     assert got == {(0, "guidance", 0), (1, "policy_paper", 0), (2, "case_study", 0), (4, "statistics", 1), (4, "press_release", 1)}
-    orgs = spark.createDataFrame([("environment-agency", "Environment Agency", "EA"), ("natural-england", "Natural England", None), ("defra", "Environment, Food and Rural Affairs", "DEFRA")], "slug string, title string, acronym string")
+    orgs = spark.createDataFrame([("river-agency", "River Agency", "RA"), ("wild-north", "Wild North", None), ("fields", "River, Food and Rural Affairs", "FIELDS")], "slug string, title string, acronym string")
     found = {r.id: [] for r in ask("", "", "", "").collect()}
-    for r in workspace.suggest_organisations(ask("EA office", "the environment agency", "natural, rural", "agency"), orgs).orderBy("id", "rank").collect():
+    for r in workspace.suggest_organisations(ask("RA office", "the river agency", "wild, rural", "agency"), orgs).orderBy("id", "rank").collect():
         found[r.id].append(r.slug)
-    assert found == {0: ["environment-agency"], 1: ["defra", "environment-agency"], 2: ["natural-england", "defra"], 3: []}
+    assert found == {0: ["river-agency"], 1: ["fields", "river-agency"], 2: ["wild-north", "fields"], 3: []}
     saved = spark.createDataFrame([(1, "guidance, guidances", "")], "id int, types string, orgs string")
     assert [tuple(r) for r in workspace.unknown_entries(saved, "types", types, lambda a: workspace.suggest_types(a, types)).collect()] == [(1, "guidances", "guidance")]
     assert workspace.unknown_entries(saved, "types", types.limit(0), lambda a: workspace.suggest_types(a, types)).count() == 0
