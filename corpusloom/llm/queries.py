@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontamination, exact_dedup, jaccard_join, language, line_dedup, packing, pii, quality, toxicity, url_filter
+from corpusloom.llm import alignment, collocations, decontamination, embedding_dedup, exact_dedup, jaccard_join, language, line_dedup, packing, pii, quality, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.score_links(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_semi_markov_crf, op2_toxicity_classifier_chain, op3_url_redirect_equivalence, op4_language_by_compression, op5_ngram_jaccard_join, op6_exact_dedup_digest_index, op7_cost_balanced_packing, op8_line_dedup_windows, op9_quality_factorisation_machine, op10_benchmark_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_pii_semi_markov_crf, op2_toxicity_classifier_chain, op3_url_redirect_equivalence, op4_language_by_compression, op5_ngram_jaccard_join, op6_exact_dedup_digest_index, op7_cost_balanced_packing, op8_line_dedup_windows, op9_quality_factorisation_machine, op10_benchmark_decontamination, op11_cross_tokenizer_alignment, op12_embedding_collision_counting, op13_phrase_collocations, pipeline)}
 
 ORACLE_SQL = {
     "op3_url_redirect_equivalence": r"""
@@ -103,4 +115,33 @@ lost AS (SELECT doc_id, list_sort(list(pos)) AS removed FROM gone GROUP BY doc_i
 SELECT d.doc_id, len(l) AS n_lines, len(coalesce(removed, [])) AS n_removed, array_to_string(coalesce(removed, []), ',') AS removed,
   sha256(array_to_string([l[i + 1] for i in range(0, len(l)) if NOT list_contains(coalesce(removed, []), i)], chr(10))) AS text_sha256
 FROM docs d LEFT JOIN lost USING (doc_id)""",
+    "op12_embedding_collision_counting": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE coalesce(len(embedding), 0) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+firsts AS (SELECT a, min(b) AS c FROM reached GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM embeddings JOIN firsts ON firsts.a = vec_id LEFT JOIN counted ON counted.a = vec_id""",
+    "op13_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+cut AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+grams AS (SELECT lang, w[i:i + d - 1] AS g FROM places, (SELECT unnest([1, 2, 3, 4, 5]) AS d) WHERE i + d - 1 <= len(w)),
+f AS (SELECT lang, g, count(*) AS c FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, sum(c)::HUGEINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+candidates AS (SELECT lang, g, c AS a FROM f WHERE len(g) > 1 AND c >= 100),
+inner_ones AS (
+  SELECT DISTINCT lang, g[s:s + d - 1] AS g, a FROM candidates, (SELECT unnest([1, 2, 3, 4]) AS s), (SELECT unnest([2, 3, 4]) AS d)
+  WHERE d < len(g) AND s + d - 1 <= len(g)),
+left_over AS (SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = c.lang AND i.g = c.g AND 100 * i.a >= 100 * c.a)),
+cuts AS (
+  SELECT x.lang, x.g, x.a, k, l.c AS l, r.c AS r, n, (1000::HUGEINT * x.a * n) // (l.c::HUGEINT * r.c) AS score
+  FROM left_over x JOIN (SELECT unnest([1, 2, 3, 4]) AS k) ON k < len(x.g) JOIN f l ON l.lang = x.lang AND l.g = x.g[1:k] JOIN f r ON r.lang = x.lang AND r.g = x.g[k + 1:len(x.g)] JOIN totals t ON t.lang = x.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM cuts),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM best WHERE o = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000""",
 }
