@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.replies import let
 from corpusloom.functions.urls import canonical_url, content_hash
 from corpusloom.sources.scratch import cut
 
@@ -89,9 +90,16 @@ def body_links(blobs: Column, domain: str = "example.org", limit: int = 500) ->
     trimmed = F.transform(pairs, lambda p: F.struct(F.trim(p["href"]).alias("href"), F.trim(F.regexp_replace(p["text"], "<[^>]+>", "")).alias("text")))
     good = F.filter(trimmed, lambda p: ~p["href"].rlike(r"(?i)^(?:$|[#?]|mailto:|tel:|javascript:)"))
     whole = F.transform(good, lambda p: F.struct(F.when(p["href"].startswith("/"), F.concat(F.lit(f"https://www.{domain}"), p["href"])).otherwise(p["href"]).alias("href"), p["text"].alias("text")))
-    first = F.filter(whole, lambda p, i: F.array_position(F.transform(whole, lambda q: q["href"]), p["href"]) == i + 1)
     foreign = r"(?i)^https?://(www\.)?" + domain.replace(".", r"\.")
-    return F.transform(F.slice(first, 1, limit), lambda p: F.struct(p["href"].alias("href"), F.substring(F.coalesce(F.nullif(p["text"], F.lit("")), p["href"]), 1, 200).alias("text"), (~p["href"].rlike(foreign)).alias("external")))
+    shown = lambda p: F.struct(p["href"].alias("href"), F.substring(F.coalesce(F.nullif(p["text"], F.lit("")), p["href"]), 1, 200).alias("text"), (~p["href"].rlike(foreign)).alias("external"))
+    return F.transform(F.slice(let(whole, _first_of_each), 1, limit), shown)
+
+
+def _first_of_each(links: Column) -> Column:
+    """Of links to one target the first, in order: sorted by target and place, equal targets stand side by side."""
+    keyed = F.array_sort(F.transform(links, lambda p, i: F.struct(p["href"].alias("href"), i.alias("at"), p["text"].alias("text"))))
+    first = lambda all_: F.filter(all_, lambda p, i: (i == 0) | (F.try_element_at(all_, F.greatest(i, F.lit(1)))["href"] != p["href"]))
+    return F.array_sort(F.transform(let(keyed, first), lambda p: F.struct(p["at"].alias("at"), p["href"].alias("href"), p["text"].alias("text"))))
 
 
 def scrub(text: Column, names: Column, marker: str = "[organisation]") -> Column:
@@ -111,17 +119,24 @@ def parent_type(payload: Column) -> Column:
     return first_filled(F.get_json_object(payload, "$.links.parent[0].document_type"), F.get_json_object(payload, "$.links.parent.document_type"))
 
 
-def extract_fields(payload: Column) -> list[Column]:
-    """Scalar fields of a payload; all null for bad JSON."""
+def extract_fields(payload: Column, domain: str = "example.org") -> list[Column]:
+    """Scalar fields of a payload; texts that are missing are empty, the content id and the destination null.
+
+    A page is a redirect by its document type or its schema's name; its destination is that of the
+    first redirect, canonical on ``domain``, null if it is foreign. An empty notice does not count
+    as withdrawn. Bad JSON gives the fields of an empty payload.
+    """
     get = lambda path: F.get_json_object(payload, path)
+    text = lambda key: F.coalesce(get(f"$.{key}"), F.lit(""))
+    to = get("$.redirects[0].destination")
+    absolute = canonical_url(F.when(to.startswith("/"), F.concat(F.lit(f"https://www.{domain}"), to)).otherwise(to), domain)
+    noticed = ~F.coalesce(get("$.withdrawn_notice"), F.lit("")).isin("", "{}", "[]", "false", "0")
     return [
-        get("$.content_id").alias("content_id"),
-        get("$.document_type").alias("document_type"),
-        get("$.title").alias("title"),
-        first_filled(get("$.public_updated_at"), get("$.updated_at"), get("$.first_published_at")).alias("updated_at"),
-        get("$.withdrawn_notice").isNotNull().alias("withdrawn"),
-        (get("$.document_type") == "redirect").alias("is_redirect"),
-        get("$.redirects[0].destination").alias("destination"),
+        F.nullif(get("$.content_id"), F.lit("")).alias("content_id"),
+        *[text(k).alias(k) for k in ("document_type", "schema_name", "title", "description", "first_published_at", "public_updated_at")],
+        noticed.alias("withdrawn"),
+        ((text("document_type") == "redirect") | (text("schema_name") == "redirect")).alias("is_redirect"),
+        absolute.alias("destination"),
     ]
 
 

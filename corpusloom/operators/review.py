@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 from corpusloom.functions.bands import confidence
 from corpusloom.functions.urls import canonical_url
-from corpusloom.operators.runs import template_hash
+from corpusloom.operators.runs import latest_exclusions, latest_runs, template_hash
 from corpusloom.operators.workspace import entries
 
 
@@ -26,19 +26,6 @@ def score_pages(pages: DataFrame, words: list[str]) -> DataFrame:
     return pages.select("url", (found > 0).cast("int").alias("keep"), (found / len(words)).alias("score"))
 
 
-def exclusion_reason(reply: Column) -> Column:
-    """The reason of a reply, with the hit in brackets before it unless that is none."""
-    hit, reason = F.get_json_object(reply, "$.hit"), F.coalesce(F.get_json_object(reply, "$.reason"), F.lit(""))
-    return F.when(F.coalesce(hit, F.lit("none")) != "none", F.concat(F.lit("["), hit, F.lit("] "), reason)).otherwise(reason)
-
-
-def exclusion_label(reason: Column) -> tuple[Column, Column]:
-    """Label and text of a stored reason; the label is empty if there is none."""
-    form = r"(?s)^\[([^\]]+)\] ?(.*)$"
-    label = F.regexp_extract(reason, form, 1)
-    return label.alias("label"), F.when(label != "", F.regexp_extract(reason, form, 2)).otherwise(reason).alias("text")
-
-
 def outcomes(totals: DataFrame, asked: DataFrame) -> DataFrame:
     """``run_id, kind, note``: failed (over half unparsed), complete, or incomplete, with the sum that shows it."""
     met = totals.join(asked, "run_id")
@@ -53,8 +40,8 @@ def _phases(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def end_to_end(first: DataFrame, second: DataFrame) -> DataFrame:
-    """``url, keep`` of two phases: dropped by either is 0, unparsed by either is null, unseen by the second keeps the first's."""
-    keep = F.when(F.col("keep") == 1, F.when(F.col("seen"), F.col("again")).otherwise(1)).otherwise(F.col("keep"))
+    """``url, keep`` of two phases: 1 if the first kept it and the second kept it or hasn't seen it, 0 if the second did anything else with it; else the first's verdict, null if unparsed."""
+    keep = F.when(F.col("keep") == 1, F.when(F.col("seen"), F.coalesce(F.col("again") == 1, F.lit(False)).cast("int")).otherwise(1)).otherwise(F.col("keep"))
     return _phases(first, second).select("url", keep.alias("keep"))
 
 
@@ -80,9 +67,25 @@ def left_at(keep: Column, seen: Column, again: Column) -> Column:
     return F.when(keep.isNull(), "p1_unparsed").when(keep == 0, "p1_drop").when(seen.isNull(), "kept").when(again.isNull(), "p2_unparsed").when(again == 1, "kept").otherwise("p2_drop")
 
 
-def verdict_label(keep: Column) -> Column:
-    """The label that a verdict stands for; null for an unparsed one."""
-    return F.when(keep == 1, "in").when(keep == 0, "out")
+def stage_outcome(stage: Column) -> Column:
+    """Whether a page that left a chain at ``stage`` is in its final list; null where a verdict is missing."""
+    return F.when(stage == "kept", True).when(stage.isin("p1_drop", "p2_drop"), False)
+
+
+def label_of_verdict(stage: Column, verdict: Column) -> Column:
+    """The label that a judgement of a run stands for: correct, wrong or borderline, on a page that left at ``stage``.
+
+    A correct keep and a wrong drop are in, the others out; null for other judgements, and for
+    correct and wrong where the page has no outcome.
+    """
+    right = F.when(verdict == "correct", stage_outcome(stage)).when(verdict == "wrong", ~stage_outcome(stage))
+    return F.when(verdict == "borderline", "borderline").when(right, "in").when(~right, "out")
+
+
+def verdict_of_label(stage: Column, label: Column) -> Column:
+    """The inverse: how a label reads against the page's outcome; null for an empty label or no outcome."""
+    agrees = (label == "in") == stage_outcome(stage)
+    return F.when(label == "borderline", "borderline").when(F.coalesce(label, F.lit("")) == "", None).when(agrees, "correct").when(~agrees, "wrong")
 
 
 def run_pages(first: DataFrame, second: DataFrame, labels: DataFrame, votes: DataFrame) -> DataFrame:
@@ -140,10 +143,19 @@ def second_phase_bands(pages: DataFrame) -> DataFrame:
     return every.join(found, "band", "left").na.fill(0)
 
 
-def latest_verdicts(results: DataFrame) -> DataFrame:
-    """The newest run's verdict of each url; a null verdict counts."""
-    last = results.groupBy("url").agg(F.max(F.struct("run_id", "keep")).alias("v"))
-    return last.select("url", "v.run_id", "v.keep")
+def latest_verdicts(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """``category_id, url, current_score, p1_keep, p1_reason, primary_topic, p2_keep`` of each category's newest inclusion run.
+
+    ``p2_keep`` is that of the newest exclusion run built on it; null without one, or where that has
+    not seen the page. Reason and topic are empty where they are missing. Runs of other ages play
+    no part; ties go to the larger id.
+    """
+    first = latest_runs(runs.where("phase = 'inclusion'")).select("category_id", "run_id")
+    second = latest_exclusions(runs).select(F.col("source_run_id").alias("run_id"), F.col("run_id").alias("second_id"))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = first.join(second, "run_id", "left").join(results.select("run_id", "url", "score", "keep", some("reason"), some("primary_topic")), "run_id")
+    again = results.select(F.col("run_id").alias("second_id"), "url", F.col("keep").alias("p2_keep"))
+    return rows.join(again, ["second_id", "url"], "left").select("category_id", "url", F.col("score").alias("current_score"), F.col("keep").alias("p1_keep"), F.col("reason").alias("p1_reason"), "primary_topic", "p2_keep")
 
 
 def seed_labels(lists: DataFrame, domain: str = "example.org") -> DataFrame:

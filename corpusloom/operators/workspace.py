@@ -61,6 +61,9 @@ SYNONYMS = {
 }
 # Words that say nothing about which organisation is meant.
 COMMON = (
+    "the", "of", "and", "for", "a", "an", "to", "in", "on", "with", "from", "that", "this",
+    "have", "has", "you", "your", "our", "all", "any", "pages", "page", "step", "steps",
+    "guide", "guides", "related", "about", "publish", "published", "document", "documents",
     "agency", "agencies", "department", "departments", "office", "offices", "service",
     "services", "authority", "board", "committee", "council", "team", "group", "unit",
 )

@@ -57,6 +57,14 @@ def payloads(s, d):
     return table(s, d, "documents").select("doc_id", F.when(k % 13 == 0, "{broken").otherwise(body).alias("payload"))
 
 
+def full_payloads(s, d):
+    """The payloads with a schema, a description, notices (some empty) and redirects, some of them foreign or empty."""
+    k = F.col("doc_id")
+    to = F.element_at(F.array(*map(F.lit, ("/d/7/?q=1", "https://example.org/d/8/", "https://elsewhere.example/x", ""))), (k % 4 + 1).cast("int"))
+    more = F.format_string('{"schema_name":"%s",%s%s%s"content_id"', F.when(k % 7 == 0, "redirect").otherwise("page"), F.when(k % 5 != 0, F.format_string('"description":"d%d",', k)).otherwise(""), F.when(k % 6 == 0, '"withdrawn_notice":{},').when(k % 6 == 3, '"withdrawn_notice":{"explanation":"x"},').otherwise(""), F.when(k % 9 < 5, F.format_string('"redirects":[{"destination":"%s"},{"destination":"/d/9"}],', to)).otherwise(""))
+    return payloads(s, d).select("doc_id", F.regexp_replace("payload", F.lit(r'^\{"content_id"'), more).alias("payload"))
+
+
 def redirected(s, d):
     """Fetched pages: redirects along halved keys, of which some end in nothing, in circles, abroad, or in errors."""
     k = F.col("c_custkey")
@@ -165,7 +173,7 @@ QUERIES = {
     "d_sitemap_upsert": lambda s, d: ingest.frontier_classes(sitemap(s, d), sitemap_before(s, d)),
     "d_frontier": lambda s, d: ingest.to_fetch(sitemap(s, d), held_pages(s, d)),
     "d_reverify_queue": lambda s, d: ingest.stalest(held_pages(s, d), 50).select("url"),
-    "d_extract_fields": lambda s, d: payloads(s, d).select("doc_id", *ingest.extract_fields(F.col("payload"))),
+    "d_extract_fields": lambda s, d: full_payloads(s, d).select("doc_id", *ingest.extract_fields(F.col("payload"))),
     "d_parent_type": lambda s, d: payloads(s, d).select("doc_id", ingest.parent_type(F.col("payload")).alias("parent_type")),
     "d_backfill_title": lambda s, d: payloads(s, d).select("doc_id", ingest.first_filled(F.get_json_object("payload", "$.title"), F.get_json_object("payload", "$.content_id")).alias("title")),
     "d_backfill_date": lambda s, d: payloads(s, d).select("doc_id", ingest.payload_date(F.col("payload")).alias("date")),
@@ -224,7 +232,10 @@ ORACLE_SQL = {
     "d_sitemap_upsert": f"WITH {_MAP} SELECT url, CASE WHEN o_orderkey % 7 = 0 THEN 'new' WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 AND CAST(o_orderdate AS VARCHAR) <> '1990-01-01' THEN 'updated' ELSE 'unchanged' END AS change FROM sitemap JOIN orders ON url = 'https://www.example.org/o/' || o_orderkey",
     "d_frontier": "SELECT 'https://www.example.org/o/' || o_orderkey AS url FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 9 = 0 OR (o_orderkey % 5 <> 0 AND CAST(o_orderdate AS VARCHAR) > '1995-06-30')",
     "d_reverify_queue": "SELECT 'https://www.example.org/o/' || o_orderkey AS url FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 9 <> 0 ORDER BY url LIMIT 50",
-    "d_extract_fields": f"WITH {_JSON} SELECT doc_id, content_id, document_type, title, updated_at, false AS withdrawn, document_type = 'redirect' AS is_redirect, NULL::VARCHAR AS destination FROM p",
+    "d_extract_fields": """WITH p AS (SELECT doc_id, doc_id % 13 <> 0 AS ok FROM documents)
+      SELECT doc_id, CASE WHEN ok THEN 'c' || doc_id END AS content_id, CASE WHEN NOT ok THEN '' WHEN doc_id % 10 = 0 THEN 'redirect' ELSE 'guidance' END AS document_type, CASE WHEN NOT ok THEN '' WHEN doc_id % 7 = 0 THEN 'redirect' ELSE 'page' END AS schema_name,
+        CASE WHEN NOT ok OR doc_id % 4 = 0 THEN '' ELSE 't' || doc_id END AS title, CASE WHEN ok AND doc_id % 5 <> 0 THEN 'd' || doc_id ELSE '' END AS description, CASE WHEN ok THEN '2020-01-01' ELSE '' END AS first_published_at, CASE WHEN ok AND doc_id % 2 = 1 THEN '2025-05-05' ELSE '' END AS public_updated_at,
+        ok AND doc_id % 6 = 3 AS withdrawn, ok AND (doc_id % 10 = 0 OR doc_id % 7 = 0) AS is_redirect, CASE WHEN ok AND doc_id % 9 < 5 THEN CASE doc_id % 4 WHEN 0 THEN 'https://www.example.org/d/7' WHEN 1 THEN 'https://www.example.org/d/8' END END AS destination FROM p""",
     "d_parent_type": f"WITH {_JSON} SELECT doc_id, parent_type FROM p",
     "d_backfill_title": f"WITH {_JSON} SELECT doc_id, coalesce(nullif(title, ''), content_id, '') AS title FROM p",
     "d_backfill_date": f"WITH {_JSON} SELECT doc_id, dated AS date FROM p",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bands
+from corpusloom.functions.replies import parse_decision, quotes
 from corpusloom.operators import cost, filters, gold, metrics, reports, runs
 from corpusloom.plans.corpus import _HITS, compared
 from corpusloom.plans.roles import CONTENT, GOLD, LEDGER, VOTES, content, ledger, organisations, table, verdict_sql, verdicts, votes
@@ -118,7 +119,7 @@ def replies(s, d):
 
 
 def e_parse_decision(s, d):
-    return replies(s, d).select("url", runs.parse_decision(F.col("reply")).alias("d")).select("url", "d.keep", "d.score", "d.reason", "d.primary_topic", F.array_join("d.where_hit", "|").alias("where_hit"), F.array_join("d.evidence", "|").alias("evidence"))
+    return replies(s, d).select("url", parse_decision(F.col("reply")).alias("d")).select("url", "d.keep", "d.score", "d.reason", "d.primary_topic", F.array_join("d.where_hit", "|").alias("where_hit"), F.array_join("d.evidence", "|").alias("evidence"))
 
 
 def usage_rows(s, d):
@@ -210,7 +211,7 @@ QUERIES = {
     "e_disagreements": lambda s, d: runs.disagreements(a_(s, d), b_(s, d)),
     "e_final_keep": lambda s, d: runs.final_keep(a_(s, d), second(s, d)),
     "e_final_diffs": lambda s, d: runs.final_diffs(runs.final_keep(a_(s, d), second(s, d)), runs.final_keep(b_(s, d), verdicts(s, d, "c"))),
-    "e_quotes": lambda s, d: replies(s, d).select("url", F.array_join(runs.quotes(F.col("reply")), "|").alias("quotes")),
+    "e_quotes": lambda s, d: replies(s, d).select("url", F.array_join(quotes(F.concat("reply", F.lit(" ‘Zwölf Uhr’ page's “ok.” '7' '12' 'KEEP' it's"))), "|").alias("quotes")),
     "n_phase1": lambda s, d: runs.phase_compare(a_(s, d).where("doc_id % 9 <> 0"), b_(s, d).where("doc_id % 8 <> 0")),
     "n_overall": lambda s, d: _rounded(runs.overall_compare((a_(s, d), second(s, d)), (b_(s, d), verdicts(s, d, "c"))), "agreement", "mean_delta"),
     "n_discriminability": lambda s, d: _rounded(runs.discriminability(a_(s, d)), "borderline_pct", "top_score", "top_share"),
@@ -230,7 +231,7 @@ QUERIES = {
     "m_rates": lambda s, d: _rounded(metrics.rates(metrics.confusion(gold_labels(s, d), a_(s, d))).drop("tp", "fp", "fn", "tn", "n", "unparsed"), "precision", "recall", "specificity", "accuracy", "f1"),
     "m_rates_by_repeat": lambda s, d: _rounded(metrics.rates_by_repeat(gold_labels(s, d), repeats(s, d)), "precision", "recall", "specificity", "accuracy", "f1"),
     "m_borderline": lambda s, d: _rounded(metrics.borderline_kept(gold_labels(s, d), a_(s, d)), "kept_share"),
-    "m_value_add": lambda s, d: _rounded(metrics.value_add(gold_labels(s, d), a_(s, d), b_(s, d)), "drop_precision"),
+    "m_value_add": lambda s, d: _rounded(metrics.value_add(gold_labels(s, d), a_(s, d), b_(s, d)), "drop_precision", "lost_share"),
     "m_stability": lambda s, d: _rounded(metrics.stability(repeats(s, d), 3), "unanimous"),
     "m_fleiss": lambda s, d: _rounded(metrics.fleiss_kappa(repeats(s, d).where("doc_id % 10 <> 3")), "kappa"),
     "m_majority": lambda s, d: metrics.majority(repeats(s, d)),
@@ -240,7 +241,7 @@ QUERIES = {
     "m_kappa": lambda s, d: _rounded(metrics.cohen_kappa(a_(s, d), b_(s, d)), "po", "kappa", "h"),
     "m_percentile": lambda s, d: _rounded(metrics.latency(repeats(s, d)), "p50", "p90"),
     "m_bootstrap": lambda s, d: _rounded(metrics.bootstrap(gold_labels(s, d), a_(s, d)), "point", "low", "high"),
-    "m_bootstrap_difference": lambda s, d: _rounded(metrics.bootstrap(gold_labels(s, d), a_(s, d), b_(s, d), "f1", 50), "point", "low", "high"),
+    "m_bootstrap_difference": lambda s, d: _rounded(metrics.bootstrap(gold_labels(s, d), a_(s, d), b_(s, d), "f1", bound="in"), "point", "low", "high"),
     "k_usage_norm": lambda s, d: usage_rows(s, d).select("event_id", *cost.usage(F.col("payload"))),
     "k_peak": lambda s, d: table(s, d, "events").select("event_id", cost.is_peak(F.col("ts"), BITMAP).alias("peak")),
     "k_call_cost": lambda s, d: priced(s, d).select("event_id", F.round("cost", 9).alias("cost")),
@@ -279,10 +280,24 @@ _SECOND = "second AS (SELECT * FROM vb WHERE doc_id % 5 <> 2)"
 _AB = "ab AS (SELECT url, a.keep AS ak, b.keep AS bk, a.score AS sa, b.score AS sb FROM va a JOIN vb b USING (url))"
 _REPLY = f"{_A}, r AS (SELECT * FROM va)"
 
-_BOOT = f"""{GOLD}, {_A}, {_B}, g AS (SELECT url, label = 'in' AS t, coalesce(a.keep = 1, false) AS a, coalesce(b.keep = 1, false) AS b FROM gold LEFT JOIN va a USING (url) LEFT JOIN vb b USING (url) WHERE label <> 'borderline'),
-  e AS (SELECT *, ('0x' || substr(md5('20260924:' || rep || ':' || url), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM g, unnest(range(0, {{n}} + 1)) r(rep)),
-  w AS (SELECT *, CASE WHEN rep = 0 THEN 1 ELSE {" + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in metrics.DRAWS)} END AS w FROM e),
-  m AS (SELECT rep, sum(w) FILTER (t AND a) / nullif(sum(w) FILTER (t), 0) AS ra, 2 * coalesce(sum(w) FILTER (t AND a), 0) / nullif(2 * coalesce(sum(w) FILTER (t AND a), 0) + coalesce(sum(w) FILTER (t <> a), 0), 0) AS fa, 2 * coalesce(sum(w) FILTER (t AND b), 0) / nullif(2 * coalesce(sum(w) FILTER (t AND b), 0) + coalesce(sum(w) FILTER (t <> b), 0), 0) AS fb FROM w GROUP BY rep)"""
+
+
+def _boot(n: int, bound: str = "exclude", other: str = "va") -> str:
+    """Counts of the eight cells, drawn for each resample cell by cell; chances by the log gamma function."""
+    cells = metrics.CELLS
+    parts = [f"""{GOLD}, {_A}, {_B}, g AS (SELECT CASE WHEN label = 'borderline' THEN CASE '{bound}' WHEN 'in' THEN 1 WHEN 'out' THEN 0 END ELSE (label = 'in')::INT END AS t, coalesce(a.keep = 1, false)::INT AS a, coalesce(b.keep = 1, false)::INT AS b FROM gold LEFT JOIN va a USING (url) LEFT JOIN {other} b USING (url)),
+  n AS (SELECT {", ".join(f"count(*) FILTER (t = {t} AND a = {a} AND b = {b}) AS n{i}" for i, (t, a, b) in enumerate(cells))}, count(t) AS l FROM g),
+  s0 AS (SELECT rep, n.*, l AS o FROM n, range(0, {n} + 1) r(rep))"""]
+    for i in range(8):
+        u = f"('0x' || substr(md5('{metrics.SEED}:' || rep || ':{i}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+        parts.append(f"""q{i} AS (SELECT rep, l, n{i}::DOUBLE / nullif(o, 0) AS p, {u} AS u, greatest(0, floor(l * p - 8 * sqrt(l * p * (1 - p)) - 8))::BIGINT AS lo, least(l, ceil(l * p + 8 * sqrt(l * p * (1 - p)) + 8))::BIGINT AS hi FROM s{i} WHERE rep > 0 AND l > 0 AND n{i} > 0 AND n{i} < o),
+  x{i} AS (SELECT rep, u, lo, sum(exp(lgamma(l + 1) - lgamma(k + 1) - lgamma(l - k + 1) + k * ln(p) + (l - k) * ln(1 - p))) OVER (PARTITION BY rep ORDER BY k) AS f FROM (SELECT *, unnest(range(lo, hi)) AS k FROM q{i})),
+  y{i} AS (SELECT rep, any_value(lo) + count(*) FILTER (f <= u) AS k FROM x{i} GROUP BY rep),
+  s{i + 1} AS (SELECT s.* EXCLUDE (l, o), CASE WHEN rep = 0 THEN n{i} WHEN n{i} = 0 OR l <= 0 THEN 0 WHEN n{i} >= o THEN l ELSE coalesce(y.k, 0) END AS c{i}, l - c{i} AS l, o - n{i} AS o FROM s{i} s LEFT JOIN y{i} y USING (rep))""")
+    cell = lambda t, side, k: " + ".join(f"c{i}" for i, c in enumerate(cells) if c[0] == t and c[1 + side] == k)
+    f1 = lambda side: f"2 * ({cell(1, side, 1)}) / nullif(2 * ({cell(1, side, 1)}) + {cell(0, side, 1)} + {cell(1, side, 0)}, 0)"
+    return ", ".join(parts) + f", m AS (SELECT rep, ({cell(1, 0, 1)}) / nullif({cell(1, 0, 1)} + {cell(1, 0, 0)}, 0) AS ra, {f1(0)} AS fa, {f1(1)} AS fb FROM s8)"
+
 
 ORACLE_SQL = {
     "e_candidates": f"WITH {_HITS}, {_SHORT}, {_A}, c AS (SELECT url, 0 AS rank, 0.0 AS sc FROM mem UNION ALL SELECT url, 1, coalesce(es_score, 0) FROM cmp WHERE source = 'search' AND coalesce(es_score >= 0.3, true)) SELECT url, rank FROM c WHERE url NOT IN (SELECT url FROM va WHERE keep = 1) ORDER BY rank, sc DESC, url LIMIT 400",
@@ -299,7 +314,7 @@ ORACLE_SQL = {
     "e_latest_runs": f"WITH {_RUNS} SELECT category_id, phase, run_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id, phase ORDER BY started_at DESC, run_id DESC) AS n FROM runs) WHERE n = 1",
     "e_latest_exclusions": f"WITH {_RUNS}, e AS (SELECT source_run_id // 5 * 5 AS source_run_id, run_id, started_at FROM runs WHERE phase = 'exclusion' AND source_run_id IS NOT NULL) SELECT source_run_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY source_run_id ORDER BY started_at DESC, run_id DESC) AS n FROM e) WHERE n = 1",
     "e_reusable_runs": f"WITH {_RUNS} SELECT category_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY started_at DESC, run_id DESC) AS n FROM runs WHERE phase = 'inclusion' AND (source_run_id IS NULL OR run_id % 4 = 0) AND run_id % 5 = 0 AND run_id % 3 <> 0) WHERE n = 1",
-    "e_run_name": f"WITH {_RUNS} SELECT run_id, day || ' run ' || row_number() OVER (PARTITION BY category_id, day ORDER BY started_at, run_id) AS name FROM runs",
+    "e_run_name": f"WITH {_RUNS} SELECT run_id, 'Run ' || substr(day, 3) || ' - ' || (1 + coalesce(sum((source_run_id IS NULL)::INT) OVER (PARTITION BY category_id, day ORDER BY started_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS name FROM runs",
     "e_run_chain": f"WITH RECURSIVE {_RUNS}, w AS (SELECT run_id, run_id AS root, 0 AS depth FROM runs UNION ALL SELECT w.run_id, r.source_run_id, depth + 1 FROM w JOIN runs r ON r.run_id = w.root WHERE r.source_run_id IS NOT NULL AND depth < 25) SELECT run_id, arg_max(root, depth) AS root, max(depth) AS depth FROM w GROUP BY run_id",
     "e_kept_count": f"WITH {_A} SELECT count(*) AS n FROM va WHERE keep = 1",
     "e_results": f"WITH {_A}, {_B} SELECT b.url, b.keep, b.score, {_REASON.format(v='b', r='b')} AS reason, {_REASON.format(v='a', r='a')} AS src_reason, CASE WHEN b.doc_id % 5 <> 0 THEN 't' || b.doc_id % 5 END AS primary_topic, CASE WHEN b.doc_id % 5 <> 0 THEN 'title|body' END AS where_hit, CASE WHEN b.doc_id % 5 <> 0 THEN 'q' || b.doc_id END AS evidence FROM vb b LEFT JOIN va a USING (url)",
@@ -312,7 +327,7 @@ ORACLE_SQL = {
     "e_disagreements": f"WITH {_A}, {_B}, {_AB} SELECT url, ak AS b_keep, sa AS b_score, bk AS o_keep, sb AS o_score FROM ab WHERE ak IS DISTINCT FROM bk",
     "e_final_keep": f"WITH {_A}, {_B}, {_SECOND}, {_FINAL.format(n='f', i='va', e='second')} SELECT url, final FROM f",
     "e_final_diffs": f"WITH {_A}, {_B}, {_C}, {_SECOND}, {_FINAL.format(n='f', i='va', e='second')}, {_FINAL.format(n='g', i='vb', e='vc')} SELECT url, f.final, g.final AS other_final FROM f JOIN g USING (url) WHERE f.final <> g.final",
-    "e_quotes": f"WITH {_REPLY} SELECT url, CASE doc_id % 6 WHEN 0 THEN '' WHEN 3 THEN 'score|high' ELSE 'keep|score|reason|r {{' || doc_id % 3 || '}}|primary_topic| t' || doc_id % 5 || ' |where|title|evidence|one {{|two|more' END AS quotes FROM r",
+    "e_quotes": f"WITH {_REPLY} SELECT url, CASE doc_id % 6 WHEN 0 THEN 'Zwölf Uhr|ok|KEEP' WHEN 3 THEN 'score|high|Zwölf Uhr|ok|KEEP' ELSE 'keep|score|reason|r {{' || doc_id % 3 || '}}|primary_topic|t' || doc_id % 5 || '|where|title|evidence|one {{|two|more|Zwölf Uhr|ok' END AS quotes FROM r",
     "n_phase1": f"WITH {_A}, {_B}, p AS (SELECT a.url AS au, b.url AS bu, a.keep AS x, b.keep AS y FROM (SELECT * FROM va WHERE doc_id % 9 <> 0) a FULL JOIN (SELECT * FROM vb WHERE doc_id % 8 <> 0) b ON a.url = b.url) SELECT count(*) FILTER (au IS NOT NULL AND bu IS NOT NULL) AS shared, count(*) FILTER (bu IS NULL) AS only_base, count(*) FILTER (au IS NULL) AS only_other, count(*) FILTER (x = 1 AND y = 0) AS accepted_rejected, count(*) FILTER (x = 0 AND y = 1) AS rejected_accepted, count(*) FILTER (au IS NOT NULL AND bu IS NOT NULL AND x IS DISTINCT FROM y AND (x IS NULL OR y IS NULL)) AS with_unscored FROM p",
     "n_overall": f"WITH {_A}, {_B}, {_C}, {_SECOND}, {_FINAL.format(n='f', i='va', e='second')}, {_FINAL.format(n='g', i='vb', e='vc')}, j AS (SELECT f.final AS x, g.final AS y, abs(coalesce(a.score, 0) - coalesce(b.score, 0)) AS delta FROM f JOIN g USING (url) JOIN va a USING (url) JOIN vb b USING (url)) SELECT count(*) AS shared, count(*) FILTER (x AND y) AS both_in, count(*) FILTER (NOT x AND NOT y) AS both_out, count(*) FILTER (x AND NOT y) AS base_only, count(*) FILTER (NOT x AND y) AS other_only, round(avg(delta), 9) AS mean_delta, round(count(*) FILTER (x = y) * 100.0::DOUBLE / count(*), 9) AS agreement FROM j",
     "n_discriminability": f"WITH {_A}, s AS (SELECT * FROM va WHERE keep IS NOT NULL), t AS (SELECT round(score, 2) AS v, count(*) AS n FROM s WHERE keep = 1 GROUP BY 1 ORDER BY n DESC, v LIMIT 1), c AS (SELECT count(*) AS scored, count(*) FILTER (keep = 1) AS kept, count(*) FILTER (keep = 0) AS dropped, count(*) FILTER (keep = 1 AND score > 0 AND score <= 0.35) AS low FROM s) SELECT scored, kept, dropped, low AS borderline_keeps, round(low * 100.0::DOUBLE / kept, 9) AS borderline_pct, v AS top_score, round(n * 100.0::DOUBLE / kept, 9) AS top_share FROM c, t",
@@ -338,21 +353,23 @@ ORACLE_SQL = {
     "m_confusion": f"WITH {GOLD}, {_A}, va2 AS (SELECT * FROM va WHERE doc_id % 11 <> 0), {_CELLS.format(v='va2')} SELECT * FROM conf",
     "m_rates": f"WITH {GOLD}, {_A}, {_CELLS.format(v='va')} SELECT bound, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(tn / nullif(tn + fp, 0), 9) AS specificity, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 9) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM conf",
     "m_borderline": f"WITH {GOLD}, {_A} SELECT round(avg(coalesce(keep = 1, false)::INT), 9) AS kept_share FROM gold LEFT JOIN va USING (url) WHERE label = 'borderline'",
-    "m_value_add": f"WITH {GOLD}, {_A}, {_B}, m AS (SELECT label, coalesce(b.keep = 1, false) AS again FROM gold JOIN va a USING (url) JOIN vb b USING (url) WHERE label <> 'borderline' AND a.keep = 1), c AS (SELECT count(*) FILTER (NOT again AND label = 'out') AS f, count(*) FILTER (NOT again AND label = 'in') AS t FROM m) SELECT f AS fp_removed, t AS tp_lost, f - t AS net, round(f / nullif(f + t, 0), 9) AS drop_precision FROM c",
+    "m_value_add": f"""WITH {GOLD}, {_A}, {_B}, m AS (SELECT bound, CASE WHEN label = 'borderline' THEN CASE bound WHEN 'in' THEN true WHEN 'out' THEN false END ELSE label = 'in' END AS t, coalesce(a.keep = 1, false) AS k, coalesce(a.keep = 1 AND b.keep = 0, false) AS x FROM gold LEFT JOIN va a USING (url) LEFT JOIN vb b USING (url), unnest(['exclude', 'in', 'out']) u(bound)),
+      c AS (SELECT bound, count(*) FILTER (k) AS p1_keeps, count(*) FILTER (x) AS p2_drops, count(*) FILTER (x AND NOT t) AS fp_removed, count(*) FILTER (x AND t) AS tp_lost, count(*) FILTER (t) AS g FROM m WHERE t IS NOT NULL GROUP BY bound)
+      SELECT bound, p1_keeps, p2_drops, fp_removed, tp_lost, fp_removed - tp_lost AS net, round(fp_removed / nullif(fp_removed + tp_lost, 0), 9) AS drop_precision, round(tp_lost / nullif(g, 0), 9) AS lost_share FROM c""",
     "m_stability": f"WITH {_REP}, k AS (SELECT url, count(*) FILTER (keep = 1) AS k FROM rep GROUP BY url) SELECT count(*) AS pages, count(*) FILTER (k BETWEEN 1 AND 2) AS flip_pages, round(avg((k IN (0, 3))::INT), 9) AS unanimous FROM k",
-    "m_rates_by_repeat": f"""WITH {GOLD}, {_REP}, m AS (SELECT url, CASE WHEN count(keep) > 0 THEN (2 * count(*) FILTER (keep = 1) >= count(*))::INT END AS keep FROM rep GROUP BY url), v AS (SELECT x.arm AS arm, g.url, label, keep FROM gold g CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(arm) LEFT JOIN rep ON rep.url = g.url AND run_id = x.arm UNION ALL SELECT 'majority', g.url, label, keep FROM gold g LEFT JOIN m USING (url)),
+    "m_rates_by_repeat": f"""WITH {GOLD}, {_REP}, m AS (SELECT url, CASE WHEN count(keep) > 0 THEN (2 * count(*) FILTER (keep = 1) >= 3)::INT END AS keep FROM rep GROUP BY url), v AS (SELECT x.arm AS arm, g.url, label, keep FROM gold g CROSS JOIN (VALUES ('a'), ('b'), ('c')) x(arm) LEFT JOIN rep ON rep.url = g.url AND run_id = x.arm UNION ALL SELECT 'majority', g.url, label, keep FROM gold g LEFT JOIN m USING (url)),
       c AS (SELECT arm, bound, CASE WHEN label = 'borderline' THEN CASE bound WHEN 'in' THEN true WHEN 'out' THEN false END ELSE label = 'in' END AS truth, coalesce(keep = 1, false) AS kept FROM v, unnest(['exclude', 'in', 'out']) t(bound)),
       n AS (SELECT arm, bound, count(*) FILTER (truth AND kept) AS tp, count(*) FILTER (NOT truth AND kept) AS fp, count(*) FILTER (truth AND NOT kept) AS fn, count(*) FILTER (NOT truth AND NOT kept) AS tn FROM c WHERE truth IS NOT NULL GROUP BY ALL),
       e AS (SELECT * FROM n UNION ALL SELECT 'micro', bound, CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), CAST(sum(tn) AS BIGINT) FROM n WHERE arm <> 'majority' GROUP BY bound)
       SELECT *, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall, round(tn / nullif(tn + fp, 0), 9) AS specificity, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 9) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1 FROM e""",
     "m_fleiss": f"WITH {_REP}, k AS (SELECT url, count(*) FILTER (keep = 1) AS k FROM rep WHERE doc_id % 10 <> 3 GROUP BY url), p AS (SELECT avg((k * k + (3 - k) * (3 - k) - 3) / 6.0::DOUBLE) AS p, avg(k / 3) AS q FROM k) SELECT round((p - (q * q + (1 - q) * (1 - q))) / (1 - (q * q + (1 - q) * (1 - q))), 9) AS kappa FROM p",
-    "m_majority": f"WITH {_REP} SELECT url, CASE WHEN count(keep) > 0 THEN (2 * count(*) FILTER (keep = 1) >= count(*))::INT END AS keep FROM rep GROUP BY url",
+    "m_majority": f"WITH {_REP} SELECT url, CASE WHEN count(keep) > 0 THEN (2 * count(*) FILTER (keep = 1) >= 3)::INT END AS keep FROM rep GROUP BY url",
     "m_score_stability": f"WITH {_REP}, p AS (SELECT url, stddev_samp(score) AS sd, count(DISTINCT {_BAND}) AS bands FROM rep GROUP BY url) SELECT round(avg(sd), 9) AS mean_sd, round(avg((sd > 0.15)::INT), 9) AS unstable, round(avg((bands = 1)::INT), 9) AS one_band FROM p",
     "m_calibration": f"WITH {GOLD}, {_A}, j AS (SELECT label = 'in' AS truth, score FROM gold LEFT JOIN (SELECT url, score FROM va WHERE doc_id % 9 <> 0) v USING (url) WHERE label <> 'borderline'), t AS (SELECT {_BAND} AS band, count(*) AS n, avg(truth::INT) AS share FROM j GROUP BY 1), o AS (SELECT list(share ORDER BY band) AS s FROM t WHERE band <> 'unscored') SELECT band, n, round(share, 9) AS share_in, (SELECT CASE WHEN len(s) > 1 THEN s = list_sort(s) END FROM o) AS monotone, (SELECT round(avg(pow(score - truth::INT, 2)), 9) FROM j) AS brier FROM t",
-    "m_bootstrap": f"""WITH {_BOOT.format(n=200)} SELECT max(CASE WHEN rep = 0 THEN ra END) AS point, round(s[floor(0.025 * (len(s) - 1))::INT + 1], 9) AS low, round(s[floor(0.975 * (len(s) - 1))::INT + 1], 9) AS high, CAST(len(s) AS INTEGER) AS draws FROM (SELECT rep, round(ra, 9) AS ra FROM m), (SELECT list(ra ORDER BY ra) AS s FROM m WHERE rep > 0 AND ra IS NOT NULL) GROUP BY s""",
-    "m_bootstrap_difference": f"""WITH {_BOOT.format(n=50)}, d AS (SELECT rep, fa - fb AS x FROM m) SELECT max(CASE WHEN rep = 0 THEN round(x, 9) END) AS point, round(s[floor(0.025 * (len(s) - 1))::INT + 1], 9) AS low, round(s[floor(0.975 * (len(s) - 1))::INT + 1], 9) AS high, CAST(len(s) AS INTEGER) AS draws FROM d, (SELECT list(x ORDER BY x) AS s FROM d WHERE rep > 0 AND x IS NOT NULL) GROUP BY s""",
+    "m_bootstrap": f"""WITH {_boot(metrics.RESAMPLES)} SELECT max(CASE WHEN rep = 0 THEN ra END) AS point, round(s[floor(0.025 * (len(s) - 1))::INT + 1], 9) AS low, round(s[floor(0.975 * (len(s) - 1))::INT + 1], 9) AS high, CAST(len(s) AS INTEGER) AS draws FROM (SELECT rep, round(ra, 9) AS ra FROM m), (SELECT list(ra ORDER BY ra) AS s FROM m WHERE rep > 0 AND ra IS NOT NULL) GROUP BY s""",
+    "m_bootstrap_difference": f"""WITH {_boot(metrics.RESAMPLES, 'in', 'vb')}, d AS (SELECT rep, fa - fb AS x FROM m) SELECT max(CASE WHEN rep = 0 THEN round(x, 9) END) AS point, round(s[floor(0.025 * (len(s) - 1))::INT + 1], 9) AS low, round(s[floor(0.975 * (len(s) - 1))::INT + 1], 9) AS high, CAST(len(s) AS INTEGER) AS draws FROM d, (SELECT list(x ORDER BY x) AS s FROM d WHERE rep > 0 AND x IS NOT NULL) GROUP BY s""",
     "m_mcnemar": f"WITH {GOLD}, {_A}, {_B}, m AS (SELECT coalesce(a.keep = 1, false) = (label = 'in') AS ra, coalesce(b.keep = 1, false) = (label = 'in') AS rb FROM gold LEFT JOIN va a USING (url) LEFT JOIN vb b USING (url) WHERE label <> 'borderline'), c AS (SELECT count(*) FILTER (ra AND NOT rb) AS only_a, count(*) FILTER (NOT ra AND rb) AS only_b FROM m) SELECT only_a, only_b, round(CASE WHEN only_a + only_b > 0 THEN least(1.0, 2 * (SELECT sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))) FROM unnest(range(0, least(only_a, only_b) + 1)) t(i))) END, 9) AS p FROM c",
-    "m_kappa": f"WITH {_A}, {_B}, {_AB}, p AS (SELECT avg((coalesce(ak = 1, false) = coalesce(bk = 1, false))::INT) AS po, avg(coalesce(ak = 1, false)::INT) AS pa, avg(coalesce(bk = 1, false)::INT) AS pb FROM ab) SELECT round(po, 9) AS po, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 9) AS kappa, round(abs(2 * asin(sqrt(pa)) - 2 * asin(sqrt(pb))), 9) AS h FROM p",
+    "m_kappa": f"WITH {_A}, {_B}, {_AB}, p AS (SELECT avg((coalesce(ak = 1, false) = coalesce(bk = 1, false))::INT) AS po, avg(coalesce(ak = 1, false)::INT) AS pa, avg(coalesce(bk = 1, false)::INT) AS pb FROM ab) SELECT round(po, 9) AS po, round((po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))), 9) AS kappa, round(2 * asin(sqrt(pa)) - 2 * asin(sqrt(pb)), 9) AS h FROM p",
     "m_percentile": f"WITH {_REP} SELECT run_id, round(quantile_cont(ms::DOUBLE, 0.5), 9) AS p50, round(quantile_cont(ms::DOUBLE, 0.9), 9) AS p90 FROM rep GROUP BY run_id",
     "k_usage_norm": "WITH u AS (SELECT event_id AS k, event_id % 1000 AS fresh, event_id % 300 AS cached FROM events), v AS (SELECT k, CASE WHEN k % 6 <> 0 AND k % 2 = 1 AND k % 3 = 0 THEN 0 ELSE cached END AS hit, CASE WHEN k % 6 = 0 THEN greatest(fresh - cached, 0) WHEN k % 2 = 0 OR k % 3 = 0 THEN fresh ELSE fresh + k % 40 END AS miss, CASE WHEN k % 6 = 0 THEN fresh END AS prompt FROM u) "
     "SELECT k AS event_id, CASE WHEN ok THEN coalesce(prompt, miss + hit) END AS total, CASE WHEN ok THEN hit END AS hit, CASE WHEN ok THEN miss END AS miss, CASE WHEN ok THEN k % 70 END AS out FROM (SELECT *, k % 11 <> 0 AND k % 7 <> 0 AS ok FROM v)",

@@ -7,13 +7,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions import readability
+from corpusloom.functions import readability, replies
 from corpusloom.operators import compare, filters, gold, ingest, metrics, payload, review, runs, workspace
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
 from corpusloom.plans.exchange import shared_tables
-from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, organisations, table, votes
+from corpusloom.plans.roles import CONTENT, GOLD, ORGS, TYPES, VOTES, content, hashed, organisations, table, votes
 from corpusloom.plans.roles import gold as gold_labels
 from corpusloom.plans.selection import _BASE, _ORG, _TYPE, _WEIGHTS, COUNTS, ORG, TYPE, WORDS, worded
 from corpusloom.plans.selection import ORACLE_SQL as _SEL
@@ -144,14 +144,39 @@ def e_score_pages(s, d):
 
 
 def exclusion_replies(s, d):
+    """Replies of the second phase: plain, fenced or in prose; with a hit, none or an unknown one; some without a verdict or broken."""
     k = F.col("doc_id")
-    hit = F.element_at(F.array(F.lit("none"), F.lit("fees"), F.lit("old news")), (k % 3 + 1).cast("int"))
-    return table(s, d, "documents").select("doc_id", F.when(k % 10 == 0, "{bad").otherwise(F.format_string('{"keep": 0, "hit": "%s", "reason": "r%d"}', hit, k)).alias("reply"))
+    hit = F.element_at(F.array(*map(F.lit, ("None", "homonym", "fees", "Wrong_Domain"))), (k % 4 + 1).cast("int"))
+    why = F.when(k % 5 == 3, F.format_string('"verdict_reason": "v%d"', k)).otherwise(F.format_string('"reason": "r%d"', k))
+    keep = F.when(k % 11 == 4, "null").when(k % 3 == 0, "true").otherwise("false")
+    inner = F.format_string('{"keep": %s, "exclusion_hit": "%s", %s}', keep, hit, why)
+    reply = F.when(k % 10 == 0, "{bad").when(k % 7 == 1, F.concat(F.lit("```json\n"), inner, F.lit("\n```"))).when(k % 7 == 2, F.concat(F.lit('Thinking {"a": 1} } '), inner, F.lit(" done"))).otherwise(inner)
+    return table(s, d, "documents").select("doc_id", reply.alias("reply"))
+
+
+def e_parse_exclusion(s, d):
+    return exclusion_replies(s, d).select("doc_id", replies.parse_exclusion(F.col("reply")).alias("x")).select("doc_id", "x.keep", "x.reason")
 
 
 def e_exclusion_label(s, d):
-    reasons = exclusion_replies(s, d).select("doc_id", review.exclusion_reason(F.col("reply")).alias("reason"))
-    return reasons.select("doc_id", *review.exclusion_label(F.col("reason")))
+    return e_parse_exclusion(s, d).select("doc_id", *replies.exclusion_label(F.col("reason")))
+
+
+def g_verdict_label(s, d):
+    """Judgements of a run by hash of the url, and back from the labels there are."""
+    pages = review.run_pages(ev.a_(s, d), ev.second(s, d), gold_labels(s, d), gold.latest_votes(votes(s, d)))
+    said = F.element_at(F.array(*map(F.lit, ("correct", "wrong", "borderline", "unsure"))), (hashed(F.col("url")) % 4 + 1).cast("int"))
+    return pages.select("url", "stage", review.label_of_verdict(F.col("stage"), said).alias("label"), review.verdict_of_label(F.col("stage"), F.col("label")).alias("verdict"))
+
+
+def g_latest_verdicts(s, d):
+    """Two categories: the first has an older run and a second phase, of which the newer one counts."""
+    rows = [("a", 1, "inclusion", None, "2026-01-02"), ("c", 1, "inclusion", None, "2026-01-01"), ("b", 1, "exclusion", "a", "2026-01-03"), ("x", 1, "exclusion", "a", "2026-01-02"), ("y", 1, "exclusion", "c", "2026-01-09"), ("z", 2, "inclusion", None, "2026-01-01")]
+    known = s.createDataFrame(rows, "run_id string, category_id long, phase string, source_run_id string, started_at string")
+    detail = ("run_id", "url", "keep", "score", "reason", "primary_topic")
+    third = ev.verdicts(s, d, "c").withColumns({"reason": F.lit("old"), "primary_topic": F.lit("t")})
+    results = ev.detailed(s, d, "a").select(*detail).unionByName(ev.detailed(s, d, "b").where("doc_id % 5 <> 2").select(*detail)).unionByName(third.select(*detail))
+    return review.latest_verdicts(known, results.unionByName(third.select(F.lit("z").alias("run_id"), *detail[1:]).where("keep IS NULL")))
 
 
 def e_outcome(s, d):
@@ -282,7 +307,7 @@ QUERIES = {
     "r_rederive": r_rederive,
     "r_backfill": r_backfill,
     "e_score_pages": e_score_pages,
-    "e_parse_exclusion": lambda s, d: exclusion_replies(s, d).select("doc_id", review.exclusion_reason(F.col("reply")).alias("reason")),
+    "e_parse_exclusion": e_parse_exclusion,
     "e_exclusion_label": e_exclusion_label,
     "e_outcome": e_outcome,
     "e_stage_rows": lambda s, d: review.stage_rows(ev.a_(s, d), ev.second(s, d), _SELECTION["f_org_semi"](s, d), chosen_types(s, d), chosen(s, d)),
@@ -293,11 +318,11 @@ QUERIES = {
     "e_diff_cards": lambda s, d: review.diff_cards(*chains(s, d), content(s, d)),
     "n_phase2": lambda s, d: review.second_phase_summary(review.second_phase(*chains(s, d))),
     "n_phase2_bands": lambda s, d: review.second_phase_bands(review.second_phase(*chains(s, d))),
-    "g_latest_verdicts": lambda s, d: review.latest_verdicts(ev.repeats(s, d)),
+    "g_latest_verdicts": g_latest_verdicts,
     "g_seed_labels": g_seed_labels,
     "g_matched_keywords": lambda s, d: review.matched_keywords(content(s, d).select("url", filters.page_key().alias("key")), hits_of(s, d)),
     "g_run_pages": lambda s, d: review.run_pages(ev.a_(s, d), ev.second(s, d), gold_labels(s, d), gold.latest_votes(votes(s, d))),
-    "g_verdict_label": lambda s, d: review.end_to_end(ev.a_(s, d), ev.second(s, d)).select("url", review.verdict_label(F.col("keep")).alias("label")),
+    "g_verdict_label": g_verdict_label,
     "g_status": g_status,
     "g_strata": lambda s, d: review.label_strata(gold_labels(s, d).withColumns({"band": F.col("doc_id") % 3, "kind": F.when(F.col("doc_id") % 2 == 0, "")}), ["band", "kind"]).withColumn("share_borderline", F.round("share_borderline", 9)),
     "m_end_to_end": lambda s, d: review.end_to_end(ev.a_(s, d), ev.second(s, d)),
@@ -342,11 +367,12 @@ _TYPES = "known AS (SELECT unnest(['guidance', 'news_story', 'html_publication',
 _FOUND = "found AS (SELECT key AS content_id, min(url) AS url, concat_ws(',', CASE WHEN bool_or(contains(kwt, 'thand')) THEN 'thand' END, CASE WHEN bool_or(contains(kwt, 'stupid')) THEN 'stupid' END, CASE WHEN bool_or(contains(kwt, 'elle')) THEN 'elle' END) AS hits FROM short GROUP BY key)"
 _PH = "ph AS (SELECT i.url, i.keep, i.score, e.keep AS again, e.url IS NOT NULL AS seen FROM va i LEFT JOIN second e ON e.url = i.url)"
 _PH2 = "ph2 AS (SELECT i.url, i.keep, i.score, e.keep AS again, e.url IS NOT NULL AS seen FROM vb i LEFT JOIN vc e ON e.url = i.url)"
-_END = "CASE WHEN keep = 1 THEN CASE WHEN seen THEN again ELSE 1 END ELSE keep END"
+_END = "CASE WHEN keep = 1 THEN CASE WHEN seen THEN coalesce(again = 1, false)::INT ELSE 1 END ELSE keep END"
+_LEFT = "CASE WHEN keep IS NULL THEN 'p1_unparsed' WHEN keep = 0 THEN 'p1_drop' WHEN NOT seen THEN 'kept' WHEN again IS NULL THEN 'p2_unparsed' WHEN again = 1 THEN 'kept' ELSE 'p2_drop' END"
 _TWO = f"WITH {ev._A}, {ev._B}, {ev._SECOND}, {_PH}"
 _PAY = "pay AS (SELECT doc_id, doc_id % 13 <> 0 AS good, 'https://www.example.org/d/' || doc_id AS url FROM documents)"
 _FIND = "list_sort(list_filter([" + ", ".join(f"{{'m': -{k}, 'o': {n}, 'k': '{name}'}}" for n, (k, name) in enumerate(readability.NAMES.items())) + "], lambda x: x.m < 0))"
-_REASON = "CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'r' || doc_id ELSE '[' || ['fees', 'old news'][doc_id % 3] || '] r' || doc_id END"
+_EXCLUDED = """x AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR doc_id % 11 = 4 THEN NULL ELSE (doc_id % 3 = 0)::INT END AS keep, CASE WHEN doc_id % 5 = 3 THEN 'v' ELSE 'r' END || doc_id AS said, ['None', 'homonym', 'fees', 'Wrong_Domain'][doc_id % 4 + 1] AS hit FROM documents)"""
 _PHASES = f"""{ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2}, both_ AS (SELECT CASE WHEN least(ph.score, ph2.score) <= 0 THEN '0 (wrong sense)' WHEN least(ph.score, ph2.score) <= 0.35 THEN '0.01–0.35 (in passing)' WHEN least(ph.score, ph2.score) <= 0.65 THEN '0.36–0.65 (moderate)' ELSE '0.66–1 (major)' END AS band, coalesce(ph.keep = 1 AND ph2.keep = 1, false) AS input, coalesce(ph.again = 0, false) AS bd, coalesce(ph2.again = 0, false) AS od, coalesce(ph.keep = 1, false) AND (NOT ph.seen OR coalesce(ph.again = 1, false)) AS bf, coalesce(ph2.keep = 1, false) AND (NOT ph2.seen OR coalesce(ph2.again = 1, false)) AS of, ph.keep IS NOT DISTINCT FROM ph2.keep AS same FROM ph JOIN ph2 USING (url))"""
 
 ORACLE_SQL = {
@@ -376,8 +402,8 @@ ORACLE_SQL = {
     "r_rederive": f"SELECT doc_id, impact, stars FROM ({_SEL['r_checks']})",
     "r_backfill": f"SELECT CASE WHEN doc_id % 3 = 0 THEN 3 ELSE stars END AS stars, count(*) AS n FROM ({_SEL['r_checks']}) GROUP BY 1",
     "e_score_pages": f"WITH {CONTENT}, f AS (SELECT url, contains(kwt, 'thand')::INT + contains(kwt, 'stupid')::INT + contains(kwt, 'elle')::INT AS n FROM typed) SELECT url, (n > 0)::INT AS keep, round(n / 3, 9) AS score FROM f",
-    "e_parse_exclusion": f"SELECT doc_id, {_REASON} AS reason FROM documents",
-    "e_exclusion_label": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR doc_id % 3 = 0 THEN '' ELSE ['fees', 'old news'][doc_id % 3] END AS label, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'r' || doc_id END AS text FROM documents",
+    "e_parse_exclusion": f"WITH {_EXCLUDED} SELECT doc_id, keep, CASE WHEN keep IS NOT NULL THEN CASE WHEN hit <> 'None' THEN '[' || hit || '] ' ELSE '' END || said END AS reason FROM x",
+    "e_exclusion_label": f"WITH {_EXCLUDED} SELECT doc_id, CASE WHEN keep IS NULL THEN 'KEPT' ELSE CASE hit WHEN 'homonym' THEN 'Excluded as homonym' WHEN 'Wrong_Domain' THEN 'Excluded as wrong domain' ELSE 'KEPT' END END AS label, CASE WHEN keep IS NULL THEN '' WHEN hit = 'fees' THEN '[fees] ' || said ELSE said END AS text FROM x",
     "e_outcome": f"WITH {ev._REP}, t AS (SELECT run_id, count(*) AS p, count(*) FILTER (keep = 1) AS k, count(*) FILTER (keep = 0) AS x, count(*) FILTER (keep IS NULL) AS u, (SELECT count(*) FROM va) AS a FROM rep GROUP BY run_id) SELECT run_id, CASE WHEN u * 2 > p THEN 'failed' WHEN p >= a THEN 'complete' ELSE 'incomplete' END AS kind, p || ' of ' || a || ': ' || k || ' kept, ' || x || ' dropped, ' || u || ' unparsed' AS note FROM t",
     "e_stage_rows": f"{_BASE}, {ev._A}, {ev._B}, {ev._SECOND} SELECT url, 'dept' AS stage FROM typed WHERE usable AND {_ORG} UNION ALL SELECT url, 'doctype' FROM typed WHERE usable AND {_ORG} AND {_TYPE} UNION ALL SELECT url, 'keyword' FROM short UNION ALL SELECT url, 'reached_inclusion' FROM va UNION ALL SELECT url, 'include' FROM va WHERE keep = 1 UNION ALL SELECT url, 'reached_exclusion' FROM va WHERE keep = 1 UNION ALL SELECT url, 'excl_include' FROM va WHERE keep = 0 UNION ALL SELECT url, 'excl_final' FROM second WHERE keep = 0 UNION ALL SELECT url, 'final' FROM second WHERE keep = 1",
     "e_enrich_rows": f"{_BASE}, {_FOUND}, {ev._A}, {ev._B}, {ev._SECOND} SELECT v.url, coalesce(f.hits, '') AS hits, {ev._CONF} AS confidence, CASE keep WHEN 1 THEN 'keep' WHEN 0 THEN 'drop' ELSE 'unparsed' END AS decision, CASE WHEN v.url IN (SELECT url FROM second) THEN 'exclusion' ELSE 'inclusion' END AS furthest FROM va v LEFT JOIN typed t USING (url) LEFT JOIN found f ON f.content_id = t.key",
@@ -389,11 +415,14 @@ ORACLE_SQL = {
     "e_diff_cards": f"WITH {CONTENT}, {ev._A}, {ev._B}, {ev._C}, {ev._SECOND}, {_PH}, {_PH2}, x AS (SELECT *, {_END} AS r FROM ph), y AS (SELECT *, {_END} AS r FROM ph2) SELECT x.url, title, x.keep AS b_first, x.again AS b_second, y.keep AS o_first, y.again AS o_second FROM x JOIN y USING (url) LEFT JOIN typed t ON t.url = x.url WHERE x.r IS DISTINCT FROM y.r",
     "n_phase2": f"WITH {_PHASES} SELECT count(*) AS shared, count(*) FILTER (input) AS excl_input, count(*) FILTER (input AND bd) AS base_dropped, count(*) FILTER (input AND od) AS other_dropped, count(*) FILTER (bf <> of) AS flips, count(*) FILTER (bf <> of AND same) AS exclusion_driven, count(*) FILTER (bf <> of AND NOT same) AS inclusion_driven FROM both_",
     "n_phase2_bands": f"WITH {_PHASES} SELECT v.band AS band, count(*) FILTER (input) AS input, count(*) FILTER (input AND bf AND of) AS kept, count(*) FILTER (input AND NOT bf AND NOT of) AS dropped, count(*) FILTER (input AND bf <> of) AS flipped, count(both_.band) AS pages, count(*) FILTER (bf <> of) AS all_flipped FROM (VALUES ('0 (wrong sense)'), ('0.01–0.35 (in passing)'), ('0.36–0.65 (moderate)'), ('0.66–1 (major)')) v(band) LEFT JOIN both_ USING (band) GROUP BY 1",
-    "g_latest_verdicts": f"WITH {ev._REP} SELECT url, run_id, keep FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY run_id DESC) AS n FROM rep) WHERE n = 1",
+    "g_latest_verdicts": f"""WITH {ev._A}, {ev._B}, {ev._C} SELECT 1::BIGINT AS category_id, a.url, a.score AS current_score, a.keep AS p1_keep, CASE WHEN a.keep IS NULL THEN 'unparseable model reply' ELSE 'a' || a.doc_id % 7 END AS p1_reason, CASE WHEN a.doc_id % 5 <> 0 THEN 't' || a.doc_id % 5 ELSE '' END AS primary_topic, b.keep AS p2_keep FROM va a LEFT JOIN (SELECT * FROM vb WHERE doc_id % 5 <> 2) b USING (url)
+      UNION ALL SELECT 2, url, score, keep, 'old', 't', NULL FROM vc WHERE keep IS NULL""",
     "g_seed_labels": "WITH u AS (SELECT doc_id AS n FROM documents UNION SELECT doc_id + 1 FROM documents), o AS (SELECT doc_id + 1 AS n FROM documents WHERE doc_id % 3 = 0) SELECT 'https://www.example.org/d/' || n AS url, CASE WHEN n IN (SELECT n FROM o) THEN 'out' ELSE 'in' END AS label FROM u",
     "g_matched_keywords": f"{_BASE}, {_FOUND} SELECT t.url, coalesce(a.hits, b.hits) AS hits FROM typed t LEFT JOIN found a ON a.content_id = t.key LEFT JOIN found b ON b.url = t.url",
     "g_run_pages": f"WITH {VOTES}, {GOLD}, {ev._A}, {ev._B}, {ev._SECOND}, {_PH}, s AS (SELECT url, string_agg(labeller || '=' || label, ',' ORDER BY labeller || '=' || label) AS votes FROM latest GROUP BY url) SELECT ph.url, keep, again, CASE WHEN keep IS NULL THEN 'p1_unparsed' WHEN keep = 0 THEN 'p1_drop' WHEN NOT seen THEN 'kept' WHEN again IS NULL THEN 'p2_unparsed' WHEN again = 1 THEN 'kept' ELSE 'p2_drop' END AS stage, label, s.votes FROM ph LEFT JOIN gold USING (url) LEFT JOIN s ON s.url = ph.url",
-    "g_verdict_label": f"{_TWO} SELECT url, CASE {_END} WHEN 1 THEN 'in' WHEN 0 THEN 'out' END AS label FROM ph",
+    "g_verdict_label": f"""{_TWO}, {GOLD}, l AS (SELECT url, {_LEFT} AS stage, ('0x' || substr(md5(url), 1, 8))::BIGINT % 4 AS v, label FROM ph JOIN gold USING (url)), o AS (SELECT *, CASE stage WHEN 'kept' THEN true WHEN 'p1_drop' THEN false WHEN 'p2_drop' THEN false END AS f FROM l)
+      SELECT url, stage, CASE v WHEN 2 THEN 'borderline' WHEN 0 THEN CASE f WHEN true THEN 'in' WHEN false THEN 'out' END WHEN 1 THEN CASE f WHEN true THEN 'out' WHEN false THEN 'in' END END AS label,
+        CASE WHEN label = 'borderline' THEN 'borderline' WHEN (label = 'in') = f THEN 'correct' WHEN (label = 'in') <> f THEN 'wrong' END AS verdict FROM o""",
     "g_status": f"WITH {_HITS}, {GOLD}, {ev._SHORT}, sent AS (SELECT coalesce(m.url, c.url) AS url, CASE WHEN source = 'search' AND coalesce(es_score < 0.3, false) THEN 'search_below_floor' ELSE coalesce(source, 'shortlister') END AS tag FROM mem m FULL JOIN cmp c ON c.url = m.url) SELECT coalesce(tag, 'gone') AS tag, count(*) AS n, count(*) FILTER (label IS NULL) AS unlabelled, count(*) FILTER (label = 'borderline') AS borderline, count(*) FILTER (t.content_hash <> CASE WHEN g.doc_id % 4 = 0 THEN 'older' ELSE t.content_hash END) AS drifted FROM sent s FULL JOIN (SELECT * FROM gold WHERE url IN (SELECT url FROM typed)) g ON g.url = s.url LEFT JOIN typed t ON t.url = s.url AND t.url = g.url GROUP BY 1",
     "m_end_to_end": f"{_TWO} SELECT url, {_END} AS keep FROM ph",
     "m_cost_eff": f"WITH {GOLD}, {ev._A}, {ev._CELLS.format(v='va')} SELECT bound, round(12.5::DOUBLE / nullif(tp + tn, 0), 9) AS per_correct, round(12.5::DOUBLE / nullif(tp, 0), 9) AS per_found FROM conf",
