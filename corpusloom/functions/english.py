@@ -38,6 +38,32 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
+# What counts as one unit, in this order: e-mail addresses, web addresses, dotted numbers, hyphenated words, words.
+_UNIT = re.compile(
+    r"[^\W_](?:[^\W_]|[._%+-])*@(?:[^\W_]|-)+(?:\.(?:[^\W_]|-)+)+|(?:[^\W_](?:[^\W_]|-)*\.)+[a-z][a-z]+(?:/[^\s\"'<>]*)?|[^\W_]+(?:\.[^\W_]+)+|[^\W_]+(?:-[^\W_]+)+|[^\W_]+"
+)
+
+
+def units(text: str | None) -> list[str]:
+    """The words and units of a text in lower case, each at the place of its own.
+
+    E-mail addresses and dotted numbers are one unit. A web address with a path is itself, its host
+    and its path; a hyphenated word itself and its parts.
+    """
+    out = []
+    for u in _UNIT.findall((text or "").lower()):
+        if "@" in u:
+            out.append(u)
+        elif "/" in u:
+            host, _, path = u.partition("/")
+            out += [u, host, "/" + path]
+        elif "." in u or "-" not in u:
+            out.append(u)
+        else:
+            out += [u, *u.split("-")]
+    return out
+
+
 def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
@@ -107,7 +133,7 @@ def stem(word: str) -> str:
 
 def phrase(term: str | None) -> list[tuple[int, str]]:
     """``(offset, stem)`` of a term's words; stop words are left out but keep their places."""
-    at = [(i, stem(w)) for i, w in enumerate(tokens(term)) if w not in STOP]
+    at = [(i, stem(w)) for i, w in enumerate(units(term)) if w not in STOP]
     return [(i - at[0][0], s) for i, s in at]
 
 

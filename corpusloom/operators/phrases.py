@@ -2,87 +2,135 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import english
 
 
-#: Most word forms that the words of a query may have in a corpus; a stem has some dozens.
-MOST_FORMS = 10_000
-
-
 @F.pandas_udf(StringType())
 def stems(words: pd.Series) -> pd.Series:
     return words.map(english.stem)
 
 
-def word_list(text: Column) -> Column:
-    """Runs of letters and digits of a text, in lower case, in order; null has none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+#: The units of a lower-case text, as ``english.units`` finds them.
+UNIT = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+|(?:[\p{L}\p{N}][\p{L}\p{N}-]*\.)+[a-z][a-z]+(?:/[^\s\"'<>]*)?|[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+|[\p{L}\p{N}]+"
 
 
-def word_forms(pages: DataFrame, text: Column, wanted: list[str]) -> dict[str, list[str]]:
-    """The words of all pages by the wanted stem that they have.
-
-    Distinct words are found first, so each is stemmed once in the whole corpus, and only those
-    that begin as a wanted stem does.
-    """
-    words = pages.select(F.explode(F.array_distinct(word_list(text))).alias("word")).where(F.substring("word", 1, 1).isin(sorted({w[0] for w in wanted}))).distinct()
-    rows = words.withColumn("stem", stems("word")).where(F.col("stem").isin(wanted)).limit(MOST_FORMS + 1).collect()
-    if len(rows) > MOST_FORMS:
-        raise ValueError(f"more than {MOST_FORMS} forms of the query's words")
-    out: dict[str, list[str]] = {w: [] for w in wanted}
-    for r in rows:
-        out[r.stem].append(r.word)
-    return out
+def unit_list(text: Column) -> Column:
+    """The words and units of a text in lower case, in order; null has none."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
+    at = lambda u: F.locate("/", u)
+    parts = lambda u: (
+        F.when(F.contains(u, F.lit("@")), F.array(u))
+        .when(F.contains(u, F.lit("/")), F.array(u, F.substring(u, F.lit(1), at(u) - 1), F.substring(u, at(u), F.length(u))))
+        .when(F.contains(u, F.lit(".")) | ~F.contains(u, F.lit("-")), F.array(u))
+        .otherwise(F.concat(F.array(u), F.split(u, "-")))
+    )
+    return F.flatten(F.transform(found, parts))
 
 
-def _places(marked: Column, words: list[str]) -> Column:
-    """Where any of the words stands."""
-    return F.transform(F.filter(marked, lambda x: x["w"].isin(words)), lambda x: x["i"])
+#: Folders that an index's posting lists are dealt over by stem.
+BUCKETS = 256
 
 
-def _runs(at: dict[str, Column], first: str, rest: list[tuple[int, str]]) -> Column:
-    """Whether the first stem stands somewhere with all others at their distances."""
-    return F.exists(at[first], lambda p: reduce(lambda a, b: a & b, [F.array_contains(at[s], p + o) for o, s in rest], F.lit(True)))
+class PhraseIndex:
+    """A stored positional index: which stems stand where on which pages.
 
-
-def phrase_hits(text: Column, terms: list[str], forms: dict[str, list[str]]) -> Column:
-    """The ``terms`` that a text holds as phrases, in their order; a null text holds none.
-
-    ``forms`` has the words of each stem of the terms. They must stand at the term's distances; a
-    stop word within a term leaves room for any one word.
+    ``postings/batch=n/bucket=b`` holds a row (``stem, url, positions``) for each stem of a page,
+    sorted by stem, so a query reads the buckets of its own stems only, and of these the row groups
+    that hold them. ``buckets`` is the same whenever an index is opened. ``pages/batch=n`` says which pages a batch put in (``url, digest``) or took out
+    (a null digest); a page counts as its newest batch has it. A batch that is written again
+    replaces itself, so a run that failed is run again.
     """
-    every = sorted({w for words in forms.values() for w in words})
-    if not every:
-        return F.array().cast("array<string>")
-    marked = F.filter(F.transform(word_list(text), lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(every))
-    at = {s: _places(marked, words) for s, words in forms.items() if words}
-    hits = []
-    for term in terms:
-        (_, first), *rest = english.phrase(term)
-        if first in at and all(s in at for _, s in rest):
-            hits.append(F.when(_runs(at, first, rest), term))
-    return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-
-
-def match_phrases(pages: DataFrame, terms: list[str], match: str = "any") -> DataFrame:
-    """Pages whose title and text hold any (or all) of the terms, with the terms found as ``hits``.
-
-    Words match by stem. Terms of stop words alone are left out; if no term is left, no page
-    matches. The terms are a user's own short list.
-    """
-    counted = [t for t in terms if english.phrase(t)]
-    if not counted:
-        return pages.withColumn("hits", F.array().cast("array<string>")).where(F.lit(False))
-    text = F.concat_ws(" ", "title", "search_text")
-    forms = word_forms(pages, text, sorted({s for t in counted for _, s in english.phrase(t)}))
-    return pages.withColumn("hits", phrase_hits(text, counted, forms)).where(F.size("hits") >= (1 if match == "any" else len(counted)))
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("stem"), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _write(self, lists: DataFrame, batch: int) -> None:
+        """Posting lists by bucket; a bucket that is too large for one task is split, as a common stem's would be."""
+        dealt = lists.select("stem", "url", "positions", self._bucket()).hint("rebalance", F.col("bucket"))
+        dealt.sortWithinPartitions("bucket", "stem").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def pages(self, before: int | None = None) -> DataFrame:
+        """``url, batch, digest`` of the pages in the index, as of a batch's start."""
+        rows = self._read("pages", "url string, digest string, batch int")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        newest = rows.groupBy("url").agg(F.max(F.struct("batch", "digest")).alias("x"))
+        return newest.select("url", "x.batch", "x.digest").where("digest IS NOT NULL")
+
+    def add(self, pages: DataFrame, batch: int) -> None:
+        """Put in the pages (``url, text``) that are new or whose text has changed; a null url is left out, of repeated urls one text counts (the greatest)."""
+        one = pages.where("url IS NOT NULL").groupBy("url").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+        held = self.pages(batch).select("url", F.col("digest").alias("held"))
+        changed = one.withColumn("digest", F.sha2("text", 256)).join(held, "url", "left").where("NOT digest <=> held")
+        words = changed.select("url", F.posexplode(unit_list(F.col("text"))).alias("at", "word"))
+        found = words.where(~F.col("word").isin(sorted(english.STOP))).groupBy("url", stems("word").alias("stem")).agg(F.array_sort(F.collect_list("at")).alias("positions"))
+        self._write(found, batch)
+        changed.select("url", "digest").write.mode("overwrite").parquet(f"{self.path}/pages/batch={batch}")
+
+    def remove(self, urls: DataFrame, batch: int) -> None:
+        """Take out pages (``url``); the batch must be one of its own."""
+        gone = urls.select("url").where("url IS NOT NULL").distinct()
+        gone.select("url", F.lit(None).cast("string").alias("digest")).write.mode("overwrite").parquet(f"{self.path}/pages/batch={batch}")
+
+    def compact(self, path: str) -> PhraseIndex:
+        """The index in one batch at a new path, without the lists of pages that were changed or taken out."""
+        made = PhraseIndex(self.spark, path, self.buckets)
+        live = self.pages()
+        kept = self.postings().join(live.select("url", "batch"), ["url", "batch"], "left_semi")
+        made._write(kept, 0)
+        live.select("url", "digest").write.parquet(f"{made.path}/pages/batch=0")
+        return made
+
+    def postings(self, stems_of: list[str] | None = None) -> DataFrame:
+        """Posting lists, of some stems or of all; what a list of stems doesn't need isn't read."""
+        rows = self._read("postings", "stem string, url string, positions array<int>, batch int, bucket int")
+        if stems_of is None:
+            return rows
+        known = self.spark.createDataFrame([(s,) for s in stems_of], "stem string")
+        buckets = sorted({r.bucket for r in known.select(self._bucket()).distinct().collect()})
+        return rows.where(F.col("bucket").isin(buckets) & F.col("stem").isin(stems_of))
+
+    def search(self, terms: list[str], match: str = "any") -> DataFrame:
+        """``url, hits``: pages that hold any (or all) of the terms as phrases, with the terms found in the order given.
+
+        The stems of a term stand at its distances; a stop word within a term leaves room for any
+        one word. Posting lists meet on page and start, so a page's text is not read. Terms of stop
+        words alone are left out; if no term is left, no page matches. The terms are a user's own
+        list; a stem may have any number of word forms.
+        """
+        asked = [(n, offset, stem) for n, t in enumerate(terms) for offset, stem in english.phrase(t)]
+        counted = sorted({n for n, _, _ in asked})
+        if not counted:
+            return self.spark.createDataFrame([], "url string, hits array<string>")
+        sizes = {n: len({o for m, o, _ in asked if m == n}) for n in counted}
+        query = self.spark.createDataFrame([(n, o, s, sizes[n]) for n, o, s in asked], "n int, offset int, stem string, size int")
+        lists = self.postings(sorted({s for _, _, s in asked})).join(query, "stem")
+        single = lists.where("size = 1").select("n", "url", "batch")
+        starts = lists.where("size > 1").select("n", "size", "offset", "url", "batch", F.explode("positions").alias("p")).groupBy("n", "size", "url", "batch", (F.col("p") - F.col("offset")).alias("start")).agg(F.count(F.lit(1)).alias("met"))
+        found = single.unionAll(starts.where("met = size").select("n", "url", "batch")).distinct()
+        live = found.join(self.pages().select("url", "batch"), ["url", "batch"], "left_semi")
+        per = live.groupBy("url").agg(F.array_sort(F.collect_set("n")).alias("ns"))
+        names = F.array(*map(F.lit, terms))
+        hits = F.transform("ns", lambda n: F.element_at(names, n + 1))
+        return per.where(F.size("ns") >= (1 if match == "any" else len(counted))).select("url", hits.alias("hits"))
+
+
+def page_text() -> Column:
+    """What a term is looked for in: title, description and text."""
+    return F.concat_ws(" ", "title", "description", "search_text")
 
 
 def _quoted(words: Column) -> Column:
