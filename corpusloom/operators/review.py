@@ -16,16 +16,6 @@ from corpusloom.operators.runs import latest_exclusions, latest_runs, template_h
 from corpusloom.operators.workspace import entries
 
 
-def score_pages(pages: DataFrame, words: list[str]) -> DataFrame:
-    """``url, keep, score`` of every page (``url, text``): the share of the words that it holds, in any case; kept with one or more.
-
-    A null text holds none. At least one word is needed.
-    """
-    text = F.lower(F.coalesce("text", F.lit("")))
-    found = sum((text.contains(w.lower()).cast("int") for w in words), F.lit(0))
-    return pages.select("url", (found > 0).cast("int").alias("keep"), (found / len(words)).alias("score"))
-
-
 def outcomes(totals: DataFrame, asked: DataFrame) -> DataFrame:
     """``run_id, kind, note``: failed (over half unparsed), complete, or incomplete, with the sum that shows it."""
     met = totals.join(asked, "run_id")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.filters import is_usable, keyword_match, of_types, page_key
+from corpusloom.operators.filters import effective_type, is_usable, keyword_text, page_key
+from corpusloom.sources.scratch import cut
 
-#: Most selections that one refresh takes; they are read to the driver.
-MOST = 1000
+#: Letters of keywords that one automaton holds; more take a further pass over the pages.
+KEYWORD_LETTERS = 8_000_000
 
 
 def entries(text: Column) -> Column:
@@ -111,21 +114,64 @@ def suggest_organisations(asked: DataFrame, known: DataFrame, shortest: int = 4,
     return ranked.where(F.col("rank") <= limit).select("id", "slug", "rank")
 
 
-def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame, most: int = MOST) -> DataFrame:
+def keyword_hits(texts: DataFrame, words: DataFrame, letters: int = KEYWORD_LETTERS) -> DataFrame:
+    """``url, word``: each word (``word``, lower case) that a page's text (``url, text``, lower case) holds, as a part of it, once.
+
+    One automaton finds all words in one pass over a text. It goes to every task, so it holds
+    words of ``letters`` letters in all; a longer list is dealt by hash over several, each of which
+    takes a pass. Null texts and empty words hit nothing.
+    """
+    known = cut(words.select("word").where("word <> ''").distinct())
+    size = known.agg(F.sum(F.length("word")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // letters))
+    spark = texts.sparkSession
+
+    def found(block: int) -> DataFrame:
+        some = [r.word for r in known.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == block).collect()]  # bounded by ``letters``
+        shared = spark.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = ahocorasick.Automaton()
+            for word in shared.value:
+                machine.add_word(word, word)
+            machine.make_automaton()
+            for batch in batches:
+                urls, hits = [], []
+                for url, text in zip(batch.column("url").to_pylist(), batch.column("text"), strict=True):
+                    own = {word for _, word in machine.iter(text.as_py())} if text.is_valid and len(machine) else ()
+                    urls += [url] * len(own)
+                    hits += own
+                yield pa.RecordBatch.from_arrays([pa.array(urls, pa.string()), pa.array(hits, pa.string())], ["url", "word"])
+
+        return texts.select("url", "text").mapInArrow(run, "url string, word string")
+
+    return reduce(DataFrame.unionAll, map(found, range(blocks)))
+
+
+def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame) -> DataFrame:
     """``category_id, content_id, url``: the members of every selection, in one pass over the pages.
 
-    The selections are written by hand; more than ``most`` are an error. An empty list filters nothing.
+    Selections (``id, orgs, types, words``) are rows, as many as there may be: each is looked up by
+    its word and organisation, a star where it names none, and a page is entered under each of its
+    words and organisations and under the stars; types are compared where both meet. So no pair is
+    made that doesn't share a word and an organisation, and a selection's lists are multiplied only
+    with each other. Selecting HTML publications keeps all of them, whatever their parents. An empty
+    list filters nothing; a page without organisations meets selections that name none.
     """
-    specs = selections.select("id", *[entries(F.col(c)).alias(c) for c in ("orgs", "types", "words")]).limit(most + 1).collect()
-    if len(specs) > most:
-        raise ValueError(f"more than {most} selections")
-    if not specs:
-        return pages.select(F.lit(0).cast("long").alias("category_id"), page_key().alias("content_id"), "url").where("false")
-    slugs = links.groupBy("url").agg(F.collect_set("organisation_slug").alias("slugs"))
-    in_org = lambda s: F.coalesce(F.arrays_overlap("slugs", F.array(*map(F.lit, s))), F.lit(False)) if s else F.lit(True)
-    member = [F.when(in_org(s.orgs) & of_types(s.types) & keyword_match(s.words), F.lit(s.id).cast("long")) for s in specs]
-    found = pages.where(is_usable()).join(slugs, "url", "left").select(page_key().alias("content_id"), "url", F.explode(F.array_compact(F.array(*member))).alias("category_id"))
-    return found.groupBy("category_id", "content_id").agg(F.min("url").alias("url"))
+    lists = cut(selections.select(F.col("id").cast("long").alias("category_id"), *[entries(F.col(c)).alias(c) for c in ("orgs", "types", "words")]))
+    star = lambda c: F.when(F.size(c) == 0, F.array(F.lit("*"))).otherwise(F.transform(c, lambda x: F.concat(F.lit("="), x)))
+    low = F.array_distinct(F.transform("words", lambda w: F.lower(w)))
+    asked = lists.select("category_id", "types", star(low).alias("words"), F.explode(star(F.col("orgs"))).alias("org")).select("category_id", "types", "org", F.explode("words").alias("word"))
+    usable = pages.where(is_usable())
+    words = lists.select(F.explode(low).alias("word"))
+    hits = keyword_hits(usable.select("url", keyword_text().alias("text")), words)
+    slugs = links.groupBy("url").agg(F.collect_set(F.concat(F.lit("="), "organisation_slug")).alias("held"))
+    kinds = F.array_distinct(F.array_compact(F.array(effective_type(), F.when(F.col("document_type") == "html_publication", F.lit("html_publication")))))
+    facts = usable.select("url", page_key().alias("content_id"), kinds.alias("kinds")).join(slugs, "url", "left")
+    facts = cut(facts.select("url", "content_id", "kinds", F.explode(F.concat(F.array(F.lit("*")), F.coalesce("held", F.array().cast("array<string>")))).alias("org")))
+    entered = facts.withColumn("word", F.lit("*")).unionByName(facts.join(hits.select("url", F.concat(F.lit("="), "word").alias("word")), "url"))
+    met = entered.join(asked, ["word", "org"]).where((F.size("types") == 0) | F.arrays_overlap("types", "kinds"))
+    return met.groupBy("category_id", "content_id").agg(F.min("url").alias("url"))
 
 
 def overview(selections: DataFrame, members: DataFrame, counts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from corpusloom.functions import readability, replies
-from corpusloom.operators import compare, filters, gold, ingest, metrics, payload, review, runs, workspace
+from corpusloom.operators import compare, filters, gold, ingest, metrics, payload, review, runs, scoring, workspace
 from corpusloom.plans import evaluation as ev
 from corpusloom.plans.corpus import _HITS, _held, compared, raw_urls, sitemap
 from corpusloom.plans.corpus import ORACLE_SQL as _CORPUS
@@ -139,8 +139,12 @@ def r_backfill(s, d):
 
 
 def e_score_pages(s, d):
-    pages = content(s, d).select("url", filters.keyword_text().alias("text"))
-    return review.score_pages(pages, WORDS).withColumn("score", F.round("score", 9))
+    """A run that stops after some of its parts and is then continued; the words are the default scorer's."""
+    run = scoring.ScoringRun(s, f"{checkpoint_dir(s)}/scores-{uuid.uuid4().hex}")
+    pages = content(s, d).select("url", "content_hash", filters.keyword_text().alias("text"))
+    run.score(pages, scoring.keyword_scorer(WORDS), parts=[0, 3])
+    run.score(pages, scoring.keyword_scorer(WORDS))
+    return run.results().select("url", "keep", F.round("score", 9).alias("score"))
 
 
 def exclusion_replies(s, d):
