@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 #: What a run stores for each page.
 VERDICT = "url string, content_hash string, keep int, score double, reason string, error string, ms bigint"
-#: Parts that a run is written in; each is kept once it is done.
+#: Parts that a run is written in by default; each is kept once it is done.
 PARTS = 16
 
 
@@ -64,8 +64,8 @@ class ScoringRun:
     nothing. Lost executors repeat their own pages only.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, parts: int = PARTS):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
 
     def results(self) -> DataFrame:
         """The verdicts so far, one a page: ``url, content_hash, keep, score, reason, error, ms``. Of several attempts the last counts."""
@@ -81,7 +81,7 @@ class ScoringRun:
         return self.spark.read.schema(schema).parquet(self.path)
 
     def part(self, url: Column) -> Column:
-        return F.pmod(F.xxhash64(url), F.lit(PARTS)).cast("int")
+        return F.pmod(F.xxhash64(url), F.lit(self.parts)).cast("int")
 
     def pending(self, pages: DataFrame, again: bool = False) -> DataFrame:
         """Pages without a stored row; with ``again`` also those whose last attempt failed. Null urls are left out."""

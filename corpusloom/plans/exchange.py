@@ -108,7 +108,7 @@ def t_run_totals(s, d):
     path, rows = _path(s), repeats(s, d).withColumn("cost", F.col("ms") / 1000.0)
     rows.unionByName(rows.where("doc_id % 2 = 0")).repartition(3).write.parquet(f"{path}/verdicts")
     verdicts = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/verdicts")
-    return streams.drain(streams.run_totals(verdicts)).withColumn("cost", F.round("cost", 6))
+    return streams.keep_run_totals(verdicts, f"{path}/totals").newest(["run_id"]).withColumn("cost", F.round("cost", 6))
 
 
 def src_org_registry(s, d):
@@ -126,11 +126,15 @@ def src_org_registry(s, d):
 
 
 def t_payload_ingest(s, d):
+    """A base, a batch upon it, and a new base made of both."""
     path = _path(s)
     corpus.fetched(s, d).write.parquet(f"{path}/fetched")
-    streams.write_pages(corpus.stored(s, d).select("url", "content_hash", F.lit("crawl").alias("source"), F.lit("t0").alias("first_seen"), F.lit("t1").alias("last_seen"), F.lit("t0").alias("last_changed")), f"{path}/pages", 0)
-    streams.ingest_payloads(s.readStream.schema(corpus.fetched(s, d).schema).parquet(f"{path}/fetched"), f"{path}/pages")
-    return streams.read_pages(s, f"{path}/pages")
+    log = streams.page_log(s, f"{path}/pages")
+    stored = corpus.stored(s, d).select("url", "content_hash", F.lit("crawl").alias("source"), F.lit("t0").alias("first_seen"), F.lit("t1").alias("last_seen"), F.lit("t0").alias("last_changed"))
+    stored.write.parquet(f"{path}/pages/base/version=-1")
+    streams.ingest_payloads(s.readStream.schema(corpus.fetched(s, d).schema).parquet(f"{path}/fetched"), log)
+    log.compact(streams.pages_of(log, 0), 0)
+    return streams.pages_of(log)
 
 
 def src_label_sheet(s, d):

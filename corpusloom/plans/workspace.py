@@ -140,9 +140,9 @@ def r_backfill(s, d):
 
 def e_score_pages(s, d):
     """A run that stops after some of its parts and is then continued; the words are the default scorer's."""
-    run = scoring.ScoringRun(s, f"{checkpoint_dir(s)}/scores-{uuid.uuid4().hex}")
+    run = scoring.ScoringRun(s, f"{checkpoint_dir(s)}/scores-{uuid.uuid4().hex}", 4)
     pages = content(s, d).select("url", "content_hash", filters.keyword_text().alias("text"))
-    run.score(pages, scoring.keyword_scorer(WORDS), parts=[0, 3])
+    run.score(pages, scoring.keyword_scorer(WORDS), parts=[0, 2])
     run.score(pages, scoring.keyword_scorer(WORDS))
     return run.results().select("url", "keep", F.round("score", 9).alias("score"))
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.urls import canonical_url
-from corpusloom.operators.ingest import change_classes, upsert_pages
+from corpusloom.operators.ingest import change_classes
+from corpusloom.sources.changelog import ChangeLog
 from corpusloom.sources.scratch import checkpoint_dir
 
 
@@ -50,45 +50,61 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-#: Parts of a page table, by a hash of the url.
-PARTS = 64
+def keep_run_totals(verdicts: DataFrame, path: str, arrived: str | None = None, late: str = "1 day", checkpoint: str | None = None) -> ChangeLog:
+    """Take in what is there and keep the totals of each run in a change log; only runs that changed are written.
+
+    The stream runs in update mode, so a batch's rows are the runs it changed. A batch that is
+    repeated after a failure replaces what it wrote. ``newest(["run_id"])`` of the log reads the totals.
+    """
+    totals = run_totals(verdicts, arrived, late)
+    log = ChangeLog(verdicts.sparkSession, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in totals.schema))
+    query = totals.writeStream.outputMode("update").foreachBatch(log.write).option("checkpointLocation", checkpoint or f"{path}-log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return log
 
 
-def part_of(url: Column) -> Column:
-    """The part of a page table that a url belongs to; null for null."""
-    return F.when(url.isNotNull(), F.pmod(F.xxhash64(url), F.lit(PARTS))).cast("int")
+#: A page as it was fetched in a batch, and as a page table has it.
+FETCHED = "url string, content_hash string, source string, seen_at string"
+PAGE = "url string, content_hash string, source string, first_seen string, last_seen string, last_changed string"
 
 
-def write_pages(pages: DataFrame, path: str, version: int) -> None:
-    """Pages as a version of their parts; the other parts keep theirs. Written again, it replaces that version."""
-    parted = pages.withColumns({"part": part_of(F.col("url")), "version": F.lit(version)})
-    parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
+def page_log(spark: SparkSession, path: str) -> ChangeLog:
+    """A page table as a change log."""
+    return ChangeLog(spark, path, FETCHED, PAGE)
 
 
-def read_pages(spark: SparkSession, path: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
-    """The newest version of each part (of versions before ``before``, of ``parts`` alone), without the two columns."""
-    every = spark.read.parquet(path)
-    every = every if before is None else every.where(F.col("version") < before)
-    every = every if parts is None else every.where(F.col("part").isin(parts))
-    newest = every.select("part", "version").distinct().groupBy("part").agg(F.max("version").alias("version"))
-    return every.join(F.broadcast(newest), ["part", "version"], "left_semi").drop("part", "version")  # a row a part
+def pages_of(log: ChangeLog, upto: int | None = None) -> DataFrame:
+    """The page table: the base with each later batch's row of a page merged into it, in order, as ``upsert_pages`` does.
+
+    A page has one row a batch at most, so what is gathered for it is bounded by the batches since
+    the last base; ``compact`` keeps these few.
+    """
+    old = log.base().select("url", F.lit(-1).alias("batch"), F.struct("content_hash", "source", "first_seen", "last_seen", "last_changed").alias("page"))
+    first = F.struct(F.col("content_hash"), F.col("source"), F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"), F.lit(None).cast("string").alias("last_changed"))
+    rows = old.unionAll(log.log(upto).select("url", "batch", first.alias("page")))
+    gathered = rows.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("batch", "page"))).alias("rows"))
 
+    def merge(state: Column, row: Column) -> Column:
+        new, at = row["page"], row["page"]["last_seen"]
+        return F.when(row["batch"] < 0, new).otherwise(F.struct(
+            new["content_hash"].alias("content_hash"), F.coalesce(new["source"], state["source"]).alias("source"), F.coalesce(state["first_seen"], new["first_seen"]).alias("first_seen"), at.alias("last_seen"),
+            F.when(~state["content_hash"].eqNullSafe(new["content_hash"]), at).otherwise(state["last_changed"]).alias("last_changed"),
+        ))
 
-def ingest_payloads(fetched: DataFrame, path: str, domain: str = "example.org") -> None:
-    """Merge each batch of fetched payloads into a page table of ``write_pages``; only the parts that a batch touches are rewritten.
+    none = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("content_hash", "source", "first_seen", "last_seen", "last_changed")])
+    return gathered.select("url", F.aggregate("rows", none, merge).alias("x")).select("url", "x.*")
 
-    Batch ``n`` reads versions up to ``n`` and writes version ``n + 1``, so a repeated batch gives
-    the same table.
+
+def ingest_payloads(fetched: DataFrame, log: ChangeLog, domain: str = "example.org", checkpoint: str | None = None) -> None:
+    """Append each batch of fetched payloads (``raw_url, http_status, body, seq``) to a page table's log.
+
+    Of a batch the first row of each page counts, if it was fetched; others are left out. Nothing
+    stored is read, so a batch costs what it holds, and a batch that is repeated replaces itself.
     """
-    spark = fetched.sparkSession
-
-    def merge(batch: DataFrame, n: int) -> None:
-        touched = [r.part for r in batch.select(part_of(canonical_url(F.col("raw_url"), domain)).alias("part")).where("part IS NOT NULL").distinct().collect()]
-        if not touched:
-            return
-        old = read_pages(spark, path, n + 1, touched)
-        seen = change_classes(batch, old, domain).where("change IN ('new', 'changed', 'unchanged')")
-        new = seen.select("url", F.col("new_hash").alias("content_hash"), F.lit("stream").alias("source"), F.lit(str(n)).alias("seen_at"))
-        write_pages(upsert_pages(old, new), path, n + 1)
-
-    fetched.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    nothing = fetched.sparkSession.createDataFrame([], "url string, content_hash string")
+
+    def append(batch: DataFrame, n: int) -> None:
+        seen = change_classes(batch, nothing, domain).where("change = 'new'")
+        log.write(seen.select("url", F.col("new_hash").alias("content_hash"), F.lit("stream").alias("source"), F.lit(str(n)).alias("seen_at")), n)
+
+    fetched.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint or f"{log.path}-log").trigger(availableNow=True).start().awaitTermination()
