@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.filters import page_key
+from corpusloom.operators.paths import follow
 from corpusloom.sources.scratch import cut
 
-MAX_DEPTH = 50
-
 
 def edges_from_both(down: DataFrame, up: DataFrame) -> DataFrame:
     """Distinct parent, child pairs from what parents and what children declare."""
@@ -21,21 +20,20 @@ def children(edges: DataFrame, slug: str) -> DataFrame:
     return edges.where(F.col("parent") == slug).select(F.col("child").alias("slug")).distinct()
 
 
-def expand(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(root, slug)``: for each root all that lies below its seeds (``root, slug``), seeds excluded unless a cycle leads back.
 
-    One join for each level; what was found before is not followed again, so cycles end. Raises
-    beyond ``max_depth`` levels.
+    One join for each level, of what the level before found alone; what was found before is not
+    followed again, so cycles end, and any depth does. No seeds give no rows.
     """
     step = edges.select(F.col("parent").alias("slug"), "child")
     frontier = cut(seeds.join(step, "slug").select("root", F.col("child").alias("slug")).distinct())
     found = frontier
-    for _ in range(max_depth):
+    while True:
         frontier = cut(frontier.join(step, "slug").select("root", F.col("child").alias("slug")).distinct().join(found, ["root", "slug"], "left_anti"))
         if frontier.isEmpty():
             return found
-        found = found.union(frontier)
-    raise RuntimeError(f"hierarchy deeper than {max_depth}")
+        found = cut(found.union(frontier))
 
 
 def descendants(edges: DataFrame, slug: str) -> DataFrame:
@@ -49,36 +47,23 @@ def with_descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.select("root", "slug").union(expand(edges, seeds)).distinct()
 
 
-def forest(edges: DataFrame, counts: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def forest(edges: DataFrame, counts: DataFrame) -> DataFrame:
     """``slug, parent, depth, pages``: each child keeps the parent with most pages, then the first by name.
 
     Loops are left out. A member of a cycle of kept parents is a root, and what hangs on it stays
-    below it. Slugs without a count have 0 pages. No edges give no rows. Raises beyond ``max_depth``.
+    below it. Slugs without a count have 0 pages. No edges give no rows. Cycles and depths are found
+    by path doubling, so any depth does.
     """
     real = edges.where("parent <> child").select("parent", "child")
     sized = real.join(counts.select(F.col("slug").alias("parent"), "pages"), "parent", "left")
-    best = Window.partitionBy("child").orderBy(F.desc(F.coalesce("pages", F.lit(0))), "parent")
-    one = cut(sized.withColumn("n", F.row_number().over(best)).where("n = 1").select("parent", "child"))
-    # What no child is left below lies on no cycle; taken away again and again, only cycles remain.
-    ring = one
-    for _ in range(max_depth + 1):
-        rest = cut(ring.join(ring.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
-        shrunk = rest.count() < ring.count()
-        ring = rest
-        if not shrunk:
-            break
-    else:
-        raise RuntimeError(f"hierarchy deeper than {max_depth}")
-    below = cut(one.join(ring.select("child"), "child", "left_anti").select("parent", "child"))
+    # The greatest by pages, of equals the first by name: combined before the shuffle.
+    one = cut(sized.groupBy("child").agg(F.min_by("parent", F.struct(-F.coalesce("pages", F.lit(0)), "parent")).alias("parent")))
+    ring = follow(one.select(F.col("child").alias("node"), F.col("parent").alias("next"))).where("looped").select(F.col("end").alias("child")).distinct()
+    below = cut(one.join(ring, "child", "left_anti"))
+    depths = follow(below.select(F.col("child").alias("node"), F.col("parent").alias("next"))).select(F.col("node").alias("slug"), F.col("hops").alias("depth"))
     slugs = edges.select(F.col("parent").alias("slug")).union(edges.select("child")).distinct()
-    level = slugs.join(below, F.col("slug") == F.col("child"), "left_anti").select("slug", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = cut(below.join(level.select(F.col("slug").alias("parent")), "parent").select(F.col("child").alias("slug"), "parent", F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return out.join(counts.select("slug", "pages"), "slug", "left").select("slug", "parent", "depth", F.coalesce("pages", F.lit(0)).alias("pages"))
-        out = out.union(level)
-    raise RuntimeError(f"hierarchy deeper than {max_depth}")
+    met = slugs.join(below.select(F.col("child").alias("slug"), "parent"), "slug", "left").join(depths, "slug", "left").join(counts.select("slug", "pages"), "slug", "left")
+    return met.select("slug", "parent", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("pages", F.lit(0)).alias("pages"))
 
 
 def page_counts(pages: DataFrame, links: DataFrame) -> DataFrame:
