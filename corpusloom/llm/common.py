@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -34,25 +36,53 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return "/".join([found.rstrip("/"), spark.sparkContext.applicationId, *_SCOPES])
+
+
+#: Folders within the application's that what is written now goes to.
+_SCOPES: list[str] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written to the scratch folder within this goes to a folder of its own, which is deleted at the end."""
+    _SCOPES.append(f"{name}-{uuid.uuid4().hex}")
+    path = scratch_dir(spark)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has written to the scratch folder; for use when its results are stored elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
+
+
+def discard(spark: SparkSession, df: DataFrame | None) -> None:
+    """Delete the table that ``materialise`` has written for ``df``; null and other DataFrames are left alone."""
+    if path := getattr(df, "scratch_path", None):
+        _delete(spark, path)
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     It cuts the lineage: a lost executor repeats a read, not the work above it, and row ids given
     by ``monotonically_increasing_id`` no longer change.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -8,6 +8,7 @@ import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -299,8 +300,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     key, item = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {key}, item_id {item}, score double, question_overlap double, answer_overlap double"
-    out = None
-    for sent in passes(items, item_id, item_text):
+    kind = to_arrow_type(items.schema[item_id].dataType)
+    done: list[DataFrame] = []
+    for sent, last in with_last(passes(items, item_id, item_text)):
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -315,10 +317,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                 arrays = [batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(names, kind), *(pa.array(x, pa.float64()) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        kind = to_arrow_type(items.schema[item_id].dataType)
         part = rows.mapInArrow(find, schema)
-        out = part if out is None else out.unionAll(part)
-    return spark.createDataFrame([], schema) if out is None else out
+        done.append(part if last else _written(part, sent, "hits"))
+    return reduce(DataFrame.unionAll, done) if done else spark.createDataFrame([], schema)
+
+
+def with_last(items: Iterator) -> Iterator[tuple]:
+    """Each item, and whether it is the last."""
+    before = None
+    for item in items:
+        if before is not None:
+            yield before, False
+        before = item
+    if before is not None:
+        yield before, True
+
+
+def _written(part: DataFrame, sent: Broadcast, name: str) -> DataFrame:
+    """A pass's rows, written; then no task needs its indexes any more, so only one pass's are held at a time."""
+    out = materialise(part, name)
+    sent.unpersist(blocking=False)
+    return out
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -327,14 +346,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     A null or empty text stays, and so does every row if there are no items. Repeated rows are
     judged alike. No rows give no rows; no column is changed, whatever its name.
     """
-    for sent in passes(items, item_id, item_text):
+    for sent, last in with_last(passes(items, item_id, item_text)):
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 split = map(words, batch.column(text_col).to_pylist())
                 yield batch.filter(pa.array([not any(matches(index, tokens) for index in sent.value()) for tokens in split], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        kept = docs.mapInArrow(clean, docs.schema)
+        docs = kept if last else _written(kept, sent, "clean")
     return docs
 
 

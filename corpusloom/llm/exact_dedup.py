@@ -97,12 +97,19 @@ class DigestIndex:
         out._write(self.best(), max(self.batches(), default=0))
         return out
 
-    def best(self, first: int = 0) -> DataFrame:
-        """One row per digest: that of the oldest batch before ``first``, else of the text that goes before. No shuffle."""
+    def best(self, first: int = 0, among: DataFrame | None = None) -> DataFrame:
+        """One row per digest: that of the oldest batch before ``first``, else of the text that goes before. No shuffle of the index.
+
+        ``among`` (one row per ``text_sha256``, with further columns that are kept) limits it to
+        these digests: they meet the index before anything is grouped, so a batch costs what it
+        holds and the sorted read of the index.
+        """
         order = F.struct(F.least("batch", F.lit(first)).alias("age"), _rank("keep_id", "keep_row", "n_chars").alias("rank"))
-        found = self.table().groupBy("text_sha256").agg(F.min(order).alias("best"))
+        more = [] if among is None else [c for c in among.columns if c != "text_sha256"]
+        rows = self.table() if among is None else self.table().join(among.hint("merge"), "text_sha256")
+        found = rows.groupBy("text_sha256").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in more])
         rank = "best.rank"
-        return found.select("text_sha256", F.col(f"{rank}.id").alias("keep_id"), F.col(f"{rank}.row").alias("keep_row"), (-F.col(f"{rank}.minus")).alias("n_chars"), F.col("best.age").alias("age"))
+        return found.select("text_sha256", *more, F.col(f"{rank}.id").alias("keep_id"), F.col(f"{rank}.row").alias("keep_row"), (-F.col(f"{rank}.minus")).alias("n_chars"), F.col("best.age").alias("age"))
 
     def _write(self, rows: DataFrame, batch: int) -> None:
         dealt = rows.select("text_sha256", "keep_id", "keep_row", "n_chars").repartition(self.buckets, "text_sha256")
@@ -164,7 +171,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     for k in range(parts):
         index.append(winners(rows.where(part == k)), first + k, first)
     sizes = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"))
-    named = index.best(first).join(sizes, "text_sha256").select("text_sha256", "group_size", "keep_id", "keep_row", (F.col("age") < first).alias("old"))
+    named = index.best(first, sizes).select("text_sha256", "group_size", "keep_id", "keep_row", (F.col("age") < first).alias("old"))
     # One row a digest on one side, so a digest of very many rows is split.
     joined = rows.join(named.hint("merge"), "text_sha256")
     return joined.select("doc_id", "keep_id", "group_size", (~F.col("old") & (F.col("row_id") == F.col("keep_row"))).alias("kept"), "text_sha256", "n_chars", "row_id")

@@ -55,5 +55,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Merged at every size: what repeats grows with the corpus, so a broadcast would only fit small inputs.
     gone = gone.select(F.col("id").alias("gone_id"), F.col("sum").alias("gone_sum"), "removed").hint("merge")
     met = keyed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("sum") == F.col("gone_sum")), "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    rest = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    # What stays is a difference of sets of positions, so a text of many lines costs as many steps.
+    lines = lines_of(F.col("text"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    rest = F.array_join(F.element_at(F.transform(F.array(lines), lambda own: F.transform(left, lambda i: own[i])), 1), "\n")
     return met.select("doc_id", F.when(F.size("removed") > 0, rest).otherwise(F.col("text")).alias("text"), F.size(lines_of(F.col("text"))).alias("n_lines"), "removed")
