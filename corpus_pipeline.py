@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontamination, exact_dedup, jaccard_join, packing, quality
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import discard, materialise, scratch_dir, scratch_scope
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Each stage's rows are written before the next begins; what a stage wrote on its way, and the rows before it, are deleted then."""
+    docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_dir(spark)
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch_scope(spark, "stage"):
+            kept = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), home)
+        discard(spark, docs)
+        docs = kept
     return docs
