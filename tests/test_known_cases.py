@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import readability
 from corpusloom.functions.bands import freshness_band, reading_band
-from corpusloom.functions.html import html_text, plain_text
+from corpusloom.functions.html import html_text
 from corpusloom.operators import compare, cost, export, gold, hierarchy, ingest, payload, reports
 
 
@@ -21,7 +21,7 @@ def one(spark, value, column, kind="string"):
     ],
 )
 def test_html_text(spark, raw, want):
-    assert plain_text(raw) == want and one(spark, raw, html_text) == want
+    assert one(spark, raw, html_text) == want
 
 
 def test_body_text(spark):
@@ -204,10 +204,10 @@ def test_suggestions(spark):
     assert workspace.unknown_entries(saved, "types", types.limit(0), lambda a: workspace.suggest_types(a, types)).count() == 0
 
 
-def test_decisions():
-    from corpusloom.operators.runs import read_decision
+def test_decisions(spark):
+    from corpusloom.functions.replies import parse_decision
 
-    read = lambda t: (lambda d: (d["keep"], d["score"], d["reason"], d["primary_topic"], d["where_hit"], d["evidence"]))(read_decision(t))
+    read = lambda t: tuple(one(spark, t, parse_decision))
     none = (None,) * 6
     assert read(None) == read("") == read("no {json} here") == none
     assert read('{"keep": true, "score": "0.5", "reason": null}') == (1, 0.5, "", None, None, None)
@@ -257,7 +257,7 @@ def test_bootstrap(spark):
     labels = spark.range(300).select(F.concat(F.lit("u"), "id").alias("url"), F.when(F.col("id") % 2 == 0, "in").otherwise("out").alias("label"))
     keeps = lambda n: labels.select("url", F.when(F.substring("url", 2, 9).cast("int") % n != 0, 1).otherwise(0).alias("keep"))
     row = metrics.bootstrap(labels, keeps(10), metric="recall").first()
-    assert row.point == pytest.approx(0.8) and 0.7 < row.low < 0.8 < row.high < 0.9 and row.draws == 200
+    assert row.point == pytest.approx(0.8) and 0.7 < row.low < 0.8 < row.high < 0.9 and row.draws == 2000
     assert tuple(metrics.bootstrap(labels, keeps(10), metric="recall").first()) == tuple(row)
     other = metrics.bootstrap(labels, keeps(10), keeps(4), "recall").first()
     assert other.point == pytest.approx(0.3) and other.low < 0.3 < other.high

@@ -1,12 +1,7 @@
-"""Stems, phrases and explanations on known words, and the phrase query against brute force."""
+"""Stems, phrases and explanations on known words."""
 
-import re
-
-import __spark_entry__ as entry
-from corpusloom.functions.english import STOP, normalised, stem, tokens
-from corpusloom.operators.phrases import explain_terms, match_phrases
-from corpusloom.plans.lexical import PHRASES
-from corpusloom.plans.roles import content
+from corpusloom.functions.english import STOP, normalised, stem
+from corpusloom.operators.phrases import explain_terms
 
 STEMS = {
     "consigned": "consign", "generously": "generous", "generations": "generat", "skies": "sky", "dying": "die", "flies": "fli", "ties": "tie", "happy": "happi", "say": "say", "gas": "gas", "running": "run",
@@ -26,16 +21,6 @@ def test_normalised():
     assert normalised("of the") is None and normalised("") is None and normalised(None) is None
 
 
-def test_match_phrases(spark):
-    rows = [(1, "Food", "for thoughts"), (2, "food thought", ""), (3, "thought for food", None), (4, None, "FOODS, and thought"), (5, None, None), (6, "a farm", "of foods with thinking; farming"), (6, "a farm", "of foods")]
-    pages = spark.createDataFrame(rows, "id int, title string, search_text string")
-    found = lambda *a: sorted((r.id, r.hits) for r in match_phrases(pages, *a).collect())
-    assert found(["food for thought"]) == [(1, ["food for thought"]), (4, ["food for thought"])]
-    assert found(["farms", "food", "the"], "all") == [(6, ["farms", "food"]), (6, ["farms", "food"])]
-    assert found(["the", ""]) == [] and found([]) == []
-    assert match_phrases(pages.limit(0), ["food"]).count() == 0
-
-
 def test_explain_terms(spark):
     rows = [(2, " Export of Goods "), (3, "export OF goods"), (4, "the"), (5, "Markings"), (6, " "), (7, None), (1, "to be or a b c")]
     said = {r.term: r for r in explain_terms(spark.createDataFrame(rows, "id int, term string")).collect()}
@@ -45,19 +30,3 @@ def test_explain_terms(spark):
     assert said["the"].query is None and said["the"].content_words == [] and not said["the"].is_phrase
     assert said["Markings"].plain.startswith("Matches a page that contains “Markings” anywhere")
     assert "The common words “to”, “be”, “or” and “a” are ignored" in said["to be or a b c"].plain
-
-
-def test_phrase_query(spark):
-    """Each phrase as a pattern over the stems of a page, joined by spaces."""
-    patterns = {"Thanedble the aneas": r"(?<!\S)thanedbl \S+ anea(?!\S)", "the enat with ingor": r"(?<!\S)enat \S+ ingor(?!\S)", "onreing": r"(?<!\S)onr(?!\S)"}
-    assert set(patterns) == set(PHRASES) - {"of the"}
-    for term, pattern in patterns.items():
-        assert all(stem(w) in pattern for w in tokens(term) if w not in STOP)
-    want = []
-    for r in content(spark, "/root/testdata/sf0.01").collect():
-        if not r.is_redirect and r.content_hash is not None and not r.withdrawn:
-            text = " ".join(stem(w) for w in tokens(f"{r.title or ''} {r.search_text or ''}"))
-            hits = [t for t in PHRASES if t in patterns and re.search(patterns[t], text)]
-            want += [(r.url, ",".join(hits))] if hits else []
-    got = sorted(map(tuple, entry.queries()["f_keyword_phrase"](spark, "/root/testdata/sf0.01").collect()))
-    assert got == sorted(want) and {h for _, x in got for h in x.split(",")} == set(patterns)
