@@ -16,7 +16,7 @@ from corpusloom.operators.runs import latest_exclusions, latest_runs, template_h
 from corpusloom.operators.workspace import entries
 
 
-def outcomes(totals: DataFrame, asked: DataFrame) -> DataFrame:
+def run_notes(totals: DataFrame, asked: DataFrame) -> DataFrame:
     """``run_id, kind, note``: failed (over half unparsed), complete, or incomplete, with the sum that shows it."""
     met = totals.join(asked, "run_id")
     kind = F.when(F.col("unparsed") * 2 > F.col("pages"), "failed").when(F.col("pages") >= F.col("asked"), "complete").otherwise("incomplete")
@@ -209,10 +209,34 @@ def cost_efficiency(confusion: DataFrame, cost: float) -> DataFrame:
     return confusion.select("bound", per(F.col("tp") + F.col("tn")).alias("per_correct"), per(F.col("tp")).alias("per_found"))
 
 
-def estimate(prompts: DataFrame, rate: float, factor: float = 1.0, letters: int = 4) -> DataFrame:
-    """Pages, tokens (a token per ``letters`` letters) and cost of sending the prompts once."""
-    tokens = F.sum(F.length("prompt")) / letters * factor
-    return prompts.agg(F.count(F.lit(1)).alias("pages"), tokens.alias("tokens"), (tokens * rate / 1e6).alias("cost"))
+# Tokens that a reply of each phase takes, and the share of pages that the first phase keeps where no run tells.
+REPLY_TOKENS, KEPT_SHARE = (220, 120), 0.75
+
+
+def estimate(first: DataFrame, second: DataFrame, models: DataFrame, totals: DataFrame | None = None, repeats: int = 5, budget: float = 0.0, spent: float = 0.0) -> DataFrame:
+    """What both phases would cost: a row for each pair of models, ``model, second_model, pages, kept_share, first_cost, second_cost, arm_total, total, fits``.
+
+    ``first`` and ``second`` have the rendered prompts (``prompt``) of the same pages; ``models``
+    is ``model, factor, input_rate, output_rate``: tens of rows, with rates for a million tokens and
+    a factor on the usual four letters a token. The second phase reads the share of pages that
+    ``totals`` (``pages, kept`` of the latest first phase, one row) kept. Costs are of one run; an
+    arm's total is that of its first model with every second one, over ``repeats``; ``total`` sums the
+    arms and ``fits`` if it is within what is left of the budget (0: no limit). No pages cost nothing.
+    """
+    letters = lambda df, name: df.agg(F.coalesce(F.sum(F.length("prompt")), F.lit(0)).alias(name), F.count(F.lit(1)).alias(f"{name}_pages"))
+    share = F.lit(KEPT_SHARE) if totals is None else F.col("share")
+    base = letters(first, "one").crossJoin(letters(second, "two"))  # one row each
+    if totals is not None:
+        base = base.crossJoin(totals.agg(F.coalesce(F.sum("kept") / F.nullif(F.sum("pages"), F.lit(0)), F.lit(KEPT_SHARE)).alias("share")))
+    base = base.withColumn("kept_share", share)
+    cost = lambda m, size, pages, reply, part: (F.col(size) / 4 * F.col(f"{m}.factor") * part * F.col(f"{m}.input_rate") + reply * F.col(pages) * part * F.col(f"{m}.output_rate")) / 1e6
+    side = lambda m: models.select(F.struct("model", "factor", "input_rate", "output_rate").alias(m))
+    pairs = side("a").crossJoin(F.broadcast(side("b"))).crossJoin(F.broadcast(base))  # tens of models
+    made = pairs.select(F.col("a.model").alias("model"), F.col("b.model").alias("second_model"), F.col("one_pages").alias("pages"), "kept_share", cost("a", "one", "one_pages", REPLY_TOKENS[0], F.lit(1.0)).alias("first_cost"), cost("b", "two", "two_pages", REPLY_TOKENS[1], F.col("kept_share")).alias("second_cost"))
+    arms = made.groupBy("model").agg(((F.first("first_cost") + F.sum("second_cost")) * repeats).alias("arm_total"))
+    whole = arms.agg(F.sum("arm_total").alias("total"))
+    fits = (F.lit(budget) <= 0) | (F.lit(spent) + F.col("total") <= budget)
+    return made.join(arms, "model").crossJoin(F.broadcast(whole)).withColumn("fits", fits)
 
 
 # Marks that count as the plain ones.

@@ -221,10 +221,21 @@ def input_mix(compared: DataFrame, held: DataFrame, floor: float) -> DataFrame:
     return there.agg(n(F.col("source") == "both").alias("n_both"), n(F.col("source") == "shortlister").alias("n_shortlister"), n((F.col("source") == "search") & over).alias("n_search"))
 
 
-def search_pages_per_run(results: DataFrame, compared: DataFrame) -> DataFrame:
-    """``run_id, n``: pages of each run that only the search found; runs without any are left out."""
-    only = compared.where("source = 'search'").select("url")
-    return results.join(only, "url", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+def search_pages_per_run(runs: DataFrame, results: DataFrame, compared: DataFrame, totals: DataFrame, shortlist_total: int) -> DataFrame:
+    """``run_id, target, src_search, src_corpus``: what each run works towards, and where the pages it evaluated came from.
+
+    ``runs`` has ``run_id, phase, source_run_id, scope_n``. A second phase works towards what its
+    source run kept (null for an unknown one), a run over a list of its own towards that list, others
+    towards the shortlist. Pages that only the search found are ``src_search``, the rest of the run's
+    pages ``src_corpus``; both are null for a second phase.
+    """
+    only = compared.where("source = 'search'").select("url").distinct()
+    found = results.join(only, "url", "left_semi").groupBy("run_id").agg(F.count(F.lit(1)).alias("found"))
+    kept = totals.select(F.col("run_id").alias("source_run_id"), F.col("kept").alias("source_kept"))
+    met = runs.join(found, "run_id", "left").join(totals.select("run_id", "pages"), "run_id", "left").join(kept, "source_run_id", "left")
+    again, n = F.coalesce(F.lower("phase").contains("exclusion"), F.lit(False)), F.coalesce("found", F.lit(0))
+    target = F.when(again, F.col("source_kept")).otherwise(F.coalesce(F.nullif(F.col("scope_n"), F.lit(0)), F.lit(shortlist_total)))
+    return met.select("run_id", target.cast("bigint").alias("target"), F.when(~again, n).alias("src_search"), F.when(~again, F.greatest(F.lit(0), F.coalesce("pages", F.lit(0)) - n)).alias("src_corpus"))
 
 
 def additions(compared: DataFrame, pages: DataFrame, links: DataFrame, registry: DataFrame, floor: float, forwarded: bool = False) -> DataFrame:

@@ -91,7 +91,8 @@ TEMPLATE = "{{INCLUDE}} / {{EXCLUDE}} {{UNKNOWN}}<<<{{TITLE}} | {{DESCRIPTION}}
 def rendered(s, d, template=TEMPLATE, fields=runs.INCLUSION_FIELDS):
     k = F.col("doc_id")
     body = F.sha2(runs.truncate_body(F.col("search_text"), 300), 256)
-    values = {"inclusion": F.when(k % 3 != 0, F.concat(F.lit("in "), k)), "exclusion": F.when(k % 2 == 0, "out"), "keep_hints": F.when(k % 4 == 0, "like this"), "title": F.when(k % 5 != 0, F.substring("title", 1, 10)).otherwise(""), "description": F.lit(None).cast("string"), "body": body}
+    reason = F.when(k % 6 == 0, "it's").when(k % 6 == 1, 'say "x"').when(k % 6 == 2, "both ' and \"").when(k % 6 == 3, "two\nlines \\")
+    values = {"pass1_reason": reason, "inclusion": F.when(k % 3 != 0, F.concat(F.lit("in "), k)), "exclusion": F.when(k % 2 == 0, "out"), "keep_hints": F.when(k % 4 == 0, "like this"), "title": F.when(k % 5 != 0, F.substring("title", 1, 10)).otherwise(""), "description": F.lit(None).cast("string"), "body": body}
     return content(s, d).select("doc_id", runs.render(template, fields, values).alias("prompt"))
 
 
@@ -190,7 +191,7 @@ QUERIES = {
     "e_exclusion_candidates": lambda s, d: runs.exclusion_candidates(detailed(s, d, "a"), second(s, d), 60),
     "e_truncate_body": lambda s, d: table(s, d, "documents").select("doc_id", runs.truncate_body(F.col("text"), 100).alias("body")),
     "e_render_prompt": e_render_prompt,
-    "e_render_legacy": lambda s, d: rendered(s, d, "{{TITLE_LINE}}{{SPEC}}{{KEEP_SECTION}}{{DROP_SECTION}}{{PASS1_TOPIC}}", runs.EXCLUSION_FIELDS),
+    "e_render_legacy": lambda s, d: rendered(s, d, "{{TITLE_LINE}}{{SPEC}}{{KEEP_SECTION}}{{DROP_SECTION}}{{PASS1_TOPIC}} {{PASS1_REASON}}", runs.EXCLUSION_FIELDS),
     "e_template_hash": lambda s, d: table(s, d, "documents").select("doc_id", runs.template_hash(F.col("text")).alias("fingerprint")),
     "e_parse_decision": e_parse_decision,
     "e_confidence": lambda s, d: a_(s, d).select("url", bands.confidence(F.col("score")).alias("confidence"), bands.score_band(F.col("score")).alias("band"), bands.score_bucket(F.col("score")).alias("bucket"), bands.zone(bands.score_bucket(F.col("score"))).alias("zone")),
@@ -305,7 +306,7 @@ ORACLE_SQL = {
     "e_exclusion_candidates": f"WITH {_A}, {_B}, {_SECOND} SELECT url, 'a' || doc_id % 7 AS pass1_reason, CASE WHEN doc_id % 5 <> 0 THEN 't' || doc_id % 5 END AS pass1_topic FROM va WHERE keep = 1 AND url NOT IN (SELECT url FROM second) ORDER BY url LIMIT 60",
     "e_truncate_body": "SELECT doc_id, CASE WHEN length(text) > 100 THEN substr(text, 1, 66) || ' … ' || right(text, 34) ELSE text END AS body FROM documents",
     "e_render_prompt": f"WITH {CONTENT}, p AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'in ' || doc_id ELSE '(not specified)' END || ' / ' || CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '(none given)' END || ' {{{{UNKNOWN}}}}' AS stable, CASE WHEN doc_id % 5 <> 0 AND substr(title, 1, 10) <> '' THEN substr(title, 1, 10) ELSE '(none)' END || ' | (none) | ' || sha256(CASE WHEN length(search_text) > 300 THEN substr(search_text, 1, 200) || ' … ' || right(search_text, 100) ELSE search_text END) AS variable FROM typed) SELECT doc_id, stable || '<<<' || variable AS prompt, stable, variable FROM p",
-    "e_render_legacy": f"WITH {CONTENT} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND substr(title, 1, 10) <> '' THEN 'Page title: ' || substr(title, 1, 10) || chr(10) ELSE '' END || 'Inclusion criteria:' || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN 'in ' || doc_id ELSE '(not specified)' END || chr(10) || chr(10) || 'Exclusion criteria:' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '(none given)' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'KEEP examples (keep = true) — lean toward keeping when similar content appears:' || chr(10) || 'like this' || chr(10) ELSE '' END || '(not given)' AS prompt FROM typed",
+    "e_render_legacy": f"""WITH {CONTENT} SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND substr(title, 1, 10) <> '' THEN 'Page title: ' || substr(title, 1, 10) || chr(10) ELSE '' END || 'Inclusion criteria:' || chr(10) || CASE WHEN doc_id % 3 <> 0 THEN 'in ' || doc_id ELSE '(not specified)' END || chr(10) || chr(10) || 'Exclusion criteria:' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'out' ELSE '(none given)' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'KEEP examples (keep = true) — lean toward keeping when similar content appears:' || chr(10) || 'like this' || chr(10) ELSE '' END || '(not given) ' || CASE doc_id % 6 WHEN 0 THEN '"it''s"' WHEN 1 THEN '''say "x"''' WHEN 2 THEN '''both \\'' and "''' WHEN 3 THEN '''two\\nlines \\\\''' ELSE '''''' END AS prompt FROM typed""",
     "e_template_hash": "SELECT doc_id, substr(sha256(text), 1, 8) AS fingerprint FROM documents",
     "e_parse_decision": f"WITH {_REPLY}, x AS (SELECT *, doc_id % 6 AS m, doc_id % 6 NOT IN (0, 3) AS ok FROM r) SELECT url, CASE WHEN ok THEN keep END AS keep, CASE WHEN ok THEN score END AS score, CASE WHEN ok THEN 'r {{' || doc_id % 3 || '}}' WHEN m = 3 THEN '' END AS reason, CASE WHEN ok THEN 't' || doc_id % 5 END AS primary_topic, CASE WHEN ok THEN 'title' END AS where_hit, CASE WHEN ok THEN 'one {{|two' END AS evidence FROM x",
     "e_confidence": f"WITH {_A} SELECT url, {_CONF} AS confidence, {_BAND} AS band, {_BUCKET} AS bucket, {_ZONE.format(b=_BUCKET)} AS zone FROM va",

@@ -183,9 +183,9 @@ def g_latest_verdicts(s, d):
     return review.latest_verdicts(known, results.unionByName(third.select(F.lit("z").alias("run_id"), *detail[1:]).where("keep IS NULL")))
 
 
-def e_outcome(s, d):
+def e_run_notes(s, d):
     asked = ev.a_(s, d).agg(F.count(F.lit(1)).alias("asked")).select(F.explode(F.array(*map(F.lit, "abc"))).alias("run_id"), "asked")
-    return review.outcomes(runs.run_totals(ev.repeats(s, d)), asked)
+    return review.run_notes(runs.run_totals(ev.repeats(s, d)), asked)
 
 
 def e_run_list(s, d):
@@ -271,6 +271,25 @@ def m_grounding(s, d):
     )).withColumn("share", F.round("share", 9))
 
 
+RUNS = [("a", "inclusion", None, 0), ("b", "Exclusion", "a", None), ("c", "inclusion", None, 12), ("z", "exclusion", "gone", None)]
+
+
+def a_search_pages_per_run(s, d):
+    known = s.createDataFrame(RUNS, "run_id string, phase string, source_run_id string, scope_n int")
+    return workspace.search_pages_per_run(known, ev.repeats(s, d), compared(s, d), runs.run_totals(ev.repeats(s, d)), 321)
+
+
+MODELS = [("small", 1.0, 0.15, 0.6), ("large", 1.3, 3.0, 15.0)]
+
+
+def m_estimate(s, d):
+    """Both phases' prompts of all pages; the first phase's latest run tells how many are kept."""
+    models = s.createDataFrame(MODELS, "model string, factor double, input_rate double, output_rate double")
+    again = ev.rendered(s, d, "{{NAME_UPPER}}: {{PASS1_REASON}} {{TITLE}}", runs.EXCLUSION_FIELDS)
+    made = review.estimate(ev.rendered(s, d), again, models, runs.run_totals(ev.a_(s, d)), 5, 10.0, 1.0)
+    return made.withColumns({c: F.round(c, 6) for c in ("kept_share", "first_cost", "second_cost", "arm_total", "total")})
+
+
 def m_cost_eff(s, d):
     return ev._rounded(review.cost_efficiency(metrics.confusion(gold_labels(s, d), ev.a_(s, d)), 12.5), "per_correct", "per_found")
 
@@ -304,7 +323,7 @@ QUERIES = {
     "a_category_pages": lambda s, d: filters.membership(chosen(s, d)).join(content(s, d).select("url", "title", "document_type"), "url").orderBy("content_id").offset(5).limit(20),
     "a_delete_cascade": a_delete_cascade,
     "a_ai_input_mix": lambda s, d: workspace.input_mix(compared(s, d), _held(s, d), 0.3),
-    "a_search_pages_per_run": lambda s, d: workspace.search_pages_per_run(ev.repeats(s, d), compared(s, d)),
+    "a_search_pages_per_run": a_search_pages_per_run,
     "a_additions_review": a_additions_review,
     "a_feedback_list": a_feedback_list,
     "r_findings": r_findings,
@@ -313,7 +332,7 @@ QUERIES = {
     "e_score_pages": e_score_pages,
     "e_parse_exclusion": e_parse_exclusion,
     "e_exclusion_label": e_exclusion_label,
-    "e_outcome": e_outcome,
+    "e_run_notes": e_run_notes,
     "e_stage_rows": lambda s, d: review.stage_rows(ev.a_(s, d), ev.second(s, d), _SELECTION["f_org_semi"](s, d), chosen_types(s, d), chosen(s, d)),
     "e_enrich_rows": lambda s, d: review.enrich(ev.a_(s, d), content(s, d), hits_of(s, d), ev.second(s, d)),
     "e_review_list": lambda s, d: review.review_list(ev.a_(s, d), 1, ev.second(s, d)),
@@ -331,7 +350,7 @@ QUERIES = {
     "g_strata": lambda s, d: review.label_strata(gold_labels(s, d).withColumns({"band": F.col("doc_id") % 3, "kind": F.when(F.col("doc_id") % 2 == 0, "")}), ["band", "kind"]).withColumn("share_borderline", F.round("share_borderline", 9)),
     "m_end_to_end": lambda s, d: review.end_to_end(ev.a_(s, d), ev.second(s, d)),
     "m_cost_eff": m_cost_eff,
-    "m_estimate": lambda s, d: ev._rounded(review.estimate(ev.rendered(s, d), 0.3), "cost"),
+    "m_estimate": m_estimate,
     "d_body_text": lambda s, d: page_payloads(s, d).select("doc_id", payload.body_text(F.col("payload")).alias("text")),
     "d_html_attachments": lambda s, d: page_payloads(s, d).select("doc_id", F.array_join(payload.html_attachments(F.col("payload")), ",").alias("urls")),
     "d_child_links": lambda s, d: payload.child_links(page_payloads(s, d)),
@@ -398,7 +417,7 @@ ORACLE_SQL = {
       SELECT 'categories' AS name, (SELECT count(*) FROM nation WHERE n_nationkey <> 3) AS n UNION ALL SELECT 'runs', (SELECT count(*) FROM customer WHERE c_custkey % 7 <> 3) UNION ALL SELECT 'results', (SELECT count(*) FROM x WHERE run NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 3)) UNION ALL SELECT 'membership', (SELECT count(*) FROM x WHERE doc_id % 2 = 0 AND cat <> 3) UNION ALL SELECT 'counts', 24
       UNION ALL SELECT 'audit', (SELECT count(*) FROM x WHERE doc_id % 3 = 0 AND cat <> 3) UNION ALL SELECT 'pages', (SELECT count(*) FROM documents) UNION ALL SELECT 'page_organisations', 2 * (SELECT count(*) FROM documents) UNION ALL SELECT 'hierarchy', 3 UNION ALL SELECT 'organisations', (SELECT count(*) FROM slugs)""",
     "a_ai_input_mix": f"WITH {_HITS} SELECT count(*) FILTER (source = 'both') AS n_both, count(*) FILTER (source = 'shortlister') AS n_shortlister, count(*) FILTER (source = 'search' AND coalesce(es_score >= 0.3, true)) AS n_search FROM cmp WHERE url IN (SELECT url FROM typed WHERE doc_id % 5 <> 1)",
-    "a_search_pages_per_run": f"WITH {_HITS}, {ev._REP} SELECT run_id, count(*) AS n FROM rep WHERE url IN (SELECT url FROM cmp WHERE source = 'search') GROUP BY run_id",
+    "a_search_pages_per_run": f"WITH {_HITS}, {ev._REP} , f AS (SELECT run_id, count(*) AS n FROM rep WHERE url IN (SELECT url FROM cmp WHERE source = 'search') GROUP BY run_id), t AS (SELECT run_id, count(*) AS pages, count(*) FILTER (keep = 1) AS kept FROM rep GROUP BY 1), r(run_id, again, source, scope) AS (VALUES ('a', false, NULL, NULL), ('b', true, 'a', NULL), ('c', false, NULL, 12), ('z', true, 'gone', NULL)) SELECT r.run_id, CASE WHEN again THEN x.kept ELSE coalesce(scope, 321) END AS target, CASE WHEN NOT again THEN coalesce(n, 0) END AS src_search, CASE WHEN NOT again THEN greatest(0, coalesce(t.pages, 0) - coalesce(n, 0)) END AS src_corpus FROM r LEFT JOIN f USING (run_id) LEFT JOIN t USING (run_id) LEFT JOIN t x ON x.run_id = r.source",
     "a_additions_review": f"WITH {_HITS}, o AS (SELECT url, string_agg(DISTINCT n, ', ' ORDER BY n) AS organisations FROM (SELECT url, CASE organisation_slug WHEN 'en' THEN 'English office' WHEN 'even' THEN 'Even team' ELSE organisation_slug END AS n FROM po) GROUP BY url), h2 AS (SELECT url FROM typed WHERE doc_id % 5 <> 1 AND content_hash IS NOT NULL AND NOT is_redirect) "
     "SELECT url, title, document_type, phrases, es_score, coalesce(organisations, '') AS organisations, url IN (FROM h2) AS in_corpus, url IN (FROM h2) AND coalesce(es_score >= 0.3, true) AS forwarded FROM cmp LEFT JOIN o USING (url) WHERE source = 'search'",
     "a_feedback_list": "SELECT event_id AS id, CASE WHEN event_id % 9 - 1 BETWEEN 1 AND 5 THEN event_id % 9 - 1 END AS stars FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
@@ -408,7 +427,7 @@ ORACLE_SQL = {
     "e_score_pages": f"WITH {CONTENT}, f AS (SELECT url, contains(kwt, 'thand')::INT + contains(kwt, 'stupid')::INT + contains(kwt, 'elle')::INT AS n FROM typed) SELECT url, (n > 0)::INT AS keep, round(n / 3, 9) AS score FROM f",
     "e_parse_exclusion": f"WITH {_EXCLUDED} SELECT doc_id, keep, CASE WHEN keep IS NOT NULL THEN CASE WHEN hit <> 'None' THEN '[' || hit || '] ' ELSE '' END || said END AS reason FROM x",
     "e_exclusion_label": f"WITH {_EXCLUDED} SELECT doc_id, CASE WHEN keep IS NULL THEN 'KEPT' ELSE CASE hit WHEN 'homonym' THEN 'Excluded as homonym' WHEN 'Wrong_Domain' THEN 'Excluded as wrong domain' ELSE 'KEPT' END END AS label, CASE WHEN keep IS NULL THEN '' WHEN hit = 'fees' THEN '[fees] ' || said ELSE said END AS text FROM x",
-    "e_outcome": f"WITH {ev._REP}, t AS (SELECT run_id, count(*) AS p, count(*) FILTER (keep = 1) AS k, count(*) FILTER (keep = 0) AS x, count(*) FILTER (keep IS NULL) AS u, (SELECT count(*) FROM va) AS a FROM rep GROUP BY run_id) SELECT run_id, CASE WHEN u * 2 > p THEN 'failed' WHEN p >= a THEN 'complete' ELSE 'incomplete' END AS kind, p || ' of ' || a || ': ' || k || ' kept, ' || x || ' dropped, ' || u || ' unparsed' AS note FROM t",
+    "e_run_notes": f"WITH {ev._REP}, t AS (SELECT run_id, count(*) AS p, count(*) FILTER (keep = 1) AS k, count(*) FILTER (keep = 0) AS x, count(*) FILTER (keep IS NULL) AS u, (SELECT count(*) FROM va) AS a FROM rep GROUP BY run_id) SELECT run_id, CASE WHEN u * 2 > p THEN 'failed' WHEN p >= a THEN 'complete' ELSE 'incomplete' END AS kind, p || ' of ' || a || ': ' || k || ' kept, ' || x || ' dropped, ' || u || ' unparsed' AS note FROM t",
     "e_stage_rows": f"{_BASE}, {ev._A}, {ev._B}, {ev._SECOND} SELECT url, 'dept' AS stage FROM typed WHERE usable AND {_ORG} UNION ALL SELECT url, 'doctype' FROM typed WHERE usable AND {_ORG} AND {_TYPE} UNION ALL SELECT url, 'keyword' FROM short UNION ALL SELECT url, 'reached_inclusion' FROM va UNION ALL SELECT url, 'include' FROM va WHERE keep = 1 UNION ALL SELECT url, 'reached_exclusion' FROM va WHERE keep = 1 UNION ALL SELECT url, 'excl_include' FROM va WHERE keep = 0 UNION ALL SELECT url, 'excl_final' FROM second WHERE keep = 0 UNION ALL SELECT url, 'final' FROM second WHERE keep = 1",
     "e_enrich_rows": f"{_BASE}, {_FOUND}, {ev._A}, {ev._B}, {ev._SECOND} SELECT v.url, coalesce(f.hits, '') AS hits, {ev._CONF} AS confidence, CASE keep WHEN 1 THEN 'keep' WHEN 0 THEN 'drop' ELSE 'unparsed' END AS decision, CASE WHEN v.url IN (SELECT url FROM second) THEN 'exclusion' ELSE 'inclusion' END AS furthest FROM va v LEFT JOIN typed t USING (url) LEFT JOIN found f ON f.content_id = t.key",
     "e_review_list": f"WITH {ev._A}, {ev._B}, {ev._SECOND} SELECT url, score FROM va WHERE keep = 1 AND url IN (SELECT url FROM second)",
@@ -430,7 +449,12 @@ ORACLE_SQL = {
     "g_status": f"WITH {_HITS}, {GOLD}, {ev._SHORT}, sent AS (SELECT coalesce(m.url, c.url) AS url, CASE WHEN source = 'search' AND coalesce(es_score < 0.3, false) THEN 'search_below_floor' ELSE coalesce(source, 'shortlister') END AS tag FROM mem m FULL JOIN cmp c ON c.url = m.url) SELECT coalesce(tag, 'gone') AS tag, count(*) AS n, count(*) FILTER (label IS NULL) AS unlabelled, count(*) FILTER (label = 'borderline') AS borderline, count(*) FILTER (t.content_hash <> CASE WHEN g.doc_id % 4 = 0 THEN 'older' ELSE t.content_hash END) AS drifted FROM sent s FULL JOIN (SELECT * FROM gold WHERE url IN (SELECT url FROM typed)) g ON g.url = s.url LEFT JOIN typed t ON t.url = s.url AND t.url = g.url GROUP BY 1",
     "m_end_to_end": f"{_TWO} SELECT url, {_END} AS keep FROM ph",
     "m_cost_eff": f"WITH {GOLD}, {ev._A}, {ev._CELLS.format(v='va')} SELECT bound, round(12.5::DOUBLE / nullif(tp + tn, 0), 9) AS per_correct, round(12.5::DOUBLE / nullif(tp, 0), 9) AS per_found FROM conf",
-    "m_estimate": f"SELECT count(*) AS pages, sum(length(prompt)) / 4 AS tokens, round(sum(length(prompt)) / 4 * 0.3::DOUBLE / 1e6, 9) AS cost FROM ({ev.ORACLE_SQL['e_render_prompt']})",
+    "m_estimate": f"""WITH one AS (SELECT length(prompt) AS n, doc_id FROM ({ev.ORACLE_SQL['e_render_prompt']})), {CONTENT}, two AS (SELECT length('THE TOPIC: ' || CASE doc_id % 6 WHEN 0 THEN 'it''s' WHEN 1 THEN 'say "x"' WHEN 2 THEN 'both '' and "' WHEN 3 THEN 'two' || chr(10) || 'lines ' || chr(92) ELSE '(none)' END || ' ' || CASE WHEN doc_id % 5 <> 0 AND substr(title, 1, 10) <> '' THEN substr(title, 1, 10) ELSE '(none)' END) AS n FROM typed),
+      {ev._A}, k AS (SELECT count(*) FILTER (keep = 1) / count(*) AS share FROM va), b AS (SELECT (SELECT sum(n) FROM one) AS l1, (SELECT sum(n) FROM two) AS l2, (SELECT count(*) FROM one) AS pages, share FROM k),
+      mo(model, f, i, o) AS (VALUES {", ".join(f"('{m}', {f}::DOUBLE, {i}::DOUBLE, {o}::DOUBLE)" for m, f, i, o in MODELS)}),
+      c AS (SELECT a.model, x.model AS second_model, pages, share, (l1 / 4 * a.f * a.i + {review.REPLY_TOKENS[0]} * pages * a.o) / 1e6 AS c1, (l2 / 4 * x.f * share * x.i + {review.REPLY_TOKENS[1]} * pages * share * x.o) / 1e6 AS c2 FROM mo a, mo x, b),
+      r AS (SELECT model, (any_value(c1) + sum(c2)) * 5 AS arm FROM c GROUP BY 1)
+      SELECT c.model, second_model, pages, round(share, 6) AS kept_share, round(c1, 6) AS first_cost, round(c2, 6) AS second_cost, round(arm, 6) AS arm_total, (SELECT round(sum(arm), 6) FROM r) AS total, 1.0 + (SELECT sum(arm) FROM r) <= 10.0 AS fits FROM c JOIN r USING (model)""",
     "d_body_text": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'b' || doc_id || ' one five 5 two' ELSE '' END AS text FROM pay",
     "d_html_attachments": f"WITH {_PAY} SELECT doc_id, CASE WHEN good THEN 'https://www.example.org/d/' || (doc_id + 1) ELSE '' END AS urls FROM pay",
     "d_child_links": f"WITH {_PAY} SELECT url, 'https://www.example.org/d/' || (doc_id + 2) AS child, 'child' AS relation FROM pay WHERE good UNION ALL SELECT url, url || '/' || p, 'part' FROM pay, unnest(['p1', 'p2']) t(p) WHERE good UNION ALL SELECT url, 'https://www.example.org/d/' || (doc_id + 1), 'attachment' FROM pay WHERE good",
