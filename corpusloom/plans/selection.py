@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bands, readability
-from corpusloom.operators import export, filters, reports
+from corpusloom.operators import export, filters, reports, sketches
 from corpusloom.plans.roles import table, ASOF, CONTENT, ORGS, content, organisations
 
 ORG, TYPE, WORDS = ["en", "even"], ["guidance", "policy_paper"], ["thand", "stupid", "elle"]
@@ -118,6 +118,8 @@ QUERIES = {
     "f_effective_type": lambda s, d: content(s, d).select("url", filters.effective_type().alias("type"), filters.of_types(["html_publication", "guidance"]).alias("selected")),
     "f_keyword_substr": lambda s, d: filters.shortlist(content(s, d), organisations(s, d), words=WORDS).select("url"),
     "f_keyword_all": f_keyword_all,
+    "f_dedup_count_approximate": lambda s, d: sketches.approximate_count(sketches.page_sketches(content(s, d), organisations(s, d)), ["en", "even"], ["guidance", "policy_paper"]),
+    "a_org_overlaps_approximate": lambda s, d: sketches.approximate_overlaps(sketches.page_sketches(content(s, d), organisations(s, d))),
     "f_dedup_count": lambda s, d: _short(s, d).agg(F.countDistinct(filters.page_key()).alias("n")),
     "f_dedup_rows": lambda s, d: filters.one_row(_short(s, d)).select("url", "title", "document_type"),
     "f_list": lambda s, d: export.details(_short(s, d), 20, 5),
@@ -177,6 +179,8 @@ ORACLE_SQL = {
     "f_effective_type": f"WITH {CONTENT} SELECT url, eff AS type, eff IN ('html_publication', 'guidance') OR document_type = 'html_publication' AS selected FROM typed",
     "f_keyword_substr": f"WITH {CONTENT} SELECT url FROM typed WHERE usable AND {_WORDS}",
     "f_keyword_all": f"WITH {CONTENT} SELECT url FROM typed WHERE usable AND contains(kwt, 'the ') AND contains(kwt, 'reth')",
+    "f_dedup_count_approximate": f"WITH {CONTENT}, {ORGS} SELECT count(DISTINCT key) AS n FROM typed JOIN po USING (url) WHERE usable AND organisation_slug IN ('en', 'even') AND eff IN ('guidance', 'policy_paper')",
+    "a_org_overlaps_approximate": f"WITH {CONTENT}, {ORGS}, k AS (SELECT DISTINCT organisation_slug AS o, key FROM typed JOIN po USING (url) WHERE usable) SELECT a.o AS a, b.o AS b, count(*) AS n FROM k a JOIN k b ON a.key = b.key AND a.o < b.o GROUP BY 1, 2",
     "f_dedup_count": f"{_BASE} SELECT count(DISTINCT key) AS n FROM short",
     "f_dedup_rows": f"{_BASE}, {_ONE} SELECT url, title, document_type FROM one",
     "f_list": f"{_BASE}, {_ONE} SELECT url, title, CAST(strlen(search_text) AS BIGINT) AS size_bytes, public_updated_at AS updated FROM one ORDER BY url LIMIT 20 OFFSET 5",

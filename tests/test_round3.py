@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import english, replies
 from corpusloom.functions.html import html_text
-from corpusloom.operators import filters, hierarchy, ingest, metrics, paths, phrases, review, runs, scoring, workspace
+from corpusloom.operators import bench, filters, hierarchy, ingest, metrics, paths, phrases, review, runs, scoring, sketches, workspace
 from corpusloom.sources.scratch import checkpoint_dir
 from corpusloom.streaming import streams
 
@@ -377,3 +377,35 @@ def test_common_words_name_no_organisation(spark):
     asked = spark.createDataFrame([(1, "that with about pages this from"), (2, "river documents")], "id int, text string")
     assert len(workspace.COMMON) == 47
     assert [(r.id, r.slug) for r in workspace.suggest_organisations(asked, known).collect()] == [(2, "rivers")]
+
+
+def test_sketches(spark):
+    """Within three of the stated errors of the exact counts, merged from two loads; exact below the entries kept."""
+    page = lambda n, at: spark.range(at, at + n).select(F.concat(F.lit("u"), "id").alias("url"), F.concat(F.lit("k"), (F.col("id") / 2).cast("long")).alias("content_id"), F.lit("guidance").alias("document_type"), F.lit("").alias("parent_document_type"), F.lit(False).alias("is_redirect"), F.lit("h").alias("content_hash"), F.lit(False).alias("withdrawn"), F.col("id"))
+    link = lambda df: df.select("url", F.when(F.col("id") % 4 < 2, "a").otherwise("b").alias("organisation_slug"))
+    made = [sketches.page_sketches(p, link(p), 12) for p in (page(120_000, 0), page(120_000, 60_000))]
+    both = sketches.merged(made[0].unionAll(made[1]), ["organisation_slug", "document_type"], 12)
+    n = lambda *a: sketches.approximate_count(both, *a, entries=12).first().n
+    assert n() == pytest.approx(90_000, rel=3 / 64) and n(["a"]) == pytest.approx(45_000, rel=3 / 64) and n(["c"]) == 0 and n([], ["other"]) == 0
+    few = page(400, 0)
+    assert sketches.approximate_count(sketches.page_sketches(few, link(few))).first().n == 200
+    assert sketches.page_sketches(few.limit(0), link(few)).count() == 0
+
+
+def test_outcomes(spark):
+    """States, codes and sentences of runs, as users read them."""
+    rows = [(1, 1, "inclusion", None, "1", True), (2, 2, "inclusion", None, "1", True), (3, 3, "inclusion", None, "1", False), (4, 4, "inclusion", None, "1", True), (5, 4, "exclusion", 4, "2", True), (6, 5, "inclusion", None, "1", True), (7, 6, "inclusion", None, "1", True)]
+    known = spark.createDataFrame(rows, "run_id long, category_id long, phase string, source_run_id long, started_at string, finished boolean")
+    totals = spark.createDataFrame([(1, 1200, 5, 1195), (2, 10, 4, 6), (4, 10, 4, 6), (5, 4, 2, 2), (6, 3, 0, 3)], "run_id long, pages long, kept long, dropped long")
+    active = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 5), (5, 6), (6, 7)], "category_id long, run_id long")
+    chains = bench.active_chains(known, active, totals, spark.createDataFrame([(1, 2500), (2, 10), (3, 1), (4, 10), (5, 9), (6, 1)], "category_id long, shortlist_total long"))
+    said = {r.active_run: (r.status, r.message) for r in chains.select("active_run", "status", "message").distinct().collect()}
+    assert said[1] == ("incomplete", "inclusion evaluated 1,200 of 2,500 — 1,300 still to do (input ≠ kept + dropped).")
+    assert said[2] == ("incomplete", "Phase 2 (Exclusion) hasn't run over the 4 kept pages.") and said[3] == ("in progress", "inclusion is still in progress.") and said[5] == ("complete", None)
+    stops = spark.createDataFrame([(1, "done", "cap"), (2, "stopped", None), (3, "running", None), (5, "stopped", "error"), (6, "done", "balance")], "run_id long, status string, stop_reason string")
+    results = spark.createDataFrame([(4, None, "length"), (5, 1, "max_tokens"), (5, None, None)], "run_id long, keep int, stop_reason string")
+    got = {r.run_id: r for r in bench.run_outcomes(chains, stops, results, "Look.").collect()}
+    assert (got[1].label, got[1].kind, got[1].why) == ("Did not complete", "warn", f"{said[1][1]} {bench.CAP}")
+    assert got[2].why == bench.UNKNOWN_STOP and (got[3].label, got[3].kind, got[3].why) == ("Not started", "muted", None)
+    assert (got[5].label, got[5].kind, got[5].why, got[5].unparsed, got[5].truncated, got[5].stop_reason) == ("Completed", "good", None, 2, 2, None)
+    assert got[6].kind == "bad" and "Look. Top up" in got[6].why and got[7].label == "Not started"
