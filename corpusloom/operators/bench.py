@@ -58,7 +58,7 @@ def per_run(joined: DataFrame) -> DataFrame:
     )
 
 
-def active_chains(runs: DataFrame, active: DataFrame, totals: DataFrame, shortlists: DataFrame) -> DataFrame:
+def active_chains(runs: DataFrame, active: DataFrame, totals: DataFrame, shortlists: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """``category_id, active_run, run_id, phase, pages, kept, dropped, status, reason, message``: the runs of each active run's lineage.
 
     ``runs`` (``run_id, category_id, phase, source_run_id, started_at, finished``) of one lineage
@@ -90,8 +90,11 @@ def active_chains(runs: DataFrame, active: DataFrame, totals: DataFrame, shortli
         .when(reason == "short", F.concat("x.phase", F.lit(" evaluated "), n(F.col("x.pages")), F.lit(" of "), n(F.col("x.target")), F.lit(" — "), n(F.col("x.target") - F.col("x.pages")), F.lit(" still to do (input ≠ kept + dropped).")))
         .when(reason == "no exclusion", F.concat(F.lit("Phase 2 (Exclusion) hasn't run over the "), n(F.col("waiting")), F.lit(" kept pages.")))
     )
+    working = F.lit(False).alias("alive") if live is None else F.col("alive")
+    alive = said.select("active_run", working) if live is None else met.join(live.select("run_id").distinct(), "run_id", "left_semi").select("active_run", F.lit(True).alias("alive")).distinct()
+    said = said.join(alive, "active_run", "left")
     state = F.when(reason.isNull(), "complete").when(F.col("all_pages") > 0, "partial").otherwise("fresh")
-    status = said.select("active_run", F.when(reason.isNull(), "complete").when(reason == "running", "in progress").otherwise("incomplete").alias("status"), reason.alias("reason"), message.alias("message"), state.alias("state"))
+    status = said.select("active_run", F.when(F.coalesce("alive", F.lit(False)), "in_progress").when(reason.isNull(), "complete").otherwise("incomplete").alias("status"), reason.alias("reason"), message.alias("message"), state.alias("state"))
     return met.join(status, "active_run").select("category_id", "active_run", "run_id", "phase", "pages", "kept", "dropped", "status", "reason", "message", "state")
 
 

@@ -398,10 +398,10 @@ def test_outcomes(spark):
     known = spark.createDataFrame(rows, "run_id long, category_id long, phase string, source_run_id long, started_at string, finished boolean")
     totals = spark.createDataFrame([(1, 1200, 5, 1195), (2, 10, 4, 6), (4, 10, 4, 6), (5, 4, 2, 2), (6, 3, 0, 3)], "run_id long, pages long, kept long, dropped long")
     active = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 5), (5, 6), (6, 7)], "category_id long, run_id long")
-    chains = bench.active_chains(known, active, totals, spark.createDataFrame([(1, 2500), (2, 10), (3, 1), (4, 10), (5, 9), (6, 1)], "category_id long, shortlist_total long"))
+    chains = bench.active_chains(known, active, totals, spark.createDataFrame([(1, 2500), (2, 10), (3, 1), (4, 10), (5, 9), (6, 1)], "category_id long, shortlist_total long"), spark.createDataFrame([(3,)], "run_id long"))
     said = {r.active_run: (r.status, r.message) for r in chains.select("active_run", "status", "message").distinct().collect()}
     assert said[1] == ("incomplete", "inclusion evaluated 1,200 of 2,500 — 1,300 still to do (input ≠ kept + dropped).")
-    assert said[2] == ("incomplete", "Phase 2 (Exclusion) hasn't run over the 4 kept pages.") and said[3] == ("in progress", "inclusion is still in progress.") and said[5] == ("complete", None)
+    assert said[2] == ("incomplete", "Phase 2 (Exclusion) hasn't run over the 4 kept pages.") and said[3] == ("in_progress", "inclusion is still in progress.") and said[5] == ("complete", None)
     stops = spark.createDataFrame([(1, "done", "cap"), (2, "stopped", None), (3, "running", None), (5, "stopped", "error"), (6, "done", "balance")], "run_id long, status string, stop_reason string")
     results = spark.createDataFrame([(4, None, "length"), (5, 1, "max_tokens"), (5, None, None)], "run_id long, keep int, stop_reason string")
     got = {r.run_id: r for r in bench.run_outcomes(chains, stops, results, "Look.").collect()}
