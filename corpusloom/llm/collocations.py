@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ class Index:
             if not part:
                 return np.argsort(rank, kind="stable")
             later = np.zeros(len(x), np.int64)
-            later[: len(x) - done] = ranks[part][done:] + 1
+            later[: max(0, len(x) - done)] = ranks[part][done:] + 1
             key = rank * (int(ranks[part].max()) + 2) + later
             done += part
             if done == depth:
@@ -99,25 +100,41 @@ class Index:
         return np.where(low == high, self.symbols[low], 0)
 
 
-def phrases(index: Index, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each length from 2 on: (ids of the words, a row a phrase; counts; the only word before; the only word after).
+def mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word ids."""
+    out = np.zeros(len(ids), np.uint64)
+    for k in range(ids.shape[1]):
+        out = (out ^ ids[:, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
 
-    Only phrases all of whose neighbours are in ``pairs`` (sorted, first id times 2^32 plus second)
-    are followed: others can't be frequent, as a phrase is no more frequent than a pair in it.
+
+def among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether rows of word ids are among those of the sorted hashes ``known``; a foreign row passes once in 2^64 at each, and is counted in vain."""
+    if not len(known):
+        return np.zeros(len(ids), bool)
+    own = mixed(ids)
+    return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+
+
+def phrases(index: Index, known: dict[int, np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Phrases of ``length`` words, and the known pairs where it is 3: (ids of the words, a row a phrase; counts; the only word before; the only word after).
+
+    ``known`` has the frequent phrases of each length below, as hashes. Only phrases whose first
+    and last words are frequent phrases themselves are followed: others can't be frequent, as a
+    phrase is no more frequent than one in it.
     """
     symbol, n, low, back = index.words()
     ids = index.symbols[symbol][:, None]
-    for _ in range(2, index.depth + 1):
+    for size in range(2, length + 1):
         parent, symbol, n, low, back = index.extend_right(n, low, back)
         ids = np.concatenate([ids[parent], index.symbols[symbol][:, None]], axis=1)
-        key = (ids[:, -2] << 32) | ids[:, -1]
-        if not len(pairs):
-            return
-        good = pairs[np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)] == key
+        good = among(ids, known[size]) if size < length else among(ids[:, 1:], known[size - 1]) if size > 2 else slice(None)
         ids, n, low, back = ids[good], n[good], low[good], back[good]
-        # Nothing is longer than the longest phrases, so these lie inside none.
-        beside = (np.zeros(len(n), np.int64),) * 2 if ids.shape[1] == index.depth else (index.alone(n, low, True), index.alone(n, back, False))
-        yield ids, n, *beside
+        if size == length or size == 2 and length == 3:
+            # Nothing is longer than the longest phrases, so these lie inside none.
+            beside = (np.zeros(len(n), np.int64),) * 2 if size == DEPTH or length == 2 else (index.alone(n, low, True), index.alone(n, back, False))
+            yield ids, n, *beside
 
 
 def build_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -178,12 +195,12 @@ def _ids(shard: pa.Table, local: np.ndarray, known: np.ndarray) -> np.ndarray:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
-    Three rounds over the shards' ids: words are counted; pairs of frequent words are enumerated
-    and summed; phrases of frequent pairs are enumerated by interval extension up to ``DEPTH``
-    words and summed. Each shard gets the frequent words and pairs that it holds itself, by joins,
-    so none of these lists is sent whole. Counts are exact: what is left out in a shard holds a
-    word or a pair that is too rare over all shards. A phrase is dropped if the same word stands
-    before (or after) it in all shards and everywhere, as that longer phrase has its count.
+    Words are counted, then each length up to ``DEPTH`` takes a round over the shards' ids: a
+    shard enumerates the phrases of that length by interval extension, from the frequent words and
+    shorter phrases that it holds itself, and the counts are summed over the shards. None of these
+    lists is sent whole. Counts are exact: what is left out in a shard holds a word or a phrase that
+    is too rare over all shards. A phrase is dropped if the same word stands before (or after) it
+    in all shards and everywhere, as that longer phrase has its count.
 
     ``a`` counts the phrase, ``l`` and ``r`` the two parts of its lowest-scoring cut, ``n`` all words
     of the language; the score is exact for counts below 10^15. Ties go by ``a``, then by phrase in
@@ -198,45 +215,55 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     mapped = local.join(frequent.select("lang", "word", "word_id"), ["lang", "word"])
     mapped = materialise(mapped.select("shard", "at", "word_id"), "mapped")
 
-    def pairs(_, shard: pa.Table, own: pa.Table) -> pa.Table:
-        names = ["pair", "shard", "c"]
-        if not shard.num_rows or not own.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names)
-        index = Index(_ids(shard, own.column("at").to_numpy(), own.column("word_id").to_numpy()), 2)
-        symbol, n, low, back = index.words()
-        parent, second, n, _, _ = index.extend_right(n, low, back)
-        key = (index.symbols[symbol[parent]] << 32) | index.symbols[second]
-        return pa.table([pa.array(key), pa.array(np.full(len(key), shard.column("shard")[0].as_py())), pa.array(n)], names)
-
     ids = shards.select("shard", "ids", "words")
-    seen = ids.groupBy("shard").cogroup(mapped.groupBy("shard")).applyInArrow(pairs, "pair bigint, shard bigint, c bigint")
-    # One row a shard for each pair, so a window holds as many rows as there are shards at most.
-    often = seen.withColumn("f", F.sum("c").over(Window.partitionBy("pair"))).where(F.col("f") >= least)
-    often = materialise(often.select("shard", "pair"), "pairs")
-
-    def longer(_, shard: pa.Table, own: pa.Table) -> pa.Table:
-        names = ["key", "c", "before", "after"]
-        none = pa.table([pa.array([], pa.binary()), *[pa.array([], pa.int64())] * 3], names)
-        place, what = own.column("at").to_numpy(), own.column("what").to_numpy()
-        known = np.sort(what[place == 0])
-        if not shard.num_rows or not len(known):
-            return none
-        # Words in no frequent pair part phrases too.
-        used = np.unique(np.concatenate([known >> 32, known & 0xFFFFFFFF]))
-        keep = (place > 0) & np.isin(what, used)
-        index = Index(_ids(shard, place[keep], what[keep]))
-        out = [none]
-        for rows, n, before, after in phrases(index, known):
-            raw, width = rows.astype(">u4").tobytes(), 4 * rows.shape[1]
-            keys = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(raw)])
-            out.append(pa.table([keys, pa.array(n), pa.array(before.astype(np.int64)), pa.array(after.astype(np.int64))], names))
+    schema = "key binary, shard bigint, c bigint, before bigint, after bigint"
+    facts = mapped.select("shard", "at", "word_id", F.lit(None).cast("binary").alias("key"))
+    found = []
+    for length in range(2, DEPTH + 1):
+        seen = ids.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(_finder(length), schema)
+        # One row a shard for each phrase, so a window holds as many rows as there are shards at most.
+        often = seen.withColumn("f", F.sum("c").over(Window.partitionBy("key"))).where(F.col("f") >= least).drop("f")
+        often = materialise(often, f"phrases-{length}")
+        new = often.where(F.length("key") == 4 * length)
+        facts = facts.unionAll(new.select("shard", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("word_id"), "key"))
+        if length > 2:  # the round for three words meets the pairs again, with the words beside them
+            found.append(often)
+        if new.isEmpty():
+            break
+    same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) > 0)
+    every = reduce(DataFrame.unionAll, found) if found else often.limit(0)
+    candidates = every.groupBy("key").agg(F.sum("c").alias("a"), (same("before") | same("after")).alias("inside"))
+    return rank_phrases(score_phrases(spell(materialise(candidates, "phrases"), frequent), frequent, totals), top)
+
+
+def _finder(length: int):
+    """The map over a shard and what is known of it: the phrases of ``length`` words in it."""
+
+    def phrases_of(_, shard: pa.Table, own: pa.Table) -> pa.Table:
+        names = ["key", "shard", "c", "before", "after"]
+        out = [pa.table([pa.array([], pa.binary()), *[pa.array([], pa.int64())] * 4], names)]
+        if not shard.num_rows or not own.num_rows:
+            return out[0]
+        place, word = own.column("at").to_numpy(), own.column("word_id").to_numpy()
+        keys = own.column("key").drop_null().combine_chunks()
+        sizes = np.diff(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]) if len(keys) else np.empty(0, np.int32)
+        known, used = {}, None
+        for size in range(2, length):
+            rows = np.frombuffer(b"".join(keys.filter(pa.array(sizes == 4 * size)).to_pylist()), ">u4").astype(np.int64).reshape(-1, size)
+            known[size], used = np.sort(mixed(rows)), np.unique(rows)
+        # Words in none of the longest known phrases part phrases, as rare words and pieces do.
+        keep = place > 0 if used is None else (place > 0) & np.isin(word, used)
+        x = _ids(shard, place[keep], word[keep])
+        x = x[(x > 0) | (np.concatenate([[1], x[:-1]]) > 0)]
+        for rows, n, before, after in phrases(Index(x, length), known, length):
+            width = 4 * rows.shape[1]
+            offsets = pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32).tobytes())
+            made = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.astype(">u4").tobytes())])
+            out.append(pa.table([made, pa.array(np.full(len(rows), shard.column("shard")[0].as_py(), np.int64)), pa.array(n), pa.array(before.astype(np.int64)), pa.array(after.astype(np.int64))], names))
         return pa.concat_tables(out)
 
-    facts = mapped.select("shard", F.col("at").cast("bigint").alias("at"), F.col("word_id").alias("what")).unionAll(often.select("shard", F.lit(0).cast("bigint"), F.col("pair")))
-    found = ids.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(longer, "key binary, c bigint, before bigint, after bigint")
-    same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) > 0)
-    candidates = materialise(found.groupBy("key").agg(F.sum("c").alias("a"), (same("before") | same("after")).alias("inside")).where(F.col("a") >= least), "phrases")
-    return rank_phrases(score_phrases(spell(candidates, frequent), frequent, totals), top)
+    phrases_of.__name__ = f"phrases_of_{'two three four five'.split()[length - 2]}"
+    return phrases_of
 
 
 def number_words(counted: DataFrame) -> DataFrame:
