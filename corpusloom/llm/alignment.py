@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +22,8 @@ BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MEMO_WINDOWS = 300_000
 #: Marks the ids of the second tokenizer where both stand in one array.
 _MARK = 1 << 31
+#: The blank that parts two words; further blanks stay with the second.
+_WORD_START = re.compile("(?<=[^ ]) ")
 _SECOND = np.uint32(_MARK)
 
 
@@ -49,20 +53,49 @@ class Pair:
         self.bytes_b = [piece_bytes(self.b.id_to_piece(k)) for k in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
+        # A piece with a blank behind another character would reach over words.
+        self.by_word = not any(" " in x.lstrip(b" ").decode("latin-1") for x in self.bytes_b)
+        self.words: dict[str, bytes | None] = {}
         self.lengths = self.size_a.tolist(), self.size_b.tolist()
+        self.names = tuple([str(k) for k in range(len(t))] for t in (self.bytes_a, self.bytes_b))
         self.memo: dict[bytes, int] = {}
         self.texts: list[bytes] = []
         self.links: list[bytes] = []
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of both for a blank and the text; None where the tokens' bytes differ from these."""
-        data = b" " + text.encode("utf-8", "surrogatepass")
         a = np.frombuffer(self.a(" " + text), "<u4")
-        listed = self.b.encode(text)
         # Byte-level tokens are pieces of the text itself, so they differ from it only if some are missing.
-        if int(self.size_a[a].sum()) != len(data) or b"".join(map(self.bytes_b.__getitem__, listed)) != data:
+        if int(self.size_a[a].sum()) != len(text.encode("utf-8", "surrogatepass")) + 1:
             return None
-        return a, np.array(listed, np.uint32)
+        b = self.encode_second(text)
+        return None if b is None else (a, np.frombuffer(b, np.uint32))
+
+    def encode_second(self, text: str) -> bytes | None:
+        """The second tokenizer's ids of the whole text.
+
+        Where no piece of its vocabulary has a blank behind another character, no merge reaches from
+        a word to the next: a run of blanks and the word behind it are read alike wherever they
+        stand. Each such word is then encoded once a worker and remembered; a test holds the ids
+        against those of whole texts.
+        """
+        if not self.by_word:
+            return self.encode_words([text])[0]
+        if len(self.words) > MEMO_WINDOWS:
+            self.words.clear()
+        known = self.words
+        parts = _WORD_START.split(text) if "  " in text or text[0] == " " else text.split(" ")
+        if new := [w for w in dict.fromkeys(parts) if w not in known]:
+            known.update(zip(new, self.encode_words(new), strict=True))
+        found = [known[w] for w in parts]
+        return None if None in found else b"".join(found)
+
+    def encode_words(self, words: list[str]) -> list[bytes | None]:
+        """The ids of a blank and each word; None where their bytes differ from these. A blank at a text's end is one by itself."""
+        table, blank = self.bytes_b, [self.b.piece_to_id("▁")]
+        ids = [x if w else blank for w, x in zip(words, self.b.encode(words, num_threads=1), strict=True)]
+        same = lambda word, x: b"".join([table[k] for k in x]) == b" " + word.encode("utf-8", "surrogatepass")
+        return [array("I", x).tobytes() if same(w, x) else None for w, x in zip(words, ids, strict=True)]
 
     def align(self, window: bytes) -> int:
         """The number under which a window's groups (as text) and links (as codes) are kept.
@@ -70,20 +103,25 @@ class Pair:
         A window holds the ids of both in the order of their ends, those of the second marked. Where
         both end, the first's id comes just before the second's.
         """
-        groups, links, own = [], [], ([], [])
-        end = [0, 0]
-        for k in np.frombuffer(window, np.uint32).tolist():
-            second = k >= _MARK
-            k -= second * _MARK
-            end[second] += self.lengths[second][k]
-            own[second].append(k)
-            if second and end[0] == end[1]:
-                groups.append(f"{','.join(map(str, own[0]))}|{','.join(map(str, own[1]))}")
-                links.append(own[0][-1] * len(self.bytes_b) + k)
-                own = ([], [])
+        (names_a, names_b), (lengths_a, lengths_b), vocabulary = self.names, self.lengths, len(self.bytes_b)
+        groups, links, own_a, own_b = [], [], [], []
+        end_a = end_b = last = 0
+        for k in memoryview(window).cast("I"):
+            if k < _MARK:
+                end_a += lengths_a[k]
+                own_a.append(names_a[k])
+                last = k
+                continue
+            k -= _MARK
+            end_b += lengths_b[k]
+            own_b.append(names_b[k])
+            if end_a == end_b:
+                groups.append(f"{','.join(own_a)}|{','.join(own_b)}")
+                links.append(last * vocabulary + k)
+                own_a, own_b = [], []
         self.memo[window] = number = len(self.texts)
         self.texts.append(";".join(groups).encode())
-        self.links.append(np.array(links, np.int64).tobytes())
+        self.links.append(array("q", links).tobytes())
         return number
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
