@@ -19,7 +19,7 @@ from corpusloom.llm.packing import ranks_of, tokens_of
 
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Distinct windows whose alignment a worker remembers before it starts anew: it bounds memory and changes no result.
-MEMO_WINDOWS = 300_000
+MEMO_WINDOWS = 500_000
 #: Marks the ids of the second tokenizer where both stand in one array.
 _MARK = 1 << 31
 #: The blank that parts two words; further blanks stay with the second.
