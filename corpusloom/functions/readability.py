@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.numbers import rounded
+
 WORD = "[A-Za-z]+"
 SENTENCE = "[.!?]+"
 # The issue classes with their weights and terms, the star bands and the limits.
@@ -62,12 +64,12 @@ def grade(text: Column, found: Column | None = None) -> Column:
     found = words(text) if found is None else found
     n = F.size(found)
     spoken = F.aggregate(found, F.lit(0), lambda total, w: total + syllables(w))
-    return F.when(n >= 10, F.round(0.39 * n / sentence_count(text) + 11.8 * spoken / n - 15.59, 1))
+    return F.when(n >= 10, rounded(0.39 * n / sentence_count(text) + 11.8 * spoken / n - 15.59, 1))
 
 
 def reading_age(of_grade: Column) -> Column:
     """Grade + 5, at least 5, to one place; null without a grade."""
-    return F.when(of_grade.isNotNull(), F.round(F.greatest(F.lit(5.0), of_grade + 5), 1))
+    return F.when(of_grade.isNotNull(), rounded(F.greatest(F.lit(5.0), of_grade + 5), 1))
 
 
 #: The classes' single words; all else of a class is a phrase.
@@ -114,7 +116,7 @@ def impact(counts: dict[str, Column]) -> Column:
     total = F.lit(0.0)
     for name, n in counts.items():
         total = total + weight[name] * F.log2(1 + n)
-    return F.round(total, 2)
+    return rounded(total, 2)
 
 
 def stars(of_impact: Column, n_words: Column) -> Column:
