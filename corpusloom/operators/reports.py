@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.bands import freshness_band
+from corpusloom.functions.numbers import rounded
 from corpusloom.operators.filters import effective_type, has_keyword, keyword_match, of_types, page_key
 
 #: Organisations that a breakdown lists.
@@ -112,7 +113,7 @@ def run_health(runs: DataFrame, newest: int = 7) -> DataFrame:
     count = lambda keys: F.aggregate(F.map_values(keys), F.lit(0).cast("long"), lambda n, v: n + F.coalesce(v, F.lit(0.0)).cast("long"))
     bad = count(F.map_filter("c", lambda k, _: k.isin(*FAILED)))
     good = count(F.map_filter("c", lambda k, _: ~k.isin(*FAILED, *TOTALS)))
-    seconds = F.round(F.unix_micros(F.try_to_timestamp("finished_at")) / 1e6 - F.unix_micros(F.try_to_timestamp("started_at")) / 1e6, 1)
+    seconds = rounded(F.unix_micros(F.try_to_timestamp("finished_at")) / 1e6 - F.unix_micros(F.try_to_timestamp("started_at")) / 1e6, 1)
     met = last.withColumn("c", held).withColumns({"errors": bad, "processed": good})
     rate = F.when(F.col("errors") + F.col("processed") > 0, F.col("processed") * 100.0 / (F.col("errors") + F.col("processed"))).otherwise(100.0)
     return met.select("run_id", "stage", "status", "started_at", seconds.alias("elapsed_s"), "errors", "processed", rate.alias("success_rate"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions import bands
+from corpusloom.functions.numbers import rounded
 from corpusloom.functions.replies import parse_decision, quotes
 from corpusloom.operators import cost, filters, gold, metrics, reports, runs
 from corpusloom.plans.corpus import _HITS, compared
@@ -173,16 +174,16 @@ def e_candidates(s, d):
 
 def g_agreement(s, d):
     out = gold.pair_agreement(gold.latest_votes(votes(s, d)))
-    return out.select("a", "b", "n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
+    return out.select("a", "b", "n", rounded("agreement", 9).alias("agreement"), rounded("kappa", 9).alias("kappa"))
 
 
 def _rounded(df, *names):
-    return df.withColumns({n: F.round(n, 9) for n in names})
+    return df.withColumns({n: rounded(n, 9) for n in names})
 
 
 def _footprints(df):
     """Sums of money to so many places as their order of adding leaves alone, all else to nine."""
-    return df.withColumns({c: F.round(c, 6 if "cost" in c else 9) for c, kind in df.dtypes if kind == "double"})
+    return df.withColumns({c: rounded(c, 6 if "cost" in c else 9) for c, kind in df.dtypes if kind == "double"})
 
 
 QUERIES = {
@@ -195,7 +196,7 @@ QUERIES = {
     "e_template_hash": lambda s, d: table(s, d, "documents").select("doc_id", runs.template_hash(F.col("text")).alias("fingerprint")),
     "e_parse_decision": e_parse_decision,
     "e_confidence": lambda s, d: a_(s, d).select("url", bands.confidence(F.col("score")).alias("confidence"), bands.score_band(F.col("score")).alias("band"), bands.score_bucket(F.col("score")).alias("bucket"), bands.zone(bands.score_bucket(F.col("score"))).alias("zone")),
-    "e_run_totals": lambda s, d: runs.run_totals(repeats(s, d), spent(s, d)).withColumn("cost", F.round("cost", 6)),
+    "e_run_totals": lambda s, d: runs.run_totals(repeats(s, d), spent(s, d)).withColumn("cost", rounded("cost", 6)),
     "e_latest_runs": lambda s, d: runs.latest_runs(run_table(s, d)),
     "e_latest_exclusions": lambda s, d: runs.latest_exclusions(run_table(s, d).withColumn("source_run_id", F.floor(F.col("source_run_id") / 5) * 5)),
     "e_reusable_runs": e_reusable_runs,
@@ -217,10 +218,10 @@ QUERIES = {
     "n_overall": lambda s, d: _rounded(runs.overall_compare((a_(s, d), second(s, d)), (b_(s, d), verdicts(s, d, "c"))), "agreement", "mean_delta"),
     "n_discriminability": lambda s, d: _rounded(runs.discriminability(a_(s, d)), "borderline_pct", "top_score", "top_share"),
     "n_score_histogram": lambda s, d: runs.histogram(a_(s, d)),
-    "g_weight": lambda s, d: table(s, d, "customer").select("c_custkey", F.round(gold.weight(F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") % 7 / 5)), 9).alias("weight")),
+    "g_weight": lambda s, d: table(s, d, "customer").select("c_custkey", rounded(gold.weight(F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") % 7 / 5)), 9).alias("weight")),
     "g_forwarded": lambda s, d: gold.forwarded(filters.membership(short(s, d)), compared(s, d), 0.3),
     "g_stratified_order": lambda s, d: gold.stratified_order(gold_labels(s, d), ["label"], "s1").select("url", "position"),
-    "g_sample": lambda s, d: gold.sample(gold_labels(s, d), "label", 40, "s1").select("url", "label", "rn", F.round("fraction", 9).alias("fraction"), F.round(gold.weight(F.col("fraction")), 9).alias("weight")),
+    "g_sample": lambda s, d: gold.sample(gold_labels(s, d), "label", 40, "s1").select("url", "label", "rn", rounded("fraction", 9).alias("fraction"), rounded(gold.weight(F.col("fraction")), 9).alias("weight")),
     "g_votes": lambda s, d: gold.latest_votes(votes(s, d)),
     "g_consensus": g_consensus,
     "g_disagreements": lambda s, d: gold.disagreements(voted(s, d)),
@@ -245,13 +246,13 @@ QUERIES = {
     "m_bootstrap_difference": lambda s, d: _rounded(metrics.bootstrap(gold_labels(s, d), a_(s, d), b_(s, d), "f1", bound="in"), "point", "low", "high"),
     "k_usage_norm": lambda s, d: usage_rows(s, d).select("event_id", *cost.usage(F.col("payload"))),
     "k_peak": lambda s, d: table(s, d, "events").select("event_id", cost.is_peak(F.col("ts"), BITMAP).alias("peak")),
-    "k_call_cost": lambda s, d: priced(s, d).select("event_id", F.round("cost", 9).alias("cost")),
+    "k_call_cost": lambda s, d: priced(s, d).select("event_id", rounded("cost", 9).alias("cost")),
     "k_footprint": lambda s, d: _rounded(cost.footprint(ledger(s, d).withColumn("total", F.col("miss") + F.col("hit"))), "amount"),
     "k_footprint_summary": lambda s, d: _footprints(cost.footprint_summary(paid_runs(s, d))),
     "k_equivalents": lambda s, d: _rounded(cost.equivalents(cost.footprint(ledger(s, d).withColumn("total", F.col("miss") + F.col("hit")))), "amount"),
-    "k_data_issues": lambda s, d: cost.data_issues(paid_runs(s, d)).select("run_id", F.round("cost", 6).alias("cost")),
+    "k_data_issues": lambda s, d: cost.data_issues(paid_runs(s, d)).select("run_id", rounded("cost", 6).alias("cost")),
     "a_spend_by_phase": lambda s, d: _rounded(reports.spend_by_phase(priced(s, d)), "spend"),
-    "a_spend_by_day": lambda s, d: reports.spend_by_day(priced(s, d)).select("day", F.round("spend", 6).alias("spend"), F.round("running", 6).alias("running")),
+    "a_spend_by_day": lambda s, d: reports.spend_by_day(priced(s, d)).select("day", rounded("spend", 6).alias("spend"), rounded("running", 6).alias("running")),
     "a_run_health": lambda s, d: _rounded(reports.run_health(counted_runs(s, d), 40), "success_rate"),
     "a_runs_active": lambda s, d: reports.running(counted_runs(s, d)),
     "a_fetch_log": lambda s, d: reports.fetch_counters(_run_log(s, d), ["click", "error", "purchase", "view"]),

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.numbers import rounded
 from corpusloom.operators import export, filters, reports
 from corpusloom.plans import corpus
 from corpusloom.plans import evaluation as ev
@@ -100,7 +101,7 @@ def t_fetch_health(s, d):
 
 def t_error_share(s, d):
     log = streams.read_stream(s, d, "events.parquet", table(s, d, "events").schema)
-    return streams.drain(streams.error_share(log)).select(F.to_date("start").alias("day"), "n", "errors", F.round("share", 9).alias("share"))
+    return streams.drain(streams.error_share(log)).select(F.to_date("start").alias("day"), "n", "errors", rounded("share", 9).alias("share"))
 
 
 def t_run_totals(s, d):
@@ -108,7 +109,7 @@ def t_run_totals(s, d):
     path, rows = _path(s), repeats(s, d).withColumn("cost", F.col("ms") / 1000.0)
     rows.unionByName(rows.where("doc_id % 2 = 0")).repartition(3).write.parquet(f"{path}/verdicts")
     verdicts = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/verdicts")
-    return streams.keep_run_totals(verdicts, f"{path}/totals").newest(["run_id"]).withColumn("cost", F.round("cost", 6))
+    return streams.keep_run_totals(verdicts, f"{path}/totals").newest(["run_id"]).withColumn("cost", rounded("cost", 6))
 
 
 def src_org_registry(s, d):
