@@ -33,7 +33,7 @@ def _character(number: Column) -> Column:
     )
 
 
-def _decoded(piece: Column) -> Column:
+def _decoded(piece: Column, bare_names: bool) -> Column:
     """What follows an ampersand, with its reference read; the ampersand stays where there is none."""
     number = F.regexp_extract(piece, r"^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
     digits = F.regexp_replace(number, "^[xX]?0*(?=.)", "")
@@ -41,7 +41,7 @@ def _decoded(piece: Column) -> Column:
     value = F.when(F.lower(F.substring(number, 1, 1)) == "x", F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
     of_number = _character(F.when(F.length(digits) <= 7, value.cast("bigint")))
     name = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]{0,31};", 0)
-    bare = F.regexp_extract(piece, f"^(?:{_BARE})", 0)
+    bare = F.regexp_extract(piece, f"^(?:{_BARE})", 0) if bare_names else F.lit("")
     table = F.from_json(F.lit(_NAMED), "map<string,string>")
     whole = F.when(name != "", F.try_element_at(table, name))
     rest = lambda n: F.substring(piece, n + 1, F.length(piece))
@@ -53,25 +53,26 @@ def _decoded(piece: Column) -> Column:
     )
 
 
-def unescape(text: Column) -> Column:
-    """Character references read once: by number, by name, and the old names also without a semicolon."""
-    pieces = F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_decoded(p)))
+def unescape(text: Column, bare_names: bool = True) -> Column:
+    """Character references read once: by number, by name, and with ``bare_names`` the old names also without a semicolon."""
+    pieces = F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(_decoded(p, bare_names)))
     return F.array_join(pieces, "")
 
 
-def html_text(raw: Column) -> Column:
+def html_text(raw: Column, bare_names: bool = True) -> Column:
     """Entities read, then tags taken away; runs of blanks become one. Null and empty give an empty text.
 
     The ends of blocks, and blocks that end themselves, part words. Scripts and styles are no text;
     neither are comments, declarations, and a tag that is cut off at the end. The text left between
-    tags has its references read once more, as it may come from an escaped document.
+    tags has its references read once more, as it may come from an escaped document. Without ``bare_names`` a
+    name that has lost its semicolon, as where a text was cut, stays text.
     """
-    text = unescape(F.coalesce(raw, F.lit("")))
+    text = unescape(F.coalesce(raw, F.lit("")), bare_names)
     text = F.regexp_replace(text, r"(?s)<!--.*?(?:--!?>|\z)", "")
     text = F.regexp_replace(text, rf"(?is)<({SILENT})(?=[\s/>]){_INSIDE}(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*(?:>|\z)|\z)", "")
     text = F.regexp_replace(text, rf"(?i)</(?:{PARTING})(?=[\s/>])[^>]*>|<(?:{PARTING})(?=[\s/>]){_INSIDE}(?<=/)>", " ")
     text = F.regexp_replace(text, rf"</[A-Za-z][^>]*(?:>|\z)|<[!?/][^>]*(?:>|\z)|<[A-Za-z]{_INSIDE}(?:>|\z)", "")
-    return F.regexp_replace(F.regexp_replace(unescape(text), r"(?U)\s+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(unescape(text, bare_names), r"(?U)\s+", " "), "^ | $", "")
 
 
 def bodies_text(bodies: Column) -> Column:

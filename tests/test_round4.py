@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.html import html_text
 from corpusloom.operators import sketches
 
 
@@ -15,3 +16,8 @@ def test_sketches_in_parts_are_exact(spark):
     assert parts == 15 and sketches.parts_for(0) == sketches.parts_for(8192) == 1
     assert [sketches.approximate_count(made, *a).first().n for a in ([], [["a"]], [["b"], ["guidance"]], [["c"]])] == [60_000, 40_000, 40_000, 0]
     assert [tuple(r) for r in sketches.approximate_overlaps(made).collect()] == [("a", "b", 20_000)]
+
+
+def test_names_without_a_semicolon(spark):
+    df = spark.createDataFrame([("x &amp y &copy; &ampz &amp;",)], "t string")
+    assert df.select(html_text(df.t), html_text(df.t, bare_names=False)).first()[:] == ("x & y © &z &", "x &amp y © &ampz &")
