@@ -84,14 +84,14 @@ def src_bundle(s, d):
 
 def legacy(s, d):
     docs, k = table(s, d, "documents"), F.col("doc_id")
-    pages = corpus.raw_urls(s, d).select(F.col("raw").alias("url"), F.when(k % 9 != 0, F.col("text")).otherwise("").alias("content"), F.when(k % 8 == 0, "redirect").otherwise("guidance").alias("document_type"), F.concat(F.lit("t"), k).alias("title"))
+    pages = corpus.raw_urls(s, d).select(F.col("raw").alias("url"), F.when(k % 9 != 0, F.col("text")).otherwise("").alias("content"), F.when(k % 8 == 0, "redirect").otherwise("guidance").alias("document_type"), F.concat(F.lit("t"), k).alias("title"), "doc_id")
     sitemap = docs.where(k % 2 == 0).select(F.concat(F.lit("https://example.org/d/"), k, F.lit("/")).alias("url"), F.concat(F.lit("2026-"), k % 12).alias("lastmod")).union(docs.where(k % 50 == 0).select(F.lit("nowhere"), F.lit(None)))
     return pages, sitemap
 
 
 def src_legacy_import(s, d):
     target = table(s, d, "documents").where("doc_id % 7 = 0").select(F.concat(F.lit("https://www.example.org/d/"), "doc_id").alias("url"))
-    return readers.legacy_rows(*legacy(s, d), target).drop("content")
+    return readers.legacy_rows(*legacy(s, d), target, order="doc_id").drop("content")
 
 
 def t_fetch_health(s, d):

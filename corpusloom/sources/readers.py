@@ -36,17 +36,21 @@ def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def legacy_rows(pages: DataFrame, sitemap: DataFrame, target: DataFrame, domain: str = "example.org") -> DataFrame:
+def legacy_rows(pages: DataFrame, sitemap: DataFrame, target: DataFrame, domain: str = "example.org", order: str | None = None) -> DataFrame:
     """Insert or ignore: rows of an old page table that ``target`` (``url``) lacks, in the present form.
 
     ``url`` canonical (rows without are left out; of several spellings of one the first as text
-    stays), ``content, content_hash, source`` (sitemap where the old sitemap lists the url, else
-    other), ``document_type, title, is_redirect, lastmod``. An empty body has no hash.
+    stays, of rows of one spelling the first by the column ``order`` and then by what they hold),
+    ``content, content_hash, source`` (sitemap where the old sitemap lists the url, else other),
+    ``document_type, title, is_redirect, lastmod``. An empty body has no hash.
     """
     own = pages.withColumn("key", canonical_url(F.col("url"), domain)).where("key IS NOT NULL")
-    first = own.groupBy("key").agg(F.min("url").alias("url"))
+    held = [*([order] if order else []), "title", "document_type"]
+    # The rows' bodies are told apart by hash, so none is shuffled to be compared.
+    ranked = own.withColumn("at", F.struct("url", *held, F.sha2("content", 256)))
+    first = ranked.groupBy("key").agg(F.min("at").alias("at"))
     listed = sitemap.select(canonical_url(F.col("url"), domain).alias("key"), "lastmod").where("key IS NOT NULL").groupBy("key").agg(F.max("lastmod").alias("lastmod"), F.lit("sitemap").alias("listed"))
-    met = own.join(first, ["key", "url"], "left_semi").dropDuplicates(["key"]).join(listed, "key", "left").join(target.select(F.col("url").alias("key")), "key", "left_anti")
+    met = ranked.join(first, ["key", "at"], "left_semi").dropDuplicates(["key"]).join(listed, "key", "left").join(target.select(F.col("url").alias("key")), "key", "left_anti")
     return met.select(
         F.col("key").alias("url"), "content", F.when(F.col("content") != "", content_hash(F.col("content"))).alias("content_hash"), F.coalesce("listed", F.lit("other")).alias("source"), "document_type", "title",
         (F.coalesce("document_type", F.lit("")) == "redirect").alias("is_redirect"), "lastmod",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.html import html_text
 from corpusloom.operators import sketches
+from corpusloom.sources import readers
 
 
 def test_sketches_in_parts_are_exact(spark):
@@ -21,3 +22,13 @@ def test_sketches_in_parts_are_exact(spark):
 def test_names_without_a_semicolon(spark):
     df = spark.createDataFrame([("x &amp y &copy; &ampz &amp;",)], "t string")
     assert df.select(html_text(df.t), html_text(df.t, bare_names=False)).first()[:] == ("x & y © &z &", "x &amp y © &ampz &")
+
+
+def test_legacy_rows_of_one_spelling(spark):
+    """The first row by order stays, wherever it lies; without an order the least by what it holds."""
+    rows = [("https://example.org/", f"text {n}", "guidance", f"t{n}", n) for n in (107, 9, 27, 7, 1007)] + [("https://example.org/a", None, None, None, 3)] * 2
+    pages = spark.createDataFrame(rows, "url string, content string, document_type string, title string, n int").repartition(5)
+    none = spark.createDataFrame([], "url string, lastmod string")
+    got = lambda **k: {(r.url, r.title, r.content) for r in readers.legacy_rows(pages, none, none, **k).collect()}
+    assert got(order="n") == {("https://www.example.org/", "t7", "text 7"), ("https://www.example.org/a", None, None)}
+    assert got() == {("https://www.example.org/", "t1007", "text 1007"), ("https://www.example.org/a", None, None)}
