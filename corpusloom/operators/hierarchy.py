@@ -24,13 +24,14 @@ def expand(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(root, slug)``: for each root all that lies below its seeds (``root, slug``), seeds excluded unless a cycle leads back.
 
     One join for each level, of what the level before found alone; what was found before is not
-    followed again, so cycles end, and any depth does. No seeds give no rows.
+    followed again, so cycles end, and any depth does. No seeds give no rows. The joins are merged at
+    every size: edges and what is found grow with the input, and each level would broadcast them anew.
     """
-    step = edges.select(F.col("parent").alias("slug"), "child")
+    step = edges.select(F.col("parent").alias("slug"), "child").hint("merge")
     frontier = cut(seeds.join(step, "slug").select("root", F.col("child").alias("slug")).distinct())
     found = frontier
     while True:
-        frontier = cut(frontier.join(step, "slug").select("root", F.col("child").alias("slug")).distinct().join(found, ["root", "slug"], "left_anti"))
+        frontier = cut(frontier.join(step, "slug").select("root", F.col("child").alias("slug")).distinct().join(found.hint("merge"), ["root", "slug"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = cut(found.union(frontier))

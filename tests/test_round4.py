@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from corpusloom.functions.html import html_text
-from corpusloom.operators import sketches
+from corpusloom.operators import hierarchy, sketches
 from corpusloom.sources import readers
 
 
@@ -32,3 +32,19 @@ def test_legacy_rows_of_one_spelling(spark):
     got = lambda **k: {(r.url, r.title, r.content) for r in readers.legacy_rows(pages, none, none, **k).collect()}
     assert got(order="n") == {("https://www.example.org/", "t7", "text 7"), ("https://www.example.org/a", None, None)}
     assert got() == {("https://www.example.org/", "t1007", "text 1007"), ("https://www.example.org/a", None, None)}
+
+
+def test_expand_broadcasts_nothing(spark, monkeypatch):
+    """Levels would broadcast the edges or what was found again and again; results with a cycle."""
+    plans = []
+
+    def cut(df, real=hierarchy.cut):
+        done = real(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return done
+
+    monkeypatch.setattr(hierarchy, "cut", cut)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("x", "y")], "parent string, child string")
+    seeds = spark.createDataFrame([("r", "a"), ("q", "x"), ("q", "y")], "root string, slug string")
+    assert {tuple(r) for r in hierarchy.expand(edges, seeds).collect()} == {("r", "b"), ("r", "c"), ("r", "d"), ("q", "y")}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
