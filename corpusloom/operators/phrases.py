@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions import english
 
-
-@F.pandas_udf(StringType())
-def stems(words: pd.Series) -> pd.Series:
-    return words.map(english.stem)
-
-
 #: The units of a lower-case text, as ``english.units`` finds them.
 UNIT = r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+|(?:[\p{L}\p{N}][\p{L}\p{N}-]*\.)+[a-z][a-z]+(?:/[^\s\"'<>]*)?|[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)+|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)+|[\p{L}\p{N}]+"
+#: A word that nothing joins to what follows is a unit of its own: most are, and need none of the longer forms tried.
+_ALONE = r"[\p{L}\p{N}]++(?![._%+@-])"
+
+
+def whole_units(text: Column) -> Column:
+    """The words and units of a text in lower case, in order, without their parts; null has none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{_ALONE}|{UNIT}"), F.lit(0))
 
 
 def unit_list(text: Column) -> Column:
     """The words and units of a text in lower case, in order; null has none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
+    found = whole_units(text)
     at = lambda u: F.locate("/", u)
     parts = lambda u: (
         F.when(F.contains(u, F.lit("@")), F.array(u))
@@ -32,6 +37,35 @@ def unit_list(text: Column) -> Column:
     return F.flatten(F.transform(found, parts))
 
 
+def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``stem, url, positions`` of pages (``url, units``), stop words left out; a page's lists never leave its task.
+
+    Each different unit of a batch is cut into its parts and stemmed once, and all its places follow as arrays.
+    """
+    for batch in batches:
+        held = batch.column("units")
+        coded = held.flatten().dictionary_encode()
+        pieces = [english.parts(u) for u in coded.dictionary.to_pylist()]
+        words = [w for p in pieces for w in p]
+        known: dict[str, int] = {}
+        stem_of = np.array([-1 if w in english.STOP else known.setdefault(english.stem(w), len(known)) for w in words], np.int64)
+        size = np.array([len(p) for p in pieces], np.int64)
+        unit = coded.indices.to_numpy(zero_copy_only=False)
+        each = size[unit]
+        # The parts of all units in order, and the page and place of each.
+        part = np.repeat((np.cumsum(size) - size)[unit] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False))])]
+        page = np.repeat(np.arange(len(held)), np.diff(ends))
+        at = np.arange(len(page)) - ends[page]
+        stem = stem_of[part]
+        kept = np.flatnonzero(stem >= 0)
+        group = page[kept] * max(1, len(known)) + stem[kept]
+        kept = kept[order := np.argsort(group, kind="stable")]
+        first = np.flatnonzero(np.diff(group[order], prepend=-1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(kept)), pa.int32()), pa.array(at[kept], pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()).take(pa.array(stem[kept[first]])), batch.column("url").take(pa.array(page[kept[first]])), positions], ["stem", "url", "positions"])
+
+
 #: Folders that an index's posting lists are dealt over by stem.
 BUCKETS = 256
 
@@ -75,9 +109,7 @@ class PhraseIndex:
         one = pages.where("url IS NOT NULL").groupBy("url").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
         held = self.pages(batch).select("url", F.col("digest").alias("held"))
         changed = one.withColumn("digest", F.sha2("text", 256)).join(held, "url", "left").where("NOT digest <=> held")
-        words = changed.select("url", F.posexplode(unit_list(F.col("text"))).alias("at", "word"))
-        found = words.where(~F.col("word").isin(sorted(english.STOP))).groupBy("url", stems("word").alias("stem")).agg(F.array_sort(F.collect_list("at")).alias("positions"))
-        self._write(found, batch)
+        self._write(changed.select("url", whole_units(F.col("text")).alias("units")).mapInArrow(posting_lists, "stem string, url string, positions array<int>"), batch)
         changed.select("url", "digest").write.mode("overwrite").parquet(f"{self.path}/pages/batch={batch}")
 
     def remove(self, urls: DataFrame, batch: int) -> None:
