@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,13 +17,10 @@ from corpusloom.llm.common import materialise
 from corpusloom.llm.packing import ranks_of, tokens_of
 
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Distinct windows whose alignment a worker remembers before it starts anew: it bounds memory and changes no result.
-MEMO_WINDOWS = 500_000
-#: Marks the ids of the second tokenizer where both stand in one array.
-_MARK = 1 << 31
-#: The blank that parts two words; further blanks stay with the second.
-_WORD_START = re.compile("(?<=[^ ]) ")
-_SECOND = np.uint32(_MARK)
+#: Distinct windows, and bytes of their groups and links, that a worker remembers before it starts anew: they bound memory and change no result.
+MEMO_WINDOWS, MEMO_BYTES = 500_000, 1 << 27
+#: The one blank between two words; where further white space stands beside it, no window begins.
+_WINDOW_START = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_paths() -> tuple[str, str]:
@@ -41,7 +37,14 @@ def piece_bytes(piece: str) -> bytes:
 
 
 class Pair:
-    """Both tokenizers, the bytes of their ids, and the memo of window alignments."""
+    """Both tokenizers, the bytes of their ids, and the memo of window alignments.
+
+    A window is a stretch of text up to a single blank between two words. Both tokenizers begin a
+    token there, wherever the window stands: the first's pattern takes one blank along with what
+    follows it, and the second's vocabulary has no piece with a blank behind another character
+    (this is read from the file; else a text is one window). So each distinct window is encoded and
+    aligned once a worker; tests hold the ids against those of whole texts.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -52,111 +55,107 @@ class Pair:
         self.bytes_a = [known.get(k, b"") for k in range(max(known) + 1)]
         self.bytes_b = [piece_bytes(self.b.id_to_piece(k)) for k in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t]) for t in (self.bytes_a, self.bytes_b))
         # A piece with a blank behind another character would reach over words.
         self.by_word = not any(" " in x.lstrip(b" ").decode("latin-1") for x in self.bytes_b)
-        self.words: dict[str, bytes | None] = {}
-        self.lengths = self.size_a.tolist(), self.size_b.tolist()
-        self.names = tuple([str(k) for k in range(len(t))] for t in (self.bytes_a, self.bytes_b))
-        self.memo: dict[bytes, int] = {}
+        # How an id is written: the first's within a group and at its end, then the second's.
+        ids_a, ids_b = range(len(self.bytes_a)), range(len(self.bytes_b))
+        self.names = [b"%d%s" % (k, mark) for ids, mark in ((ids_a, b","), (ids_a, b"|"), (ids_b, b","), (ids_b, b";")) for k in ids]
+        self.name_sizes = np.array([len(x) for x in self.names], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memo: window -> number, and by number the groups as text, the link codes and both counts of tokens."""
+        self.memo: dict[str, int] = {}
         self.texts: list[bytes] = []
         self.links: list[bytes] = []
+        self.counts: list[tuple[int, int]] = []
+        self.held = 0
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of both for a blank and the text; None where the tokens' bytes differ from these."""
+    def windows(self, text: str) -> list[str]:
+        """The windows of a text that is not empty; joined by blanks they are the text."""
+        if not self.by_word:
+            return [text]
+        parts = text.split(" ")
+        return _WINDOW_START.split(text) if "" in parts or list(map(str.strip, parts)) != parts else parts
+
+    def encode(self, some: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of both for windows as one text behind a blank; None where the tokens' bytes differ from these."""
+        text = " ".join(some)
+        raw = b" " + text.encode("utf-8", "surrogatepass")
         a = np.frombuffer(self.a(" " + text), "<u4")
         # Byte-level tokens are pieces of the text itself, so they differ from it only if some are missing.
-        if int(self.size_a[a].sum()) != len(text.encode("utf-8", "surrogatepass")) + 1:
+        if int(self.size_a[a].sum()) != len(raw):
             return None
-        b = self.encode_second(text)
-        return None if b is None else (a, np.frombuffer(b, np.uint32))
+        b = self.b.encode(text, num_threads=1)
+        return (a, np.array(b, np.uint32)) if b"".join(map(self.bytes_b.__getitem__, b)) == raw else None
 
     def encode_second(self, text: str) -> bytes | None:
-        """The second tokenizer's ids of the whole text.
-
-        Where no piece of its vocabulary has a blank behind another character, no merge reaches from
-        a word to the next: a run of blanks and the word behind it are read alike wherever they
-        stand. Each such word is then encoded once a worker and remembered; a test holds the ids
-        against those of whole texts.
-        """
-        if not self.by_word:
-            return self.encode_words([text])[0]
-        if len(self.words) > MEMO_WINDOWS:
-            self.words.clear()
-        known = self.words
-        parts = _WORD_START.split(text) if "  " in text or text[0] == " " else text.split(" ")
-        if new := [w for w in dict.fromkeys(parts) if w not in known]:
-            known.update(zip(new, self.encode_words(new), strict=True))
-        found = [known[w] for w in parts]
-        return None if None in found else b"".join(found)
-
-    def encode_words(self, words: list[str]) -> list[bytes | None]:
-        """The ids of a blank and each word; None where their bytes differ from these. A blank at a text's end is one by itself."""
-        table, blank = self.bytes_b, [self.b.piece_to_id("▁")]
-        ids = [x if w else blank for w, x in zip(words, self.b.encode(words, num_threads=1), strict=True)]
-        same = lambda word, x: b"".join([table[k] for k in x]) == b" " + word.encode("utf-8", "surrogatepass")
-        return [array("I", x).tobytes() if same(w, x) else None for w, x in zip(words, ids, strict=True)]
-
-    def align(self, window: bytes) -> int:
-        """The number under which a window's groups (as text) and links (as codes) are kept.
-
-        A window holds the ids of both in the order of their ends, those of the second marked. Where
-        both end, the first's id comes just before the second's.
-        """
-        (names_a, names_b), (lengths_a, lengths_b), vocabulary = self.names, self.lengths, len(self.bytes_b)
-        groups, links, own_a, own_b = [], [], [], []
-        end_a = end_b = last = 0
-        for k in memoryview(window).cast("I"):
-            if k < _MARK:
-                end_a += lengths_a[k]
-                own_a.append(names_a[k])
-                last = k
+        """The second tokenizer's ids of the whole text, made window by window."""
+        found = [self.encode([w]) for w in self.windows(text)]
+        return None if any(x is None for x in found) else b"".join(b.tobytes() for _, b in found)
+
+    def learn(self, new: list[str]) -> None:
+        """Encode and align windows and remember them; number -1 is one that a tokenizer doesn't give back."""
+        # White space may only stand at a text's ends, where no window follows or comes before.
+        inner = [w for w in new if w == w.strip()]
+        for some in (inner, *([w] for w in new if w != w.strip())):
+            if not some:
                 continue
-            k -= _MARK
-            end_b += lengths_b[k]
-            own_b.append(names_b[k])
-            if end_a == end_b:
-                groups.append(f"{','.join(own_a)}|{','.join(own_b)}")
-                links.append(last * vocabulary + k)
-                own_a, own_b = [], []
-        self.memo[window] = number = len(self.texts)
-        self.texts.append(";".join(groups).encode())
-        self.links.append(array("q", links).tobytes())
-        return number
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The windows of a text: cut where both end and both next tokens begin with a blank."""
+            if found := self.encode(some):
+                self.align(some, *found)
+            elif len(some) == 1:
+                self.memo[some[0]] = -1
+            else:
+                for w in some:
+                    self.learn([w])
+
+    def align(self, some: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Cut the tokens into groups where both end, write these and their links, and keep each window's share."""
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        before = np.searchsorted(ends_a, ends_b, side="right")  # tokens of the first up to the end of each of the second
-        at_b = before + np.arange(len(b))
-        merged = np.empty(len(a) + len(b), np.uint32)
-        first = np.ones(len(merged), bool)
-        first[at_b] = False
-        merged[first], merged[at_b] = a, b | _SECOND
-        cut = np.flatnonzero((ends_a[np.maximum(before, 1) - 1] == ends_b)[:-1] & self.space_b[b[1:]])
-        cut = cut[self.space_a[a[before[cut]]]]
-        bounds = [0, *(4 * (at_b[cut] + 1)).tolist(), 4 * len(merged)]
-        raw = merged.tobytes()
-        return [raw[s:e] for s, e in zip(bounds, bounds[1:], strict=False)]
+        place = np.searchsorted(ends_a, ends_b)
+        last_b = np.flatnonzero(ends_a[place] == ends_b)
+        last_a = place[last_b]
+        # In a group the first's tokens come before the second's; each stands behind those of the groups before.
+        to_a, to_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        to_a[last_a] = to_b[last_b] = True
+        sizes_a, sizes_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        written = np.empty(len(a) + len(b), np.int64)
+        written[np.arange(len(a)) + np.repeat(last_b + 1 - sizes_b, sizes_a)] = a + np.int64(len(self.bytes_a)) * to_a
+        written[np.arange(len(b)) + np.repeat(last_a + 1, sizes_b)] = 2 * len(self.bytes_a) + b + np.int64(len(self.bytes_b)) * to_b
+        text = b"".join(map(self.names.__getitem__, written.tolist()))
+        links = (a[last_a].astype(np.int64) * len(self.bytes_b) + b[last_b]).tobytes()
+        closing = np.searchsorted(ends_b[last_b], np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in some]))
+        bound_a, bound_b = last_a[closing] + 1, last_b[closing] + 1
+        bytes_text = np.cumsum(self.name_sizes[written])[bound_a + bound_b - 1].tolist()
+        bytes_links = (8 * (closing + 1)).tolist()
+        self.memo.update(zip(some, range(len(self.texts), len(self.texts) + len(some)), strict=True))
+        self.texts += [text[s:e] for s, e in zip([0, *bytes_text], bytes_text, strict=False)]
+        self.links += [links[s:e] for s, e in zip([0, *bytes_links], bytes_links, strict=False)]
+        self.counts += zip(np.diff(bound_a, prepend=0).tolist(), np.diff(bound_b, prepend=0).tolist(), strict=True)
+        self.held += len(text) + len(links)
 
     def __call__(self, text: str | None) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
         """(tokens of the first, of the second, groups, their digest, distinct link codes, how often each stands)."""
-        found = self.encode(text) if text else None
-        if found is None:
-            return 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(self.memo) > MEMO_WINDOWS:
-            self.memo.clear()
-            self.texts.clear()
-            self.links.clear()
-        memo, align = self.memo, self.align
-        numbers = [memo[w] if w in memo else align(w) for w in self.windows(*found)]
-        digest = hashlib.sha256(b";".join(map(self.texts.__getitem__, numbers))).hexdigest()
+        nothing = 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
+        if not text:
+            return nothing
+        if len(self.memo) > MEMO_WINDOWS or self.held > MEMO_BYTES:
+            self.forget()
+        parts, memo = self.windows(text), self.memo
+        if new := [w for w in dict.fromkeys(parts) if w not in memo]:
+            self.learn(new)
+        numbers = list(map(memo.__getitem__, parts))
         often = Counter(numbers)
-        parts = [self.links[k] for k in often]
-        each = np.repeat(list(often.values()), [len(p) >> 3 for p in parts])
-        codes, place = np.unique(np.frombuffer(b"".join(parts), np.int64), return_inverse=True)
+        if -1 in often:
+            return nothing
+        digest = hashlib.sha256(b"".join(map(self.texts.__getitem__, numbers))[:-1]).hexdigest()
+        times = np.fromiter(often.values(), np.int64, len(often))
+        n_a, n_b = (times @ np.array([self.counts[k] for k in often], np.int64)).tolist()
+        links = [self.links[k] for k in often]
+        each = np.repeat(times, [len(p) >> 3 for p in links])
+        codes, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
         counts = np.bincount(place, weights=each, minlength=len(codes)).astype(np.int64)
-        return len(found[0]), len(found[1]), int(counts.sum()), digest, codes, counts
+        return n_a, n_b, int(counts.sum()), digest, codes, counts
 
 
 @lru_cache(maxsize=4)
@@ -169,9 +168,9 @@ def align_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: ``doc_id, n_a, n_b, n_groups, groups_sha256, codes, counts``.
 
     ``codes`` are the distinct linked id pairs of the document (first id times the second's
-    vocabulary, plus the second id), ``counts`` how often it links each. Both tokenizers read the
-    whole text; windows between ends that both share, before tokens that begin with a blank in
-    both, are aligned once and remembered by their ids.
+    vocabulary, plus the second id), ``counts`` how often it links each. Both tokenizers read all of
+    the text; its windows, between ends that both share, before tokens that begin with a blank in
+    both, are encoded and aligned once and remembered.
 
     A null or empty text, and one that a tokenizer doesn't give back byte for byte, has no tokens:
     zeros, an empty digest and empty lists. Rows that repeat an id are judged each on its own, and
