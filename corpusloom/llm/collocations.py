@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +45,19 @@ class Index:
         x = np.concatenate([[0], x, [0]]).astype(np.int64)
         self.depth = depth
         self.symbols, x = np.unique(x, return_inverse=True)  # dense, and 0 stays the least
-        self.before = x[self._order(x, depth) - 1].astype(np.int32)
+        self.text = x.astype(np.int32)
         backward = np.ascontiguousarray(x[::-1])
         self.after = backward[self._order(backward, depth) - 1].astype(np.int32)
         self.step = np.empty(len(x), np.int64)
         self.step[np.argsort(self.after, kind="stable")] = np.arange(len(x))
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(self.symbols)))])
 
+    @cached_property
+    def before(self) -> np.ndarray:
+        """The word before each suffix, sorted when first asked for: counting needs the reversed order only."""
+        x = self.text.astype(np.int64)
+        return self.text[self._order(x, self.depth) - 1]
+
     @staticmethod
     def _order(x: np.ndarray, depth: int) -> np.ndarray:
         """Suffixes by their first ``depth`` words: ranks of 1, 2, 4 ... words are joined to those of the rest."""
@@ -117,24 +123,37 @@ def among(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
 
 
-def phrases(index: Index, known: dict[int, np.ndarray], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Phrases of ``length`` words, and the known pairs where it is 3: (ids of the words, a row a phrase; counts; the only word before; the only word after).
+def pairs_and_next(index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs with each word that follows them: (pair as ``first << 32 | second``, the word or 0 where the piece ends, count).
 
-    ``known`` has the frequent phrases of each length below, as hashes. Only phrases whose first
-    and last words are frequent phrases themselves are followed: others can't be frequent, as a
-    phrase is no more frequent than one in it.
+    They count the pairs and the phrases of three words at once. There is at most one row for each
+    place of a word, whatever share of the pairs becomes frequent.
+    """
+    symbol, n, low, back = index.words()
+    parent, second, n, low, back = index.extend_right(n, low, back)
+    pair = (index.symbols[symbol[parent]] << 32) | index.symbols[second]
+    parent, third, c, *_ = index.extend_right(n, low, back)
+    rest = n - np.bincount(parent, c, minlength=len(n)).astype(np.int64)
+    last = np.flatnonzero(rest)
+    return np.concatenate([pair[parent], pair[last]]), np.concatenate([index.symbols[third], np.zeros(len(last), np.int64)]), np.concatenate([c, rest[last]])
+
+
+def phrases(index: Index, known: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases of ``length`` words: (ids of the words, a row a phrase; counts).
+
+    ``known`` has the frequent phrases that are one word shorter, a row each. Only phrases whose
+    first and last words are among them are followed: others can't be frequent, as a phrase is no
+    more frequent than one in it.
     """
     symbol, n, low, back = index.words()
     ids = index.symbols[symbol][:, None]
+    whole = np.sort(mixed(known))
     for size in range(2, length + 1):
         parent, symbol, n, low, back = index.extend_right(n, low, back)
         ids = np.concatenate([ids[parent], index.symbols[symbol][:, None]], axis=1)
-        good = among(ids, known[size]) if size < length else among(ids[:, 1:], known[size - 1]) if size > 2 else slice(None)
+        good = among(ids[:, 1:], whole) if size == length else among(ids, np.unique(mixed(known[:, :size])))
         ids, n, low, back = ids[good], n[good], low[good], back[good]
-        if size == length or size == 2 and length == 3:
-            # Nothing is longer than the longest phrases, so these lie inside none.
-            beside = (np.zeros(len(n), np.int64),) * 2 if size == DEPTH or length == 2 else (index.alone(n, low, True), index.alone(n, back, False))
-            yield ids, n, *beside
+    return ids, n
 
 
 def build_shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -195,12 +214,12 @@ def _ids(shard: pa.Table, local: np.ndarray, known: np.ndarray) -> np.ndarray:
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The best phrases of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
-    Words are counted, then each length up to ``DEPTH`` takes a round over the shards' ids: a
-    shard enumerates the phrases of that length by interval extension, from the frequent words and
-    shorter phrases that it holds itself, and the counts are summed over the shards. None of these
-    lists is sent whole. Counts are exact: what is left out in a shard holds a word or a phrase that
-    is too rare over all shards. A phrase is dropped if the same word stands before (or after) it
-    in all shards and everywhere, as that longer phrase has its count.
+    Words are counted, then the phrases of two and three words in one round over the shards' ids,
+    then those of four and five in a round each: a shard enumerates the phrases by interval
+    extension, from the frequent words and next shorter phrases that it holds itself, and the counts
+    are summed over the shards. None of these lists is sent whole. Counts are exact: what is left
+    out in a shard holds a word or a phrase that is too rare over all shards. A phrase is dropped if
+    one that has a word more has its count; where a still longer one has it, so has one of these.
 
     ``a`` counts the phrase, ``l`` and ``r`` the two parts of its lowest-scoring cut, ``n`` all words
     of the language; the score is exact for counts below 10^15. Ties go by ``a``, then by phrase in
@@ -215,54 +234,68 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     mapped = local.join(frequent.select("lang", "word", "word_id"), ["lang", "word"])
     mapped = materialise(mapped.select("shard", "at", "word_id"), "mapped")
 
-    ids = shards.select("shard", "ids", "words")
-    schema = "key binary, shard bigint, c bigint, before bigint, after bigint"
-    facts = mapped.select("shard", "at", "word_id", F.lit(None).cast("binary").alias("key"))
-    found = []
-    for length in range(2, DEPTH + 1):
-        seen = ids.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(_finder(length), schema)
-        # One row a shard for each phrase, so a window holds as many rows as there are shards at most.
-        often = seen.withColumn("f", F.sum("c").over(Window.partitionBy("key"))).where(F.col("f") >= least).drop("f")
-        often = materialise(often, f"phrases-{length}")
-        new = often.where(F.length("key") == 4 * length)
-        facts = facts.unionAll(new.select("shard", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("word_id"), "key"))
-        if length > 2:  # the round for three words meets the pairs again, with the words beside them
-            found.append(often)
+    ids = shards.select("shard", "ids", "words").groupBy("shard")
+    seen = ids.cogroup(mapped.groupBy("shard")).applyInArrow(short_phrases, "pair bigint, next bigint, shard bigint, c bigint")
+    # One sort does for all three. A row a shard for each word after a pair, so a window holds no more than the shards' words.
+    pair = Window.partitionBy("pair")
+    seen = seen.withColumn("first", F.row_number().over(pair.orderBy("next")) == 1).withColumn("f2", F.sum("c").over(pair)).withColumn("f3", F.sum("c").over(Window.partitionBy("pair", "next")))
+    two, three = F.col("first") & (F.col("f2") >= least), (F.col("next") > 0) & (F.col("f3") >= least)
+    often = materialise(seen.where(two | three), "phrases-3")
+    hexed = F.lpad(F.hex("pair"), 16, "0")
+    new = often.where(three).select("shard", F.unhex(F.concat(hexed, F.lpad(F.hex("next"), 8, "0"))).alias("key"), F.col("f3").alias("f"))
+    found = [often.where(two).select(F.unhex(hexed).alias("key"), F.col("f2").alias("a")), new.groupBy("key").agg(F.max("f").alias("a"))]
+    for length in range(4, DEPTH + 1):
         if new.isEmpty():
             break
-    same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) > 0)
-    every = reduce(DataFrame.unionAll, found) if found else often.limit(0)
-    candidates = every.groupBy("key").agg(F.sum("c").alias("a"), (same("before") | same("after")).alias("inside"))
-    return rank_phrases(score_phrases(spell(materialise(candidates, "phrases"), frequent), frequent, totals), top)
+        facts = mapped.select("shard", "at", "word_id", F.lit(None).cast("binary").alias("key")).unionAll(new.select("shard", F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("word_id"), "key"))
+        seen = ids.cogroup(facts.groupBy("shard")).applyInArrow(_finder(length), "key binary, shard bigint, c bigint")
+        # One row a shard for each phrase, so a window holds as many rows as there are shards at most.
+        new = materialise(seen.withColumn("f", F.sum("c").over(Window.partitionBy("key"))).where(F.col("f") >= least), f"phrases-{length}")
+        found.append(new.groupBy("key").agg(F.max("f").alias("a")))
+    candidates = mark_inside(materialise(reduce(DataFrame.unionAll, found), "phrases"))
+    return rank_phrases(score_phrases(spell(candidates, frequent), frequent, totals), top)
+
+
+def mark_inside(found: DataFrame) -> DataFrame:
+    """``key, a, inside`` of all frequent phrases: whether one with a word more in front or behind has the same count."""
+    size = F.length("key")
+    parts = F.array(F.substring("key", F.lit(1), size - 4), F.substring("key", F.lit(5), size - 4))
+    longer = found.where(size > 8).select(F.explode(parts).alias("key"), "a").groupBy("key").agg(F.max("a").alias("most"))
+    return found.join(longer, "key", "left").select("key", "a", (F.coalesce("most", F.lit(0)) >= F.col("a")).alias("inside"))
+
+
+def short_phrases(_, shard: pa.Table, own: pa.Table) -> pa.Table:
+    """The map over a shard and its frequent words: its pairs with each word that follows."""
+    made = [np.empty(0, np.int64)] * 3
+    if shard.num_rows and own.num_rows:
+        made = pairs_and_next(Index(_parted(_ids(shard, own.column("at").to_numpy(), own.column("word_id").to_numpy())), 3))
+    number = np.full(len(made[0]), shard.column("shard")[0].as_py() if shard.num_rows else 0, np.int64)
+    return pa.table([pa.array(made[0]), pa.array(made[1]), pa.array(number), pa.array(made[2])], ["pair", "next", "shard", "c"])
+
+
+def _parted(x: np.ndarray) -> np.ndarray:
+    """Word ids with one 0 where there were several in a row."""
+    return x[(x > 0) | (np.concatenate([[1], x[:-1]]) > 0)]
 
 
 def _finder(length: int):
     """The map over a shard and what is known of it: the phrases of ``length`` words in it."""
 
     def phrases_of(_, shard: pa.Table, own: pa.Table) -> pa.Table:
-        names = ["key", "shard", "c", "before", "after"]
-        out = [pa.table([pa.array([], pa.binary()), *[pa.array([], pa.int64())] * 4], names)]
-        if not shard.num_rows or not own.num_rows:
-            return out[0]
-        place, word = own.column("at").to_numpy(), own.column("word_id").to_numpy()
-        keys = own.column("key").drop_null().combine_chunks()
-        sizes = np.diff(np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]) if len(keys) else np.empty(0, np.int32)
-        known, used = {}, None
-        for size in range(2, length):
-            rows = np.frombuffer(b"".join(keys.filter(pa.array(sizes == 4 * size)).to_pylist()), ">u4").astype(np.int64).reshape(-1, size)
-            known[size], used = np.sort(mixed(rows)), np.unique(rows)
-        # Words in none of the longest known phrases part phrases, as rare words and pieces do.
-        keep = place > 0 if used is None else (place > 0) & np.isin(word, used)
-        x = _ids(shard, place[keep], word[keep])
-        x = x[(x > 0) | (np.concatenate([[1], x[:-1]]) > 0)]
-        for rows, n, before, after in phrases(Index(x, length), known, length):
-            width = 4 * rows.shape[1]
-            offsets = pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32).tobytes())
-            made = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.astype(">u4").tobytes())])
-            out.append(pa.table([made, pa.array(np.full(len(rows), shard.column("shard")[0].as_py(), np.int64)), pa.array(n), pa.array(before.astype(np.int64)), pa.array(after.astype(np.int64))], names))
-        return pa.concat_tables(out)
-
-    phrases_of.__name__ = f"phrases_of_{'two three four five'.split()[length - 2]}"
+        rows, n = np.empty((0, length), np.int64), np.empty(0, np.int64)
+        keys = own.column("key").drop_null().to_pylist()
+        if shard.num_rows and keys:
+            known = np.frombuffer(b"".join(keys), ">u4").astype(np.int64).reshape(-1, length - 1)
+            place, word = own.column("at").to_numpy(), own.column("word_id").to_numpy()
+            # Words in none of the known phrases part phrases, as rare words and pieces do.
+            keep = (place > 0) & np.isin(word, np.unique(known))
+            rows, n = phrases(Index(_parted(_ids(shard, place[keep], word[keep])), length), known, length)
+        offsets = pa.py_buffer((np.arange(len(rows) + 1) * 4 * length).astype(np.int32).tobytes())
+        made = pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(rows.astype(">u4").tobytes())])
+        number = np.full(len(rows), shard.column("shard")[0].as_py() if shard.num_rows else 0, np.int64)
+        return pa.table([made, pa.array(number), pa.array(n)], ["key", "shard", "c"])
+
+    phrases_of.__name__ = f"phrases_of_{'four five'.split()[length - 4]}"
     return phrases_of
 
 
