@@ -206,7 +206,7 @@ def _piece_end(found: list[bytes], at: int) -> int:
 def _ids(shard: pa.Table, local: np.ndarray, known: np.ndarray) -> np.ndarray:
     """A shard's ids as those of the frequent words; others part phrases as a piece's end does."""
     own = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard.column("ids")[0].as_py()), np.int32)
-    table = np.zeros(len(shard.column("words")[0]) + 1, np.int64)
+    table = np.zeros(shard.column("size")[0].as_py() + 1, np.int64)
     table[local] = known
     return table[own]
 
@@ -234,7 +234,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     mapped = local.join(frequent.select("lang", "word", "word_id"), ["lang", "word"])
     mapped = materialise(mapped.select("shard", "at", "word_id"), "mapped")
 
-    ids = shards.select("shard", "ids", "words").groupBy("shard")
+    ids = shards.select("shard", "ids", F.size("words").alias("size")).groupBy("shard")
     seen = ids.cogroup(mapped.groupBy("shard")).applyInArrow(short_phrases, "pair bigint, next bigint, shard bigint, c bigint")
     # One sort does for all three. A row a shard for each word after a pair, so a window holds no more than the shards' words.
     pair = Window.partitionBy("pair")
