@@ -77,5 +77,5 @@ def html_text(raw: Column, bare_names: bool = True) -> Column:
 
 def bodies_text(bodies: Column) -> Column:
     """Plain texts of an array of HTML bodies, those that are not empty, joined by blanks; null gives an empty text."""
-    texts = F.transform(F.coalesce(bodies, F.array().cast("array<string>")), html_text)
+    texts = F.transform(F.coalesce(bodies, F.array().cast("array<string>")), lambda body: html_text(body))
     return F.array_join(F.filter(texts, lambda t: t != ""), " ")

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from corpusloom.llm import alignment, collocations
+from corpusloom.functions.html import bodies_text
 from corpusloom.operators import export
 from corpusloom.plans import selection
 
@@ -74,3 +75,9 @@ def test_phrases_inside_others(spark):
     found = spark.createDataFrame([(key(*k), a) for k, a in counts.items()], "key binary, a long")
     got = {bytes(r.key): (r.a, r.inside) for r in collocations.mark_inside(found).collect()}
     assert got == {bytes(key(*k)): (a, k == (2, 3)) for k, a in counts.items()}
+
+
+def test_texts_of_several_bodies(spark):
+    """Each body is read with its bare names, whatever its place; null and empty ones leave nothing."""
+    rows = spark.createDataFrame([(["<p>a &amp b</p>", None, "", "<p>c</p>"],), (None,)], "x array<string>")
+    assert [r[0] for r in rows.select(bodies_text(rows.x)).collect()] == ["a & b c", ""]
