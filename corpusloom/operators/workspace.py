@@ -148,7 +148,7 @@ def keyword_hits(texts: DataFrame, words: DataFrame, letters: int = KEYWORD_LETT
     return reduce(DataFrame.unionAll, map(found, range(blocks)))
 
 
-def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame) -> DataFrame:
+def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame, most: int | None = None) -> DataFrame:
     """``category_id, content_id, url``: the members of every selection, in one pass over the pages.
 
     Selections (``id, orgs, types, words``) are rows, as many as there may be: each is looked up by
@@ -156,8 +156,11 @@ def refresh(pages: DataFrame, links: DataFrame, selections: DataFrame) -> DataFr
     words and organisations and under the stars; types are compared where both meet. So no pair is
     made that doesn't share a word and an organisation, and a selection's lists are multiplied only
     with each other. Selecting HTML publications keeps all of them, whatever their parents. An empty
-    list filters nothing; a page without organisations meets selections that name none.
+    list filters nothing; a page without organisations meets selections that name none. More
+    selections than ``most``, where it is given, are an error; none is left out.
     """
+    if most is not None and selections.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} selections")
     lists = cut(selections.select(F.col("id").cast("long").alias("category_id"), *[entries(F.col(c)).alias(c) for c in ("orgs", "types", "words")]))
     star = lambda c: F.when(F.size(c) == 0, F.array(F.lit("*"))).otherwise(F.transform(c, lambda x: F.concat(F.lit("="), x)))
     low = F.array_distinct(F.transform("words", lambda w: F.lower(w)))
